@@ -9,6 +9,7 @@ The dictionary is trained on serialised id arrays of a bounded sample and lies b
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 import zlib
@@ -33,38 +34,93 @@ MAGIC = b"IDSTORE1"
 HEAD = "<8sHHQ32sQ"
 HEAD_BYTES = struct.calcsize(HEAD)
 ENTRY = np.dtype([("doc", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u8"), ("before", "<u8")])
-LEVEL = 3
+LEVEL = 1
 #: Words a worker remembers the ids of.
-CACHE = 400_000
+CACHE = 200000
+#: ASCII punctuation that is taken off the end of a word.
+PUNCTUATION = b".,!?;:"
 #: Documents and bytes of each that the dictionary is trained on, at most; its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 16_384, 65_536
 MANIFEST = "file int, path string, docs bigint, ids bigint, bytes bigint"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones as they are, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return dict.fromkeys(plain) | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+BYTE_CHARS = {b: c or chr(b) for b, c in _byte_chars().items()}
+
+
+class _Words(dict):
+    """Serialised ids by word; a word that is missing is taken from the generation before or encoded."""
+
+    def __init__(self, encode, old: dict):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.encode(word)
+        self[word] = found
+        return found
+
+
 class WordTokenizer:
-    """The library's tokenizer, asked once for each word: it drops white space and never crosses it."""
+    """The library's tokenizer, asked once for each word.
+
+    That is exact where the tokenizer lower-cases, drops white space and splits runs of letters from all
+    else: no token then crosses white space or the border between letters and ASCII punctuation, and runs of
+    ASCII letters go to the library's BPE model as they are. Words with a special token's text, marks or
+    other letters go through the whole tokenizer. A tokenizer of another kind gets whole texts.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
-        self.wide = self.lib.get_vocab_size() > 1 << 16
-        self.type = np.dtype("<u4" if self.wide else "<u2")
-        self.known: dict[bytes, bytes] = {}
+        self.type = np.dtype("<u4" if self.lib.get_vocab_size() > 1 << 16 else "<u2")
+        spec = json.loads(self.lib.to_str())
+        steps = {x["type"]: x for part in ("normalizer", "pre_tokenizer") for x in ((spec[part] or {}).get("normalizers") or (spec[part] or {}).get("pretokenizers") or [spec[part] or {"type": ""}])}
+        cut = steps.get("Split", {})
+        self.by_word = "Lowercase" in steps and cut.get("behavior") == "Removed" and cut.get("invert") is True and r"[^\s\p{L}\p{N}]+" in str(cut.get("pattern", {}).get("Regex"))
+        self.model, self.cache = self.lib.model, cache
+        self.parts, self.words = _Words(self._part, {}), _Words(self._word, {})
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.lib.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.type).tobytes()
+
+    def _part(self, part: bytes) -> bytes:
+        """Ids of a run of lower-case Latin letters, or of one of punctuation."""
+        if part[0] in PUNCTUATION:
+            return self._whole(part)
+        return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(BYTE_CHARS))], self.type).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        stem = word.rstrip(PUNCTUATION)
+        tail = word[len(stem) :]
+        if stem.isalpha():
+            stem = stem.lower()
+        else:
+            # precomposed Latin letters: normalisation keeps them, and each has a lower case of its own
+            letters = stem.decode("utf-8", "replace")
+            if not letters.isalpha() or max(letters) >= "\u0250" or "\u0130" in letters:
+                return self._whole(word)
+            stem = letters.lower().encode()
+        return self.parts[stem] + self.parts[tail] if tail else self.parts[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Serialised ids of each text."""
-        split = [t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = {w for words in split for w in words}
-        fresh = list(new)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.lib.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.type).tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+        if not self.by_word:
+            return [self._whole(t) for t in texts]
+        out = []
+        for t in texts:
+            for name in ("parts", "words"):
+                if len(table := getattr(self, name)) > self.cache:  # what was met since the last time stays, the rest goes
+                    table.old = {}
+                    setattr(self, name, _Words(table.encode, dict(table)))
+            out.append(b"".join(map(self.words.__getitem__, t.split())))
+        return out
 
 
 @lru_cache(2)
@@ -73,15 +129,10 @@ def tokenizer(path: str = TOKENIZER) -> WordTokenizer:
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
-    """ids and texts of a batch, in parts of some MB."""
-    ids, texts = b.column("doc_id").to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size > 4 << 20:
-            yield ids[at:i], texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    yield ids[at:], texts[at:]
+    """ids and texts of a batch, some at a time."""
+    for at in range(0, b.num_rows, 256):
+        part = b.slice(at, 256)
+        yield part.column("doc_id").to_pylist(), [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
 def train_dictionary(docs: DataFrame, path: str = TOKENIZER) -> bytes:
