@@ -32,7 +32,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks and pairs of pieces a worker remembers.
-CACHE = 400_000
+CACHE = 120_000
 MODEL = "piece_bpe_32k.model"
 
 
@@ -53,6 +53,7 @@ class PieceCodec:
         self.whole = any("\n" in p for p in self.ids)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.whole else f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
         self.known: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.stable: dict[int, bool] = {}
         self.auto = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -72,6 +73,8 @@ class PieceCodec:
 
     def merge(self, s: str) -> list[int]:
         """BPE by its definition: the adjacent pair with the best score merges first, the leftmost among equals."""
+        if len(s) <= 64:
+            return self._merge_short(list(s))
         parts: list[str | None] = list(s)
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -95,6 +98,20 @@ class PieceCodec:
             offer(i)
         return [self.ids.get(p, -1) for p in parts if p is not None]
 
+    def _merge_short(self, parts: list[str]) -> list[int]:
+        ids, score, never = self.ids, self.score, float("inf")
+        order = lambda p: -score[k] if (k := ids.get(p)) is not None else never
+        ranks = [order(a + b) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != never:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = order(parts[i] + parts[i + 1])
+            if i:
+                ranks[i - 1] = order(parts[i - 1] + parts[i])
+        return [ids.get(p, -1) for p in parts]
+
     def _stable(self, a: int, b: int) -> bool:
         key = a << 32 | b
         found = self.stable.get(key)
@@ -108,6 +125,23 @@ class PieceCodec:
         """Piece ids of a chunk, -1 - position for a character that no piece covers."""
         n = len(s)
         last: list[int | None] = [None] * (n + 1)
+        if self.kind == BPE:  # the usual case: pieces cover all characters; they come by end, the longest first
+            size, stable = [0] * (n + 1), self.stable
+            for end, (k, length) in self.auto.iter(s):
+                if last[end + 1] is None:
+                    start = end + 1 - length
+                    if start:
+                        p = last[start]
+                        if p is None or not (ok if (ok := stable.get(p << 32 | k)) is not None else self._stable(p, k)):
+                            continue
+                    last[end + 1], size[end + 1] = k, length
+            if last[n] is not None:
+                out, i = [], n
+                while i:
+                    out.append(last[i])
+                    i -= size[i]
+                return out[::-1]
+            last = [None] * (n + 1)
         ends: dict[int, list[tuple[int, int]]] = {}
         for end, piece in self.auto.iter(s):
             ends.setdefault(end + 1, []).append(piece)
@@ -164,10 +198,13 @@ class PieceCodec:
         for c in self.chunk.findall(text):
             ids = known.get(c)
             if ids is None:
-                ids = self._chunk_ids(c)
+                ids = self.old.get(c)
+                if ids is None:
+                    ids = self._chunk_ids(c)
                 if len(c) <= 32:
-                    if len(known) >= self.cache:
-                        known.clear()
+                    if len(known) >= self.cache:  # what was met since the last time stays, the rest goes
+                        self.old, self.known = known, {}
+                        known = self.known
                     known[c] = ids
             out += ids
         return out
@@ -211,7 +248,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         c = codec(model)
         for b in batches:
             rows = []
-            for t in b.column("text").to_pylist():
+            for t in (t for lo in range(0, b.num_rows, 256) for t in b.column("text").slice(lo, 256).to_pylist()):
                 ids = c.encode(t or "")
                 back = c.decode(ids)
                 rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(back.encode("utf-8", "replace")), back == (t or "")))
