@@ -22,7 +22,7 @@ MAX_N = 5
 #: Words a posterior is based on at most: beyond that more words make no more certain.
 EVIDENCE = 12
 #: Words a worker remembers the scores of.
-CACHE = 400_000
+CACHE = 120_000
 
 
 class Model:
@@ -38,8 +38,8 @@ class Model:
             for k in range(1, MAX_N + 1):
                 for g in self._grams(word, k):
                     grams[k][g][at[lang]] += n
-        self.words = self._logs(words, 1)
-        self.grams = [self._logs(g, min_gram) for g in grams]
+        self.words, self.word_logs = self._logs(words, 1)
+        self.grams, self.gram_logs = map(list, zip(*(self._logs(g, min_gram) for g in grams)))
 
     @staticmethod
     def _grams(word: str, n: int) -> list[str]:
@@ -47,19 +47,22 @@ class Model:
         return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray], least: int) -> dict[str, np.ndarray]:
+    def _logs(table: dict[str, np.ndarray], least: int) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each entry and the rows of log frequencies."""
         total = sum(table.values(), np.zeros(1)) + 1.0
-        return {k: np.log((v + 0.1) / total).astype(np.float32) for k, v in table.items() if v.sum() >= least}
+        kept = [k for k, v in table.items() if v.sum() >= least]
+        logs = np.log((np.array([table[k] for k in kept]) + 0.1) / total).astype(np.float32) if kept else np.zeros((0, 1), np.float32)
+        return {k: i for i, k in enumerate(kept)}, logs
 
     def word_scores(self, word: str) -> np.ndarray:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.word_logs[found]
         for n in range(MAX_N, 0, -1):
             table = self.grams[n]
-            known = [table[g] for g in self._grams(word, n) if g in table]
+            known = [r for g in self._grams(word, n) if (r := table.get(g)) is not None]
             if known:
-                return np.mean(known, axis=0)
+                return self.gram_logs[n][known].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -124,7 +127,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.predict(t) for t in b.column(at).to_pylist()]
+            found = [scorer.predict(t) for lo in range(0, b.num_rows, 256) for t in b.column(at).slice(lo, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)
