@@ -349,9 +349,11 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            for s in _chunks([len(t) for t in texts]):
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[s.start : s.stop], "media": pa.array(encode(texts[s]), pa.binary())})
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+                for s in _chunks([len(t) for t in texts]):
+                    yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")[s.start : s.stop], "media": pa.array(encode(texts[s]), pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
 

@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t, shingle) for lo in range(0, b.num_rows, 256) for t in b.column("text").slice(lo, 256).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "th": b.column("th"), "fp": pa.array(fps.view(np.int64))})
 
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
