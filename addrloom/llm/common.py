@@ -58,3 +58,9 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, row_i
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null. Counts word starts, without building an array of the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
+def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns under names of their own, so that none can clash, and the needed ones beside them; and the way back."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], *[F.col(c).alias(f"_need_{c}") for c in needed])
+    return own, [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)]

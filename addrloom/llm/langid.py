@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from addrloom.llm.common import hidden
+
 WORD = re.compile(r"[^\W\d_]+")
 MAX_N = 5
 #: Words a posterior is based on at most: beyond that more words make no more certain.
@@ -145,5 +147,6 @@ def op8_language_id(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.35, langs: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` without those of no language, of one outside ``langs`` (None: any learned one), or of a posterior below ``min_score``."""
-    found = predict(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return (found.where(F.col("lang_pred").isin(*langs)) if langs else found).select(*docs.columns)
+    own, names = hidden(docs, "text")
+    found = predict(own.withColumnRenamed("_need_text", "text"), fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return (found.where(F.col("lang_pred").isin(*langs)) if langs else found).select(*names)

@@ -13,7 +13,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import n_words
+from addrloom.llm.common import hidden, n_words
 
 WEIGHTS = (3, 1, 2)
 #: For each weight class: knots (time, relative weight) of a piecewise-linear schedule, from time 0 to 1.
@@ -83,41 +83,46 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules=SCHEDU
     meets in one task; the number of slots grows with the rows. Null doc_id sorts first, repeated rows
     are documents of their own, null sources are one source, an empty table gives no rows.
     """
-    rows = docs.sparkSession.range(0).count() if docs is None else docs.count()
+    d, names = _plan(docs, weights, schedules, share_percent, cap, rows_per_slot)
+    return d.select(*names, *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "passes", "taken", "positions")])
+
+
+def _plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share_percent: int = 150, cap: int = 2, rows_per_slot: int = 2000) -> tuple[DataFrame, list[Column]]:
+    """plan_mix with all columns under hidden names, and the way back to those of ``docs``."""
+    rows = docs.count()
     digits = max(3, ceil(log(max(rows, 1) / rows_per_slot, 16))) if rows > rows_per_slot else 3
-    order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    d = docs.withColumns({"_size": n_words(F.col("text")), "_order": order, "_slot": F.substring(order, 1, digits)})
-    slots = d.groupBy(F.col("source").alias("src"), F.col("_slot").alias("slot")).agg(F.sum("_size").alias("words"))
+    d, names = hidden(docs, "doc_id", "source", "text")
+    order = F.coalesce(F.md5(F.col("_need_doc_id").cast("string")), F.lit(""))
+    d = d.withColumns({"_size": n_words(F.col("_need_text")), "_order": order, "_slot": F.substring(order, 1, digits), "_tie": F.xxhash64("_need_text")}).drop("_need_text")
+    slots = d.groupBy(F.col("_need_source").alias("src"), F.col("_slot").alias("slot")).agg(F.sum("_size").alias("words"))
     targets = source_targets(slots.groupBy("src").agg(F.sum("words").alias("source_size")), weights, share_percent, cap)
     before = Window.partitionBy("src").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("src", "_src")
-    slots = slots.join(targets, F.col("_src").eqNullSafe(F.col("src"))).select("_src", "slot", "before", "source_size", "class", "target")
-    own = Window.partitionBy("source", "_slot").orderBy("_order", "doc_id", "_size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_before", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("src", "_src")
+    slots = slots.join(targets, F.col("_src").eqNullSafe(F.col("src"))).select("_src", F.col("slot").alias("_at_slot"), "_before", F.col("source_size").alias("_source_size"), F.col("class").alias("_class"), F.col("target").alias("_target"))
+    own = Window.partitionBy("_need_source", "_slot").orderBy("_order", "_need_doc_id", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in_slot", F.coalesce(F.sum("_size").over(own), F.lit(0)))
-    d = d.join(slots, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_slot") == F.col("slot")))
-    c = F.col("before") + F.col("_in_slot")
-    middle = lambda p: 2 * (p * F.col("source_size") + c) + F.col("_size")
-    passes = sum((F.when((F.col("_size") > 0) & (middle(p) <= 2 * F.col("target")), 1).otherwise(0) for p in range(cap)), F.lit(0))
-    at = lambda p: F.round(_by_class(schedules, F.least(middle(p) / (2 * F.col("target")), F.lit(1.0))), 9)
-    d = d.withColumn("passes", passes)
-    positions = F.filter(F.array(*[F.when(F.col("passes") > p, at(p)) for p in range(cap)]), lambda x: x.isNotNull())
-    return d.select(
-        *[F.col(c) for c in docs.columns], F.col("_size").alias("size"), "source_size", "target", "passes", (F.col("passes") * F.col("_size")).cast("long").alias("taken"), positions.alias("positions")
-    )
+    d = d.join(slots, F.col("_need_source").eqNullSafe(F.col("_src")) & (F.col("_slot") == F.col("_at_slot")))
+    c = F.col("_before") + F.col("_in_slot")
+    middle = lambda p: 2 * (p * F.col("_source_size") + c) + F.col("_size")
+    passes = sum((F.when((F.col("_size") > 0) & (middle(p) <= 2 * F.col("_target")), 1).otherwise(0) for p in range(cap)), F.lit(0))
+    at = lambda p: F.round(_by_class(schedules, F.least(middle(p) / (2 * F.col("_target")), F.lit(1.0))), 9)
+    d = d.withColumn("_passes", passes)
+    positions = F.filter(F.array(*[F.when(F.col("_passes") > p, at(p)) for p in range(cap)]), lambda x: x.isNotNull())
+    return d.withColumns({"_taken": (F.col("_passes") * F.col("_size")).cast("long"), "_positions": positions}), names
 
 
 def _by_class(schedules, share: Column) -> Column:
     out = _inverse(share, schedules[0])
     for k, knots in enumerate(schedules[1:], 1):
-        out = F.when(F.col("class") == k, _inverse(share, knots)).otherwise(out)
+        out = F.when(F.col("_class") == k, _inverse(share, knots)).otherwise(out)
     return out
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
     """The columns of ``docs``, each document as often as it is taken, range-sorted by training position."""
-    plan = plan_mix(docs, **params)
-    cols = [F.col(c) for c in docs.columns]
-    return plan.where("passes > 0").select(*cols, F.explode("positions").alias("_at")).orderBy("_at", "doc_id").select(*cols)
+    plan, names = _plan(docs, **params)
+    own = [c for c in plan.columns if c.startswith("_own_")]
+    return plan.where("_passes > 0").select(*own, "_need_doc_id", F.explode("_positions").alias("_at")).orderBy("_at", "_need_doc_id").select(*names)
 
 
 def op4_mix(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import lookup, write_table
+from addrloom.llm.common import hidden, lookup, write_table
 
 UPPER = 4
 RUN = 32
@@ -217,7 +217,8 @@ def op5_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """``docs`` with one document of each component: the row whose doc_id is the component's id (one of them, if rows repeat)."""
     found = near_duplicates(docs, shingle, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("th").alias("_th"))
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("_own") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_keep")).agg(F.min("th").alias("_th"))
+    keyed, names = hidden(docs, "doc_id", "text")
+    keyed = keyed.withColumn("_hash", F.xxhash64("_need_text")).drop("_need_text")
+    kept = keyed.join(keep, F.col("_need_doc_id").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates(["_need_doc_id", "_hash"]).select(*names)
