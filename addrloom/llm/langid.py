@@ -120,11 +120,11 @@ def fit(docs: DataFrame, max_docs: int = 6000, max_words: int = 150_000) -> Mode
     return Model([(r.lang, r.word, r.n) for r in counts.collect()])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score, from the column ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    at = docs.columns.index("text")
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -147,6 +147,6 @@ def op8_language_id(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, min_score: float = 0.35, langs: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` without those of no language, of one outside ``langs`` (None: any learned one), or of a posterior below ``min_score``."""
-    own, names = hidden(docs, "text")
-    found = predict(own.withColumnRenamed("_need_text", "text"), fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    own, names = hidden(docs)
+    found = predict(own, fit(docs), own.columns[docs.columns.index("text")]).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     return (found.where(F.col("lang_pred").isin(*langs)) if langs else found).select(*names)
