@@ -27,8 +27,8 @@ from addrloom.llm.common import write_table
 
 UNIT = 192
 RESTART = 4
-#: Payload bytes decoded or encoded at a time.
-CHUNK = 4 << 20
+#: Bytes of texts encoded and of images decoded at a time. The encoder's arrays hold about 80 bytes for each byte.
+ENCODE_CHUNK, DECODE_CHUNK = 1 << 20, 2 << 20
 COMMENT = b"payload "
 
 #: Bytes by rank, the frequent ones of European prose first; all others follow in order.
@@ -332,11 +332,11 @@ MEDIA = "doc_id bigint, media binary"
 FEATURES = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, width int, height int, thumb_hash string"
 
 
-def _chunks(sizes: list[int]) -> Iterator[slice]:
-    """Slices of about CHUNK bytes; a longer item has a slice of its own."""
+def _chunks(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of ``most`` bytes at most; a longer item has a slice of its own."""
     at = total = 0
     for i, n in enumerate(sizes):
-        if i > at and total + n > CHUNK:
+        if i > at and total + n > most:
             yield slice(at, i)
             at, total = i, 0
         total += n
@@ -352,7 +352,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
-                for s in _chunks([len(t) for t in texts]):
+                for s in _chunks([len(t) for t in texts], ENCODE_CHUNK):
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")[s.start : s.stop], "media": pa.array(encode(texts[s]), pa.binary())})
 
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
@@ -365,7 +365,7 @@ def read_media(media: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             images, ids = b.column("media").to_pylist(), b.column("doc_id").to_pylist()
-            for s in _chunks([len(m) for m in images]):
+            for s in _chunks([len(m) for m in images], DECODE_CHUNK):
                 rows = []
                 for doc, m, (p, coefs) in zip(ids[s], images[s], decode(images[s])):
                     n, data = payload(p, coefs)
