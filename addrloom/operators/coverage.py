@@ -41,16 +41,10 @@ def street_match(cands: DataFrame, features: DataFrame) -> DataFrame:
     return j.select("street_norm", F.coalesce("n_source", F.lit(0)).alias("n_source"), F.coalesce("n_osm", F.lit(0)).alias("n_osm"), "source_name", "osm_name", kind.alias("kind"))
 
 
-def source_keys(src: DataFrame) -> DataFrame:
-    """Distinct (street, number) keys that the source emits: the rendered number, the low one, and all of a range."""
-    numbers = F.array_union(F.array(F.upper(F.trim("number")), F.col("lo_num").cast("string")), F.when(F.col("hi_num").isNotNull(), F.transform(parity_range(F.col("lo_num"), F.col("hi_num")), lambda x: x.cast("string"))).otherwise(F.array().cast("array<string>")))
-    return src.select(F.col("street_norm"), F.explode(numbers).alias("token")).where("token is not null").distinct()
-
-
 def reverse_sweep(features: DataFrame, keys: DataFrame) -> DataFrame:
     """Node features by the share of their numbers that the source knows, and the unknown ones."""
     t = features.where((F.col("osm_type") == "node") & ~F.col("is_poi") & (F.col("street_norm") != "")).select("osm_id", "street_norm", F.posexplode(housenumber_tokens(F.col("housenumber"))).alias("pos", "token"))
-    j = t.join(keys.withColumn("known", F.lit(True)), ["street_norm", "token"], "left")
+    j = t.join(keys.select("street_norm", "token", F.lit(True).alias("known")), ["street_norm", "token"], "left")
     unknown = F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", "token"))))
     return j.groupBy("osm_id").agg(F.count("known").alias("matched"), F.count("*").alias("parts"), F.array_join(F.transform(unknown, lambda u: u["token"]), ";").alias("missing_parts"))
 

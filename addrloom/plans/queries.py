@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo, text
-from addrloom.operators import checks, coverage, features, reports, state
+from addrloom.operators import checks, coverage, features, orphans, reports, state
 from addrloom.operators import conflate as conf
 from addrloom.plans import tiling
 from addrloom.plans.stage import materialize
@@ -355,11 +355,21 @@ def _(spark, d):
     return coverage.range_hits(cands(spark, d).where("is_range"), feats(spark, d))
 
 
-@query("J25_reverse_sweep", f"""{FEAT}, ks AS (SELECT DISTINCT street_norm, UNNEST(list_concat([housenumber, CAST(lo_num AS VARCHAR)], CASE WHEN hi_num >= lo_num THEN list_transform(generate_series(lo_num, hi_num, CASE WHEN lo_num % 2 = hi_num % 2 THEN 2 ELSE 1 END), lambda n: CAST(n AS VARCHAR)) ELSE [] END)) AS token FROM cand),
+#: The source's index: (street_norm, token) with the number of rows that emit it.
+INDEX = f"""ks AS (SELECT street_norm, token, COUNT(*) AS n_rows FROM (SELECT {norm("CASE street WHEN 'DEANE FIELD CRES' THEN 'Deanefield Cres' WHEN 'KATHLEEN AVE' THEN 'Kathleen Cres' ELSE street END")} AS street_norm,
+  UNNEST(CASE WHEN lo_num < hi_num AND lo_num_suf = 'None' THEN list_transform(generate_series(lo_num, hi_num, CASE WHEN lo_num % 2 = hi_num % 2 THEN 2 ELSE 1 END), lambda n: CAST(n AS VARCHAR))
+    WHEN lo_num = hi_num AND lo_num_suf = 'None' THEN [upper(trim(number)), CAST(lo_num AS VARCHAR)] ELSE [upper(trim(number))] END) AS token FROM src WHERE max_snapshot_id = 10) WHERE street_norm <> '' GROUP BY ALL)"""
+
+
+def indexed(spark, d):
+    return orphans.source_index(history.active(src(spark, d), SNAPSHOT).withColumn("hi_num_suf", F.lit(None).cast("string")))
+
+
+@query("J25_reverse_sweep", f"""{FEAT}, {INDEX},
 t AS (SELECT osm_id, street_norm, UNNEST(tk) AS token, UNNEST(range(len(tk))) AS pos FROM (SELECT osm_id, street_norm, {_TOKENS} AS tk FROM feat WHERE osm_type = 'node' AND NOT is_poi AND street_norm <> ''))
 SELECT osm_id, COUNT(ks.token) AS matched, COUNT(*) AS parts, COALESCE(string_agg(CASE WHEN ks.token IS NULL THEN t.token END, ';' ORDER BY pos), '') AS missing_parts FROM t LEFT JOIN ks ON t.street_norm = ks.street_norm AND t.token = ks.token GROUP BY 1""")
 def _(spark, d):
-    return coverage.reverse_sweep(feats(spark, d), coverage.source_keys(cands(spark, d).withColumn("number", F.col("housenumber"))))
+    return coverage.reverse_sweep(feats(spark, d), indexed(spark, d))
 
 
 @query("J26_street_match", f"""{FEAT}, a AS (SELECT street_norm, COUNT(*) AS n FROM cand WHERE street_norm <> '' GROUP BY 1), b AS (SELECT street_norm, COUNT(*) AS n FROM feat WHERE street_norm <> '' GROUP BY 1)
