@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import struct
 import uuid
 import zlib
@@ -37,8 +38,8 @@ ENTRY = np.dtype([("doc", "<i8"), ("null", "u1"), ("at", "<u8"), ("size", "<u4")
 LEVEL = 1
 #: Words a worker remembers the ids of.
 CACHE = 200000
-#: ASCII punctuation that is taken off the end of a word.
-PUNCTUATION = b".,!?;:"
+#: ASCII punctuation that is taken off the end of a word, but for what special tokens are made of; apostrophes start contractions.
+PUNCTUATION = string.punctuation.replace("'", "")
 #: Documents and bytes of each that the dictionary is trained on, at most; its size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 16_384, 65_536
 MANIFEST = "file int, path string, docs bigint, ids bigint, bytes bigint"
@@ -84,7 +85,8 @@ class WordTokenizer:
         steps = {x["type"]: x for part in ("normalizer", "pre_tokenizer") for x in ((spec[part] or {}).get("normalizers") or (spec[part] or {}).get("pretokenizers") or [spec[part] or {"type": ""}])}
         cut = steps.get("Split", {})
         self.by_word = "Lowercase" in steps and cut.get("behavior") == "Removed" and cut.get("invert") is True and r"[^\s\p{L}\p{N}]+" in str(cut.get("pattern", {}).get("Regex"))
-        self.model, self.cache = self.lib.model, cache
+        special = {c for t in self.lib.get_added_tokens_decoder().values() for c in t.content}
+        self.model, self.cache, self.punctuation = self.lib.model, cache, "".join(c for c in PUNCTUATION if c not in special).encode()
         self.parts, self.words = _Words(self._part, {}), _Words(self._word, {})
 
     def _whole(self, text: bytes) -> bytes:
@@ -92,12 +94,12 @@ class WordTokenizer:
 
     def _part(self, part: bytes) -> bytes:
         """Ids of a run of lower-case Latin letters, or of one of punctuation."""
-        if part[0] in PUNCTUATION:
+        if part[0] in self.punctuation:
             return self._whole(part)
         return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(BYTE_CHARS))], self.type).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        stem = word.rstrip(PUNCTUATION)
+        stem = word.rstrip(self.punctuation)
         tail = word[len(stem) :]
         if stem.isalpha():
             stem = stem.lower()
