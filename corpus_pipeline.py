@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from addrloom.llm.common import write_table
+from addrloom.llm.jaccard import keep_one_similar
 from addrloom.llm.langid import keep_known
 from addrloom.llm.line_dedup import remove_boilerplate
 from addrloom.llm.mixing import mix
-from addrloom.llm.simhash import keep_one
 from addrloom.llm.sp_codec import round_trip
 
 
@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, the one with the smallest doc_id."""
-    return keep_one(docs)
+    """Keeps one document of each group of near-copies (5-word Jaccard similarity of 0.8 or more), the one with the smallest doc_id."""
+    return keep_one_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
