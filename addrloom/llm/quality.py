@@ -1,7 +1,7 @@
 """Quality rules: counts over words and lines, and compression bands.
 
-The bands bound compressed / raw size under zstandard, for the whole document and for each fixed chunk of
-it. Limits depend on the length, as short texts compress less: below the lower limit a text is
+The bands bound compressed / raw size under zstandard, for the whole document and for fixed chunks of two
+sizes, the last of which ends with the document. Limits depend on the length, as short texts compress less: below the lower limit a text is
 repetitive, above the upper one it is no prose (random strings, encoded data).
 """
 
@@ -18,13 +18,12 @@ from pyspark.sql import DataFrame
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 LEVEL = 3
-CHUNK = 4096
-#: (bytes from, lowest ratio, highest ratio) for whole documents; shorter ones than the first are not judged.
+#: (bytes from, lowest ratio, highest ratio) for whole documents.
 #: The highest ratios lie just above those of all documents of sf0.1 of the length (the 0.999 quantile or the largest).
-BANDS = ((400, 0.22, 0.71), (550, 0.22, 0.685), (700, 0.22, 0.64), (1000, 0.22, 0.595), (1400, 0.22, 0.556), (2000, 0.22, 0.522), (2800, 0.22, 0.507), (4000, 0.20, 0.48), (5600, 0.20, 0.472), (8000, 0.20, 0.455), (16000, 0.16, 0.44))
-#: The same for chunks of CHUNK bytes (the last, shorter one of a document isn't judged), and how many may be outside.
-CHUNK_BAND = (0.12, 0.80)
-CHUNK_SHARE = 0.5
+BANDS = ((0, 0.0, 1.60), (40, 0.22, 1.23), (80, 0.22, 1.10), (120, 0.22, 0.93), (160, 0.22, 0.91), (200, 0.22, 0.86), (260, 0.22, 0.75), (400, 0.22, 0.71), (550, 0.22, 0.685), (700, 0.22, 0.64), (1000, 0.22, 0.595), (1400, 0.22, 0.556), (2000, 0.22, 0.522), (2800, 0.22, 0.507), (4000, 0.20, 0.48), (5600, 0.20, 0.472), (8000, 0.20, 0.455), (16000, 0.16, 0.44))
+#: (bytes, lowest ratio, highest ratio) of chunks, and the share of one size from which on chunks outside reject.
+CHUNKS = ((1024, 0.12, 0.605), (4096, 0.12, 0.49))
+CHUNK_SHARE = 0.1
 OUT = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, ratio double, chunks_outside bigint"
 
 
@@ -54,14 +53,20 @@ def dup_lines(text: str) -> int:
 
 
 def band_verdict(data: bytes, press: zstandard.ZstdCompressor) -> tuple[bool, float | None, int]:
-    """Whether ``data`` is within the bands, its ratio (None: too short) and the number of chunks outside theirs."""
-    k = bisect_right([b[0] for b in BANDS], len(data)) - 1
-    if k < 0:
+    """Whether ``data`` is within the bands, its ratio (None: empty) and the number of chunks outside theirs."""
+    if not data:
         return True, None, 0
+    k = bisect_right([b[0] for b in BANDS], len(data)) - 1
     ratio = len(press.compress(data)) / len(data)
-    whole = range(0, len(data) - CHUNK + 1, CHUNK)
-    outside = sum(not CHUNK_BAND[0] <= len(press.compress(data[i : i + CHUNK])) / CHUNK <= CHUNK_BAND[1] for i in whole)
-    return BANDS[k][1] <= ratio <= BANDS[k][2] and outside <= CHUNK_SHARE * max(1, len(whole)), ratio, outside
+    good, outside = BANDS[k][1] <= ratio <= BANDS[k][2], 0
+    for size, low, high in CHUNKS:
+        if len(data) < size:
+            continue
+        starts = [*range(0, len(data) - size, size), len(data) - size]
+        found = sum(not low <= len(press.compress(data[i : i + size])) / size <= high for i in starts)
+        good &= found < max(1, CHUNK_SHARE * len(starts))
+        outside += found
+    return good, ratio, outside
 
 
 def measure(text: str | None, press: zstandard.ZstdCompressor) -> tuple:

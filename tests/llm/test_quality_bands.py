@@ -33,3 +33,13 @@ def test_encoded_text_is_outside_each_band():
     for make, least in ((b64, 400), (printable, 400), (random_words, 1000), (hexes, 2800)):
         for n in [b[0] for b in quality.BANDS if b[0] >= least] + [50_000]:
             assert not quality.band_verdict(make(n + 50), PRESS)[0], (make.__name__, n)
+
+
+def test_short_texts_and_parts_are_judged():
+    prose = open(quality.__file__).read().encode()
+    assert all(not quality.band_verdict(make(n), PRESS)[0] for make in (b64, printable) for n in (130, 200, 300, 390))
+    words = b" ".join(sorted(set(prose.split()), key=lambda w: quality.zstandard.ZstdCompressor().compress(w)))
+    for n in (1700, 20_000):
+        text = (words * (n // len(words) + 1))[:n]
+        assert not quality.band_verdict(text + printable(n), PRESS)[0] and not quality.band_verdict(printable(n) + text, PRESS)[0]
+    assert quality.band_verdict(b"", PRESS) == (True, None, 0)
