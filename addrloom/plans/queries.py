@@ -274,6 +274,13 @@ def _(spark, d):
     return checks.stages(c, checks.run_checks(c, f, ORACLE_CHECKS)).select("run_id", "candidate_id", "verdict", "reasons", "stage")
 
 
+@query("R02_stages_all")
+def _(spark, d):
+    """R02 with the sample of missing addresses too, as the job routes them; the SQL of R02_stages has no CRC-32 and leaves it out."""
+    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    return checks.stages(c, checks.run_checks(c, f)).select("run_id", "candidate_id", "verdict", "reasons", "stage")
+
+
 @query("A05_drift_by_street", f"{CHECKS} SELECT street_norm, COUNT(*) AS flags, COUNT(DISTINCT run_id) AS runs FROM checks JOIN cand USING (run_id, candidate_id) WHERE check_id = 'match_number_drift' AND verdict = 'FLAG' GROUP BY 1")
 def _(spark, d):
     return reports.drift_by_street(results(spark, d, ("match_number_drift",)), cands(spark, d)).select("street_norm", "flags", "runs")
