@@ -18,9 +18,11 @@ HOT_SLOTS = 4096
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir`` (set to a local one only where unset, as in tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset, a local one in local mode (one machine), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="addrloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/addrloom/{name}-{uuid.uuid4().hex}"
@@ -62,5 +64,18 @@ def n_words(text: Column) -> Column:
 
 def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
     """``docs`` with its columns under names of their own, so that none can clash, and the needed ones beside them; and the way back."""
-    own = docs.select(*[F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], *[F.col(c).alias(f"_need_{c}") for c in needed])
+    own = docs.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)], *[F.col(c).alias(f"_need_{c}") for c in needed])
     return own, [F.col(f"_own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one row for each ``root`` of ``found`` (doc_id, th, root of every row): the smallest doc_id, null last, then text hash.
+
+    Rows that repeat in doc_id and text are one. Texts move once: the join and the choice among repeated rows share a partitioning.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")
+    keep = found.groupBy("root").agg(first).select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.none").alias("_none"), F.col("k.th").alias("_th"))
+    own, names = hidden(docs, "doc_id", "text")
+    own = own.withColumns({"_id": F.coalesce(F.col("_need_doc_id").cast("bigint"), F.lit(0)), "_none": F.col("_need_doc_id").isNull(), "_th": F.xxhash64("_need_text")})
+    key = ["_id", "_none", "_th"]
+    return own.drop("_need_doc_id", "_need_text").join(keep, key, "left_semi").dropDuplicates(key).select(*names)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import hidden, lookup, write_table
+from addrloom.llm.common import keep_first, lookup, write_table
 from addrloom.llm.simhash import LOWER, components
 
 SHINGLE = 5
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, component_id) for each row of ``docs``: the smallest doc_id reachable over links of similar texts.
+    """(doc_id, th, component_id, root) for each row of ``docs``: the smallest doc_id reachable over links of similar texts.
 
     Texts without words form one group. Null doc_ids and repeated rows keep their row, as in near_duplicates.
     """
@@ -242,15 +242,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     comp = components(first.union(verified(candidates(groups, False), values)))
     named = distinct.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", "n", F.coalesce("root", "sid").alias("root"))
     low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "component-ids")
-    named = write_table(lookup(named, low, ["root"], "members", ["sid"]).select("sid", "n", "component_id"), "set-components")
-    return lookup(sets.drop("map"), named, ["sid"], "n", ["doc_id", "th"]).select("doc_id", "th", "component_id")
+    named = write_table(lookup(named, low, ["root"], "members", ["sid"]).select("sid", "n", "component_id", "root"), "set-components")
+    return lookup(sets.drop("map"), named, ["sid"], "n", ["doc_id", "th"]).select("doc_id", "th", "component_id", "root")
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the row whose doc_id is the component's id (one of them, if rows repeat)."""
-    found = near_copies(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_keep")).agg(F.min("th").alias("_th"))
-    keyed, names = hidden(docs, "doc_id", "text")
-    keyed = keyed.withColumn("_hash", F.xxhash64("_need_text")).drop("_need_text")
-    kept = keyed.join(keep, F.col("_need_doc_id").eqNullSafe(F.col("_keep")) & (F.col("_hash") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates(["_need_doc_id", "_hash"]).select(*names)
+    """``docs`` with one row of each component, the one with the smallest doc_id (null last), then text hash; see keep_first."""
+    return keep_first(docs, near_copies(docs))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from addrloom.llm import jpeg_media, langid, line_dedup, mixing, quality, simhash, sp_codec, token_store, url_filter, warc
+from addrloom.llm import jaccard, jpeg_media, langid, line_dedup, mixing, quality, simhash, sp_codec, token_store, url_filter, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, h1 string, size string, sites int"
 LONG = "the quick brown fox jumps over the lazy dog\n" * 6000
@@ -181,17 +181,69 @@ def test_simhash(spark, docs, empty):
     assert simhash.op5_simhash(docs).count() == docs.count() and simhash.op5_simhash(empty).count() == 0
 
 
-def test_gray_index_finds_all_pairs():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
-    codes = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) for b in base]))
+def in_gray_order(codes):
     gray = codes.copy()
     for s in (1, 2, 4, 8, 16, 32):
         gray ^= gray >> np.uint64(s)
-    codes = codes[np.argsort(gray)]
-    want = {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= 2) + i + 1}
-    found = {(int(i), int(j)) for a, b in simhash.GrayIndex(codes).search(2, block=500) for i, j in zip(a, b)}
-    assert found == want
+    return codes[np.argsort(gray)]
+
+
+def test_gray_index_finds_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    codes = in_gray_order(np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) for b in base])))
+    for radius in (0, 2, 5):
+        want = {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes[i + 1 :] ^ codes[i]) <= radius) + i + 1}
+        found = [(int(i), int(j)) for a, b in simhash.GrayIndex(codes).search(codes, radius, np.arange(len(codes))) for i, j in zip(a, b)]
+        assert len(found) == len(want) and set(found) == want
+    # over shared patterns: every group that holds a near code is found
+    at = np.arange(0, len(codes), 50)
+    upper = simhash.GrayIndex(np.bitwise_and.reduceat(codes, at), np.bitwise_or.reduceat(codes, at))
+    found = {(int(i), int(j)) for a, b in upper.search(codes, 2) for i, j in zip(a, b)}
+    assert {(i, j // 50) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 2)} <= found
+    for n in range(12):
+        one = in_gray_order(codes[:n].copy())
+        assert sum(len(i) for i, _ in simhash.GrayIndex(one).search(one, 64)) == n * n
+
+
+def test_gray_index_prunes_real_fingerprints(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    codes = in_gray_order(np.unique(np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64)).view(np.uint64))
+    index = simhash.GrayIndex(codes)
+    list(index.search(codes, 2, np.arange(len(codes))))
+    assert len(index.levels) > 3 and index.pruned > index.opened > 0
+    assert index.compared < 0.4 * len(codes) ** 2 / 2  # of so few; the share falls as they get more
+
+
+def test_links_over_many_nodes(spark):
+    """Nodes of 20 fingerprints, most visited by others' fingerprints, give the components of all pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    flips = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    codes = np.unique(np.concatenate([b ^ flips(12) ^ flips(12) ^ flips(12) for b in base]))
+    root = np.arange(len(codes))
+    for i in range(len(codes)):
+        near = np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 2)
+        simhash.unite(root, np.full(len(near), i), near)
+    fps = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp bigint")
+    want = {frozenset(codes.view(np.int64)[root == r].tolist()) for r in set(root.tolist()) if (root == r).sum() > 1}
+    for nodes in (20, 10_000):
+        sets = defaultdict(set)
+        for r in simhash.components(simhash.links(fps, 2, node_codes=nodes)).collect():
+            sets[r.root] |= {r.node, r.root}
+        assert {frozenset(s) for s in sets.values()} == want
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null and repeated ids lose no row that isn't linked with another; repeated rows are one."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcde"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])]
+    make = lambda rows: spark.createDataFrame([(i, t, "s", "clash", 3) for i, t in rows], "doc_id bigint, text string, source string, root string, `_th.x` int")
+    for keep in (simhash.keep_one, jaccard.keep_one_similar):
+        assert sorted(map(str, keep(make(rows)).collect())) == sorted(map(str, make(rows).collect()))
+        got = keep(make(rows + rows + [(None, texts[4]), (6, texts[0])])).select("doc_id", "text").collect()
+        assert sorted(map(str, got)) == sorted(map(str, make([(6, texts[0]), *rows[1:]]).select("doc_id", "text").collect()))
+        assert keep(make(rows).limit(0)).count() == 0
 
 
 def test_url_filter(spark):
