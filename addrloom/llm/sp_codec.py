@@ -1,16 +1,18 @@
-"""SentencePiece encoding and decoding with an Aho-Corasick automaton and one pass over the positions.
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives a single-pass Viterbi.
 
 The automaton over the pieces yields, at each position, the pieces that end there: the longest from the
-state itself, shorter ones along its output links. Each relaxes the position from the one where it starts.
-
-* Unigram models: Viterbi; the best sum of scores wins.
-* BPE models: the scores only order merges, and the best sum of them is not the segmentation the model
-  stands for. A prefix of a BPE encoding is the encoding of the prefix, and a row of pieces is an encoding
-  if and only if every two neighbours are the encoding of their concatenation. So exactly one piece
-  relaxes each position: the one that is stable behind the piece that ended where it starts.
-
-Both modes give the ids of the library. Texts are cut in chunks (white space in front of a word) that no
-piece crosses; a bounded table keeps the ids of chunks already met.
+state itself, shorter ones along its output links. Each of them relaxes the position from the one where it
+starts: it takes over if its sum of scores is higher than the best so far.
+
+* Unigram models: nothing else; the best sum wins.
+* BPE models: the scores order merges, and the best sum over all segmentations is not what the model stands for.
+  But a prefix of a BPE encoding is the encoding of the prefix, and a row of pieces is an encoding if and only
+  if every two neighbours are the encoding of their concatenation. So a piece may relax a position only if it is
+  stable behind the piece that the position where it starts was relaxed with. Runs of white space, where pieces
+  of equal scores meet, are encoded by the definition.
+
+Both kinds give the ids of the library. Texts are cut in chunks (white space in front of a word) that no
+piece crosses; bounded tables keep the ids of chunks already met.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -31,11 +35,28 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks and pairs of pieces a worker remembers.
-CACHE = 120_000
+#: Chunks a worker remembers, twice at most, and half as many pairs of pieces.
+CACHE = 300_000
+#: Characters of a text from which on its chunks are taken some at a time.
+LONG = 1 << 20
 MODEL = "piece_bpe_32k.model"
 
 
+class _Chunks(dict):
+    """Serialised ids by chunk; one that is missing is taken from the generation before or encoded. Long ones aren't kept."""
+
+    def __init__(self, encode, old: dict):
+        self.encode, self.old = encode, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encode(chunk)
+        if len(chunk) <= 32:
+            self[chunk] = found
+        return found
+
+
 class PieceCodec:
     """Encoder and decoder for a model with identity normalisation and byte fallback."""
 
@@ -46,19 +67,19 @@ class PieceCodec:
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i, (_, _, t) in enumerate(pieces) if t == CONTROL}
+        #: What each id stands for in UTF-8.
+        self.raw = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else p.encode("utf-8", "surrogatepass") for p, _, t in pieces]
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece has white space inside: chunks can't be encoded on their own")
         self.whole = any("\n" in p for p in self.ids)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.whole else f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.known = _Chunks(self._chunk_ids, {})
         self.stable: dict[int, bool] = {}
+        self.relaxed = 0  # times a piece has taken over a position
         self.auto = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if kind == UNIGRAM or self.merge(p) == [i]:
-                self.auto.add_word(p, (i, len(p)))
+                self.auto.add_word(p, (i, len(p), self.score[i]))
         self.auto.make_automaton()
         self.floor = min(self.score, default=0.0) - 10.0
 
@@ -116,71 +137,52 @@ class PieceCodec:
         key = a << 32 | b
         found = self.stable.get(key)
         if found is None:
-            if len(self.stable) >= 2 * self.cache:
+            if len(self.stable) >= self.cache:
                 self.stable.clear()
             found = self.stable[key] = self.merge(self.text[a] + self.text[b]) == [a, b]
         return found
 
     def _segment(self, s: str) -> list[int]:
         """Piece ids of a chunk, -1 - position for a character that no piece covers."""
-        n = len(s)
-        last: list[int | None] = [None] * (n + 1)
-        if self.kind == BPE:  # the usual case: pieces cover all characters; they come by end, the longest first
-            size, stable = [0] * (n + 1), self.stable
-            for end, (k, length) in self.auto.iter(s):
-                if last[end + 1] is None:
-                    start = end + 1 - length
-                    if start:
-                        p = last[start]
-                        if p is None or not (ok if (ok := stable.get(p << 32 | k)) is not None else self._stable(p, k)):
+        n, never = len(s), float("-inf")
+        best, last, size = [0.0] + [never] * n, [-1] * (n + 1), [0] * (n + 1)
+        found = self.auto.iter(s)
+        if any(c not in self.ids for c in s):  # such a character is relaxed behind the pieces that end with it
+            alone = [(i, (-1 - i, 1, self.floor)) for i, c in enumerate(s) if c not in self.ids]
+            found = heapq.merge(found, alone, key=lambda x: x[0])
+        bpe, stable, took = self.kind == BPE, self.stable, 0
+        for end, (k, length, score) in found:
+            end += 1
+            start = end - length
+            score += best[start]
+            if score > best[end]:
+                if bpe:
+                    if k < 0:
+                        if last[end] >= 0:
                             continue
-                    last[end + 1], size[end + 1] = k, length
-            if last[n] is not None:
-                out, i = [], n
-                while i:
-                    out.append(last[i])
-                    i -= size[i]
-                return out[::-1]
-            last = [None] * (n + 1)
-        ends: dict[int, list[tuple[int, int]]] = {}
-        for end, piece in self.auto.iter(s):
-            ends.setdefault(end + 1, []).append(piece)
-        size = [0] * (n + 1)
-        if self.kind == BPE:
-            for i in range(1, n + 1):
-                for k, length in ends.get(i, ()):
-                    start = i - length
-                    if start == 0 or (p := last[start]) is not None and (p < 0 or self._stable(p, k)):
-                        last[i], size[i] = k, length
-                        break
-                else:
-                    if s[i - 1] not in self.ids and (i == 1 or last[i - 1] is not None):
-                        last[i], size[i] = -i, 1
-        else:
-            best = [0.0] + [float("-inf")] * n
-            for i in range(1, n + 1):
-                for k, length in ends.get(i, ()):
-                    if (score := best[i - length] + self.score[k]) > best[i]:
-                        best[i], last[i], size[i] = score, k, length
-                if s[i - 1] not in self.ids and best[i - 1] + self.floor > best[i]:
-                    best[i], last[i], size[i] = best[i - 1] + self.floor, -i, 1
+                    elif start and (p := last[start]) >= 0 and not (ok if (ok := stable.get(p << 32 | k)) is not None else self._stable(p, k)):
+                        continue
+                best[end], last[end], size[end] = score, k, length
+                took += 1
+        self.relaxed += took
         out, i = [], n
         while i:
             out.append(last[i])
             i -= size[i]
         return out[::-1]
 
-    def _chunk_ids(self, s: str) -> tuple[int, ...]:
-        # equal scores of several pieces only occur among runs of white space: there the definition decides
+    def _chunk_ids(self, s: str) -> bytes:
         found = self._segment(s) if self.kind == UNIGRAM or s[1:2] != SPACE else self._by_definition(s)
-        out: list[int] = []
-        for k in found:
-            if k >= 0:
-                out.append(k)
-            else:
-                raw = s[-k - 1].encode("utf-8", "surrogatepass")
-                out += [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
-        return tuple(out)
+        if min(found) < 0:
+            out: list[int] = []
+            for k in found:
+                if k >= 0:
+                    out.append(k)
+                else:
+                    raw = s[-k - 1].encode("utf-8", "surrogatepass")
+                    out += [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
+            found = out
+        return array("i", found).tobytes()
 
     def _by_definition(self, s: str) -> list[int]:
         out, at = [], 0
@@ -189,35 +191,28 @@ class PieceCodec:
             at += len(self.text[k]) if k >= 0 else 1
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _met(self) -> _Chunks:
+        """The table of chunks; once it is full, what was met since the last time stays and the rest goes."""
+        if len(self.known) > self.cache:
+            self.known.old = {}
+            self.known = _Chunks(self._chunk_ids, dict(self.known))
+        return self.known
+
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; none for an empty one."""
         if not text:
-            return []
-        text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        known, out = self.known, []
-        for c in self.chunk.findall(text):
-            ids = known.get(c)
-            if ids is None:
-                ids = self.old.get(c)
-                if ids is None:
-                    ids = self._chunk_ids(c)
-                if len(c) <= 32:
-                    if len(known) >= self.cache:  # what was met since the last time stays, the rest goes
-                        self.old, self.known = known, {}
-                        known = self.known
-                    known[c] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+            return np.zeros(0, np.int32)
+        text, parts = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE), []
+        if len(text) <= LONG:
+            return np.frombuffer(b"".join(map(self._met().__getitem__, self.chunk.findall(text))), np.int32)
+        chunks = map(re.Match.group, self.chunk.finditer(text))
+        while block := list(islice(chunks, LONG // 8)):
+            parts.append(b"".join(map(self._met().__getitem__, block)))
+        return np.frombuffer(b"".join(parts), np.int32)
+
+    def decode(self, ids) -> str:
         """The text of ``ids``: bytes together form characters, one leading space (the dummy prefix) goes."""
-        out = bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                out.append(b)
-            elif i not in self.silent:
-                out += self.text[i].encode("utf-8", "surrogatepass")
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -235,7 +230,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 s = b.slice(at, 1000)
-                ids = [None if t is None else np.array(c.encode(t), np.int32) for t in s.column("text").to_pylist()]
+                ids = [None if t is None else c.encode(t) for t in s.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": s.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
@@ -251,7 +246,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for t in (t for lo in range(0, b.num_rows, 256) for t in b.column("text").slice(lo, 256).to_pylist()):
                 ids = c.encode(t or "")
                 back = c.decode(ids)
-                rows.append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), len(back.encode("utf-8", "replace")), back == (t or "")))
+                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back.encode("utf-8", "replace")), back == (t or "")))
             n, crc, size, same = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "decoded_equal": pa.array(same, pa.bool_())})
 

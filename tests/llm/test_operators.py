@@ -66,6 +66,10 @@ def test_line_dedup(spark, docs, empty):
     assert got[0] == ("common line\nown 0\n", 4, 1, "x")
     assert got[3] == ("own 3\n", 4, 2, "x") and got[50] == ("rare", 2, 1, "x") and got[51] == (None, 0, 0, "x") and got[52] == ("rare", 1, 0, "x")
     assert line_dedup.op2_line_dedup(docs).count() == docs.count() and line_dedup.op2_line_dedup(empty).count() == 0
+    clash = d.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("n_lines", "n_removed", "_gone", "_doc", "a.b", "h`1", "pos", "first"))])
+    cut = {r.doc_id: r for r in line_dedup.clean(clash).collect()}
+    assert line_dedup.clean(clash).columns == clash.columns and cut[3].text == "own 3\n" and tuple(cut[3])[4:] == tuple(range(8))
+    assert line_dedup.remove_boilerplate(clash).where("doc_id = 3").first().n_removed == 2
 
 
 def test_line_dedup_near_threshold(spark):
@@ -270,13 +274,30 @@ def test_sentencepiece_equals_the_library(spark, docs, empty):
     odd = ["  a   b ", "▁▁ x", "\n\n", "<s> <unk>", "x" * 300, "日本語のテキスト", " " * 40]
     c = sp_codec.codec()
     for t in [t or "" for t in TEXTS] + odd:
-        assert c.encode(t) == lib.encode(t)
+        assert c.encode(t).tolist() == lib.encode(t)
         assert c.decode(c.encode(t)) == t.replace("▁", " ")
     got = {r.doc_id: r for r in sp_codec.op7_sentencepiece(docs).collect()}
     assert all(got[i].decoded_equal and got[i].n_tokens == len(lib.encode(t or "")) for i, t in enumerate(TEXTS))
     assert sp_codec.op7_sentencepiece(empty).count() == 0
 
 
+def test_bpe_relaxation_over_the_tables_chunks(spark, monkeypatch):
+    """Each chunk of the documents goes through the relaxation, and what it gives is the encoding by definition."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    c = sp_codec.PieceCodec.load(public_tokenizers.path(sp_codec.MODEL))
+    ids = [c.encode(t).tolist() for t in texts]
+    n, relaxed = len(c.known), c.relaxed
+    assert n > 1000 and relaxed > 2 * n
+    for chunk in list(c.known)[::7]:
+        before = c.relaxed
+        got = c._segment(chunk)
+        assert got == c._by_definition(chunk) and c.relaxed - before >= len(got)
+    monkeypatch.setattr(sp_codec, "LONG", 50)  # chunks of long texts are taken some at a time
+    assert [c.encode(t).tolist() for t in texts] == ids
+    c.cache = 10
+    assert [c.encode(t).tolist() for t in texts] == ids and len(c.known) < n
+
+
 def test_unigram_viterbi_is_optimal():
     rng = np.random.default_rng(3)
     pieces = [("<unk>", 0.0, 2)] + [(p, -float(rng.random() * 5 + 1), 1) for p in ("▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "cab", "bca")]
