@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from addrloom.llm.common import write_table
 from addrloom.llm.jaccard import keep_one_similar
 from addrloom.llm.langid import keep_known
-from addrloom.llm.line_dedup import remove_boilerplate
+from addrloom.llm.line_dedup import clean
 from addrloom.llm.mixing import mix
 from addrloom.llm.sp_codec import round_trip
 
@@ -19,12 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts cross-site lines out of the texts; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    found = remove_boilerplate(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return clean(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
