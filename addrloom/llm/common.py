@@ -13,6 +13,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Rows a broadcast of hot keys may hold; every other key has at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
+#: Rows of some longs that are broadcast: about 100 MB.
+SMALL = 2_000_000
 #: Slots over which the rows of a hot key are spread.
 HOT_SLOTS = 4096
 
@@ -33,7 +35,21 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes tables of write_table that nothing reads any more: what was made of them is itself written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """``table`` (a written one of a few longs a row), to be broadcast if it has SMALL rows at most; otherwise the join shuffles."""
+    return F.broadcast(table) if table.count() <= SMALL else table
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, row_id: list[str]) -> DataFrame:
@@ -71,11 +87,22 @@ def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
 def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with one row for each ``root`` of ``found`` (doc_id, th, root of every row): the smallest doc_id, null last, then text hash.
 
-    Rows that repeat in doc_id and text are one. Texts move once: the join and the choice among repeated rows share a partitioning.
+    Rows that repeat in doc_id and text are one. Where the rows to remove are few enough to be broadcast, texts don't
+    move; otherwise they move once: the join and the choice among repeated rows share a partitioning.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")
-    keep = found.groupBy("root").agg(first).select(F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.none").alias("_none"), F.col("k.th").alias("_th"))
+    key = ["_id", "_none", "_th"]
+    rows = found.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("th").alias("_th"), "root")
+    rows = write_table(rows.groupBy(*key, "root").agg(F.count("*").alias("n")), "keys")
+    best = rows.groupBy("root").agg(F.min(F.struct("_none", "_id", "_th")).alias("k")).select("k._id", "k._none", "k._th")
     own, names = hidden(docs, "doc_id", "text")
     own = own.withColumns({"_id": F.coalesce(F.col("_need_doc_id").cast("bigint"), F.lit(0)), "_none": F.col("_need_doc_id").isNull(), "_th": F.xxhash64("_need_text")})
-    key = ["_id", "_none", "_th"]
-    return own.drop("_need_doc_id", "_need_text").join(keep, key, "left_semi").dropDuplicates(key).select(*names)
+    own = own.drop("_need_doc_id", "_need_text")
+    gone = write_table(rows.join(best, key, "left_anti").select(*key), "removed-keys")
+    again = rows.where("n > 1").join(best, key, "left_semi").select(*key)
+    if gone.count() + (n := again.count()) > SMALL:
+        return own.join(best, key, "left_semi").dropDuplicates(key).select(*names)
+    left = own.join(F.broadcast(gone), key, "left_anti")
+    if n:
+        again = F.broadcast(write_table(again, "repeated-keys"))
+        left = left.join(again, key, "left_anti").union(left.join(again, key, "left_semi").dropDuplicates(key))
+    return left.select(*names)

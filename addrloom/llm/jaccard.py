@@ -1,47 +1,106 @@
 """Near-copies by exact Jaccard similarity of word shingles, over whole texts; no pair at or above the limit is missed.
 
-A Hamming radius that holds a similarity of 0.8 is about 16 of 64 bits, too wide for an index of bit parts. So
-candidates come from prefixes: with all shingles in one order, two sets that overlap enough share one of their
-first ``n - ceil(0.8 n) + 1``. Any order will do; frequent shingles of a sample of fixed size come last, which
-keeps the groups small. Of a pair in a group, sizes and 512-bit parity maps (their distance never exceeds that
-of the sets) rule out most; the rest is counted shingle by shingle.
-
-A group is linked with one member first. Only pairs that no path of such links connects are taken after that,
-so a group of many copies does not give all its pairs.
+SimHash fingerprints (of the same shingles, through the Gray-order index) give the first candidates. Two sets as
+similar as the limit differ in some ten of 64 bits, more than an index can search at scale, so the rest comes from
+prefixes: with all shingles in one order, two sets that overlap enough share one of their first
+``n - ceil(0.8 n) + 1``. Any order will do; frequent shingles of a sample of fixed size come last, which keeps the
+groups small. Shingles that share the same sets make one group. Of a pair of candidates, sizes and 512-bit parity maps
+(their distance never exceeds that of the sets) rule out most; the rest is counted shingle by shingle.
+
+The sets of a group are linked with one of them first. Only where such links leave several components in a group are
+its other pairs looked at: those of different components, in blocks of bounded size. So a group of many copies doesn't
+give all its pairs, and no task holds a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import keep_first, lookup, write_table
-from addrloom.llm.simhash import LOWER, components
+from addrloom.llm.common import drop_tables, keep_first, lookup, small, write_table
+from addrloom.llm.simhash import LOWER, components, fold, links
 
 SHINGLE = 5
 #: Similarity as a fraction: 4/5.
 SAME, OF = 4, 5
+#: Differing bits of fingerprints within which pairs are candidates before any prefix is looked at.
+RADIUS = 3
 #: Words of a parity map; documents sampled for frequent shingles, and how many of these are set apart.
 MAP_WORDS = 8
 SAMPLE_DOCS, FREQUENT = 20_000, 100_000
-SALT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 hashes of the word shingles, sorted; a text of fewer words is one shingle."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    view = memoryview(b" ".join(words))
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, k = [0, *ends[:-1].tolist()], min(shingle, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(view[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(words) - k + 1))
+#: Sets of a group that are linked with the others first, at most; rows of a block of a group, about.
+HUBS, BLOCK = 8, 4096
+#: Times in the sample from which on a shingle's rows are aggregated before they are shuffled.
+HOT_SEEN = 20
+#: Bytes of a text hashed at a time.
+SPAN = 1 << 20
+MAPS = [f"m{k}" for k in range(MAP_WORDS)]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+#: A random value for each byte, A-Z as a-z, and the white-space bytes between words.
+VALUES = np.random.default_rng(42).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)[np.frombuffer(LOWER, np.uint8)]
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+#: Powers of an odd base and of its inverse, for each place of a span; factors for the words of a shingle.
+BASE = 0x9E3779B97F4A7C15
+POWERS, INVERSE = _powers(BASE, 1 << 12), _powers(pow(BASE, -1, 1 << 64), 1 << 12)
+FACTORS = _powers(0xD6E8FEB86659FD93, SHINGLE + 3)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit polynomial hash of each word (a run of other bytes than white space), from running sums over the bytes."""
+    global POWERS, INVERSE
+    data = np.frombuffer(text, np.uint8)
+    if len(data) > SPAN:  # in spans that end before a white-space byte
+        parts, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + SPAN)
+            while end < len(data) and not SPACE[data[end]]:
+                end += 1
+            parts.append(_hash_words(data[at:end]))
+            at = end
+        return np.concatenate(parts)
+    return _hash_words(data)
+
+
+def _hash_words(data: np.ndarray) -> np.ndarray:
+    global POWERS, INVERSE
+    if len(data) > len(POWERS):
+        POWERS, INVERSE = _powers(BASE, 2 * len(data)), _powers(pow(BASE, -1, 1 << 64), 2 * len(data))
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = SPACE[data]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(VALUES[data] * POWERS[: len(data)], out=sums[1:])
+    return (sums[ends] - sums[starts]) * INVERSE[starts]
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The distinct 64-bit hashes of the word shingles, sorted; a text of fewer words is one shingle."""
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
+    h = (h ^ (h >> np.uint64(32))) * FACTORS[1]
+    h ^= h >> np.uint64(29)
+    k = min(SHINGLE, len(h))
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out += h[j : len(out) + j] * FACTORS[j + 2]
+    out = (out ^ (out >> np.uint64(33))) * FACTORS[1]
+    out ^= out >> np.uint64(29)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def similar(common, n, m):
@@ -52,17 +111,23 @@ def similar(common, n, m):
 def parity_map(found: np.ndarray) -> np.ndarray:
     """A bit for each residue of the hashes: whether an odd number of them falls there."""
     odd = np.bincount((found % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The shingles of which two similar sets share one: rare ones first, then by hash."""
+def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of which two similar sets share one, rare ones first, then by hash: those seen HOT_SEEN times in the sample apart."""
     n = len(found)
     take = n - -(-SAME * n // OF) + 1 if n else 0
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        found = found[np.lexsort((found, np.where(frequent[at] == found, ranks[at], 0)))]
-    return found[:take]
+    if not len(frequent):
+        return found[:take], found[:0]
+    at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    seen = np.where(frequent[at] == found, counts[at], 0)
+    rare = found[seen == 0]
+    if len(rare) >= take:
+        return rare[:take], found[:0]
+    order = np.lexsort((found, seen))[:take]
+    hot = seen[order] >= HOT_SEEN
+    return found[order[~hot]], found[order[hot]]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -80,15 +145,25 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), _signed(np.concatenate(values)))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, sid, map): the text's hash, the hash of its set and the set's parity map."""
+    """(doc_id, th, sid, n, fp, m0 to m7, prefix, hot): the text's hash; its set's hash, size, SimHash, parity map and prefix, hot shingles apart."""
+    frequent, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in _texts(batches):
-            maps = pa.array([parity_map(s).tobytes() for s in found], pa.binary())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "th": b.column("th"), "sid": _signed([_sid(s) for s in found]), "map": maps})
+            maps = np.stack([parity_map(s) for s in found])
+            cold, hot = zip(*(prefix(s, frequent, counts) for s in found))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column("doc_id"), "th": b.column("th"), "sid": _signed([_sid(s) for s in found]), "n": pa.array([len(s) for s in found], pa.int64()),
+                "fp": _signed([fold(s) for s in found]), **{m: pa.array(maps[:, k].copy()) for k, m in enumerate(MAPS)}, "prefix": _lists(cold), "hot": _lists(hot),
+            })
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, sid bigint, map binary")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, sid bigint, n bigint, fp bigint, " + ", ".join(f"{m} bigint" for m in MAPS) + ", prefix array<bigint>, hot array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -100,127 +175,151 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     top = docs.select("text").sample(share, seed=1).mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    rows = top.orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    values, counts = np.array([r.s for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    rows = top.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    values, counts = rows.column("s").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(values)
     return values[order], counts[order]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], emit: Callable) -> Iterator[pa.RecordBatch]:
-    """Calls ``emit`` with runs of whole groups of rows sorted by token."""
-    held = None
-    for b in batches:
-        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-        token = held.column("token").to_numpy()
-        if len(token) and (last := int(np.searchsorted(token, token[-1]))):
-            yield emit(held.slice(0, last).combine_chunks())
-            held = held.slice(last)
-    if held is not None and held.num_rows:
-        yield emit(held.combine_chunks())
+def _may_be_similar() -> Column:
+    """False for pairs (n, m, a_m0 to a_m7, b_m0 to b_m7) that cannot reach the limit: the sets differ in n + m - 2 common shingles and share the smaller size at most."""
+    n, m = F.col("n"), F.col("m")
+    far = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in MAPS), F.lit(0))
+    return similar(F.least(n, m), n, m) & (2 * SAME * (n + m) <= (SAME + OF) * (n + m - far))
 
 
-def shared_prefixes(docs: DataFrame) -> DataFrame:
-    """(token, sid, n) for each shingle that two sets at least have in their prefixes."""
-    frequent, ranks = frequent_shingles(docs)
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal or linked within RADIUS, a spanning choice of them."""
+    reps = write_table(distinct.groupBy("fp").agg(F.min("sid").alias("rep"), F.count("*").alias("sets")), "set-codes")
+    same = lookup(distinct.select("sid", "fp"), reps.where("sets > 1"), ["fp"], "sets", ["sid"]).where("rep <> sid").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    rep = lambda side: reps.select(F.col("fp").alias(f"_{side}"), F.col("rep").alias(side))
+    linked = links(reps.select("fp"), RADIUS).withColumnsRenamed({"a": "_a", "b": "_b"})
+    return same.union(linked.join(rep("a"), "_a").join(rep("b"), "_b").select("a", "b"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _texts(batches):
-            heads = [prefix(s, frequent, ranks) for s in found]
-            sizes = [len(h) for h in heads]
-            yield pa.RecordBatch.from_pydict({
-                "token": _signed(np.concatenate(heads)), "sid": _signed(np.repeat(np.array([_sid(s) for s in found], np.uint64), sizes)),
-                "n": pa.array(np.repeat(np.array([len(s) for s in found], np.int32), sizes)),
-            })
 
-    def more_than_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table) -> pa.RecordBatch:
-            token, sid = t.column("token").to_numpy(), t.column("sid").to_numpy()
-            first = np.concatenate(([True], (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])))
-            token, sid, n = token[first], sid[first], t.column("n").to_numpy()[first]
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(token, sid): the prefix shingles that two sets at least have. Hot ones are reduced to sets before the shuffle, others pass it once."""
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = None, False  # the row before, and whether its token is known to be shared
+        for b in batches:
+            token, sid = (b.column(c).to_numpy() for c in ("token", "sid"))
+            if last is not None:
+                token, sid = np.append(last[0], token), np.append(last[1], sid)
+            if not len(token):
+                continue
+            same = token[1:] == token[:-1]
+            new = np.concatenate(([True], ~same | (sid[1:] != sid[:-1])))
+            # of each token's rows with other sets than the row before: all, if there are two
+            token, sid = token[new], sid[new]
             same = token[1:] == token[:-1]
             keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            return pa.RecordBatch.from_pydict({"token": pa.array(token[keep]), "sid": pa.array(sid[keep]), "n": pa.array(n[keep])})
+            shared = bool(keep[-1]) or (len(token) == 1 and told)
+            if told:  # its first row, the one carried over, has been given
+                keep[0] = False
+            last, told = (token[-1], sid[-1]), shared
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep]), "sid": pa.array(sid[keep])})
 
-        yield from _groups(batches, emit)
+    rows = sets.select("sid", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "sid")
+    cold = rows.select("token", "sid").mapInArrow(share, "token bigint, sid bigint")
+    hot = sets.select("sid", F.explode("hot").alias("token")).distinct()
+    return cold.union(hot.select("token", "sid"))
 
-    rows = docs.select("text").mapInArrow(split, "token bigint, sid bigint, n int")
-    return rows.repartition("token").sortWithinPartitions("token", "sid").mapInArrow(more_than_one, "token bigint, sid bigint, n int")
 
+def groups_of(shared: DataFrame) -> DataFrame:
+    """(token, members, hub, sid): the sets of each group, one token for all that share the same sets; hub is one of them."""
+    hub = F.min(F.struct(F.xxhash64("sid", F.pmod("token", F.lit(HUBS))).alias("h"), "sid")).alias("hub")
+    code = [F.bit_xor(F.xxhash64(F.lit(salt), "sid")).alias(f"x{salt}") for salt in (1, 2)]
+    groups = shared.groupBy("token").agg(F.count("*").alias("members"), hub, *code).where("members > 1")
+    groups = groups.groupBy("members", "x1", "x2").agg(F.min(F.struct("token", F.col("hub.sid").alias("hub"))).alias("g"))
+    groups = write_table(groups.select("g.token", "members", "g.hub"), "prefix-groups")
+    return lookup(shared, groups, ["token"], "members", ["sid"]).where("members is not null")
 
-def candidates(groups: DataFrame, hubs: bool) -> DataFrame:
-    """(a, b, n, m): pairs of a group (token, sid, n, map, label) that may be similar and have different labels.
 
-    With ``hubs`` only those with one member of the group, drawn anew for each token, and besides a row
-    (sid, null, n, null) for each set that may be similar to any other.
+def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b): pairs of a group that may be similar and carry different labels.
+
+    The members outside the group's largest label are compared with all. Both are dealt into blocks by hash, a task
+    gets one block of each, so a large group is the work of many tasks.
     """
-    names = ("a", "b", "n", "m")
+    labelled = groups.select("token", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    labelled = write_table(labelled, "labelled-groups")
+    sizes = labelled.groupBy("token", "label").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("token").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = write_table(open_.select("token", "members", F.col("most.label").alias("most"), (F.col("members") - F.col("most.n")).alias("rest")), "open-groups")
+    rows = lookup(labelled, open_, ["token"], "members", ["sid"]).where("most is not null")
+    blocks, parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "rest"))
+    rows = write_table(rows.withColumns({"blocks": blocks, "parts": parts}).join(maps, "sid"), "open-rows")
+    deal = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["token", "sid", "n", "label", *MAPS]
+    members = rows.select(*own, F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), upto("parts").alias("part"))
+    asking = rows.where("label <> most").select(*own, F.lit(True).alias("asks"), upto("blocks").alias("block"), deal("parts", 2).alias("part"))
+    key = ["token", "block", "part"]
+    dealt = members.union(asking).repartition(*key).sortWithinPartitions(*key)
+
+    def compare(asks, sid, n, label, maps) -> tuple[np.ndarray, np.ndarray]:
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        step = max(1, (1 << 18) // max(1, len(m)))
+        out_a, out_b = [], []
+        for s in (q[i : i + step] for i in range(0, len(q), step)):
+            total, far = n[s, None] + n[None, m], np.zeros((len(s), len(m)), np.int64)
+            for k in range(MAP_WORDS):
+                far += np.bitwise_count(maps[k][s, None] ^ maps[k][None, m])
+            near = similar((total - far) / 2, total, 0) & similar(np.minimum(n[s, None], n[None, m]), total, 0) & (label[s, None] != label[None, m])
+            i, j = np.nonzero(near)
+            out_a.append(sid[s[i]])
+            out_b.append(sid[m[j]])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(out_a or none), np.concatenate(out_b or none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(t: pa.Table) -> pa.RecordBatch:
-            token, sid, n, label = (t.column(c).to_numpy() for c in ("token", "sid", "n", "label"))
-            n = n.astype(np.int64)
-            maps = np.frombuffer(b"".join(t.column("map").to_pylist()), np.uint64).reshape(-1, MAP_WORDS)
-            cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
-            pairs, singles = [], []
-            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
-                if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
-                    continue
-                near_any = np.zeros(hi - lo, bool)
-                mixed = (sid[lo:hi].view(np.uint64) ^ (token[lo].astype(np.int64).view(np.uint64))) * SALT
-                hub = lo + int(np.argmin(mixed))
-                step = max(1, (1 << 18) // (hi - lo))
-                for at in range(lo, hi, step):
-                    q = slice(at, min(hi, at + step))
-                    total = n[q, None] + n[None, lo:hi]
-                    far = np.zeros(total.shape, np.int64)
-                    for k in range(MAP_WORDS):
-                        far += np.bitwise_count(maps[q, None, k] ^ maps[None, lo:hi, k])
-                    # sets of n and m shingles differ in n + m - 2 common ones, and share min(n, m) at most
-                    near = similar((total - far) / 2, total, 0) & similar(np.minimum(n[q, None], n[None, lo:hi]), total, 0)
-                    near &= label[q, None] != label[None, lo:hi]
-                    near_any[q.start - lo : q.stop - lo] |= near.any(axis=1)
-                    if not hubs:
-                        i, j = np.nonzero(near & (sid[q, None] < sid[None, lo:hi]))
-                        pairs.append(np.stack((i + at, j + lo), axis=1))
-                    elif q.start <= hub < q.stop:
-                        j = np.flatnonzero(near[hub - q.start]) + lo
-                        pairs.append(np.stack((np.full(len(j), hub), j), axis=1))
-                if hubs:
-                    singles.append(np.flatnonzero(near_any) + lo)
-            p = np.concatenate(pairs or [np.zeros((0, 2), np.int64)])
-            s = np.unique(np.concatenate(singles or [np.zeros(0, np.int64)]))
-            swap = sid[p[:, 0]] > sid[p[:, 1]]
-            p[swap] = p[swap][:, ::-1]
-            a = np.concatenate((sid[p[:, 0]], sid[s]))
-            none = np.concatenate((np.zeros(len(p), bool), np.ones(len(s), bool)))
-            b, m = np.concatenate((sid[p[:, 1]], sid[s])), np.concatenate((n[p[:, 1]], n[s]))
-            cols = (pa.array(a), pa.array(b, mask=none), pa.array(np.concatenate((n[p[:, 0]], n[s]))), pa.array(m, mask=none))
-            return pa.RecordBatch.from_arrays(list(cols), names=list(names))
-
-        yield from _groups(batches, emit)
-
-    dealt = groups.repartition("token").sortWithinPartitions("token").select("token", "sid", "n", "map", "label")
-    return dealt.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint").distinct()
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            values = [t.column(c).to_numpy() for c in key]
+            rest = [t.column(c).to_numpy() for c in ("asks", "sid", "n", "label")]
+            maps = [t.column(m).to_numpy().view(np.uint64) for m in MAPS]
+            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1).tolist(), len(values[0])]
+            found = [compare(*(v[lo:hi] for v in rest), [m[lo:hi] for m in maps]) for lo, hi in zip(cuts, cuts[1:])]
+            a, b = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+        held: list[pa.RecordBatch] = []  # the rows of the block that is still open
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            same = np.logical_and.reduce([(v := b.column(c).to_numpy()) == v[-1] for c in key])
+            if (cut := b.num_rows - int(same.sum())) or any(held[0].column(c)[0] != b.column(c)[0] for c in key):
+                yield from emit(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                held = [b.slice(cut)]
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    return dealt.select(*key, "asks", "sid", "n", "label", *MAPS).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def set_values(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(sid, found): the whole sets of the texts whose hash is in ``texts`` (th, one for each set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, found in _texts(batches):
-            ends = np.cumsum([0, *[len(s) for s in found]])
-            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate(found)))
-            yield pa.RecordBatch.from_pydict({"sid": _signed([_sid(s) for s in found]), "found": flat})
+        for _, found in _texts(batches):
+            yield pa.RecordBatch.from_pydict({"sid": _signed([_sid(s) for s in found]), "found": _lists(found)})
 
     # rows of one text are reduced to one before their sets are built
-    rows = docs.select(F.xxhash64("text").alias("th"), "text").join(texts, "th", "left_semi").dropDuplicates(["th"])
+    rows = docs.select(F.xxhash64("text").alias("th"), "text").join(small(texts), "th", "left_semi").dropDuplicates(["th"])
     return rows.select("text").mapInArrow(run, "sid bigint, found array<bigint>")
 
 
-def verified(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """(a, b): the pairs (a, b, n, m) whose exact similarity reaches the limit."""
+def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b), written: the pairs (a, b, n, m) whose exact similarity reaches the limit."""
+    pairs = write_table(pairs, "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    texts = write_table(distinct.select("sid", "th").join(wanted, "sid", "left_semi").select("th"), "wanted-texts")
+    values = write_table(set_values(docs, texts), "set-values")
     j = pairs.join(values.select(F.col("sid").alias("a"), F.col("found").alias("_a")), "a").join(values.select(F.col("sid").alias("b"), F.col("found").alias("_b")), "b")
-    return j.where(similar(F.size(F.array_intersect("_a", "_b")), F.col("n"), F.col("m"))).select("a", "b")
+    out = write_table(j.where(similar(F.size(F.array_intersect("_a", "_b")), F.col("n"), F.col("m"))).select("a", "b"), "similar-sets")
+    drop_tables(pairs, texts, values)
+    return out
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -229,21 +328,30 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts without words form one group. Null doc_ids and repeated rows keep their row, as in near_duplicates.
     """
     sets = write_table(shingle_sets(docs), "shingle-sets")
-    distinct = write_table(sets.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min("th").alias("th"), F.first("map").alias("map")), "distinct-sets")
-    shared = write_table(shared_prefixes(docs), "shared-prefixes")
-    groups = shared.join(distinct.select("sid", "map"), "sid")
-    found = write_table(candidates(groups.withColumn("label", F.col("sid")), True), "hub-candidates")
-    wanted = found.select(F.col("a").alias("sid")).distinct()
-    values = write_table(set_values(docs, distinct.join(wanted, "sid", "left_semi").select("th")), "set-values")
-    first = write_table(verified(found.where("b is not null"), values), "hub-links")
-    labels = components(first).withColumnsRenamed({"node": "sid", "root": "label"})
-    # sets that are near no other have no second look
-    groups = groups.join(wanted, "sid", "left_semi").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    comp = components(first.union(verified(candidates(groups, False), values)))
-    named = distinct.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", "n", F.coalesce("root", "sid").alias("root"))
+    firsts = [F.min(c).alias(c) for c in ("n", "fp", *MAPS)]  # the same in all rows of a set
+    distinct = write_table(sets.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.min("th").alias("th"), *firsts), "distinct-sets")
+    shared = write_table(shared_tokens(sets), "shared-shingles")
+    rows = write_table(sets.select("doc_id", "th", "sid"), "set-rows")
+    drop_tables(sets)
+    groups = write_table(groups_of(shared), "groups")
+    drop_tables(shared)
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        """The distinct pairs with both sizes, less those that the maps rule out."""
+        side = lambda c, n: distinct.select(F.col("sid").alias(c), F.col("n").alias(n), *[F.col(m).alias(f"{c}_{m}") for m in MAPS])
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.join(side("a", "n"), "a").join(side("b", "m"), "b").where(_may_be_similar()).select("a", "b", "n", "m")
+
+    hubs = groups.where("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    first = verified(filtered(fingerprint_pairs(distinct).union(hubs)), docs, distinct)
+    labels = write_table(components(first).withColumnsRenamed({"node": "sid", "root": "label"}), "first-labels")
+    rest = verified(filtered(other_pairs(groups, labels, distinct.select("sid", "n", *MAPS))), docs, distinct)
+    comp = components(first.union(rest)) if rest.take(1) else labels.withColumnsRenamed({"sid": "node", "label": "root"})
+    named = distinct.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", "rows", F.coalesce("root", "sid").alias("root"))
     low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "component-ids")
-    named = write_table(lookup(named, low, ["root"], "members", ["sid"]).select("sid", "n", "component_id", "root"), "set-components")
-    return lookup(sets.drop("map"), named, ["sid"], "n", ["doc_id", "th"]).select("doc_id", "th", "component_id", "root")
+    named = write_table(lookup(named, low, ["root"], "members", ["sid"]).select("sid", "rows", "component_id", "root"), "set-components")
+    drop_tables(distinct, groups, low)
+    return lookup(rows, named, ["sid"], "rows", ["doc_id", "th"]).select("doc_id", "th", "component_id", "root")
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
