@@ -24,6 +24,8 @@ from addrloom.llm.common import lookup, shared_dir, write_table
 CHUNK = 1 << 18
 VERSION = b"WARC/1.1"
 END = b"\r\n\r\n"
+#: Bytes of a record's own head, and of the HTTP head in its block, at most.
+MOST_HEAD = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "record_id string, record_type string, target_uri string, payload_bytes long, payload_digest string, refers_to string, digest_verified boolean"
@@ -72,6 +74,8 @@ class _Record:
             self.head += data
             at = self.head.find(END)
             if at < 0:
+                if len(self.head) > MOST_HEAD:
+                    raise ValueError("a WARC head without end")
                 return
             lines = self.head[:at].split(b"\r\n")
             if not lines[0].startswith(b"WARC/1."):
@@ -81,12 +85,16 @@ class _Record:
             self.in_payload = not self.fields.get("content-type", "").startswith("application/http")
             data, self.head = self.head[at + 4 :], b""
         block, self.tail = data[: self.left], self.tail + data[self.left :]
+        if len(self.tail) > len(END):
+            raise ValueError("Content-Length doesn't frame the record's block")
         self.left -= len(block)
         self.block.update(block)
         if not self.in_payload:
             self.http += block
             at = self.http.find(END)
             if at < 0:
+                if len(self.http) > MOST_HEAD:
+                    raise ValueError("an HTTP head without end")
                 return
             block, self.http, self.in_payload = self.http[at + 4 :], self.http[: at + 4], True
         self.payload.update(block)
@@ -198,6 +206,21 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return manifest.select("path").repartition(files).mapInArrow(read, RECORDS) if files > 1 else spark.createDataFrame(manifest.select("path").collect(), "path string").mapInArrow(read, RECORDS)
 
 
+def verify_revisits(records: DataFrame) -> DataFrame:
+    """``records`` (a written table) with digest_verified of each revisit told from the response it refers to: it must be there,
+    verified, with the digest and the length that the revisit states. Responses keep what the reader found.
+    """
+    wanted = records.where("record_type = 'revisit'").groupBy(F.col("refers_to").alias("_to")).agg(F.count("*").alias("_n"))
+    same = F.struct("payload_digest", "payload_bytes", "digest_verified")
+    found = records.where("record_type = 'response'").join(wanted, F.col("record_id") == F.col("_to")).groupBy(F.col("_to").alias("refers_to")).agg(F.max("_n").alias("_n"), F.collect_set(same).alias("_responses"))
+    found = write_table(found, "warc-referred")
+    rows = records.withColumn("_key", F.coalesce("refers_to", F.lit("")))
+    rows = lookup(rows, found.withColumnRenamed("refers_to", "_key"), ["_key"], "_n", ["record_id", "target_uri"])
+    stated = F.array_contains("_responses", F.struct("payload_digest", "payload_bytes", F.lit(True).alias("digest_verified")))
+    verified = F.when(F.col("record_type") == "revisit", F.col("digest_verified") & F.coalesce(stated, F.lit(False))).otherwise(F.col("digest_verified"))
+    return rows.withColumn("digest_verified", verified).select(*records.columns)
+
+
 def op1_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archive every page and read the archives back.
 
@@ -206,7 +229,8 @@ def op1_warc(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """
     folder = shared_dir(spark, "warc")
     manifest = write_archives(plan_revisits(pages), folder)
+    records = verify_revisits(write_table(read_archives(manifest, folder), "warc-records"))
     page = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS bigint)")
-    return read_archives(manifest, folder).select(
+    return records.select(
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "target_uri", "digest_verified"
     )
