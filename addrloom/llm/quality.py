@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 LEVEL = 3
+#: Words of a text from which on its windows are counted in arrays.
+MANY_WORDS = 20_000
 #: (bytes from, lowest ratio, highest ratio) for whole documents.
 #: The highest ratios lie just above those of all documents of sf0.1 of the length (the 0.999 quantile or the largest).
 BANDS = ((0, 0.0, 1.60), (40, 0.22, 1.23), (80, 0.22, 1.10), (120, 0.22, 0.93), (160, 0.22, 0.91), (200, 0.22, 0.86), (260, 0.22, 0.75), (400, 0.22, 0.71), (550, 0.22, 0.685), (700, 0.22, 0.64), (1000, 0.22, 0.595), (1400, 0.22, 0.556), (2000, 0.22, 0.522), (2800, 0.22, 0.507), (4000, 0.20, 0.48), (5600, 0.20, 0.472), (8000, 0.20, 0.455), (16000, 0.16, 0.44))
@@ -31,6 +34,8 @@ def repeat_words(words: list[bytes], n: int = 5) -> int:
     """Words inside windows of ``n`` words that occur twice or more in the text, the first one included."""
     if len(words) < n:
         return 0
+    if len(words) > MANY_WORDS:
+        return _repeat_words_of_many(words, n)
     windows = list(zip(*(words[i:] for i in range(n))))
     if len(set(windows)) == len(windows):
         return 0
@@ -43,6 +48,22 @@ def repeat_words(words: list[bytes], n: int = 5) -> int:
     return covered
 
 
+def _repeat_words_of_many(words: list[bytes], n: int) -> int:
+    """The same in arrays of numbers: equal windows get equal numbers, a word at a time."""
+    known: dict[bytes, int] = {}
+    ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    n_words = len(known)
+    del known
+    window = ids
+    for k in range(1, n):  # numbers of windows of k words and of words are below 2**31 each
+        _, window = np.unique(window[:-1] * n_words + ids[k:], return_inverse=True)
+    twice = np.bincount(window)[window] > 1
+    change = np.zeros(len(words) + 1, np.int64)
+    change[: len(window)] += twice
+    change[n : n + len(window)] -= twice
+    return int((np.cumsum(change) > 0).sum())
+
+
 def dup_lines(text: str) -> int:
     """Lines with a word that equal an earlier line."""
     lines = text.split("\n")
