@@ -12,9 +12,10 @@ import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, normalizers
 
 from addrloom.llm import jaccard, jpeg_media, langid, line_dedup, mixing, quality, simhash, sp_codec, token_store, url_filter, warc
+from addrloom.llm.common import shared_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, h1 string, size string, sites int"
 LONG = "the quick brown fox jumps over the lazy dog\n" * 6000
@@ -44,15 +45,24 @@ def test_warc(spark):
         r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode())
         assert (r.record_type, r.refers_to) == (("response", None) if i == top else ("revisit", top))
+    assert all(r.digest_verified for r in got.values())
     assert warc.op1_warc(spark, pages.limit(0)).count() == 0
 
 
+def test_revisits_are_verified_against_their_response(spark):
+    rows = [("r1", "response", "D", 5, None, True), ("v1", "revisit", "D", 5, "r1", True), ("v2", "revisit", "E", 5, "r1", True), ("v3", "revisit", "D", 4, "r1", True),
+            ("v4", "revisit", "D", 5, "gone", True), ("v5", "revisit", "F", 1, "r2", True), ("r2", "response", "F", 1, None, False), ("v6", "revisit", "D", 5, None, True)]
+    rows = [(i, kind, "u", n, d, to, ok) for i, kind, d, n, to, ok in rows]
+    got = {r.record_id: r.digest_verified for r in warc.verify_revisits(spark.createDataFrame(rows, warc.RECORDS.replace("long", "bigint"))).collect()}
+    assert got == {"r1": True, "v1": True, "v2": False, "v3": False, "v4": False, "v5": False, "r2": False, "v6": False}
+
+
 def test_warc_reader_checks_frames_and_digests():
     good = warc.build_record("urn:a", "http://x", b"payload" * 99999, None, "2026-01-01T00:00:00Z")
     found = list(warc.read_records(io.BytesIO(good + good), keep_payload=True))
     assert [r["payload"] for r in found] == [b"payload" * 99999] * 2
     raw = zlib.decompress(good, 31)
-    for bad in (raw.replace(b"payload" * 3, b"PAYLOAD" * 3, 1), raw[:-9] + raw[-4:], raw[:-4]):
+    for bad in (raw.replace(b"payload" * 3, b"PAYLOAD" * 3, 1), raw[:-9] + raw[-4:], raw[:-4], raw + b"x" * 10_000_000, b"x" * 10_000_000):
         with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(zlib.compress(bad, wbits=31))))
     with pytest.raises(ValueError):
@@ -102,15 +112,66 @@ def test_jpeg_decoder_reads_other_layouts():
     bits += "1" * (-len(bits) % 8)
     data = b"".join((b"\xff\xd8", jpeg_media._segment(0xDB, b"\0" + b"\x08" * 64), jpeg_media._segment(0xC0, b"\x08\0\x08\0\x10\x01\x01\x22\0"), dht(0, dc), dht(16, ac), jpeg_media._segment(0xDA, b"\1\1\0\0\x3f\0")))
     raw = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
-    p, coefs = jpeg_media.decode([data + raw + b"\xff\xd9"])[0]
+    p, (coefs,) = jpeg_media.decode([data + raw + b"\xff\xd9"])[0]
     want = np.zeros((2, 64), int)
     want[0, [0, 1, 7]], want[1, [0, 17]] = (3, -1, 2), (-1, 1)
     assert (coefs == want).all() and (p["width"], p["height"]) == (16, 8)
-    assert jpeg_media.thumbnail(p, coefs).tolist() == [[131, 127]]
+    assert jpeg_media.thumbnail(p, [coefs]).tolist() == [[131, 127]]
     with pytest.raises(ValueError):
         jpeg_media.parse(data.replace(b"\xff\xc0", b"\xff\xc2"))
 
 
+def pixels(block, quant):
+    """A block's 8 x 8 samples by the inverse cosine transform's definition, before they are clipped."""
+    natural = np.zeros(64)
+    natural[jpeg_media.ZIGZAG] = block * quant
+    x, u = np.arange(8)[:, None], np.arange(8)[None]
+    basis = np.cos((2 * x + 1) * u * np.pi / 16) * np.where(u == 0, 1 / np.sqrt(2), 1) / 2
+    return basis @ natural.reshape(8, 8) @ basis.T + 128
+
+
+def test_jpeg_in_several_scans_and_its_thumbnail():
+    """Three components in scans of their own, luminance at twice the resolution; the thumbnail is the mean of each block's pixels."""
+    rng = np.random.default_rng(4)
+    values = jpeg_media.VALUE_OF_BYTE.astype(int)
+    table = bytes(sum(n == k for n in jpeg_media.CODE_BITS) for k in range(1, 17)) + bytes(range(1, 9))
+    quant = rng.integers(1, 9, 64)
+    head = b"\xff\xd8" + jpeg_media._segment(0xDB, b"\0" + bytes(quant.tolist())) + jpeg_media._segment(0xC0, b"\x08\0\x1c\0\x2c\x03\x01\x22\0\x02\x11\0\x03\x11\0") + jpeg_media._segment(0xC4, b"\0" + table + b"\x10" + table)
+    sizes, blocks = [24, 6, 6], []  # 44 x 28 pixels: 6 x 4 blocks of luminance, 3 x 2 of colour
+    for c, n in enumerate(sizes, 1):
+        data = rng.integers(0, 60, (n, 64))
+        bits = "".join(format(int(jpeg_media.BITS[b]), f"0{jpeg_media.LENGTHS[b]}b") for b in data.reshape(-1))
+        bits += "1" * (-len(bits) % 8)
+        head += jpeg_media._segment(0xDA, bytes([1, c, 0, 0, 63, 0])) + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+        found = values[data]
+        found[:, 0] = np.cumsum(found[:, 0])
+        blocks.append(found)
+    image = head + b"\xff\xd9"
+    p, coefs = jpeg_media.decode([image])[0]
+    assert (p["width"], p["height"]) == (44, 28) and all((a == b).all() for a, b in zip(coefs, blocks))
+    want = np.array([pixels(b, quant).mean() for b in blocks[0]]).reshape(4, 6)
+    assert abs(jpeg_media.thumbnail(p, coefs) - np.clip(want, 0, 255)).max() < 0.5 + 1e-9 and jpeg_media.payload(p, coefs) is None
+    thumb = rng.integers(0, 256, (19, 11)).astype(np.uint8)
+    cut = [[thumb[19 * i // 8 : 19 * (i + 1) // 8, 11 * j // 8 : 11 * (j + 1) // 8].mean() for j in range(8)] for i in range(8)]
+    assert jpeg_media.thumb_hash(thumb) == np.packbits((np.array(cut) > np.mean(cut)).reshape(-1)).tobytes().hex()
+
+
+def test_jpeg_bad_images_keep_their_rows(spark, monkeypatch):
+    texts = [bytes(np.random.default_rng(k).integers(0, 256, 400 * k, dtype=np.uint8)) for k in range(1, 30)]
+    good = jpeg_media.encode(texts)
+    for chunk in (700, 5000):  # long texts and images are cut into runs of restart segments
+        monkeypatch.setattr(jpeg_media, "ENCODE_CHUNK", chunk)
+        monkeypatch.setattr(jpeg_media, "DECODE_CHUNK", chunk)
+        monkeypatch.setattr(jpeg_media, "PAYLOAD_STEP", chunk // 100)
+        assert jpeg_media.encode(texts) == good
+        assert [jpeg_media.payload(*x) for x in jpeg_media.decode(good)] == [(len(t), jpeg_media.pad(t)) for t in texts]
+    whole = good[5]
+    rows = [(1, whole), (2, whole[: len(whole) // 2]), (3, whole[: len(whole) // 2] + b"\xff\xd9"), (4, b"no image"), (5, None), (6, whole.replace(b"\xff\xc0", b"\xff\xc2")), (None, good[6]), (7, whole[:30] + bytes(200))]
+    got = jpeg_media.read_media(spark.createDataFrame(rows, jpeg_media.MEDIA)).collect()
+    assert {r.doc_id for r in got if r.error is None} == {1, None} and len(got) == len(rows)
+    assert all((r.thumb_hash is None) == (r.error is not None) and r.media_sha256 for r in got)
+
+
 def brute_mix(rows):
     size = {i: len((t or "").encode().split()) for i, t, _ in rows}
     by = defaultdict(list)
@@ -253,13 +314,31 @@ def test_one_row_of_each_component_stays(spark):
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "https://EXAMPLE.com/en/7?x", "ftp://x.net/de/#f", "http://example.net/de/88", "http://z.org/es", "http://z.org/es/", None, "no scheme", "http://netx/de/", "a://b://c/d", "http://h?x://y/z", ""]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h"), (0, urls[0], "h")], "page_id bigint, url string, rule string")
-    got = {r.page_id: r for r in url_filter.op6_url_filter(spark, pages, listed=lambda h: h.isin("z.org", "netx", "", "b:")).collect()}
+    got = {r.page_id: r for r in url_filter.op6_url_filter(spark, pages, listed=spark.createDataFrame([(h,) for h in ("z.org", "netx", "", "b:", None, "z.org", "not.there")], "host string")).collect()}
     assert [got[i].rule for i in range(len(urls))] == ["com/en/", "example.com/en/7", "net/de/", "example.net/de/8", None, "org/es/", None, None, None, None, None, None]
     assert [got[i].verdict for i in range(len(urls))] == ["block", "allow", "block", "allow", "block", "block", "allow", "allow", "block", "block", "allow", "allow"]
     assert (got[1].host, got[1].path, got[9].host, got[9].path, got[10].host, got[10].path) == ("example.com", "/en/7", "b:", "//c/d", "h", "")
     assert url_filter.op6_url_filter(spark, pages.limit(0)).count() == 0
 
 
+def test_url_filter_deals_a_hot_host_over_tasks(spark, monkeypatch):
+    """A third of the pages on one host, many shards: the answers stay exact and the host's rows are in many partitions."""
+    hosts = [f"h{i}.com" for i in range(300)]
+    pages = spark.createDataFrame([(i, f"http://{'hot.org' if i % 3 == 0 else hosts[i % 300]}/p{i}") for i in range(3000)], "page_id bigint, url string")
+    rows = pages.select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    keys = rows.select(F.col("host").alias("key")).distinct().withColumn("listed", F.md5("key") > "8")
+    folder = shared_dir(spark, "test-cascade")
+    shards, manifest = url_filter.write_cascades(keys, folder, shard_keys=20)
+    assert shards > 4 and manifest.agg(F.sum("keys")).first()[0] == 201
+    judged = url_filter.is_listed(rows, "host", folder, shards, ("page_id",), held=4).withColumn("p", F.spark_partition_id())
+    assert judged.where(F.col("listed") != (F.md5("host") > "8")).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert judged.where("host = 'hot.org'").select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(ValueError):
+        url_filter.build_cascade(np.array([5, 5], np.uint64), np.array([7, 7], np.uint64), np.array([True, False]))
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(2)
     h1, h2 = rng.integers(0, 1 << 63, (2, 50_000), dtype=np.uint64)
@@ -322,6 +401,55 @@ def test_language_id(spark, docs, empty):
     assert langid.op8_language_id(empty).count() == 0 and langid.keep_known(docs).columns == docs.columns
 
 
+def brute_language(counts, langs, text):
+    """The score by its definition, from (language, word) counts, in plain loops."""
+    grams = [Counter() for _ in range(6)]
+    for (lang, word), n in counts.items():
+        for k in range(1, 6):
+            padded = f" {word} " if k > 1 else word
+            for i in range(len(padded) - k + 1):
+                grams[k][lang, padded[i : i + k]] += n
+    log = lambda table, lang, key: np.log((table[lang, key] + 0.1) / (sum(n for (a, _), n in table.items() if a == lang) + 1))
+    known = lambda table, key: any(table[lang, key] for lang in langs)
+    words = ["".join(c for c in w) for w in langid.WORD.findall(text.lower())]
+    total = dict.fromkeys(langs, 0.0)
+    for w in words:
+        for lang in langs:
+            if known(counts, w):
+                total[lang] += log(counts, lang, w)
+                continue
+            for k in range(5, 0, -1):
+                padded = f" {w} " if k > 1 else w
+                own = [g for g in (padded[i : i + k] for i in range(len(padded) - k + 1)) if known(grams[k], g)]
+                if own:
+                    total[lang] += np.mean([log(grams[k], lang, g) for g in own])
+                    break
+    p = {lang: x / len(words) * min(len(words), langid.EVIDENCE) for lang, x in total.items()}
+    best = max(p, key=p.get)
+    return best, 1 / sum(np.exp(x - p[best]) for x in p.values())
+
+
+def test_language_scores_against_brute_force(spark):
+    texts = [("en", "the cat sat on the mat and the dog"), ("en", "there is a house on the hill"), ("de", "der Hund und die Katze auf dem Haus"), ("fr", "le chat est sur la table été"), ("de", "ein Haus am Berg")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts * 4)] + [(99, "nothing learned here", None)], "doc_id bigint, text string, lang string")
+    seen = [(lang, t) for i, (lang, t) in enumerate(texts * 4) if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = Counter((lang, w) for lang, t in seen for w in t.lower().split())
+    model = langid.fit(docs, max_docs=10_000)
+    assert model.langs == sorted({lang for lang, _ in seen}) and len(model.words) == len({w for _, w in counts})
+    scorer = langid.Scorer(model)
+    for t in ["the cat", "die Katze sat", "chats tables unter", "xyzzy the", "q", "Hausboot am See the mat est " * 9]:
+        lang, p = scorer.predict(t)
+        want, score = brute_language(counts, model.langs, t)
+        assert lang == want and abs(p - score) < 1e-4
+
+
+def test_repeats_of_long_texts_are_counted_alike(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        words = [bytes([97 + x]) for x in rng.integers(0, rng.integers(1, 6), rng.integers(5, 60))]
+        assert quality._repeat_words_of_many(words, 5) == quality.repeat_words(words)
+
+
 def brute_quality(t):
     words = (t or "").encode().split()
     seen = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -353,10 +481,47 @@ def test_token_store(spark, docs, empty):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    # rows of one doc_id follow one another by their texts' hash: as sets of (doc_id, n_tokens, crc) and as starts they are the same
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), n, c) for i, _, n, c in want)
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist() and [str(r.doc_id) for r in got] == [str(w[0]) for w in want]
     assert token_store.op10_token_store(spark, empty).count() == 0
 
 
+def test_token_store_random_access_and_other_tokenizers(spark, docs, tmp_path, monkeypatch):
+    lib = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
+    folder = shared_dir(spark, "test-ids")
+    rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    hot = rows.union(spark.range(3000).select(F.lit(5).cast("bigint"), F.concat(F.lit("hot "), "id"), *[F.lit(None)] * (len(rows.columns) - 2)))
+    manifest = token_store.write_store(hot, folder)
+    files = manifest.orderBy("file").collect()
+    assert sum(f.docs for f in files) == hot.count() and max(f.docs for f in files) < 1500  # a hot doc_id is dealt out
+    store, base = token_store.fs.FileSystem.from_uri(folder)
+    trained = store.open_input_stream(f"{base}/ids.dict", compression=None).read()
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    for f in files:
+        one = token_store.StoreFile(store, f.path, trained)
+        whole = [x.tolist() for _, found in one.scan() for x in found]
+        monkeypatch.setattr(token_store, "READ_BYTES", 100)
+        assert [x.tolist() for _, found in one.scan() for x in found] == whole
+        for k, e in enumerate(one.index):
+            assert one.ids(k).tolist() == whole[k]
+            if e["doc"] != 5:
+                assert whole[k] == lib.encode(texts[int(e["doc"])] or "", add_special_tokens=False).ids + [2]
+    with pytest.raises(ValueError):
+        token_store.StoreFile(store, files[0].path, b"another dictionary")
+    data = bytes(range(256)) * 400
+    assert len(token_store._pieces(data, 2)) == token_store.SAMPLE_BYTES and token_store._pieces(data, 2).endswith(data[-2:]) and token_store._pieces(data[:99], 2) == data[:99]
+    # one normalisation step more: no shortcut by words
+    accents = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase(), normalizers.NFD(), normalizers.StripAccents()])
+    other = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
+    other.normalizer = accents
+    other.save(str(tmp_path / "other.json"))
+    assert token_store.tokenizer().by_word
+    own = token_store.WordTokenizer(str(tmp_path / "other.json"))
+    assert not own.by_word and own.encode(["été plage".encode()]) == [np.array(other.encode("été plage").ids, own.type).tobytes()]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
