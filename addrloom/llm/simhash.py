@@ -27,12 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import keep_first, lookup, write_table
+from addrloom.llm.common import drop_tables, keep_first, lookup, write_table
 
 #: Members of a group.
 RUN = 8
-#: Fingerprints of a node, about, and nodes at most: beyond 2**28 fingerprints the nodes grow.
-NODE_CODES, MAX_NODES = 1 << 13, 1 << 14
+#: Fingerprints of a node, about, and nodes at most: beyond 2**30 fingerprints the nodes grow. A fingerprint visits about as many
+#: nodes as there are values within the radius of the bits that a node's members share, so fewer, larger nodes mean less to send.
+NODE_CODES, MAX_NODES = 1 << 16, 1 << 14
 #: Groups opened at a time in a search.
 SLICE = 1 << 14
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -255,23 +256,25 @@ def links(fps: DataFrame, radius: int = 2, node_codes: int = NODE_CODES, max_nod
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes that have a link.
 
-    Alternating large-star and small-star rounds on tables in the shared folder, until a round changes
-    nothing. Hot nodes are looked up through a bounded broadcast, so no node's links meet in one task.
+    Alternating large-star and small-star rounds on tables in the shared folder, until the links form stars, each
+    node under the smallest of its component. Hot nodes are looked up through a bounded broadcast, so no node's
+    links meet in one task.
     """
     edges = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    while True:  # each round at least halves the depth of the trees
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = write_table(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
         large = lookup(both, low, ["u"], "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = write_table(large.distinct(), "large")
+        drop_tables(edges, low)
         low = write_table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "star")
         small = lookup(large, low, ["u"], "n", ["v"])
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = write_table(small.where("u <> v").distinct(), "links")
-        # a forest of stars: no node is both below and above another, and each has one parent
-        facts = [x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first() for x in (edges, new)]
-        edges = new
-        if facts[0] == facts[1]:
+        edges = write_table(small.where("u <> v").distinct(), "links")
+        drop_tables(large, low)
+        # stars: one link up from each node, and none from a root
+        sides = edges.groupBy("u").agg(F.count("*").alias("up")).union(edges.select("v").distinct().select("v", F.lit(0).alias("up")))
+        if not sides.groupBy("u").agg(F.count("*").alias("sides"), F.max("up").alias("up")).where("sides > 1 OR up > 1").take(1):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
