@@ -4,12 +4,14 @@ SimHash fingerprints (of the same shingles, through the Gray-order index) give t
 similar as the limit differ in some ten of 64 bits, more than an index can search at scale, so the rest comes from
 prefixes: with all shingles in one order, two sets that overlap enough share one of their first
 ``n - ceil(0.8 n) + 1``. Any order will do; frequent shingles of a sample of fixed size come last, which keeps the
-groups small. Shingles that share the same sets make one group. Of a pair of candidates, sizes and 512-bit parity maps
-(their distance never exceeds that of the sets) rule out most; the rest is counted shingle by shingle.
-
-The sets of a group are linked with one of them first. Only where such links leave several components in a group are
-its other pairs looked at: those of different components, in blocks of bounded size. So a group of many copies doesn't
-give all its pairs, and no task holds a whole group.
+groups small. Shingles that share the same sets make one group. Of a pair of candidates, sizes and parity maps (their
+distance never exceeds that of the sets), of 512 bits and then of a bit or two for each shingle, rule out most; the rest
+is counted shingle by shingle.
+
+Counting a pair moves a whole set, so the most promising pair of each set is counted first: of its SimHash partners and
+the one set that its groups have in common with it. Only where such links leave several components in a group are its
+other pairs looked at: those of different components, in blocks of bounded size, and of these again the best of each set
+before all others. So a group of many copies gives about as many pairs as it has members, and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.llm.common import drop_tables, keep_first, lookup, small, write_table
@@ -33,8 +35,8 @@ RADIUS = 3
 #: Words of a parity map; documents sampled for frequent shingles, and how many of these are set apart.
 MAP_WORDS = 8
 SAMPLE_DOCS, FREQUENT = 20_000, 100_000
-#: Sets of a group that are linked with the others first, at most; rows of a block of a group, about.
-HUBS, BLOCK = 8, 4096
+#: Rows of a block of a group, about; pairs of a set that are counted in the first round after the hubs, and how many times as many in each next one.
+BLOCK, PICKS = 4096, 4
 #: Times in the sample from which on a shingle's rows are aggregated before they are shuffled.
 HOT_SEEN = 20
 #: Bytes of a text hashed at a time.
@@ -108,12 +110,24 @@ def similar(common, n, m):
     return (SAME + OF) * common >= SAME * (n + m)
 
 
-def parity_map(found: np.ndarray) -> np.ndarray:
+def parity_map(found: np.ndarray, words: int = MAP_WORDS) -> np.ndarray:
     """A bit for each residue of the hashes: whether an odd number of them falls there."""
-    odd = np.bincount((found % np.uint64(64 * MAP_WORDS)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    odd = np.bincount((found % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_map(found: np.ndarray) -> bytes | None:
+    """The parity map of a set that is large for MAP_WORDS: with a bit or two for each shingle; None for others."""
+    words = 1 << max(0, (len(found) - 1).bit_length() - 6)
+    return parity_map(found, words).tobytes() if words > 2 * MAP_WORDS else None
+
+
+def maps_differ(a: bytes, b: bytes) -> int:
+    """Bits in which two maps differ, the longer one folded to the length of the other: residues that meet there add up."""
+    x, y = sorted((np.frombuffer(m, np.uint64) for m in (a, b)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def prefix(found: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of which two similar sets share one, rare ones first, then by hash: those seen HOT_SEEN times in the sample apart."""
     n = len(found)
@@ -150,7 +164,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, sid, n, fp, m0 to m7, prefix, hot): the text's hash; its set's hash, size, SimHash, parity map and prefix, hot shingles apart."""
+    """(doc_id, th, sid, n, fp, m0 to m7, wide, prefix, hot): the text's hash; its set's hash, size, SimHash, parity maps and prefix, hot shingles apart."""
     frequent, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +173,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             cold, hot = zip(*(prefix(s, frequent, counts) for s in found))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "th": b.column("th"), "sid": _signed([_sid(s) for s in found]), "n": pa.array([len(s) for s in found], pa.int64()),
-                "fp": _signed([fold(s) for s in found]), **{m: pa.array(maps[:, k].copy()) for k, m in enumerate(MAPS)}, "prefix": _lists(cold), "hot": _lists(hot),
+                "fp": _signed([fold(s) for s in found]), **{m: pa.array(maps[:, k].copy()) for k, m in enumerate(MAPS)}, "wide": pa.array([wide_map(s) for s in found], pa.binary()), "prefix": _lists(cold), "hot": _lists(hot),
             })
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, sid bigint, n bigint, fp bigint, " + ", ".join(f"{m} bigint" for m in MAPS) + ", prefix array<bigint>, hot array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, sid bigint, n bigint, fp bigint, " + ", ".join(f"{m} bigint" for m in MAPS) + ", wide binary, prefix array<bigint>, hot array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,15 +195,19 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], counts[order]
 
 
+def _far() -> Column:
+    """Bits in which the parity maps a_m0 to a_m7 and b_m0 to b_m7 differ."""
+    return sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in MAPS), F.lit(0))
+
+
 def _may_be_similar() -> Column:
-    """False for pairs (n, m, a_m0 to a_m7, b_m0 to b_m7) that cannot reach the limit: the sets differ in n + m - 2 common shingles and share the smaller size at most."""
+    """False for pairs (n, m, far) that cannot reach the limit: the sets differ in n + m - 2 common shingles and share the smaller size at most."""
     n, m = F.col("n"), F.col("m")
-    far = sum((F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}"))) for k in MAPS), F.lit(0))
-    return similar(F.least(n, m), n, m) & (2 * SAME * (n + m) <= (SAME + OF) * (n + m - far))
+    return similar(F.least(n, m), n, m) & (2 * SAME * (n + m) <= (SAME + OF) * (n + m - F.col("far")))
 
 
 def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
-    """(a, b): sets whose fingerprints are equal or linked within RADIUS, a spanning choice of them."""
+    """(a, b), a the partner of b: sets whose fingerprints are equal or linked within RADIUS, a spanning choice of them."""
     reps = write_table(distinct.groupBy("fp").agg(F.min("sid").alias("rep"), F.count("*").alias("sets")), "set-codes")
     same = lookup(distinct.select("sid", "fp"), reps.where("sets > 1"), ["fp"], "sets", ["sid"]).where("rep <> sid").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
     rep = lambda side: reps.select(F.col("fp").alias(f"_{side}"), F.col("rep").alias(side))
@@ -227,12 +245,9 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
 
 
 def groups_of(shared: DataFrame) -> DataFrame:
-    """(token, members, hub, sid): the sets of each group, one token for all that share the same sets; hub is one of them."""
-    hub = F.min(F.struct(F.xxhash64("sid", F.pmod("token", F.lit(HUBS))).alias("h"), "sid")).alias("hub")
-    code = [F.bit_xor(F.xxhash64(F.lit(salt), "sid")).alias(f"x{salt}") for salt in (1, 2)]
-    groups = shared.groupBy("token").agg(F.count("*").alias("members"), hub, *code).where("members > 1")
-    groups = groups.groupBy("members", "x1", "x2").agg(F.min(F.struct("token", F.col("hub.sid").alias("hub"))).alias("g"))
-    groups = write_table(groups.select("g.token", "members", "g.hub"), "prefix-groups")
+    """(token, members, hub, sid): the sets of each group, one token for all that share the same sets; hub is the one with the smallest hash."""
+    groups = shared.groupBy("token").agg(F.count("*").alias("members"), F.min("sid").alias("hub"), F.bit_xor(F.xxhash64("sid")).alias("code")).where("members > 1")
+    groups = write_table(groups.groupBy("members", "hub", "code").agg(F.min("token").alias("token")).select("token", "members", "hub"), "prefix-groups")
     return lookup(shared, groups, ["token"], "members", ["sid"]).where("members is not null")
 
 
@@ -298,6 +313,27 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
     return dealt.select(*key, "asks", "sid", "n", "label", *MAPS).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def less_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (written; a, b, n, m, far) less those that the wide maps of ``rows`` (sid, wide) rule out; far is then their distance."""
+    wanted = write_table(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "wanted-maps")
+    wide = rows.where("wide is not null").select("sid", "wide").join(small(wanted), "sid", "left_semi").groupBy("sid").agg(F.min("wide").alias("wide"))
+    wide = write_table(wide, "wide-maps")
+    side = lambda c: wide.select(F.col("sid").alias(c), F.col("wide").alias(f"_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m, far = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "m", "far"))
+            for k, (x, y) in enumerate(zip(b.column("_a"), b.column("_b"))):
+                if x.is_valid and y.is_valid:
+                    far[k] = max(far[k], maps_differ(x.as_py(), y.as_py()))
+            keep = similar((n + m - far) / 2, n, m)
+            out = [b.column("a").to_numpy(), b.column("b").to_numpy(), n, m, far]
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names=["a", "b", "n", "m", "far"])
+
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, far bigint")
+
+
 def set_values(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(sid, found): the whole sets of the texts whose hash is in ``texts`` (th, one for each set)."""
 
@@ -312,7 +348,7 @@ def set_values(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b), written: the pairs (a, b, n, m) whose exact similarity reaches the limit."""
-    pairs = write_table(pairs, "candidates")
+    pairs = write_table(pairs.select("a", "b", "n", "m"), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     texts = write_table(distinct.select("sid", "th").join(wanted, "sid", "left_semi").select("th"), "wanted-texts")
     values = write_table(set_values(docs, texts), "set-values")
@@ -331,27 +367,48 @@ def near_copies(docs: DataFrame) -> DataFrame:
     firsts = [F.min(c).alias(c) for c in ("n", "fp", *MAPS)]  # the same in all rows of a set
     distinct = write_table(sets.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.min("th").alias("th"), *firsts), "distinct-sets")
     shared = write_table(shared_tokens(sets), "shared-shingles")
-    rows = write_table(sets.select("doc_id", "th", "sid"), "set-rows")
+    rows = write_table(sets.select("doc_id", "th", "sid", "wide"), "set-rows")
     drop_tables(sets)
     groups = write_table(groups_of(shared), "groups")
     drop_tables(shared)
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """The distinct pairs with both sizes, less those that the maps rule out."""
+        """(a, b, n, m, far): the distinct pairs with both sizes and the distance of the maps, less those that these rule out."""
         side = lambda c, n: distinct.select(F.col("sid").alias(c), F.col("n").alias(n), *[F.col(m).alias(f"{c}_{m}") for m in MAPS])
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.join(side("a", "n"), "a").join(side("b", "m"), "b").where(_may_be_similar()).select("a", "b", "n", "m")
+        near = pairs.distinct().join(side("a", "n"), "a").join(side("b", "m"), "b").withColumn("far", _far()).where(_may_be_similar()).select("a", "b", "n", "m", "far")
+        return less_wide(write_table(near, "near-maps"), rows)
+
+    def best(pairs: DataFrame, most: int) -> DataFrame:
+        """For each b the pairs with the nearest maps."""
+        place = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
+        return pairs.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
 
     hubs = groups.where("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    first = verified(filtered(fingerprint_pairs(distinct).union(hubs)), docs, distinct)
-    labels = write_table(components(first).withColumnsRenamed({"node": "sid", "root": "label"}), "first-labels")
-    rest = verified(filtered(other_pairs(groups, labels, distinct.select("sid", "n", *MAPS))), docs, distinct)
-    comp = components(first.union(rest)) if rest.take(1) else labels.withColumnsRenamed({"sid": "node", "label": "root"})
+    linked = verified(best(filtered(fingerprint_pairs(distinct).union(hubs)), 1), docs, distinct)
+    labels = write_table(components(linked), "labels")
+    pairs = write_table(filtered(other_pairs(groups, labels.withColumnsRenamed({"node": "sid", "root": "label"}), distinct.select("sid", "n", *MAPS))), "other-candidates")
+    drop_tables(groups)
+    most = PICKS
+    while True:
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}"))
+        open_ = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
+        open_ = write_table(open_, "open-candidates")
+        drop_tables(pairs)
+        if not open_.take(1):
+            break
+        picked = write_table(best(open_, most), "picked")
+        more = verified(picked, docs, distinct)
+        pairs = write_table(open_.join(picked.select("a", "b"), ["a", "b"], "left_anti"), "other-candidates")
+        drop_tables(open_, picked)
+        if more.take(1):
+            labels = write_table(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "labels")
+        most *= PICKS
+    comp = labels
     named = distinct.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", "rows", F.coalesce("root", "sid").alias("root"))
     low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "component-ids")
     named = write_table(lookup(named, low, ["root"], "members", ["sid"]).select("sid", "rows", "component_id", "root"), "set-components")
-    drop_tables(distinct, groups, low)
-    return lookup(rows, named, ["sid"], "rows", ["doc_id", "th"]).select("doc_id", "th", "component_id", "root")
+    drop_tables(distinct, low)
+    return lookup(rows.drop("wide"), named, ["sid"], "rows", ["doc_id", "th"]).select("doc_id", "th", "component_id", "root")
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
