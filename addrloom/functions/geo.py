@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
+#: Metres of a degree of latitude, as boxes are padded, and on the sphere of ``haversine``.
 DEGREE_M = 111_320.0
+SPHERE_DEGREE_M = radians(1) * EARTH_M
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -22,15 +24,23 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("bigint")
 
 
-def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False, max_lat: float = 75.0) -> DataFrame:
-    """``df`` with the columns cy, cx of a grid no finer than ``radius_m``; around: a row for each of the 3 x 3 cells about it."""
-    dy = radius_m / DEGREE_M
-    dx = dy / cos(radians(max_lat))
-    y, x = cell(F.col(lat), dy), cell(F.col(lon), dx)
+def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False) -> DataFrame:
+    """``df`` with the columns cy, cx of a grid; around: a row for each cell that may hold a point within ``radius_m``.
+
+    Rows of cells are as high as the radius. A cell's width in degrees belongs to its row: the radius at the row's end nearer to
+    the pole, so that it holds at any latitude, in few cells. Longitudes don't wrap at 180 degrees.
+    """
+    dy = radius_m * 1.000001 / SPHERE_DEGREE_M
+    narrow = lambda degrees: F.greatest(F.cos(F.radians(F.least(degrees, F.lit(90.0)))), F.lit(1e-6))
+    row = F.floor(F.col(lat) / dy).cast("bigint")
+    width = lambda r: F.lit(dy) / narrow(F.greatest(F.abs(r), F.abs(r + 1)) * dy)
     if not around:
-        return df.withColumns({"cy": y, "cx": x})
-    near = F.array(*[F.struct((y + i).alias("cy"), (x + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return df.withColumn("_cell", F.explode(near)).select(*df.columns, "_cell.cy", "_cell.cx")
+        return df.withColumn("cy", row).withColumn("cx", F.floor(F.col(lon) / width(F.col("cy"))).cast("bigint"))
+    reach = F.least(F.lit(dy * 1.000001) / narrow(F.abs(lat) + dy), F.lit(360.0))
+    own = df.withColumns({"_row": row, "_reach": reach}).withColumn("cy", F.explode(F.array(*[F.col("_row") + i for i in (-1, 0, 1)])))
+    w = width(F.col("cy"))
+    cells = F.sequence(F.floor((F.col(lon) - F.col("_reach")) / w).cast("bigint"), F.floor((F.col(lon) + F.col("_reach")) / w).cast("bigint"))
+    return own.withColumn("cx", F.explode(cells)).select(*df.columns, "cy", "cx")
 
 
 def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:

@@ -142,5 +142,7 @@ def merge_codes(a: Column, b: Column) -> Column:
 
 
 def id_order(key: Column) -> Column:
-    """Ids in numeric order, if they are digits, before all others in text order."""
-    return F.when(key.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(key, 20, "0"))).otherwise(F.concat(F.lit("1"), key))
+    """Ids in numeric order, if they are digits (of any number), before all others in text order; equal numbers by their text."""
+    digits = F.regexp_replace(key, "^0+", "")
+    number = F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits, F.lit(" "), key)
+    return F.when(key.rlike(r"^\d+$"), number).otherwise(F.concat(F.lit("1"), key))

@@ -2,107 +2,157 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from addrloom.functions.geo import haversine, sample_ordinal, with_cells
-from addrloom.functions.text import suspicious_suffix
+from addrloom.functions.text import id_order, suspicious_suffix
 from addrloom.operators.features import extra_tags
 
-DUPLICATE_M, NEARBY_M, SLACK_M, SAMPLE = 3.0, 20.0, 2.0, 50
-RESULT = ["run_id", "candidate_id", "check_id", "version", "verdict", "severity", "reason_code", "n_details"]
+DUPLICATE_M, NEARBY_M, SLACK_M, SAMPLE, LISTED = 3.0, 20.0, 2.0, 50, 5
+KEY = ["run_id", "candidate_id"]
+RESULT = [*KEY, "check_id", "version", "verdict", "severity", "reason_code", "n_details", "details"]
 VERSIONS = {"match_far": 2, "suffix_range": 2, "city_duplicate": 1, "intra_source_duplicate": 2, "missing_sample": 1, "nearby_street_mismatch": 2, "match_number_drift": 2, "potential_amenity": 4}
 
 
-def _result(c: DataFrame, check: str, applies: Column, reason: Column, severity: str, passed: str, details: Column | None = None) -> DataFrame:
-    """reason: null where the check passes. Rows it doesn't apply to are SKIP / not_applicable."""
+def _result(check: str, applies: Column, reason: Column, severity: str, passed: str, n: Column | None = None, details: Column | None = None) -> Column:
+    """The struct of one check's result for a row. reason: null where the check passes. Rows it doesn't apply to are SKIP / not_applicable."""
     applies = F.coalesce(applies, F.lit(False))
     flag = applies & reason.isNotNull()
-    return c.select(
-        "run_id", "candidate_id", F.lit(check).alias("check_id"), F.lit(VERSIONS[check]).alias("version"),
-        F.when(~applies, "SKIP").when(flag, "FLAG").otherwise("PASS").alias("verdict"), F.when(flag, F.lit(severity)).alias("severity"),
-        F.when(~applies, "not_applicable").when(flag, reason).otherwise(F.lit(passed)).alias("reason_code"),
-        F.when(flag, F.coalesce(details, F.lit(0).cast("bigint")) if details is not None else F.lit(0).cast("bigint")).otherwise(F.lit(0).cast("bigint")).alias("n_details"),
+    none = F.lit(0).cast("bigint")
+    return F.struct(
+        F.lit(check).alias("check_id"), F.lit(VERSIONS[check]).alias("version"), F.when(~applies, "SKIP").when(flag, "FLAG").otherwise("PASS").alias("verdict"), F.when(flag, F.lit(severity)).alias("severity"),
+        F.when(~applies, "not_applicable").when(flag, reason).otherwise(F.lit(passed)).alias("reason_code"), F.when(flag, F.coalesce(n, none) if n is not None else none).otherwise(none).alias("n_details"),
+        F.when(flag, details if details is not None else F.lit(None).cast("string")).alias("details"),
     )
 
 
-def _join_count(c: DataFrame, counts: DataFrame) -> DataFrame:
-    return c.join(counts, ["run_id", "candidate_id"], "left")
+def cm(metres: Column) -> Column:
+    """Metres rounded to two places, as whole centimetres."""
+    return F.round(metres * 100).cast("bigint")
 
 
-def close_pairs(c: DataFrame, radius_m: float) -> DataFrame:
-    """Other candidates of the run within the radius, through a grid as fine as the radius allows."""
-    a = with_cells(c.select("run_id", "candidate_id", "lat", "lon"), radius_m, around=True)
-    b = with_cells(c.select("run_id", F.col("candidate_id").alias("other"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), radius_m, "_lat", "_lon")
-    pairs = a.join(b, ["run_id", "cy", "cx"]).where(F.col("candidate_id") != F.col("other"))
-    return pairs.where(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= radius_m)
+def listed(entries: Column, most: int = LISTED) -> Column:
+    """Details as text: the first ``most`` entries (cm, id) by distance, then id: id@metres, with bars between."""
+    shown = lambda e: F.concat(e["id"], F.lit("@"), F.format_string("%d.%02d", F.floor(e["cm"] / 100).cast("bigint"), F.pmod(e["cm"], F.lit(100))))
+    return F.array_join(F.transform(F.slice(F.array_sort(entries), 1, most), shown), "|")
 
 
-def match_far(c: DataFrame) -> DataFrame:
-    return _result(c, "match_far", F.col("verdict") == "MATCH_FAR", F.lit("match_far"), "warn", "ok")
+def _nearest(pairs: DataFrame, entry: Column, by: list[str], most: int) -> DataFrame:
+    """(by, n, near): the number of rows of each key and the ``most`` smallest entries: a top-k that is cut down before the shuffle."""
+    n = pairs.groupBy(*by).agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("_entry"))
+    near = pairs.withColumn("_entry", entry).withColumn("_place", place).where(F.col("_place") <= most).groupBy(*by).agg(F.collect_list("_entry").alias("near"))
+    return n.join(near, by)
 
 
-def suffix_range(c: DataFrame) -> DataFrame:
-    suffix = suspicious_suffix(F.nullif(F.col("lo_num_suf"), F.lit("None")), F.col("housenumber"))
-    return _result(c, "suffix_range", F.col("verdict") == "MISSING", F.when(F.col("is_range"), "range").when(suffix != "", "suspicious_suffix"), "info", "ok")
+def close_candidates(c: DataFrame, radius_m: float) -> DataFrame:
+    """For each candidate the number of others of its run within the radius and the nearest of them.
 
+    Candidates are reduced to distinct places first, with their number and the lowest ids; only places meet in the grid. So a
+    stack of units or a point that many rows share gives no pairs.
+    """
+    at = ["run_id", "lat", "lon"]
+    rows = c.where("lat is not null and lon is not null").select(*at, "candidate_id", F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id")).alias("me"))
+    places = _nearest(rows, F.col("me"), at, LISTED + 1)
+    a = with_cells(places.select(*at), radius_m, around=True)
+    b = with_cells(places.select("run_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "n", "near"), radius_m, "_lat", "_lon")
+    dist = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    pairs = a.join(b, ["run_id", "cy", "cx"]).withColumn("dist", dist).where(F.col("dist") <= radius_m)
+    entries = F.transform("near", lambda e: F.struct(cm(F.col("dist")).alias("cm"), e["o"].alias("o"), e["id"].alias("id")))
+    # of each place's neighbours LISTED + 1 are enough, as a candidate takes itself away at most
+    few = pairs.select(*at, "n", F.slice(F.array_sort(entries), 1, LISTED + 1).alias("e"))
+    n = few.groupBy(*at).agg(F.sum("n").alias("all"))
+    near = few.select(*at, F.explode("e").alias("_entry")).withColumn("_place", F.row_number().over(Window.partitionBy(*at).orderBy("_entry")))
+    near = near.where(F.col("_place") <= LISTED + 1).groupBy(*at).agg(F.collect_list("_entry").alias("near"))
+    j = rows.join(n.join(near, at), at)
+    others = F.transform(F.filter("near", lambda e: e["id"] != F.col("candidate_id")), lambda e: F.struct(e["cm"].alias("cm"), e["o"].alias("o"), e["id"].alias("id")))
+    return j.where("all > 1").select(*KEY, (F.col("all") - 1).alias("n"), listed(others).alias("list"))
 
-def city_duplicate(c: DataFrame, radius_m: float = DUPLICATE_M) -> DataFrame:
-    n = close_pairs(c, radius_m).groupBy("run_id", "candidate_id").agg(F.count("*").alias("_n"))
-    return _result(_join_count(c, n), "city_duplicate", F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.when(F.col("_n") > 0, "city_duplicate"), "info", "unique_location", F.col("_n"))
 
+def _feature_cells(features: DataFrame, radius_m: float) -> DataFrame:
+    f = features.where(~F.col("is_poi")).select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return with_cells(f, radius_m, "_lat", "_lon")
 
-def intra_source_duplicate(c: DataFrame) -> DataFrame:
-    applies = F.col("sibling_id").isNotNull() & ~F.coalesce("group_all_match", F.lit(False))
-    return _result(c, "intra_source_duplicate", applies, F.lit("intra_source_duplicate"), "info", "ok")
 
+def _close_features(rows: DataFrame, features: DataFrame, reach_m: float, key: Column, wanted: Column) -> DataFrame:
+    """(key, n, list): the distinct features of the cells about each row that share ``key`` and are ``wanted``, by distance."""
+    f = _feature_cells(features, reach_m).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
+    p = with_cells(rows, reach_m, around=True).join(f, (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & key)
+    p = p.withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(wanted)
+    p = p.groupBy(*KEY, "osm_type", "osm_id").agg(F.min("_d").alias("_d"))
+    entry = F.struct(cm(F.col("_d")).alias("cm"), F.col("osm_type").alias("kind"), F.col("osm_id").alias("no"), F.concat_ws("/", "osm_type", "osm_id").alias("id"))
+    found = _nearest(p, entry, KEY, LISTED)
+    return found.select(*KEY, "n", listed(F.col("near")).alias("list"))
 
-def missing_sample(c: DataFrame, every: int = SAMPLE) -> DataFrame:
-    hit = sample_ordinal(F.col("candidate_id")) % every == 0 if every > 0 else F.lit(False)
-    return _result(c, "missing_sample", F.col("verdict") == "MISSING", F.when(hit, "spot_check"), "info", "not_sampled")
 
+def mismatched(c: DataFrame, features: DataFrame, radius_m: float) -> DataFrame:
+    """Features with a candidate's number on another street, close by; features without street don't count."""
+    rows = c.where(_open_mismatch()).select(*KEY, "housenumber", "street_norm", "lat", "lon")
+    return _close_features(rows, features.where("street_norm <> ''"), radius_m, F.col("housenumber") == F.col("num"), (F.col("street_norm") != F.col("_street")) & (F.col("_d") <= radius_m))
 
-def _feature_cells(features: DataFrame, radius_m: float) -> DataFrame:
-    f = features.where(~F.col("is_poi")).select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    return with_cells(f, radius_m, "_lat", "_lon")
+
+def _open_mismatch() -> Column:
+    return (F.col("verdict") == "MISSING") & (F.trim("housenumber") != "") & F.col("lat").isNotNull() & F.col("lon").isNotNull()
+
+
+def _open_drift() -> Column:
+    return F.col("verdict").isin("MATCH", "MATCH_FAR") & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("dist").isNotNull() & (F.col("street_norm") != "") & (F.trim("housenumber") != "")
 
 
-def nearby_street_mismatch(c: DataFrame, features: DataFrame, radius_m: float = NEARBY_M) -> DataFrame:
-    """A feature with the same number on another street, close by; features without street don't count."""
-    open_ = with_cells(c.where((F.col("verdict") == "MISSING") & F.col("housenumber").isNotNull() & F.col("lat").isNotNull()).select("run_id", "candidate_id", "housenumber", "street_norm", "lat", "lon"), radius_m, around=True)
-    f = _feature_cells(features.where(F.col("street_norm") != ""), radius_m)
-    p = open_.join(f, (open_["cy"] == f["cy"]) & (open_["cx"] == f["cx"]) & (F.col("housenumber") == F.col("num"))).where(F.col("street_norm") != F.col("_street"))
-    n = p.where(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= radius_m).groupBy("run_id", "candidate_id").agg(F.countDistinct("osm_type", "osm_id").alias("_n"))
-    applies = (F.col("verdict") == "MISSING") & F.col("housenumber").isNotNull() & F.col("lat").isNotNull()
-    return _result(_join_count(c, n), "nearby_street_mismatch", applies, F.when(F.col("_n") > 0, "nearby_street_mismatch"), "warn", "no_nearby_mismatch", F.col("_n"))
-
-
-def match_number_drift(c: DataFrame, features: DataFrame, slack_m: float = SLACK_M, reach_m: float = 100.0) -> DataFrame:
-    """Another number of the street lies closer than the matched feature, by the slack at least."""
-    applies = F.col("verdict").isin("MATCH", "MATCH_FAR") & F.col("lat").isNotNull() & F.col("dist").isNotNull() & (F.col("street_norm") != "") & F.col("housenumber").isNotNull()
-    open_ = with_cells(c.where(applies).select("run_id", "candidate_id", "housenumber", "street_norm", "lat", "lon", "dist"), reach_m, around=True)
-    f = _feature_cells(features, reach_m)
-    p = open_.join(f, (open_["cy"] == f["cy"]) & (open_["cx"] == f["cx"]) & (F.col("street_norm") == F.col("_street"))).where(F.col("housenumber") != F.col("num"))
-    n = p.where(haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon")) <= F.col("dist") - slack_m).groupBy("run_id", "candidate_id").agg(F.countDistinct("osm_type", "osm_id").alias("_n"))
-    return _result(_join_count(c, n), "match_number_drift", applies, F.when(F.col("_n") > 0, "match_number_drift"), "warn", "no_number_drift", F.col("_n"))
-
-
-def potential_amenity(c: DataFrame) -> DataFrame:
-    extra = F.size(extra_tags(F.from_json("tags", "map<string,string>")))
-    applies = F.col("verdict").isin("MATCH", "MATCH_FAR") & (F.col("osm_type") == "node") & F.col("tags").isNotNull()
-    return _result(c, "potential_amenity", applies, F.when(extra > 0, "potential_amenity"), "info", "pure_address", extra.cast("bigint"))
-
-
-def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS)) -> DataFrame:
-    """All results of the enabled checks over candidates that aren't SKIPPED; the right sides see every candidate."""
-    one = {"match_far": match_far, "suffix_range": suffix_range, "city_duplicate": city_duplicate, "intra_source_duplicate": intra_source_duplicate, "missing_sample": missing_sample,
-           "nearby_street_mismatch": lambda x: nearby_street_mismatch(x, features), "match_number_drift": lambda x: match_number_drift(x, features), "potential_amenity": potential_amenity}
-    out = None
-    for check in enabled:
-        found = one[check](c)
-        out = found if out is None else out.unionByName(found)
-    open_ = c.where(F.col("verdict") != "SKIPPED").select("run_id", "candidate_id")
-    return out.join(open_, ["run_id", "candidate_id"], "left_semi")
+def reach_of(c: DataFrame) -> float:
+    """The distance within which drift can be found: that of the farthest match, whatever radius the conflation used."""
+    return max(c.agg(F.max("dist")).first()[0] or 0.0, 1.0)
+
+
+def drifted(c: DataFrame, features: DataFrame, slack_m: float) -> DataFrame:
+    """Other numbers of a candidate's street that lie closer than the matched feature, by the slack at least."""
+    rows = c.where(_open_drift()).select(*KEY, "housenumber", "street_norm", "lat", "lon", "dist")
+    return _close_features(rows, features, reach_of(c), F.col("street_norm") == F.col("_street"), (F.col("housenumber") != F.col("num")) & (F.col("_d") <= F.col("dist") - slack_m))
+
+
+def missing_nearby(c: DataFrame, flagged: DataFrame) -> DataFrame:
+    """For each flagged candidate the MISSING ones of its run and street within its matched distance: (key, n, list)."""
+    reach = reach_of(c)
+    rows = with_cells(c.join(flagged.select(*KEY), KEY, "left_semi").select(*KEY, "street_norm", "lat", "lon", "dist"), reach, around=True)
+    m = c.where("verdict = 'MISSING' and lat is not null and lon is not null").select("run_id", F.col("candidate_id").alias("other"), "street_norm", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    p = rows.join(with_cells(m, reach, "_lat", "_lon"), ["run_id", "street_norm", "cy", "cx"]).where(F.col("candidate_id") != F.col("other"))
+    p = p.withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("_d") <= F.col("dist"))
+    entry = F.struct(cm(F.col("_d")).alias("cm"), id_order(F.col("other")).alias("o"), F.col("other").alias("id"))
+    return _nearest(p, entry, KEY, LISTED).select(*KEY, "n", listed(F.col("near")).alias("list"))
+
+
+def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS), duplicate_m: float = DUPLICATE_M, nearby_m: float = NEARBY_M, slack_m: float = SLACK_M, every: int = SAMPLE) -> DataFrame:
+    """All results of the enabled checks over candidates that aren't SKIPPED; the right sides see every candidate.
+
+    The three checks that look about a candidate are joined to it once; the results of a row are then one array.
+    """
+    joined = {"city_duplicate": lambda: close_candidates(c, duplicate_m), "nearby_street_mismatch": lambda: mismatched(c, features, nearby_m), "match_number_drift": lambda: drifted(c, features, slack_m)}
+    rows = c.where("verdict <> 'SKIPPED'")
+    n, text = {}, {}
+    for check, find in joined.items():
+        if check in enabled:
+            rows = rows.join(find().select(*KEY, F.col("n").alias(f"_n_{check}"), F.col("list").alias(f"_list_{check}")), KEY, "left")
+        n[check], text[check] = F.col(f"_n_{check}"), F.col(f"_list_{check}")
+
+    def about(check: str, applies: Column, severity: str, passed: str) -> Column:
+        return _result(check, applies, F.when(n[check] > 0, check), severity, passed, n[check], text[check])
+
+    extra = extra_tags(F.from_json("tags", "map<string,string>"))
+    suffix = suspicious_suffix(F.nullif(F.col("lo_num_suf"), F.lit("None")), F.col("housenumber"))
+    hit = sample_ordinal(F.col("candidate_id")) % every == 0 if every > 0 else F.lit(False)
+    matched = F.col("verdict").isin("MATCH", "MATCH_FAR")
+    result = {
+        "match_far": lambda: _result("match_far", F.col("verdict") == "MATCH_FAR", F.lit("match_far"), "warn", "ok"),
+        "suffix_range": lambda: _result("suffix_range", F.col("verdict") == "MISSING", F.when(F.col("is_range"), "range").when(suffix != "", "suspicious_suffix"), "info", "ok"),
+        "city_duplicate": lambda: about("city_duplicate", F.col("lat").isNotNull() & F.col("lon").isNotNull(), "info", "unique_location"),
+        "intra_source_duplicate": lambda: _result("intra_source_duplicate", F.col("sibling_id").isNotNull() & ~F.coalesce("group_all_match", F.lit(False)), F.lit("intra_source_duplicate"), "info", "ok", details=listed(F.array(F.struct(cm(F.col("sibling_dist")).alias("cm"), F.col("sibling_id").alias("id"))))),
+        "missing_sample": lambda: _result("missing_sample", F.col("verdict") == "MISSING", F.when(hit, "spot_check"), "info", "not_sampled"),
+        "nearby_street_mismatch": lambda: about("nearby_street_mismatch", _open_mismatch(), "warn", "no_nearby_mismatch"),
+        "match_number_drift": lambda: about("match_number_drift", _open_drift(), "warn", "no_number_drift"),
+        "potential_amenity": lambda: _result("potential_amenity", matched & (F.col("osm_type") == "node") & F.col("tags").isNotNull(), F.when(F.size(extra) > 0, "potential_amenity"), "info", "pure_address", F.size(extra).cast("bigint"), F.array_join(extra, ",")),
+    }
+    return rows.select(*KEY, F.explode(F.array(*[result[check]() for check in enabled])).alias("r")).select(*KEY, "r.*")
 
 
 def stages(c: DataFrame, results: DataFrame) -> DataFrame:

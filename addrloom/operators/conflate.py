@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from addrloom.functions.geo import haversine
 from addrloom.functions.text import expand_street, id_order, normalize_street, override_street
+from addrloom.operators.streets import with_streets
 from addrloom.sources.lattice import RUN_BLOCKS
 
 NEAR_M, MATCH_M, TWIN_M = 15.0, 100.0, 5.0
@@ -15,10 +16,11 @@ NEAR_M, MATCH_M, TWIN_M = 15.0, 100.0, 5.0
 def ingest(src: DataFrame, run: Column | None = None) -> DataFrame:
     """Source rows to candidates; 'Land Entrance' rows go."""
     run = F.floor(F.col("b") / RUN_BLOCKS).cast("bigint") if run is None else run
-    street = expand_street(override_street(F.col("street")))
-    return src.where(~F.col("cls").eqNullSafe("Land Entrance")).select(
-        run.alias("run_id"), F.col("identity_key").alias("candidate_id"), F.nullif(F.upper(F.trim("number")), F.lit("")).alias("housenumber"),
-        street.alias("street"), normalize_street(street).alias("street_norm"), F.concat_ws(" ", "number", F.col("street")).alias("address_full"),
+    long = lambda s: expand_street(override_street(s))
+    rows = src.where(~F.col("cls").eqNullSafe("Land Entrance")).withColumn("_run", run)
+    return with_streets(rows, {"_long": long, "_norm": lambda s: normalize_street(long(s))}).select(
+        F.col("_run").alias("run_id"), F.col("identity_key").alias("candidate_id"), F.nullif(F.upper(F.trim("number")), F.lit("")).alias("housenumber"),
+        F.col("_long").alias("street"), F.col("_norm").alias("street_norm"), F.concat_ws(" ", "number", F.col("street")).alias("address_full"),
         "muni", "cls", "lo_num", "hi_num", "lo_num_suf", "lat", "lon", F.lit("INGESTED").alias("stage"),
         (F.col("lo_num").isNotNull() & F.col("hi_num").isNotNull() & (F.col("lo_num") != F.col("hi_num"))).alias("is_range"),
     )
@@ -39,15 +41,32 @@ def nearest(cands: DataFrame, features: DataFrame, radius_m: float = MATCH_M) ->
 
 
 def land_siblings(cands: DataFrame) -> DataFrame:
-    """For each Land row with a sibling at its address, the nearest one and whether the row is canonical (the lowest id)."""
-    key = ["run_id", "address_full"]
+    """For each Land row with a sibling at its address, the nearest one and whether the row is canonical (the lowest id).
+
+    Rows are reduced to distinct places of an address first. Rows that share a place are siblings at distance zero: of a place, the two
+    lowest ids are all that matters. Only places meet in the join, so a stack of units or a hot point gives no pairs.
+    """
+    key, place = ["run_id", "address_full", "muni"], ["lat", "lon"]
     land = cands.where((F.col("cls") == "Land") & F.col("address_full").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    land = land.select(*key, "muni", "candidate_id", id_order(F.col("candidate_id")).alias("o"), "lat", "lon")
-    other = land.select(*[F.col(c).alias(f"s_{c}") for c in land.columns])
-    pairs = land.join(other, [F.col(k) == F.col(f"s_{k}") for k in key] + [F.col("muni").eqNullSafe(F.col("s_muni")), F.col("candidate_id") != F.col("s_candidate_id")])
+    land = land.select(*key, *place, F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id")).alias("me"))
+    lowest = F.row_number().over(Window.partitionBy(*key, *place).orderBy("me"))
+    places = land.withColumn("_n", lowest).where("_n <= 2").groupBy(*key, *place).agg(F.min("me").alias("first"), F.when(F.count("*") > 1, F.max("me")).alias("second"))
+    other = places.select(*[F.col(c).alias(f"s_{c}") for c in (*key, *place, "first")])
+    same = lambda l, r: F.col(l).eqNullSafe(F.col(r))
+    pairs = places.join(other, (F.col("run_id") == F.col("s_run_id")) & (F.col("address_full") == F.col("s_address_full")) & same("muni", "s_muni"))
+    pairs = pairs.where((F.col("lat") != F.col("s_lat")) | (F.col("lon") != F.col("s_lon")))
     dist = haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    agg = pairs.groupBy("run_id", "candidate_id").agg(F.min(F.struct(dist.alias("d"), "s_o", "s_candidate_id")).alias("n"), F.min("s_o").alias("low"), F.first("o").alias("o"))
-    return agg.select("run_id", "candidate_id", F.col("n.s_candidate_id").alias("sibling_id"), F.col("n.d").alias("sibling_dist"), (F.col("o") < F.col("low")).alias("is_canonical"))
+    near = pairs.groupBy(*key, *place).agg(F.min(F.struct(dist.alias("d"), F.col("s_first.o").alias("o"), F.col("s_first.id").alias("id"))).alias("near"))
+    lows = places.groupBy(*key).agg(F.min("first").alias("low"))
+    named = lambda df, names: df.select(*[F.col(c).alias(f"_{c}") for c in names], *[c for c in df.columns if c not in names])
+    at = lambda names: [same(c, f"_{c}") for c in names]
+    j = land.join(named(places, [*key, *place]), at([*key, *place])).drop(*[f"_{c}" for c in (*key, *place)])
+    j = j.join(named(near, [*key, *place]), at([*key, *place]), "left").drop(*[f"_{c}" for c in (*key, *place)])
+    j = j.join(named(lows, key), at(key)).drop(*[f"_{c}" for c in key])
+    here = F.when(F.col("me") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    sibling = F.when(here.isNotNull(), F.struct(F.lit(0.0).alias("d"), here["o"].alias("o"), here["id"].alias("id"))).otherwise(F.col("near"))
+    j = j.withColumn("s", sibling).where("s is not null")
+    return j.select("run_id", F.col("me.id").alias("candidate_id"), F.col("s.id").alias("sibling_id"), F.col("s.d").alias("sibling_dist"), (F.col("me") == F.col("low")).alias("is_canonical"))
 
 
 def beside_land(cands: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.functions.text import housenumber_tokens, normalize_street, parity_range
+from addrloom.operators.streets import with_streets
 
 
 def span_bucket(span: Column) -> Column:
@@ -62,4 +63,4 @@ def categories(features: DataFrame) -> DataFrame:
 
 
 def with_street(osm: DataFrame) -> DataFrame:
-    return osm.withColumn("street_norm", normalize_street(F.col("street")))
+    return with_streets(osm, {"street_norm": normalize_street})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from addrloom.functions.text import normalize_street
+from addrloom.operators.streets import with_streets
 
 # Fixed values
 POI_KEYS = ("amenity", "shop", "office", "tourism", "leisure", "craft", "healthcare", "building")
@@ -41,7 +42,8 @@ def address_features(osm: DataFrame, interp: DataFrame) -> DataFrame:
     ends = interp.select(F.explode(F.array("n1", "n2")).alias("osm_id")).distinct().withColumn("osm_type", F.lit("node"))
     f = tags_of(osm).where(F.col("housenumber").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     f = f.join(ends, ["osm_id", "osm_type"], "left_anti")
-    return f.select("osm_id", "osm_type", F.upper("housenumber").alias("num"), normalize_street(F.col("street")).alias("street_norm"), "housenumber", "street", "lat", "lon", "tags", is_poi_node(F.col("osm_type"), F.col("tags")).alias("is_poi"))
+    f = with_streets(f, {"_norm": normalize_street})
+    return f.select("osm_id", "osm_type", F.upper("housenumber").alias("num"), F.col("_norm").alias("street_norm"), "housenumber", "street", "lat", "lon", "tags", is_poi_node(F.col("osm_type"), F.col("tags")).alias("is_poi"))
 
 
 def extra_tags(tags: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.functions.text import first_int, housenumber_tokens, override_street, parity_range, normalize_street
+from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, override_street, parity_range
+from addrloom.operators.streets import with_streets
 
 COLUMNS = ("bucket", "reason", "osm_type", "osm_id", "addr_housenumber", "addr_street", "entrance", "name", "building", "lat", "lon", "missing_parts", "matched_parts")
 
@@ -27,7 +28,8 @@ def source_index(src: DataFrame) -> DataFrame:
     again = F.when(F.coalesce((lo == hi) & (suffix("lo_num_suf") == ""), F.lit(False)), F.array(rendered, lo.cast("string"))).otherwise(F.array(rendered))
     single = F.when(rendered == "", F.array().cast("array<string>")).otherwise(again)
     keys = F.when(plain, F.transform(parity_range(lo, hi), lambda n: n.cast("string"))).otherwise(single)
-    rows = src.select(normalize_street(override_street(F.col("street"))).alias("street_norm"), F.explode(keys).alias("token"))
+    rows = with_streets(src, {"_norm": lambda s: normalize_street(override_street(s))})
+    rows = rows.select(F.col("_norm").alias("street_norm"), F.explode(keys).alias("token"))
     return rows.where("street_norm <> ''").groupBy("street_norm", "token").agg(F.count("*").alias("n_rows"))
 
 

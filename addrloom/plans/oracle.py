@@ -18,7 +18,8 @@ def hav(a: str, b: str, c: str, d: str) -> str:
 
 
 def order(x: str) -> str:
-    return f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN '0' || lpad({x}, 20, '0') ELSE '1' || {x} END"
+    digits = f"regexp_replace({x}, '^0+', '')"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN '0' || lpad(CAST(length({digits}) AS VARCHAR), 10, '0') || {digits} || ' ' || {x} ELSE '1' || {x} END"
 
 
 CAND = f"""{LATTICE},
@@ -45,21 +46,29 @@ conf0 AS (SELECT s.*, m.osm_id, m.osm_type, m.dist, m.name AS m_name, m.poi_key
 grp AS (SELECT run_id, address_full, muni, bool_and(verdict = 'MATCH') AS group_all_match FROM conf0 WHERE cls = 'Land' GROUP BY ALL HAVING COUNT(*) > 1),
 conf AS (SELECT c.*, CASE WHEN verdict = 'MISSING' THEN p_id END AS poi_id, CASE WHEN verdict = 'MISSING' THEN NULLIF(trim(p_code), '') END AS proposed_postcode, g.group_all_match
   FROM conf0 c LEFT JOIN grp g ON c.cls = 'Land' AND c.run_id = g.run_id AND c.address_full = g.address_full AND c.muni IS NOT DISTINCT FROM g.muni)"""
+#: CRC-32 of an ASCII text, bit by bit.
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, CAST(i AS BIGINT), 1)) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"
+ORDINAL = f"CASE WHEN regexp_full_match(candidate_id, '[0-9]+') THEN CAST(candidate_id AS BIGINT) ELSE {CRC.format(x='candidate_id')} END"
+LIST = "array_to_string(list_slice(list(id || '@' || printf('%d.%02d', cm // 100, cm % 100) ORDER BY {order}), 1, 5), '|')"
 PAIR = hav("c.lat", "c.lon", "f.lat", "f.lon")
 CHECKS = f"""{CONF},
 open AS (SELECT * FROM conf WHERE verdict <> 'SKIPPED'),
-dupn AS (SELECT c.run_id, c.candidate_id, COUNT(*) AS n FROM cand c JOIN cand f ON c.run_id = f.run_id AND c.candidate_id <> f.candidate_id AND abs(c.lat - f.lat) < 1e-4 AND abs(c.lon - f.lon) < 1e-4 WHERE {PAIR} <= 3 GROUP BY ALL),
-misn AS (SELECT c.run_id, c.candidate_id, COUNT(*) AS n FROM open c JOIN feat f ON c.housenumber = f.num AND NOT f.is_poi AND f.street_norm <> '' AND f.street_norm <> c.street_norm AND abs(c.lat - f.lat) < 1e-3 WHERE c.verdict = 'MISSING' AND {PAIR} <= 20 GROUP BY ALL),
-drin AS (SELECT c.run_id, c.candidate_id, COUNT(*) AS n FROM open c JOIN feat f ON c.street_norm = f.street_norm AND NOT f.is_poi AND c.housenumber <> f.num AND FLOOR(c.lat * 500) BETWEEN FLOOR(f.lat * 500) - 1 AND FLOOR(f.lat * 500) + 1 AND abs(c.lon - f.lon) < 2e-3
-  WHERE c.verdict IN ('MATCH', 'MATCH_FAR') AND c.street_norm <> '' AND {PAIR} <= c.dist - 2 GROUP BY ALL),
+dup0 AS (SELECT c.run_id, c.candidate_id, CAST(round({PAIR} * 100) AS BIGINT) AS cm, f.candidate_id AS id, {order("f.candidate_id")} AS o FROM cand c JOIN cand f ON c.run_id = f.run_id AND c.candidate_id <> f.candidate_id AND abs(c.lat - f.lat) < 1e-4 AND abs(c.lon - f.lon) < 1e-4 WHERE {PAIR} <= 3),
+dupn AS (SELECT run_id, candidate_id, COUNT(*) AS n, {LIST.format(order="cm, o")} AS t FROM dup0 GROUP BY ALL),
+mis0 AS (SELECT c.run_id, c.candidate_id, CAST(round({PAIR} * 100) AS BIGINT) AS cm, f.osm_type AS k, f.osm_id AS no, f.osm_type || '/' || f.osm_id AS id FROM open c JOIN feat f ON c.housenumber = f.num AND NOT f.is_poi AND f.street_norm <> '' AND f.street_norm <> c.street_norm AND abs(c.lat - f.lat) < 1e-3 WHERE c.verdict = 'MISSING' AND {PAIR} <= 20),
+misn AS (SELECT run_id, candidate_id, COUNT(*) AS n, {LIST.format(order="cm, k, no")} AS t FROM mis0 GROUP BY ALL),
+dri0 AS (SELECT c.run_id, c.candidate_id, CAST(round({PAIR} * 100) AS BIGINT) AS cm, f.osm_type AS k, f.osm_id AS no, f.osm_type || '/' || f.osm_id AS id FROM open c JOIN feat f ON c.street_norm = f.street_norm AND NOT f.is_poi AND c.housenumber <> f.num AND FLOOR(c.lat * 500) BETWEEN FLOOR(f.lat * 500) - 1 AND FLOOR(f.lat * 500) + 1 AND abs(c.lon - f.lon) < 2e-3
+  WHERE c.verdict IN ('MATCH', 'MATCH_FAR') AND c.street_norm <> '' AND {PAIR} <= c.dist - 2),
+drin AS (SELECT run_id, candidate_id, COUNT(*) AS n, {LIST.format(order="cm, k, no")} AS t FROM dri0 GROUP BY ALL),
 res AS (
-  SELECT run_id, candidate_id, 'match_far' AS check_id, 2 AS version, CASE WHEN verdict = 'MATCH_FAR' THEN 'FLAG' ELSE 'SKIP' END AS v, 'warn' AS sev, 'match_far' AS flag, 'ok' AS pass, 0 AS n FROM open
-  UNION ALL SELECT run_id, candidate_id, 'suffix_range', 2, CASE WHEN verdict <> 'MISSING' THEN 'SKIP' WHEN is_range OR upper(CASE WHEN lo_num_suf <> 'None' THEN lo_num_suf ELSE regexp_extract(housenumber, '^[0-9]+\\s*([A-Za-z])\\b', 1) END) IN ('I', 'O', 'Q') THEN 'FLAG' ELSE 'PASS' END, 'info', CASE WHEN is_range THEN 'range' ELSE 'suspicious_suffix' END, 'ok', 0 FROM open
-  UNION ALL SELECT o.run_id, o.candidate_id, 'city_duplicate', 1, CASE WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'info', 'city_duplicate', 'unique_location', COALESCE(n, 0) FROM open o LEFT JOIN dupn USING (run_id, candidate_id)
-  UNION ALL SELECT run_id, candidate_id, 'intra_source_duplicate', 2, CASE WHEN sibling_id IS NOT NULL AND NOT COALESCE(group_all_match, FALSE) THEN 'FLAG' ELSE 'SKIP' END, 'info', 'intra_source_duplicate', 'ok', 0 FROM open
-  UNION ALL SELECT o.run_id, o.candidate_id, 'nearby_street_mismatch', 2, CASE WHEN verdict <> 'MISSING' THEN 'SKIP' WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'warn', 'nearby_street_mismatch', 'no_nearby_mismatch', COALESCE(n, 0) FROM open o LEFT JOIN misn USING (run_id, candidate_id)
-  UNION ALL SELECT o.run_id, o.candidate_id, 'match_number_drift', 2, CASE WHEN verdict NOT IN ('MATCH', 'MATCH_FAR') OR street_norm = '' THEN 'SKIP' WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'warn', 'match_number_drift', 'no_number_drift', COALESCE(n, 0) FROM open o LEFT JOIN drin USING (run_id, candidate_id)
+  SELECT run_id, candidate_id, 'match_far' AS check_id, 2 AS version, CASE WHEN verdict = 'MATCH_FAR' THEN 'FLAG' ELSE 'SKIP' END AS v, 'warn' AS sev, 'match_far' AS flag, 'ok' AS pass, 0 AS n, NULL AS t FROM open
+  UNION ALL SELECT run_id, candidate_id, 'suffix_range', 2, CASE WHEN verdict <> 'MISSING' THEN 'SKIP' WHEN is_range OR upper(CASE WHEN lo_num_suf <> 'None' THEN lo_num_suf ELSE regexp_extract(housenumber, '^[0-9]+\\s*([A-Za-z])\\b', 1) END) IN ('I', 'O', 'Q') THEN 'FLAG' ELSE 'PASS' END, 'info', CASE WHEN is_range THEN 'range' ELSE 'suspicious_suffix' END, 'ok', 0, NULL FROM open
+  UNION ALL SELECT o.run_id, o.candidate_id, 'city_duplicate', 1, CASE WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'info', 'city_duplicate', 'unique_location', COALESCE(n, 0), t FROM open o LEFT JOIN dupn USING (run_id, candidate_id)
+  UNION ALL SELECT run_id, candidate_id, 'intra_source_duplicate', 2, CASE WHEN sibling_id IS NOT NULL AND NOT COALESCE(group_all_match, FALSE) THEN 'FLAG' ELSE 'SKIP' END, 'info', 'intra_source_duplicate', 'ok', 0, sibling_id || '@' || printf('%.2f', round(sibling_dist * 100) / 100) FROM open
+  UNION ALL SELECT run_id, candidate_id, 'missing_sample', 1, CASE WHEN verdict <> 'MISSING' THEN 'SKIP' WHEN ({ORDINAL}) % 50 = 0 THEN 'FLAG' ELSE 'PASS' END, 'info', 'spot_check', 'not_sampled', 0, NULL FROM open
+  UNION ALL SELECT o.run_id, o.candidate_id, 'nearby_street_mismatch', 2, CASE WHEN verdict <> 'MISSING' THEN 'SKIP' WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'warn', 'nearby_street_mismatch', 'no_nearby_mismatch', COALESCE(n, 0), t FROM open o LEFT JOIN misn USING (run_id, candidate_id)
+  UNION ALL SELECT o.run_id, o.candidate_id, 'match_number_drift', 2, CASE WHEN verdict NOT IN ('MATCH', 'MATCH_FAR') OR street_norm = '' THEN 'SKIP' WHEN n > 0 THEN 'FLAG' ELSE 'PASS' END, 'warn', 'match_number_drift', 'no_number_drift', COALESCE(n, 0), t FROM open o LEFT JOIN drin USING (run_id, candidate_id)
   UNION ALL SELECT run_id, candidate_id, 'potential_amenity', 4, CASE WHEN verdict NOT IN ('MATCH', 'MATCH_FAR') OR osm_type <> 'node' THEN 'SKIP' WHEN m_name IS NOT NULL OR m_poi IS NOT NULL THEN 'FLAG' ELSE 'PASS' END, 'info', 'potential_amenity', 'pure_address',
-    CASE WHEN m_name IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN m_poi IS NOT NULL THEN 1 ELSE 0 END FROM open),
+    CASE WHEN m_name IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN m_poi IS NOT NULL THEN 1 ELSE 0 END, array_to_string(list_sort(list_filter([m_poi, CASE WHEN m_name IS NOT NULL THEN 'name' END], lambda x: x IS NOT NULL)), ',') FROM open),
 checks AS (SELECT run_id, candidate_id, check_id, CAST(version AS INTEGER) AS version, v AS verdict, CASE WHEN v = 'FLAG' THEN sev END AS severity, CASE v WHEN 'SKIP' THEN 'not_applicable' WHEN 'FLAG' THEN flag ELSE pass END AS reason_code,
-  CAST(CASE WHEN v = 'FLAG' THEN n ELSE 0 END AS BIGINT) AS n_details FROM res)"""
+  CAST(CASE WHEN v = 'FLAG' THEN n ELSE 0 END AS BIGINT) AS n_details, CASE WHEN v = 'FLAG' THEN t END AS details FROM res)"""

@@ -12,7 +12,7 @@ from addrloom.operators import checks, coverage, features, orphans, reports, sta
 from addrloom.operators import conflate as conf
 from addrloom.plans import tiling
 from addrloom.plans.stage import materialize
-from addrloom.plans.oracle import CAND, CHECKS, CONF, FEAT, hav, norm, order
+from addrloom.plans.oracle import CAND, CHECKS, CONF, FEAT, LIST, PAIR, hav, norm, order
 from addrloom.sources import history
 from addrloom.sources.lattice import LATTICE, lattice
 from addrloom.sources.recipes import Recipe
@@ -249,34 +249,27 @@ def _(spark, d):
     return reports.counts(conflated(spark, d), "run_id", "verdict")
 
 
-ORACLE_CHECKS = tuple(c for c in checks.VERSIONS if c != "missing_sample")
-
-
-def results(spark, d, enabled=ORACLE_CHECKS):
+def results(spark, d, enabled=tuple(checks.VERSIONS)):
     return checks.run_checks(materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features"), enabled)
 
 
-for _check in ORACLE_CHECKS:
+for _check in checks.VERSIONS:
     QUERIES[f"C_{_check}"] = lambda spark, d, c=_check: results(spark, d, (c,)).select(*checks.RESULT)
     SQL[f"C_{_check}"] = f"{CHECKS} SELECT * FROM checks WHERE check_id = '{_check}'"
 
 
-@query("C_missing_sample")
+@query("J08_missing_nearby", f"""{CHECKS}, m AS (SELECT c.run_id, c.candidate_id, CAST(round({PAIR} * 100) AS BIGINT) AS cm, {order('f.candidate_id')} AS o, f.candidate_id AS id FROM checks k JOIN conf c USING (run_id, candidate_id) JOIN conf f ON f.run_id = c.run_id AND f.candidate_id <> c.candidate_id AND f.verdict = 'MISSING' AND f.street_norm = c.street_norm
+  WHERE k.check_id = 'match_number_drift' AND k.verdict = 'FLAG' AND {PAIR} <= c.dist) SELECT run_id, candidate_id, COUNT(*) AS n, {LIST.format(order='cm, o')} AS list FROM m GROUP BY ALL""")
 def _(spark, d):
-    return results(spark, d, ("missing_sample",)).select(*checks.RESULT)
+    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    flagged = checks.run_checks(c, f, ("match_number_drift",)).where("verdict = 'FLAG'")
+    return checks.missing_nearby(c, flagged).select("run_id", "candidate_id", "n", "list")
 
 
 @query("R02_stages", f"""{CHECKS}, fl AS (SELECT run_id, candidate_id, string_agg(DISTINCT reason_code, ',' ORDER BY reason_code) AS reasons FROM checks WHERE verdict = 'FLAG' GROUP BY ALL)
 SELECT c.run_id, c.candidate_id, c.verdict, reasons, CASE WHEN c.verdict = 'SKIPPED' THEN 'SKIPPED' WHEN reasons IS NOT NULL THEN 'REVIEW_PENDING' WHEN c.verdict = 'MISSING' THEN 'APPROVED' WHEN c.verdict = 'MATCH' THEN 'SKIPPED' ELSE 'CHECKED' END AS stage
 FROM conf c LEFT JOIN fl USING (run_id, candidate_id)""")
 def _(spark, d):
-    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
-    return checks.stages(c, checks.run_checks(c, f, ORACLE_CHECKS)).select("run_id", "candidate_id", "verdict", "reasons", "stage")
-
-
-@query("R02_stages_all")
-def _(spark, d):
-    """R02 with the sample of missing addresses too, as the job routes them; the SQL of R02_stages has no CRC-32 and leaves it out."""
     c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
     return checks.stages(c, checks.run_checks(c, f)).select("run_id", "candidate_id", "verdict", "reasons", "stage")
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the plan and survives lost executors; the folder is ``spark.checkpoint.dir``, a local one only where that is unset."""
+    """Cuts the plan and survives lost executors; the folder is ``spark.checkpoint.dir``. Where that is unset, a local one in local mode, an error on a cluster."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="addrloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/addrloom/{name}-{uuid.uuid4().hex}"
