@@ -13,6 +13,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: Rows a broadcast of hot keys may hold; every other key has at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1000
+#: Documents in an Arrow batch; the default of 10,000 holds some 30 to 60 MB on both sides of each task.
+TEXT_ROWS = 2000
 #: Rows of some longs that are broadcast: about 100 MB.
 SMALL = 2_000_000
 #: Slots over which the rows of a hot key are spread.
@@ -73,6 +75,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str, row_i
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Lets Python workers get TEXT_ROWS rows at a time from now on, unless the session asks for fewer: documents are long rows."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= TEXT_ROWS:
+        spark.conf.set(rows, str(TEXT_ROWS))
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null. Counts word starts, without building an array of the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

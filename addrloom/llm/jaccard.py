@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import drop_tables, keep_first, lookup, small, write_table
+from addrloom.llm.common import drop_tables, keep_first, lookup, small, text_batches, write_table
 from addrloom.llm.simhash import LOWER, components, fold, links
 
 SHINGLE = 5
@@ -165,6 +165,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, th, sid, n, fp, m0 to m7, wide, prefix, hot): the text's hash; its set's hash, size, SimHash, parity maps and prefix, hot shingles apart."""
+    text_batches(docs.sparkSession)
     frequent, counts = frequent_shingles(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

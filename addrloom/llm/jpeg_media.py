@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from addrloom.llm.common import write_table
+from addrloom.llm.common import text_batches, write_table
 
 UNIT = 192
 RESTART = 4
@@ -490,6 +490,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
                 for s in _chunks([len(t) for t in texts], ENCODE_CHUNK):
                     yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")[s.start : s.stop], "media": pa.array(encode(texts[s]), pa.binary())})
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, MEDIA)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from addrloom.llm.common import hidden
+from addrloom.llm.common import hidden, text_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_N = 5
@@ -118,14 +118,15 @@ def fit(docs: DataFrame, max_docs: int = 2000) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from the column ``text``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by fit()
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            found = [scorer.predict(t) for lo in range(0, b.num_rows, 256) for t in b.column(at).slice(lo, 256).to_pylist()]
+        for b in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            found = [scorer.predict(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, schema)

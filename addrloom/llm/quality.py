@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from addrloom.llm.common import text_batches
+
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 LEVEL = 3
@@ -113,6 +115,7 @@ def quality(docs: DataFrame, extra: str | None = None) -> DataFrame:
             cols = list(zip(*found)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types[1:]))], names=names)
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, OUT)
 
 

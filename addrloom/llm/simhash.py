@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import drop_tables, keep_first, lookup, write_table
+from addrloom.llm.common import drop_tables, keep_first, lookup, text_batches, write_table
 
 #: Members of a group.
 RUN = 8
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for lo in range(0, b.num_rows, 256) for t in b.column("text").slice(lo, 256).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "th": b.column("th"), "fp": pa.array(fps.view(np.int64))})
 
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 

@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from addrloom.llm.common import text_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks a worker remembers, twice at most, and half as many pairs of pieces.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters of a text from which on its chunks are taken some at a time.
 LONG = 1 << 20
 MODEL = "piece_bpe_32k.model"
@@ -233,6 +235,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ids = [None if t is None else c.encode(t) for t in s.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": s.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
@@ -250,6 +253,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             n, crc, size, same = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "decoded_equal": pa.array(same, pa.bool_())})
 
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint, decoded_equal boolean")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from addrloom.llm.common import shared_dir, write_table
+from addrloom.llm.common import shared_dir, text_batches, write_table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -191,6 +191,7 @@ def write_store(docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int
     are dealt out too. A file is named anew by every attempt; those in the manifest count.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     trained = train_dictionary(docs, rows, path)
     store, base = fs.FileSystem.from_uri(folder)
