@@ -19,6 +19,22 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(EARTH_M) * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def haversine_asin(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The same by the arc sine, as the census has it; differs in the last digit."""
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * EARTH_M) * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+
+
+def box_overlap(a: str, b: str) -> Column:
+    """The share of the smaller of two boxes (structs min_lat, min_lon, max_lat, max_lon) that both cover; 0 where they miss."""
+    side = lambda box, c: F.col(f"{box}.{c}")
+    area = lambda box: (side(box, "max_lat") - side(box, "min_lat")) * (side(box, "max_lon") - side(box, "min_lon"))
+    high = lambda c: F.least(side(a, f"max_{c}"), side(b, f"max_{c}"))
+    low = lambda c: F.greatest(side(a, f"min_{c}"), side(b, f"min_{c}"))
+    lat, lon = high("lat") - low("lat"), high("lon") - low("lon")
+    return F.when((lat > 0) & (lon > 0), lat * lon / F.least(area(a), area(b))).otherwise(0.0)
+
+
 def cell(x: Column, size: float) -> Column:
     """G03"""
     return F.floor(x / F.lit(size)).cast("bigint")

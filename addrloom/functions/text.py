@@ -74,6 +74,12 @@ def override_street(name: Column) -> Column:
     return F.coalesce(_look({k.upper(): v for k, v in STREET_OVERRIDES.items()}, key), name)
 
 
+def street_fallback(full: Column, name: Column, kind: Column, direction: Column) -> Column:
+    """The full street name, else its parts that aren't empty; '' without any."""
+    parts = F.filter(F.array(name, kind, direction), lambda p: F.coalesce(p != "", F.lit(False)))
+    return F.coalesce(F.nullif(full, F.lit("")), F.trim(F.array_join(parts, " ")))
+
+
 def first_int(text: Column) -> Column:
     """The first run of digits as a number, 0 without one."""
     return F.coalesce(F.regexp_extract(text, r"(\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

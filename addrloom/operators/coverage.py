@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.functions.text import housenumber_tokens, normalize_street, parity_range
+from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, parity_range, sqlite_int
 from addrloom.operators.streets import with_streets
 
 
@@ -14,13 +14,29 @@ def span_bucket(span: Column) -> Column:
     return F.when(span <= 1, "1").when(span == 2, "2").when(span <= 9, "3-9").when(span <= 49, "10-49").when(span <= 99, "50-99").otherwise("100+")
 
 
+def numbers_within(ranges: DataFrame, numbers: DataFrame, group: list[str], key: str) -> DataFrame:
+    """(key, present): for each range (key, group, lo, hi, step of 1 or 2) how many of ``numbers`` (group, n; distinct) lie in it, by its step.
+
+    Two marks for each range in the sorted numbers of its group and parity: the running count at its end less that before its start.
+    So a range costs the same however long it is.
+    """
+    parity = lambda c: F.pmod(F.col(c), F.lit(2)).cast("int")
+    shape = lambda df, n, at, c, k: df.select(*group, "p", n.cast("bigint").alias("n"), F.lit(at).alias("at"), c.alias("c"), k.alias("key"))
+    none, kind = F.lit(0).cast("bigint"), ranges.schema[key].dataType
+    marks = ranges.where("lo <= hi").withColumn("p", F.explode(F.when(F.col("step") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(parity("lo")))))
+    u = shape(numbers.withColumn("p", parity("n")), F.col("n"), 1, F.lit(1).cast("bigint"), F.lit(None).cast(kind))
+    u = u.union(shape(marks, F.col("lo"), 0, none, F.col(key))).union(shape(marks, F.col("hi"), 2, none, F.col(key)))
+    w = Window.partitionBy(*group, "p").orderBy("n", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("seen", F.sum("c").over(w)).where("at <> 1")
+    return u.groupBy(F.col("key").alias(key)).agg(F.sum(F.when(F.col("at") == 2, F.col("seen")).otherwise(-F.col("seen"))).alias("present"))
+
+
 def range_coverage(ranges: DataFrame, singles: DataFrame) -> DataFrame:
     """How many of a range's numbers, always by 2 from its low end, are single addresses of its street and municipality."""
-    lo, hi = F.least("lo_num", "hi_num"), F.greatest("lo_num", "hi_num")
-    r = ranges.select("candidate_id", "muni", "street_norm", F.explode(F.sequence(lo, hi, F.lit(2).cast("bigint"))).alias("n"))
-    s = singles.select(F.col("muni").alias("_m"), F.col("street_norm").alias("_s"), F.col("lo_num").alias("_n")).distinct()
-    j = r.join(s, F.col("muni").eqNullSafe(F.col("_m")) & (F.col("street_norm") == F.col("_s")) & (F.col("n") == F.col("_n")), "left")
-    g = j.groupBy("candidate_id").agg(F.count("_n").alias("parity_present"), F.count("*").alias("parity_total"))
+    r = ranges.select("candidate_id", "muni", "street_norm", F.least("lo_num", "hi_num").alias("lo"), F.greatest("lo_num", "hi_num").alias("hi"), F.lit(2).alias("step"))
+    s = singles.where("lo_num is not null").select("muni", "street_norm", F.col("lo_num").alias("n")).distinct()
+    g = r.groupBy("candidate_id").agg(F.sum(F.floor((F.col("hi") - F.col("lo")) / 2) + 1).cast("bigint").alias("parity_total"))
+    g = g.join(numbers_within(r, s, ["muni", "street_norm"], "candidate_id"), "candidate_id", "left").select("candidate_id", F.coalesce("present", F.lit(0)).alias("parity_present"), "parity_total")
     return g.withColumn("category", F.when(F.col("parity_present") == 0, "uncovered").when(F.col("parity_present") == F.col("parity_total"), "full").otherwise("partial"))
 
 
@@ -42,6 +58,22 @@ def street_match(cands: DataFrame, features: DataFrame) -> DataFrame:
     return j.select("street_norm", F.coalesce("n_source", F.lit(0)).alias("n_source"), F.coalesce("n_osm", F.lit(0)).alias("n_osm"), "source_name", "osm_name", kind.alias("kind"))
 
 
+def street_lists(streets: DataFrame) -> DataFrame:
+    """The streets of ``street_match`` with their place in the list of their kind: most addresses first, then by name."""
+    n = F.greatest("n_source", "n_osm")
+    return streets.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(n.desc(), "street_norm")))
+
+
+def in_list_order(rows: DataFrame) -> DataFrame:
+    """Entries by lower-case street, leading number and number as written: a range sort, so no task holds them all."""
+    return rows.withColumns({"street_key": F.lower(F.coalesce("street", F.lit(""))), "number_key": first_int(F.col("housenumber"))}).orderBy("street_key", "number_key", "housenumber")
+
+
+def in_drift_order(rows: DataFrame) -> DataFrame:
+    """Flags of a street by run, numeric start of the number (0 without one) and number."""
+    return rows.withColumn("number_key", sqlite_int(F.col("housenumber"))).orderBy("run_id", "number_key", "housenumber")
+
+
 def reverse_sweep(features: DataFrame, keys: DataFrame) -> DataFrame:
     """Node features by the share of their numbers that the source knows, and the unknown ones."""
     t = features.where((F.col("osm_type") == "node") & ~F.col("is_poi") & (F.col("street_norm") != "")).select("osm_id", "street_norm", F.posexplode(housenumber_tokens(F.col("housenumber"))).alias("pos", "token"))

@@ -69,14 +69,22 @@ def retirements(retired: DataFrame, features: DataFrame, known: DataFrame, radiu
     return j.withColumn("summary", group)
 
 
-def window_counts(src: DataFrame, windows: list[tuple[int, int, int]]) -> DataFrame:
-    """New and retired rows of each run's window (run_id, from, to]; the list holds a row for each maintenance run."""
-    found = None
-    for run_id, low, high in windows:
-        one = delta(src, low, high).agg(F.count_if(F.col("change") == "new").alias("new_count"), F.count_if(F.col("change") == "retired").alias("retired_count"))
-        one = one.select(F.lit(run_id).cast("bigint").alias("run_id"), "new_count", "retired_count")
-        found = one if found is None else found.unionByName(one)
-    return found
+def window_counts(src: DataFrame, windows: DataFrame) -> DataFrame:
+    """New and retired rows of each maintenance run's window: ``windows`` is a table (run_id, low, high) of the windows (low, high].
+
+    The source is read once, however many windows there are: rows are counted by the snapshots that matter, or meet the windows they fall in.
+    """
+    seen = src.groupBy("identity_key").agg(F.min("min_snapshot_id").alias("_first"), F.max("max_snapshot_id").alias("_last"))
+    rows = src.join(seen, "identity_key")
+    new = rows.groupBy(F.col("max_snapshot_id").alias("_at"), "_first").agg(F.count("*").alias("_n"))
+    new = new.join(F.broadcast(windows), (F.col("_at") == F.col("high")) & (F.col("_first") > F.col("low"))).groupBy("run_id").agg(F.sum("_n").alias("new_count"))
+    gone = rows.where(F.col("max_snapshot_id") == F.col("_last")).select("identity_key", "number", "street", "_last")
+    gone = gone.join(F.broadcast(windows), (F.col("_last") >= F.col("low")) & (F.col("_last") < F.col("high")))
+    now = src.select(F.col("max_snapshot_id").alias("_s"), F.col("number").alias("_num"), F.col("street").alias("_st"), F.col("identity_key").alias("_id"))
+    again = (F.col("high") == F.col("_s")) & (F.col("number") == F.col("_num")) & (F.col("street") == F.col("_st")) & (F.col("identity_key") != F.col("_id"))
+    gone = gone.join(now, again, "left_anti").groupBy("run_id").agg(F.count("*").alias("retired_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return windows.select("run_id").join(new, "run_id", "left").join(gone, "run_id", "left").select("run_id", zero("new_count"), zero("retired_count"))
 
 
 def lagging(watermark_date: str | None, published_date: str | None) -> bool:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.functions.text import expand_street, parity_range
+from addrloom.functions.text import expand_street
+from addrloom.operators.coverage import numbers_within
 
 # Fixed values
 DASHES = "-‐‑‒–—―"
@@ -61,11 +62,12 @@ def busiest_streets(src: DataFrame, top: int = 5) -> DataFrame:
 
 def _covered(ranges: DataFrame, keys: DataFrame) -> DataFrame:
     """``ranges``: identity_key, street, area, lo_num, hi_num; ``keys``: distinct street, area, n. A reversed range has no numbers and no cover."""
-    numbers = F.explode_outer(parity_range(F.col("lo_num"), F.col("hi_num"))).alias("n")
-    r = ranges.select("identity_key", "street", "area", numbers)
-    k = keys.select(F.col("street").alias("_s"), F.col("area").alias("_a"), F.col("n").alias("_n"))
-    j = r.join(k, (F.col("street") == F.col("_s")) & F.col("area").eqNullSafe(F.col("_a")) & (F.col("n") == F.col("_n")), "left")
-    g = j.groupBy("identity_key").agg(F.count("_n").alias("present"), F.count("n").alias("expected"))
+    lo, hi = F.col("lo_num"), F.col("hi_num")
+    step = F.when(F.pmod(lo, F.lit(2)) == F.pmod(hi, F.lit(2)), 2).otherwise(1)
+    r = ranges.where("street is not null").select("identity_key", "street", "area", lo.alias("lo"), hi.alias("hi"), step.alias("step"))
+    count = F.when(lo <= hi, F.floor((hi - lo) / step) + 1).otherwise(0).cast("bigint")
+    g = ranges.groupBy("identity_key").agg(F.sum(count).alias("expected")).join(numbers_within(r, keys, ["street", "area"], "identity_key"), "identity_key", "left")
+    g = g.select("identity_key", F.coalesce("present", F.lit(0)).alias("present"), "expected")
     return g.withColumn("cover", F.when(F.col("present") == 0, "none").when(F.col("present") == F.col("expected"), "full").otherwise("partial"))
 
 

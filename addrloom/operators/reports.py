@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from addrloom.functions.geo import box_overlap, haversine_asin
 
 
 def counts(df: DataFrame, *by: str) -> DataFrame:
@@ -59,16 +63,59 @@ def top_per(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 
 
 def suffixed_ids(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
-    """Ids made unique by -2, -3 ... in order."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(*order))
-    return df.withColumn("tile_id", F.when(n == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), n.cast("string"))))
-
-
-def overlap_census(points: DataFrame) -> DataFrame:
-    """For each pair of datasets the keys they share. Keys are counted before the self join, so it meets one row for each dataset and key."""
-    keys = points.select("dataset", "number", "street_norm").distinct()
-    other = keys.select(F.col("dataset").alias("other"), "number", "street_norm")
-    return keys.join(other, ["number", "street_norm"]).where("dataset < other").groupBy("dataset", "other").agg(F.count("*").alias("shared"))
+    """Unique ids in order: the slug, or it with -2, -3 ..., whichever no row before has taken.
+
+    Only slugs that differ in such endings can collide, so each family of them is numbered in turn, in one task; a family has as
+    many rows as there are tiles of one name.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("tile_id", T.StringType())])
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*order, slug], kind="stable")
+        used, after, ids = set(), {}, []
+        for base in rows[slug]:
+            name, i = base, after.get(base, 2)
+            while name in used:
+                name, i = f"{base}-{i}", i + 1
+            used.add(name)
+            after[base] = i
+            ids.append(name)
+        return rows.assign(tile_id=ids)
+
+    return df.groupBy(F.regexp_replace(slug, r"(-\d+)+$", "").alias("_family")).applyInPandas(number, schema)
+
+
+def overlap_census(points: DataFrame, colocated_m: float = 150.0, least_overlap: float = 0.001, labels: int = 3) -> DataFrame:
+    """Pairs of datasets whose boxes overlap and that share colocated keys.
+
+    ``points``: dataset, number, street_norm, muni, lat, lon. A key counts by one point of its dataset, the one with the largest
+    (lat, lon). shared: keys of both; colocated: those less than ``colocated_m`` apart; labels: the most frequent pairs of
+    municipalities among these. Keys meet in an equi join, a row for each dataset and key.
+    """
+    own = points.where("number <> '' AND street_norm <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
+    keys = own.groupBy("dataset", "number", "street_norm").agg(F.max(F.struct("lat", "lon", "muni")).alias("p"))
+    boxes = keys.groupBy("dataset").agg(F.struct(F.min("p.lat").alias("min_lat"), F.min("p.lon").alias("min_lon"), F.max("p.lat").alias("max_lat"), F.max("p.lon").alias("max_lon")).alias("box"))
+    other = keys.select(F.col("dataset").alias("other"), "number", "street_norm", F.col("p").alias("q"))
+    pairs = keys.join(other, ["number", "street_norm"]).where("dataset < other")
+    near = F.coalesce(haversine_asin(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon")) < colocated_m, F.lit(False))
+    by = ["dataset", "other"]
+    found = pairs.withColumns({"near": near, "label": F.concat_ws("=", F.coalesce("p.muni", F.lit("?")), F.coalesce("q.muni", F.lit("?")))}).groupBy(*by, "label").agg(F.count("*").alias("n"), F.count_if("near").alias("c"))
+    top = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("c"), "label"))
+    found = found.withColumn("_top", top).groupBy(*by).agg(F.sum("n").alias("shared"), F.sum("c").alias("colocated"), F.array_sort(F.collect_list(F.when((F.col("_top") <= labels) & (F.col("c") > 0), F.struct("_top", "label", "c")))).alias("_l"))
+    box = lambda c: boxes.select(F.col("dataset").alias(c), F.col("box").alias(f"_{c}"))
+    found = found.join(box("dataset"), "dataset").join(box("other"), "other").withColumn("overlap", box_overlap("_dataset", "_other"))
+    listed = F.array_join(F.transform("_l", lambda x: F.concat_ws(":", x["label"], x["c"].cast("string"))), ", ")
+    return found.where((F.col("overlap") >= least_overlap) & (F.col("colocated") > 0)).select(*by, "shared", "colocated", "overlap", listed.alias("labels"))
+
+
+def flag_reasons(results: DataFrame) -> DataFrame:
+    """The distinct reasons of each run's flags."""
+    return results.where("verdict = 'FLAG' AND reason_code <> ''").select("run_id", "reason_code").distinct()
+
+
+def last_events(events: DataFrame, where: Column | None = None, most: int = 500) -> DataFrame:
+    """The newest events that pass the filter, a top-k."""
+    return (events if where is None else events.where(where)).orderBy(F.desc("ts"), F.desc("event_id")).limit(most)
 
 
 def gap(cands: DataFrame, features: DataFrame) -> DataFrame:

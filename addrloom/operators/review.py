@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from addrloom.functions.geo import in_box
 from addrloom.functions.text import id_order, normalize_street
+from addrloom.operators.features import tag_diff
 
 KEYS = ["run_id", "candidate_id"]
 SPAN_DEG, VIEW_ROWS = 0.03, 500
@@ -48,6 +49,26 @@ def queue(cands: DataFrame, items: DataFrame, statuses: tuple[str, ...] = ("OPEN
     return rows if limit is None else rows.where(F.col("position") <= offset + limit)
 
 
+def detail(cands: DataFrame, results: DataFrame, features: DataFrame) -> DataFrame:
+    """For each candidate what its page shows: its checks, its sibling's verdict, and the tags that differ from the feature it is compared with.
+
+    That is its match, or, for a missing one with a neighbour on another street, the nearest of these. ``cands`` are conflated
+    candidates, ``results`` those of all checks with details, ``features`` have osm_id, osm_type and tags.
+    """
+    told = results.groupBy(*KEYS).agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "check_id", "verdict"))), ",").alias("checks"),
+        F.max(F.when((F.col("check_id") == "nearby_street_mismatch") & (F.col("verdict") == "FLAG"), F.col("details"))).alias("_near"))
+    first = F.substring_index(F.col("_near"), "@", 1)
+    c = cands.join(told, KEYS, "left").join(cands.select("run_id", F.col("candidate_id").alias("sibling_id"), F.col("verdict").alias("sibling_verdict")), ["run_id", "sibling_id"], "left")
+    kind = F.coalesce("osm_type", F.when(F.col("verdict") == "MISSING", F.substring_index(first, "/", 1)))
+    no = F.coalesce("osm_id", F.when(F.col("verdict") == "MISSING", F.substring_index(first, "/", -1).try_cast("bigint")))
+    c = c.withColumns({"compared_type": kind, "compared_id": no, "_p": F.map_from_arrays(F.array(*map(F.lit, ("addr:housenumber", "addr:street"))), F.array("housenumber", "street"))})
+    f = features.select(F.col("osm_type").alias("compared_type"), F.col("osm_id").alias("compared_id"), F.col("tags").alias("_o"))
+    j = c.select(*KEYS, "compared_type", "compared_id", "_p").join(f, ["compared_type", "compared_id"])
+    diff = tag_diff(j, "_p", "_o").where("status <> 'SAME'").groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tag", "status"))), ",").alias("differs"))
+    return c.join(diff, KEYS, "left").select(*KEYS, "verdict", "stage", "compared_type", "compared_id", "sibling_id", "sibling_verdict", "checks", "differs")
+
+
 def listed(cands: DataFrame, items: DataFrame, stage: str, **filters) -> DataFrame:
     """Candidates of a stage with the status of their review, if there was one."""
     c = cands.where((F.col("stage") == stage) & conditions(**filters))

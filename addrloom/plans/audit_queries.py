@@ -177,12 +177,16 @@ def _(spark, d):
     return backfill.pending_work(found, 1).select("candidate_id", "missing_count", "part", "sort_key")
 
 
-_RUNS = [("downtown-2-batch-2026-01-31", "downtown-2"), ("east-2026-02-01", "east"), ("west-batch", "west-batch"), ("2026-01-01", "2026-01-01"), ("a-2026-01-01-2026-01-02", "a-2026-01-01")]
+_NAMED = "named AS (SELECT DISTINCT lower(replace(src_name, ' ', '-')) || CASE b % 3 WHEN 0 THEN '-batch' WHEN 1 THEN '-' || b ELSE '' END || CASE b % 5 WHEN 0 THEN '' ELSE '-2026-0' || (b % 9 + 1) || '-1' || b % 10 END AS run FROM base)"
 
 
-@query("P15_tile_of_run", "SELECT run, tile FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _RUNS) + ") AS t(run, tile)")
+@query("P15_tile_of_run", rf"{LATTICE}, {_NAMED} SELECT run, regexp_replace(run, '(-batch)?-\d{{4}}-\d{{2}}-\d{{2}}$', '') AS tile FROM named")
 def _(spark, d):
-    return spark.createDataFrame(_RUNS, "run string, _ string").select("run", backfill.tile_of_run(F.col("run")).alias("tile"))
+    b = F.col("b")
+    mark = F.when(b % 3 == 0, "-batch").when(b % 3 == 1, F.concat(F.lit("-"), b)).otherwise("")
+    date = F.when(b % 5 == 0, "").otherwise(F.concat(F.lit("-2026-0"), b % 9 + 1, F.lit("-1"), b % 10))
+    run = F.concat(F.lower(F.replace("src_name", F.lit(" "), F.lit("-"))), mark, date)
+    return lattice(spark, d, "base").select(run.alias("run")).distinct().select("run", backfill.tile_of_run(F.col("run")).alias("tile"))
 
 
 _FULL = [("903 Cottingham Road, Emily Twp", "903", "Cottingham Road", "ROAD"), ("3 ALLISON LINE BLENHEIM TOWN", "3", "ALLISON LINE", "LINE"), ("61A King St. W", "61A", "King St. W", "ST"), ("1133-B Elm", "", "1133-B Elm", "ELM"), ("12-14b Oak  Ave", "12-14B", "Oak Ave", "AVE"), ("Main St Blenheim", "", "Main St", "ST"), ("N W", "", "N W", ""), ("7", "7", "", "")]
@@ -195,12 +199,11 @@ def _(spark, d):
     return spark.createDataFrame([r[:1] for r in _FULL], "combined string").select("combined", number.alias("number"), street.alias("street"), datasets.suffix_token(street).alias("suffix"))
 
 
-_LISTS = [("586/586a", "586|586a"), ("11 1/2,13", "11 1/2|13"), ("1/2", "1|2"), ("5;7, 5", "5|7"), (" 9 ", "9"), ("", "")]
-
-
-@query("N06_split_numbers", "SELECT number, parts FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _LISTS) + ") AS t(number, parts)")
+@query("N06_split_numbers", rf"""{LATTICE} SELECT osm_id, array_to_string(list_transform(list_filter(list_transform(range(len(p)), lambda i: CASE WHEN list_position(p, p[i + 1]) = i + 1 THEN p[i + 1] END), lambda x: x IS NOT NULL), lambda x: x), '|') AS parts FROM (SELECT osm_id,
+  flatten(list_transform(list_filter(list_transform(string_split_regex(housenumber, '[,;]'), lambda x: trim(x)), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '\d+[A-Za-z]*(/\d+[A-Za-z]*)+') THEN string_split(x, '/') ELSE [x] END)) AS p FROM osm)""")
 def _(spark, d):
-    return spark.createDataFrame(_LISTS, "number string, _ string").select("number", F.array_join(text.split_housenumbers(F.col("number")), "|").alias("parts"))
+    return osm(spark, d).select("osm_id", F.array_join(text.split_housenumbers(F.col("housenumber")), "|").alias("parts"))
+
 
 
 @query("N04_override_street", f"{LATTICE} SELECT DISTINCT street, CASE street WHEN 'DEANE FIELD CRES' THEN 'Deanefield Cres' WHEN 'KATHLEEN AVE' THEN 'Kathleen Cres' ELSE street END AS override FROM src")

@@ -8,7 +8,7 @@ from addrloom.functions import geo, mapxml, text
 from addrloom.operators import maintenance, profile, review, state
 from addrloom.plans import tiling
 from addrloom.plans.oracle import CAND, CONF, FEAT, hav, order
-from addrloom.plans.queries import BOX, SNAPSHOT, WATERMARK, cands, conflated, events, feats, osm, query, src
+from addrloom.plans.queries import BOX, SNAPSHOT, WATERMARK, WORLD, cands, conflated, events, feats, osm, quad_sql, query, src
 from addrloom.sources import history
 from addrloom.sources.lattice import LATTICE, lattice
 
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("A23_windows", f"{LATTICE} " + " UNION ALL ".join(f"SELECT CAST({r} AS BIGINT) AS run_id, COUNT(*) FILTER (WHERE change = 'new') AS new_count, COUNT(*) FILTER (WHERE change = 'retired') AS retired_count FROM ({_delta(a, b)})" for r, a, b in ((1, 5, 10), (2, 0, 6), (3, 6, 10))))
 def _(spark, d):
-    return maintenance.window_counts(src(spark, d), [(1, 5, 10), (2, 0, 6), (3, 6, 10)])
+    return maintenance.window_counts(src(spark, d), spark.createDataFrame([(1, 5, 10), (2, 0, 6), (3, 6, 10)], "run_id bigint, low int, high int"))
 
 
 PROV = """ver AS (SELECT user_id AS element_id, event_id AS version, event_type AS editor, user_id % 7 = 0 AS is_feature, event_type IN ('signup', 'click') AS mine, CAST(value > 50 AS INTEGER) AS geometry FROM events),
@@ -219,6 +219,11 @@ def _(spark, d):
     return tiling.outside(src(spark, d), areas(spark), "identity_key").select("identity_key")
 
 
+@query("Q02_orphan_tiles", f"{LATTICE}, o AS (SELECT * FROM src WHERE NOT EXISTS (SELECT 1 FROM (VALUES {_AREAS}) AS a(k, x0, y0, x1, y1) WHERE lon > x0 AND lon < x1 AND lat > y0 AND lat < y1)), {quad_sql('o', tiling.depth(WORLD, tiling.OUTSIDE_SPAN_DEG))} SELECT prefix, level, points FROM quads")
+def _(spark, d):
+    return tiling.quadtree(tiling.outside(src(spark, d), areas(spark), "identity_key"), WORLD, cap_deg=tiling.OUTSIDE_SPAN_DEG)
+
+
 @query("Q03_merge_tiles")
 def _(spark, d):
     box = (43.0, -80.0, 44.0, -79.0)

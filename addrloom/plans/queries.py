@@ -123,13 +123,21 @@ def _(spark, d):
     return osm(spark, d).select("street", text.normalize_street(F.col("street")).alias("street_norm")).distinct()
 
 
-NAMES = [("Foo Ave W", "Foo Avenue West"), ("St Clair Ave E", "St Clair Avenue East"), ("Mc Caul St", "McCaul Street"), ("Mc West", "Mc West"), ("The Kingsway", "The Kingsway"), ("KING ST. W.", "KING Street West"), ("", ""), ("W", "West"), ("Mc  Gill  Cr", "McGill Crescent")]
-_NAMES = ", ".join(f"('{a}', '{b}')" for a, b in NAMES)
+#: Spellings of the source, as they are and with dots, blanks and a direction.
+_SPELLED = "names AS (SELECT DISTINCT UNNEST([street, lower(street), street || '. ', street || '  E', street || '. W.', split_part(street, ' ', 1) || '  North', '']) AS name FROM src)"
+_LONG = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.LONG_SUFFIXES.items()) + "}"
+_LONG_DIR = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.LONG_DIRECTIONS.items()) + "}"
 
 
-@query("N02_expand_street", f"SELECT name, long_name FROM (VALUES {_NAMES}) AS t(name, long_name)")
+@query("N02_expand_street", rf"""{LATTICE}, {_SPELLED}, t AS (SELECT name, list_filter(string_split_regex(regexp_replace(name, '(?i)^mc\s+(caul)(\s|$)', 'Mc\1\2'), '\s+'), lambda x: x <> '') AS p FROM names),
+u AS (SELECT name, p, {_LONG_DIR}[upper(replace(p[-1], '.', ''))] AS d, len(p) AS n FROM t), v AS (SELECT *, CASE WHEN d IS NULL THEN n ELSE n - 1 END AS z FROM u),
+w AS (SELECT *, CASE WHEN z > 0 THEN {_LONG}[upper(replace(p[z], '.', ''))] END AS s FROM v)
+SELECT name, CASE WHEN n = 0 THEN name ELSE array_to_string(list_transform(p, lambda x, i: CASE WHEN i = n AND d IS NOT NULL THEN d WHEN i = z AND s IS NOT NULL THEN s ELSE x END), ' ') END AS long_name FROM w""")
 def _(spark, d):
-    return spark.createDataFrame(NAMES, "name string, _ string").select("name", text.expand_street(F.col("name")).alias("long_name"))
+    s = F.col("street")
+    forms = F.array(s, F.lower(s), F.concat(s, F.lit(". ")), F.concat(s, F.lit("  E")), F.concat(s, F.lit(". W.")), F.concat(F.substring_index(s, " ", 1), F.lit("  North")), F.lit(""))
+    names = src(spark, d).select(F.explode(forms).alias("name")).distinct()
+    return names.select("name", text.expand_street(F.col("name")).alias("long_name"))
 
 
 @query("N05_housenumber_tokens", rf"""{LATTICE} SELECT osm_id, CASE WHEN regexp_full_match(housenumber, '\s*\d+\s+\d+/\d+\s*|\s*\d+/\d+\s*') THEN upper(trim(housenumber)) ELSE
@@ -397,11 +405,6 @@ def _(spark, d):
     return reports.address_collisions(cands(spark, d))
 
 
-@query("J32_overlap_census", f"{CAND}, k AS (SELECT DISTINCT muni AS dataset, housenumber, street_norm FROM cand) SELECT a.dataset, b.dataset AS other, COUNT(*) AS shared FROM k a JOIN k b ON a.housenumber = b.housenumber AND a.street_norm = b.street_norm AND a.dataset < b.dataset GROUP BY ALL")
-def _(spark, d):
-    return reports.overlap_census(cands(spark, d).select(F.col("muni").alias("dataset"), F.col("housenumber").alias("number"), "street_norm"))
-
-
 @query("J33_gap", f"{FEAT}, m AS (SELECT DISTINCT housenumber, street_norm FROM cand c WHERE NOT EXISTS (SELECT 1 FROM feat f WHERE f.num = c.housenumber AND f.street_norm = c.street_norm)) SELECT COUNT(*) AS missing, COUNT(*) FILTER (WHERE street_norm IN (SELECT street_norm FROM feat)) AS on_known_street FROM m")
 def _(spark, d):
     return reports.gap(cands(spark, d), feats(spark, d))
@@ -445,12 +448,25 @@ def _(spark, d):
     return reports.changed_versions(v)
 
 
-_QK = "floor(least(floor((lat - 43.0::DOUBLE) / (44.0::DOUBLE - 43.0::DOUBLE) * 256), 255))"
-_QX = "floor(least(floor((lon - (-80.0)::DOUBLE) / ((-79.0)::DOUBLE - (-80.0)::DOUBLE) * 256), 255))"
+WORLD = (43.0, -80.0, 44.0, -79.0)
+
+
+def quad_sql(points: str, least: int, most: int = 500) -> str:
+    """The cells of a quadtree over WORLD: CTEs that end in quads (prefix, level, points, name)."""
+    n = tiling.depth(WORLD)
+    y = f"CAST(floor(least(floor((lat - 43.0::DOUBLE) / (44.0::DOUBLE - 43.0::DOUBLE) * {1 << n}), {(1 << n) - 1})) AS BIGINT)"
+    x = f"CAST(floor(least(floor((lon - (-80.0)::DOUBLE) / ((-79.0)::DOUBLE - (-80.0)::DOUBLE) * {1 << n}), {(1 << n) - 1})) AS BIGINT)"
+    key = " || ".join(f"CAST(((y >> {i}) & 1) * 2 + ((x >> {i}) & 1) AS VARCHAR)" for i in range(n - 1, -1, -1))
+    return f"""qp AS (SELECT {y} AS y, {x} AS x FROM {points}), qk AS (SELECT {key} AS q FROM qp), qs AS (SELECT substr(q, 1, l) AS prefix, l AS level, COUNT(*) AS n FROM qk, range({least}, {n + 1}) AS t(l) GROUP BY ALL),
+quads AS (SELECT s.prefix, CAST(s.level AS INTEGER) AS level, s.n AS points, array_to_string(list_concat(['City'], list_transform(list_filter(string_split(s.prefix, ''), lambda d: d <> ''), lambda d: ['SW', 'SE', 'NW', 'NE'][CAST(d AS INTEGER) + 1])), '-') AS name
+  FROM qs s LEFT JOIN qs u ON s.level = u.level + 1 AND substr(s.prefix, 1, u.level::BIGINT) = u.prefix WHERE (s.n <= {most} OR s.level = {n}) AND (s.level = {least} OR u.n > {most}))"""
+
+
+@query("Q01_quadtree", f"{LATTICE}, {quad_sql('src', 0)} SELECT prefix, level, points FROM quads")
+def _(spark, d):
+    return tiling.quadtree(src(spark, d), WORLD)
 
 
-@query("Q01_quadtree", f"""{LATTICE}, p AS (SELECT CAST({_QK} AS BIGINT) AS y, CAST({_QX} AS BIGINT) AS x FROM src), k AS (SELECT {" || ".join(f"CAST(((y >> {i}) & 1) * 2 + ((x >> {i}) & 1) AS VARCHAR)" for i in range(7, -1, -1))} AS q FROM p),
-s AS (SELECT substr(q, 1, l) AS prefix, l AS level, COUNT(*) AS n FROM k, range(9) AS t(l) GROUP BY ALL)
-SELECT s.prefix, CAST(s.level AS INTEGER) AS level, s.n AS points FROM s LEFT JOIN s u ON s.level = u.level + 1 AND substr(s.prefix, 1, u.level::BIGINT) = u.prefix WHERE (s.n <= 500 OR s.level = 8) AND (s.level = 0 OR u.n > 500)""")
+@query("Q05_no_layer", f"{LATTICE}, {quad_sql('src', 0, 300)} SELECT lower(name) AS tile_id, name, prefix, level, points FROM quads")
 def _(spark, d):
-    return tiling.quadtree(src(spark, d), (43.0, -80.0, 44.0, -79.0))
+    return tiling.no_layer(src(spark, d), WORLD, "City", 300)

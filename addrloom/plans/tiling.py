@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import heapq
 from functools import reduce
+from math import ceil, log2
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from addrloom.functions.text import slugify
+from addrloom.operators.reports import suffixed_ids
+
+# Cells below the first span aren't split, those of points outside all areas are down to the second.
+MIN_SPAN_DEG, OUTSIDE_SPAN_DEG = 0.003, 0.01
 NAME_KEYS = ("AREA_NAME", "area_name", "NEIGHBOURHOOD_NAME", "NEIGHBOURHOOD", "Neighbourhood", "name")
 PARENT_KEYS = ("COMMUNITY", "Community", "community")
 
@@ -22,19 +28,39 @@ def quadkeys(points: DataFrame, box: tuple[float, float, float, float], levels:
     return points.withColumn("quadkey", F.concat(*[digit(k) for k in range(levels - 1, -1, -1)]))
 
 
-def quadtree(points: DataFrame, box: tuple[float, float, float, float], most: int = 500, levels: int = 8) -> DataFrame:
-    """Q01: the coarsest cells with ``most`` points at most (or of the finest level): prefix, level, points.
+def depth(box: tuple[float, float, float, float], span: float = MIN_SPAN_DEG) -> int:
+    """The first level whose cells are narrower than ``span`` degrees on both axes."""
+    return max(0, ceil(log2(max(box[2] - box[0], box[3] - box[1]) / span + 1e-9)))
+
+
+def quadtree(points: DataFrame, box: tuple[float, float, float, float], most: int = 500, levels: int | None = None, cap_deg: float | None = None) -> DataFrame:
+    """Q01: the coarsest cells with ``most`` points at most: prefix, level, points. Cells narrower than MIN_SPAN_DEG aren't split (``levels``
+    sets another depth); with ``cap_deg`` cells wider than that always are, as those of points outside all areas (Q02).
 
     One aggregation of the points by finest cell; everything else works on those counts.
     """
+    levels = depth(box) if levels is None else levels
+    least = 0 if cap_deg is None else min(levels, depth(box, cap_deg))
     cells = quadkeys(points, box, levels).groupBy("quadkey").agg(F.count("*").alias("n"))
-    prefix = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    prefix = F.explode(F.sequence(F.lit(least), F.lit(levels)))
     up = cells.select("quadkey", "n", prefix.alias("level")).select(F.expr("substr(quadkey, 1, level)").alias("prefix"), "level", "n")
     sums = up.groupBy("prefix", "level").agg(F.sum("n").alias("n"))
     fits = (F.col("n") <= most) | (F.col("level") == levels)
     parent = sums.select(F.col("prefix").alias("_p"), F.col("n").alias("_n"))
     j = sums.where(fits).join(parent, F.expr("substr(prefix, 1, level - 1)") == F.col("_p"), "left")
-    return j.where((F.col("level") == 0) | (F.col("_n") > most)).select("prefix", "level", F.col("n").alias("points"))
+    return j.where((F.col("level") == least) | (F.col("_n") > most)).select("prefix", "level", F.col("n").alias("points"))
+
+
+def tile_name(base: Column, prefix: Column) -> Column:
+    """Q01: the name of a cell: that of the whole and a quarter for each level."""
+    quarter = F.create_map(*map(F.lit, ("0", "SW", "1", "SE", "2", "NW", "3", "NE")))
+    return F.array_join(F.concat(F.array(base), F.transform(F.filter(F.split(prefix, ""), lambda d: d != ""), lambda d: F.try_element_at(quarter, d))), "-")
+
+
+def no_layer(points: DataFrame, box: tuple[float, float, float, float], city: str, most: int = 500) -> DataFrame:
+    """Q05: the tiles of a city without an area layer: the whole box, under the city's name, split like any area."""
+    tiles = quadtree(points, box, most).withColumn("name", tile_name(F.lit(city), F.col("prefix")))
+    return suffixed_ids(tiles.withColumn("slug", slugify(F.col("name"))), "slug", ["prefix"]).select("tile_id", "name", "prefix", "level", "points")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -138,11 +164,12 @@ def absorb(tiles: list[tuple[str, str, int]], near: list[dict[int, float]], floo
     return [(t[0], n[i], took[i]) for i, t in enumerate(tiles) if alive[i]]
 
 
-def merge_tiles(tiles: DataFrame, box: tuple[float, float, float, float], city: str, levels: int = 8, parent_digits: int = 3, floor: int = 250, soft: int = 500, hard: int = 750) -> DataFrame:
+def merge_tiles(tiles: DataFrame, box: tuple[float, float, float, float], city: str, levels: int | None = None, parent_digits: int = 3, floor: int = 250, soft: int = 500, hard: int = 750) -> DataFrame:
     """Underfilled tiles merged within each city; a task holds the tiles of one city, not its points.
 
     ``tiles`` as ``quadtree`` returns them, with the column ``city``.
     """
+    levels = depth(box) if levels is None else levels
     dx, dy = (box[3] - box[1]) / (1 << levels), (box[2] - box[0]) / (1 << levels)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,8 +9,10 @@ from addrloom.functions.text import id_order
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The largest id that wasn't skipped (one row, null if there is none)."""
-    return snapshots.where(F.col("skipped") == 0).agg(F.max("id").alias("snapshot_id"))
+    """The largest id that wasn't skipped, in one row; an error where there is none."""
+    found = snapshots.where(F.col("skipped") == 0).agg(F.max("id").alias("snapshot_id"))
+    kind = found.schema["snapshot_id"].dataType
+    return found.select(F.coalesce("snapshot_id", F.raise_error(F.lit("no snapshot that wasn't skipped")).cast(kind)).alias("snapshot_id"))
 
 
 def snapshot_age(snapshots: DataFrame, now: Column, stale_after_days: float = 14) -> DataFrame:

@@ -11,7 +11,7 @@ import __spark_entry__ as driver
 from addrloom.functions import geo, text
 from addrloom.operators import checks, features, state
 from addrloom.operators import conflate as conf
-from addrloom.plans import audit_queries, more_queries, queries as own  # noqa: F401
+from addrloom.plans import audit_queries, more_queries, queries as own, upload_queries  # noqa: F401
 from addrloom.sources import history
 from addrloom.sources.recipes import Recipe
 from addrloom.streaming import audit
