@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, normalizers
 
 from addrloom.llm import jaccard, jpeg_media, langid, line_dedup, mixing, quality, simhash, sp_codec, token_store, url_filter, warc
-from addrloom.llm.common import shared_dir
+from addrloom.llm.common import shared_dir, write_table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, n bigint, h1 string, size string, sites int"
 LONG = "the quick brown fox jumps over the lazy dog\n" * 6000
@@ -522,8 +522,71 @@ def test_token_store_random_access_and_other_tokenizers(spark, docs, tmp_path, m
     assert not own.by_word and own.encode(["été plage".encode()]) == [np.array(other.encode("été plage").ids, own.type).tobytes()]
 
 
-def test_pipeline(spark):
+def brute_lines(rows, min_sites=10):
+    """(doc_id, text, source) rows with cross-site lines cut, by plain sets."""
+    sites, first = defaultdict(set), {}
+    for i, t, site in sorted(rows, key=lambda r: r[0]):
+        for pos, line in enumerate((t or "").split("\n")):
+            if (k := line.strip(" ")) and t is not None:
+                sites[k] |= {site} - {None}
+                first.setdefault(k, (i, pos))
+    gone = lambda i, pos, k: k and len(sites[k]) >= min_sites and first[k] != (i, pos)
+    return [(i, None if t is None else "\n".join(x for pos, x in enumerate(t.split("\n")) if not gone(i, pos, x.strip(" "))), site) for i, t, site in rows]
+
+
+def test_pipeline_against_a_plain_chain(spark):
+    """Every stage again in loops over all rows and pairs; only the language model is the operator's own, tested by itself."""
     import corpus_pipeline
 
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "mix_sources", "sentencepiece"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scorer = langid.Scorer(langid.fit(docs))
+    kept = [(r.doc_id, r.text, r.source) for r in docs.collect() if (p := scorer.predict(r.text))[0] != "und" and p[1] >= 0.35]
+    kept = brute_lines(kept)
+    sets = []
+    for _, t, _ in kept:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()})
+    root = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    best = {}
+    for (i, t, site), r in zip(kept, root):
+        best[r] = min(best.get(r, (i, t, site)), (i, t, site))
+    kept = list(best.values())
+    size, total, target, by = brute_mix(kept)
+    text = {i: t for i, t, _ in kept}
+    want = Counter()
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sp_codec.MODEL))
+    for s, members in by.items():
+        order = lambda i: hashlib.md5(":".join([str(i), *([hashlib.md5(text[i].encode()).hexdigest()] if text[i] is not None else [])]).encode()).hexdigest()
+        before = 0
+        for i in sorted(members, key=order):
+            times = sum(size[i] > 0 and 2 * (p * total[s] + before) + size[i] <= 2 * target[s] for p in range(2))
+            before += size[i]
+            if times:
+                ids = lib.encode(text[i])
+                want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] = times
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert out and all(r.decoded_equal for r in out) and [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
+    assert all(r.decoded_equal for r in out)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Nulls, clashing and dotted names, repeated rows and an empty table through every stage."""
+    import corpus_pipeline
+
+    rows = [(i, f"the shared line of all\nthe words of text {i} are here and there and it goes on for a while {i % 7}", ["en", None][i % 2], f"s{i % 12}", 5) for i in range(40)]
+    rows += [(None, None, None, None, None), (None, "the words of a text without an id", "en", None, 1), rows[0], (7, "", "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in ("n_removed", "_gone", "a.b", "root", "_th", "_id", "lang_pred", "size", "_at", "token", "h`1"):
+        docs = docs.withColumn(c, F.lit(1))
+    cols = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), "")
+        docs = write_table(stage(spark, docs, ""), f"test-{name}")
+        assert empty.count() == 0 and docs.count() > 0
+        assert docs.columns == empty.columns and (name == "sentencepiece" or docs.columns == cols)
