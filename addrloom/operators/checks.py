@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from addrloom.functions.geo import haversine, sample_ordinal, with_cells
 from addrloom.functions.text import id_order, suspicious_suffix
 from addrloom.operators.features import extra_tags
+from addrloom.sources.recipes import Recipe
 
 DUPLICATE_M, NEARBY_M, SLACK_M, SAMPLE, LISTED = 3.0, 20.0, 2.0, 50, 5
 KEY = ["run_id", "candidate_id"]
@@ -15,6 +16,19 @@ RESULT = [*KEY, "check_id", "version", "verdict", "severity", "reason_code", "n_
 VERSIONS = {"match_far": 2, "suffix_range": 2, "city_duplicate": 1, "intra_source_duplicate": 2, "missing_sample": 1, "nearby_street_mismatch": 2, "match_number_drift": 2, "potential_amenity": 4}
 
 
+#: Fields without which a check has nothing to say.
+REQUIRES = {"suffix_range": ("lo_num", "hi_num"), "intra_source_duplicate": ("address_class",)}
+
+
+def available(recipe: Recipe, wanted: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """the checks whose fields the source declares; asking for another one by name is an error."""
+    missing = {check: [f for f in fields if not recipe.declares(f)] for check, fields in REQUIRES.items()}
+    for check in wanted:
+        if missing.get(check):
+            raise ValueError(f"{check} needs {', '.join(missing[check])}, which the source doesn't declare")
+    return tuple(c for c in VERSIONS if not missing.get(c))
+
+
 def _result(check: str, applies: Column, reason: Column, severity: str, passed: str, n: Column | None = None, details: Column | None = None) -> Column:
     """The struct of one check's result for a row. reason: null where the check passes. Rows it doesn't apply to are SKIP / not_applicable."""
     applies = F.coalesce(applies, F.lit(False))

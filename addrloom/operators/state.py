@@ -34,6 +34,12 @@ def upsert_verdicts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return j.select(*keys, F.coalesce("_v", "verdict").alias("verdict"), F.when(changed, F.col("_t")).otherwise(F.col("updated_at")).alias("updated_at"), F.when(~changed, F.col("exported_at")).alias("exported_at"))
 
 
+def mark_exported(verdicts: DataFrame, exported: DataFrame, keys: list[str]) -> DataFrame:
+    """Verdicts that an export (keys, at) took along; the first export's time stays."""
+    j = verdicts.join(exported.select(*keys, F.col("at").alias("_at")), keys, "left")
+    return j.withColumn("exported_at", F.coalesce("exported_at", "_at")).drop("_at")
+
+
 def resolve(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions to stages; uploaded rows never change; an override is a decision against an automatic approval."""
     stage = F.create_map(*map(F.lit, ("APPROVED", "APPROVED", "REJECTED", "REJECTED", "DEFERRED", "REVIEW_PENDING", "OPEN", "REVIEW_PENDING")))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from addrloom.functions import text
-from addrloom.operators import checks, coverage, reports, review, uploads
+from addrloom.operators import checks, coverage, reports, review, state, uploads
 from addrloom.plans.oracle import CAND, CHECKS, FEAT, hav
 from addrloom.plans.queries import SNAPSHOTS, STAGED, cands, conflated, events, feats, query, results, src, staged
 from addrloom.plans.stage import materialize
 from addrloom.sources.lattice import LATTICE
+from addrloom.sources.recipes import Recipe
+from addrloom.streaming import audit
 
 _GUARDED = f"""{STAGED}, won AS (SELECT DISTINCT candidate_id, run_id FROM stg WHERE stage = 'UPLOADED'),
 one AS (SELECT s.*, s.stage = 'APPROVED' AND EXISTS (SELECT 1 FROM won w WHERE w.candidate_id = s.candidate_id AND w.run_id <> s.run_id) AS crossed FROM stg s),
@@ -108,6 +110,35 @@ def _(spark, d):
     return checks.pending(r, stored.union(old)).select("run_id", "candidate_id", "check_id", "version")
 
 
+@query("F22_available_checks", f"{CHECKS} SELECT check_id, verdict, COUNT(*) AS n FROM checks WHERE check_id NOT IN ('suffix_range', 'intra_source_duplicate') GROUP BY ALL")
+def _(spark, d):
+    bare = Recipe(street_from="street", full_from="full", lo_num="props:LO")
+    return reports.counts(results(spark, d, checks.available(bare)), "check_id", "verdict")
+
+
+_VERDICTS = f"{CAND}, v AS (SELECT candidate_id, 'fix' AS verdict, CASE WHEN lo_num % 3 = 0 THEN 't1' END AS exported_at FROM cand)"
+
+
+@query("K12_exported", f"{_VERDICTS} SELECT v.candidate_id, verdict, COALESCE(exported_at, CASE WHEN lo_num % 2 = 1 THEN 't2' END) AS exported_at FROM v JOIN cand USING (candidate_id)")
+def _(spark, d):
+    c = cands(spark, d)
+    v = c.select("candidate_id", F.lit("fix").alias("verdict"), F.when(F.col("lo_num") % 3 == 0, "t1").alias("exported_at"))
+    return state.mark_exported(v, c.where("lo_num % 2 = 1").select("candidate_id", F.lit("t2").alias("at")), ["candidate_id"])
+
+
+@query("K05_append", "WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_id % 3 <> 0), n AS (SELECT row_number() OVER (ORDER BY ts, event_id) + (SELECT MAX(event_id) FROM l) AS event_id, user_id FROM events WHERE event_id % 3 = 0) SELECT event_id, user_id FROM l UNION ALL SELECT event_id, user_id FROM n")
+def _(spark, d):
+    e = events(spark, d).select("event_id", "user_id", "ts")
+    return audit.append(e.where("event_id % 3 <> 0"), e.where("event_id % 3 = 0"), ["ts", "event_id"]).select("event_id", "user_id")
+
+
+@query("M07_replay", "WITH h AS (SELECT MIN(ts) + (MAX(ts) - MIN(ts)) / 2 AS t FROM events) SELECT user_id, COUNT(*) AS n, arg_max(event_type, {'t': ts, 'i': event_id}) AS state FROM events, h WHERE ts <= h.t GROUP BY 1")
+def _(spark, d):
+    e = events(spark, d)
+    low, high = e.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    return audit.replay(e, F.timestamp_micros(F.lit(low + (high - low) // 2))).select("user_id", "n", "state")
+
+
 @query("F16_last_events", "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 500")
 def _(spark, d):
     return reports.last_events(events(spark, d), F.col("event_type") == "click").select("event_id", "user_id", "event_type")

@@ -38,6 +38,10 @@ class Recipe:
         if self.number_from == "full" and self.full_from == "number+street":
             raise ValueError("number and full would be made of each other")
 
+    def declares(self, field: str) -> bool:
+        """Whether the source has a logical field at all."""
+        return getattr(self, field) is not None
+
     def columns(self) -> dict[str, Column]:
         """The logical fields; those not declared are null."""
         prop = lambda v: F.get_json_object("props", f"$.{v[6:]}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +14,19 @@ def sessions(events: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -
     return g.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
 
+def append(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """The log with a batch of new events behind it, their ids going on from the last one in the batch's order. The batch is small, the log is only read."""
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    ids = F.row_number().over(Window.orderBy(*order)) + F.lit(last)
+    return log.unionByName(new.withColumn("event_id", ids.cast(log.schema["event_id"].dataType)).select(*log.columns))
+
+
+def replay(events: DataFrame, until: Column) -> DataFrame:
+    """The state of each key at a time: its events so far, the last one and when it came; by time, then id."""
+    past = events.where(F.col("ts") <= until)
+    return past.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("since"))
+
+
 def watch(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """New files of an append-only log."""
     return spark.readStream.schema(schema).parquet(folder)

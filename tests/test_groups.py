@@ -10,6 +10,7 @@ from addrloom.functions import geo, text
 from addrloom.operators import checks, coverage, reports, streets, uploads
 from addrloom.operators import conflate as conf
 from addrloom.sources import history
+from addrloom.sources.recipes import Recipe
 
 
 def metres(a, b):
@@ -95,6 +96,13 @@ def test_ids_of_any_length_in_order(spark):
     assert got == ["0", "007", "7", "9", "10", "123456789012345678901234", "123456789012345678901235", "syn:2", "x1"]
 
 
+def test_checks_follow_declared_fields():
+    bare, full = Recipe("street", "full"), Recipe("street", "full", lo_num="props:A", hi_num="props:B", address_class="props:C")
+    assert set(checks.VERSIONS) - set(checks.available(bare)) == {"suffix_range", "intra_source_duplicate"} and checks.available(full) == tuple(checks.VERSIONS)
+    with pytest.raises(ValueError):
+        checks.available(bare, ("suffix_range",))
+
+
 def test_no_snapshot_and_no_plan_are_errors(spark):
     s = spark.createDataFrame([(1, 1)], "id bigint, skipped int")
     with pytest.raises(Exception, match="no snapshot"):
