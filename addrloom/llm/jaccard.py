@@ -34,7 +34,7 @@ SAME, OF = 4, 5
 RADIUS = 3
 #: Words of a parity map; documents sampled for frequent shingles, and how many of these are set apart.
 MAP_WORDS = 8
-SAMPLE_DOCS, FREQUENT = 20_000, 100_000
+SAMPLE_DOCS, FREQUENT = 40_000, 400_000
 #: Rows of a block of a group, about; pairs of a set that are counted in the first round after the hubs, and how many times as many in each next one.
 BLOCK, PICKS = 4096, 4
 #: Times in the sample from which on a shingle's rows are aggregated before they are shuffled.
@@ -166,9 +166,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, th, sid, n, fp, m0 to m7, wide, prefix, hot): the text's hash; its set's hash, size, SimHash, parity maps and prefix, hot shingles apart."""
     text_batches(docs.sparkSession)
-    frequent, counts = frequent_shingles(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT pairs of numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
         for b, found in _texts(batches):
             maps = np.stack([parity_map(s) for s in found])
             cold, hot = zip(*(prefix(s, frequent, counts) for s in found))
@@ -182,14 +183,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in three or more documents of a sample, sorted, and their counts: FREQUENT at most."""
+    """Shingles found in two or more documents of a sample, sorted, and their counts: the FREQUENT most frequent ones at most, so it is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _texts(batches):
             yield pa.RecordBatch.from_pydict({"s": _signed(np.concatenate(found))})
 
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    top = docs.select("text").sample(share, seed=1).mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    top = docs.select("text").sample(share, seed=1).mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     rows = top.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     values, counts = rows.column("s").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(values)
@@ -297,7 +298,8 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
             cuts = [0, *(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1).tolist(), len(values[0])]
             found = [compare(*(v[lo:hi] for v in rest), [m[lo:hi] for m in maps]) for lo, hi in zip(cuts, cuts[1:])]
             a, b = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)  # many groups hold the same pair
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
 
         held: list[pa.RecordBatch] = []  # the rows of the block that is still open
         for b in batches:

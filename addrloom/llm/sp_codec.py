@@ -38,7 +38,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks a worker remembers, twice at most, and half as many pairs of pieces.
-CACHE = 150_000
+CACHE = 100_000
 #: Characters of a text from which on its chunks are taken some at a time.
 LONG = 1 << 20
 MODEL = "piece_bpe_32k.model"
