@@ -38,7 +38,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks a worker remembers, twice at most, and half as many pairs of pieces.
-CACHE = 100_000
+CACHE = 300_000
 #: Characters of a text from which on its chunks are taken some at a time.
 LONG = 1 << 20
 MODEL = "piece_bpe_32k.model"
@@ -239,11 +239,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+def round_trip(docs: DataFrame, model: str = MODEL, cache: int = CACHE) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), n_bytes (of the decoded text), decoded_equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
+        c.cache = cache
         for b in batches:
             rows = []
             for t in (t for lo in range(0, b.num_rows, 256) for t in b.column("text").slice(lo, 256).to_pylist()):
