@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each document; a row for each of its uses, with digests of ids and of the decoded text."""
-    return round_trip(docs)
+    return round_trip(docs, cache=100_000)  # fewer remembered chunks: memory is what the pipeline is short of
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("mix_sources", mix_sources), ("sentencepiece", sentencepiece)]
