@@ -120,7 +120,7 @@ _LATER = f"{CHECKS}{WORK[len(CONF):]}, fl AS (SELECT k.run_id, k.candidate_id, k
 def drift(spark, d):
     c, items = work(spark, d)
     c = materialize(c, "work")
-    return c, items, checks.match_number_drift(c, feats(spark, d))
+    return c, items, checks.run_checks(c, feats(spark, d), ("match_number_drift",))
 
 
 @query("R07_drift_routes", f"""{_LATER}, j AS (SELECT f.*, i.status, i.reason_code AS old, CASE WHEN f.verdict <> 'FLAG' THEN 'passed' WHEN f.run_id % 5 = 0 OR stage IN ('APPROVED', 'REJECTED', 'UPLOADED') OR COALESCE(i.status IN ('APPROVED', 'REJECTED'), FALSE) THEN 'recorded_only' WHEN i.status IS NULL THEN 'new' ELSE 'merged' END AS route
