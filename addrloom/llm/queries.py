@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from addrloom.llm.chat_format import op11_chat_format
+from addrloom.llm.divergence import OP13_SQL, op13_divergence
+from addrloom.llm.filter_audit import OP12_SQL, op12_filter_audit
 from addrloom.llm.jpeg_media import op3_jpeg
 from addrloom.llm.langid import op8_language_id
 from addrloom.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -35,5 +38,8 @@ QUERIES = {
     "op8_language_id": lambda spark, d: op8_language_id(_documents(spark, d)),
     "op9_quality": lambda spark, d: op9_quality(_documents(spark, d)),
     "op10_token_store": lambda spark, d: op10_token_store(spark, _documents(spark, d)),
+    "op11_chat_format": lambda spark, d: op11_chat_format(spark, spark.read.parquet(f"{d}/conversations.parquet")),
+    "op12_filter_audit": lambda spark, d: op12_filter_audit(_documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op13_divergence": lambda spark, d: op13_divergence(_documents(spark, d)),
 }
-SQL = {"op2_line_dedup": OP2_SQL, "op4_mix": OP4_SQL, "op6_url_filter": OP6_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op4_mix": OP4_SQL, "op6_url_filter": OP6_SQL, "op12_filter_audit": OP12_SQL, "op13_divergence": OP13_SQL}
