@@ -224,13 +224,6 @@ def _(spark, d):
     return tiling.quadtree(tiling.outside(src(spark, d), areas(spark), "identity_key"), WORLD, cap_deg=tiling.OUTSIDE_SPAN_DEG)
 
 
-@query("Q03_merge_tiles")
-def _(spark, d):
-    box = (43.0, -80.0, 44.0, -79.0)
-    tiles = tiling.quadtree(src(spark, d), box).withColumn("city", F.substring("prefix", 1, 1))
-    return tiling.merge_tiles(tiles, box, "city")
-
-
 @query("Q04_area_names", "WITH a AS (SELECT n_nationkey AS fid, substr(n_name, 1, 1) AS base, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT fid, CASE WHEN COUNT(*) OVER (PARTITION BY base) > 1 AND lower(parent) <> lower(base) THEN parent || ' ' || base ELSE base END AS name FROM a")
 def _(spark, d):
     n, r = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 from math import ceil, log2
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,73 +107,3 @@ def in_polygons(points: DataFrame, polygons: DataFrame, size: float = 0.01) -> D
 def outside(points: DataFrame, polygons: DataFrame, key: str) -> DataFrame:
     """Q02: points in no polygon."""
     return points.join(in_polygons(points, polygons).select(key), key, "left_anti")
-
-
-def borders(tiles: list[tuple[str, int]], levels: int, dx: float, dy: float) -> list[dict[int, float]]:
-    """For each tile (its quadkey and points) the tiles it shares a border with and how long it is; corners don't count."""
-    boxes = []
-    for key, _ in tiles:
-        x = y = 0
-        for d in key:
-            x, y = 2 * x + int(d) % 2, 2 * y + int(d) // 2
-        size = 1 << (levels - len(key))
-        boxes.append((x * size, y * size, size))
-    found: list[dict[int, float]] = [{} for _ in tiles]
-    for axis, step in ((0, dy), (1, dx)):
-        starts: dict[int, list[int]] = {}
-        for i, b in enumerate(boxes):
-            starts.setdefault(b[axis], []).append(i)
-        for i, b in enumerate(boxes):
-            for j in starts.get(b[axis] + b[2], ()):
-                c = boxes[j]
-                shared = min(b[1 - axis] + b[2], c[1 - axis] + c[2]) - max(b[1 - axis], c[1 - axis])
-                if shared > 0:
-                    found[i][j] = found[j][i] = shared * step
-    return found
-
-
-def absorb(tiles: list[tuple[str, str, int]], near: list[dict[int, float]], floor: int, soft: int, hard: int) -> list[tuple[str, int, list[str]]]:
-    """Tiles (key, parent, points) after the underfilled ones, smallest first, have joined a neighbour.
-
-    Of neighbours that keep the sum within ``hard``: one of the same parent, then a sum within ``soft``, the longest border, the
-    smallest sum, the earlier tile. The larger tile's key stays, the neighbour's on ties. Borders of a union add up.
-    """
-    n = [t[2] for t in tiles]
-    alive, took = [True] * len(tiles), [[] for _ in tiles]
-    heap = [(c, i) for i, c in enumerate(n) if c < floor]
-    heapq.heapify(heap)
-    while heap:
-        c, i = heapq.heappop(heap)
-        if not alive[i] or c != n[i]:
-            continue
-        options = [(tiles[i][1] != tiles[j][1], c + n[j] > soft, -length, c + n[j], j) for j, length in near[i].items() if c + n[j] <= hard]
-        if not options:
-            continue
-        j = min(options)[-1]
-        keep, drop = (j, i) if n[j] >= c else (i, j)
-        alive[drop], n[keep] = False, c + n[j]
-        took[keep] += [*took[drop], tiles[drop][0]]
-        for k, length in near[drop].items():
-            del near[k][drop]
-            if k != keep:
-                near[keep][k] = near[k][keep] = near[keep].get(k, 0.0) + length
-        if n[keep] < floor:
-            heapq.heappush(heap, (n[keep], keep))
-    return [(t[0], n[i], took[i]) for i, t in enumerate(tiles) if alive[i]]
-
-
-def merge_tiles(tiles: DataFrame, box: tuple[float, float, float, float], city: str, levels: int | None = None, parent_digits: int = 3, floor: int = 250, soft: int = 500, hard: int = 750) -> DataFrame:
-    """Underfilled tiles merged within each city; a task holds the tiles of one city, not its points.
-
-    ``tiles`` as ``quadtree`` returns them, with the column ``city``.
-    """
-    levels = depth(box) if levels is None else levels
-    dx, dy = (box[3] - box[1]) / (1 << levels), (box[2] - box[0]) / (1 << levels)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("prefix")
-        rows = [(k, k[:parent_digits], int(c)) for k, c in zip(pdf["prefix"], pdf["points"])]
-        merged = absorb(rows, borders([(k, c) for k, _, c in rows], levels, dx, dy), floor, soft, hard)
-        return pd.DataFrame([(pdf[city].iloc[0], k, c, ",".join(t), c < floor) for k, c, t in merged], columns=["city", "tile", "points", "merged_from", "below_floor"])
-
-    return tiles.groupBy(city).applyInPandas(merge, "city string, tile string, points bigint, merged_from string, below_floor boolean")

@@ -94,24 +94,6 @@ def test_names(spark):
         tiling.area_names(a, "AREA_NAME").collect()
 
 
-def test_tiles_merge_only_across_borders():
-    tiles = [("00", 100), ("01", 300), ("02", 600), ("03", 10), ("3", 20)]
-    near = tiling.borders(tiles, 3, 1.0, 1.0)
-    assert near == [{1: 2.0, 2: 2.0}, {0: 2.0, 3: 2.0}, {0: 2.0, 3: 2.0}, {1: 2.0, 2: 2.0}, {}]
-    parents = [(k, k[:1], n) for k, n in tiles]
-    assert tiling.absorb(parents, near, 250, 500, 750) == [("01", 410, ["03", "00"]), ("02", 600, []), ("3", 20, [])]
-
-
-def test_no_merge_goes_over_the_ceiling(spark):
-    rnd = random.Random(1)
-    p = spark.createDataFrame([(rnd.random() ** 2, rnd.random() ** 2) for _ in range(4000)], "lat double, lon double")
-    tiles = tiling.quadtree(p, (0.0, 0.0, 1.0, 1.0), most=500).withColumn("city", F.lit("c"))
-    got = tiling.merge_tiles(tiles, (0.0, 0.0, 1.0, 1.0), "city").collect()
-    before = {r.prefix for r in tiles.collect()}
-    assert sum(r.points for r in got) == 4000 and all(r.points <= 750 for r in got)
-    assert sorted(k for r in got for k in [r.tile, *filter(None, r.merged_from.split(","))]) == sorted(before)
-
-
 def test_files_are_xml(spark):
     rows = [(1, "7", None, 43.6, -79.5, " 5 ", 'A & "B" <St>\n', None), (1, "8", -2, 43.6, -79.5, "", "B", "M5V"), (1, "9", None, None, -79.5, "1", "B", None)]
     d = spark.createDataFrame(rows, "run_id int, candidate_id string, local_node_id bigint, lat double, lon double, hn string, st string, pc string").withColumn("tags", mapxml.upload_tags(F.col("hn"), F.col("st"), F.col("pc"), "Src"))
