@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from addrloom.llm.common import write_table
 
 MIN_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-#: Cells of a block's matrix, on average; cells of the largest temporary array in comparing pairs.
-CELLS, PAIR_CELLS = 2_000_000, 4_000_000
+#: Cells of a block's matrix on average, where a language has few sources; cells of the largest temporary array in comparing pairs.
+CELLS, PAIR_CELLS = 1 << 16, 4_000_000
 #: Terms a task holds before it hands on what it has counted; bytes of a long text that are cut into terms at a time.
 HELD, WINDOW = 200_000, 1 << 20
 
@@ -133,7 +133,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = CELLS) ->
     """Pairs of sources and leading terms of every (lang, source) group of ``docs`` (text, lang, source).
 
     Words are counted where they are read, then by (lang, term) in one shuffle; the counts of a word are a row for each source
-    at most by then. A block has ``cells`` cells on average, whatever the number of sources and terms.
+    at most by then. A block has ``cells`` cells on average, or four for each pair of sources if that is more: what
+    it hands on, a row for each pair, stays small against what it reads.
     """
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = texts.select("lang", "source").distinct()
@@ -147,7 +148,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = CELLS) ->
     of_groups = groups.join(kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms")), ["lang", "source"], "left").na.fill(0, ["n", "terms"])
     lang = Window.partitionBy("lang")
     of_groups = of_groups.withColumns({"v": F.sum("terms").over(lang), "lang_total": F.sum("n").over(lang), "groups": F.count("*").over(lang)})
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("groups") / F.lit(cells))).cast("bigint")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("groups") / F.greatest(F.lit(cells), 4 * F.col("groups") * F.col("groups")))).cast("bigint")
     of_groups = write_table(of_groups.select("lang", "source", (F.col("n") + 2 * F.col("v")).alias("total"), (F.col("lang_total") + 2 * F.col("v")).alias("lang_total"), blocks.alias("blocks")), "groups")
 
     p = lambda n, total: F.when(F.col(total) > 0, share(n, total))
