@@ -8,19 +8,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELEMENTS = "type string, id bigint, lat double, lon double, center struct<lat:double,lon:double>, bounds struct<minlat:double,minlon:double,maxlat:double,maxlon:double>, nodes array<bigint>, tags map<string,string>"
+_FIELDS = ("type string", "id bigint", "lat double", "lon double", "center struct<lat:double,lon:double>", "bounds struct<minlat:double,minlon:double,maxlat:double,maxlon:double>", "nodes array<bigint>", "tags map<string,string>")
+ELEMENTS = ", ".join(_FIELDS)
 LAYER = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
 TILES = "tiles array<struct<id:string,name:string,bbox:array<double>,count:bigint>>"
 
 
-def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """Cached elements, one JSON object a line or a whole array in a file; no rows where there is no file."""
+def read_elements(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
+    """Cached elements, one JSON object a line, a whole array in a file, or the list ``field`` of a document; no rows where there is no file."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], ELEMENTS)
+    if field:
+        struct = ", ".join(f.replace(" ", ": ", 1) for f in _FIELDS)
+        return spark.read.schema(f"`{field}` array<struct<{struct}>>").json(path, multiLine=True).select(F.inline(field))
     return spark.read.schema(ELEMENTS).json(path, multiLine=True)
 
 
+def read_streets(spark: SparkSession, path: str) -> DataFrame:
+    """The lists of a streets document: kind, place from 1 on, of_kind (the total it states), street_norm, n_source, n_osm, source_name, osm_name."""
+    kinds = ("missing", "extra", "matched")
+    row = "array<struct<street_norm: string, n_source: bigint, n_osm: bigint, source_name: string, osm_name: string>>"
+    d = spark.read.schema(f"totals struct<{', '.join(f'{k}: bigint' for k in kinds)}>, {', '.join(f'{k} {row}' for k in kinds)}").json(path, multiLine=True)
+    each = d.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"totals.{k}").alias("of_kind"), F.col(k).alias("rows")) for k in kinds])).alias("k"))
+    rows = each.select("k.kind", "k.of_kind", F.posexplode("k.rows").alias("pos", "s"))
+    return rows.select("kind", (F.col("pos") + 1).alias("place"), "of_kind", "s.*")
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     """The polygons of an area layer: polygon_id, props (JSON), ring (exterior only). Parts of a multi-polygon get rows of their own."""
     f = spark.read.schema(LAYER).json(path, multiLine=True).select(F.posexplode("features").alias("fid", "f"))
@@ -43,7 +57,7 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON object a line, nulls included; the folder's marker appears only once all parts are there."""
+    """One JSON object a line, nulls included; the folder's marker appears only once all parts are there."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
