@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +86,24 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(rows, str(TEXT_ROWS))
 
 
+def freed(run: Callable) -> Callable:
+    """``run`` of mapInArrow; after a task's last batch what its worker no longer uses goes back to the system.
+
+    Workers are used again by the tasks of later stages, and what allocators hold back adds up beside these.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 def n_words(text: Column) -> Column:
     """Number of words; 0 for null. Counts word starts, without building an array of the words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

@@ -5,8 +5,8 @@ similar as the limit differ in some ten of 64 bits, more than an index can searc
 prefixes: with all shingles in one order, two sets that overlap enough share one of their first
 ``n - ceil(0.8 n) + 1``. Any order will do; frequent shingles of a sample of fixed size come last, which keeps the
 groups small. Shingles that share the same sets make one group. Of a pair of candidates, sizes and parity maps (their
-distance never exceeds that of the sets), of 512 bits and then of a bit or two for each shingle, rule out most; the rest
-is counted shingle by shingle.
+distance never exceeds that of the sets), of 512 bits and then of a bit or two for each shingle, and histograms of the
+hashes of large sets (likewise) rule out most; the rest is counted shingle by shingle.
 
 Counting a pair moves a whole set, so the most promising pair of each set is counted first: of its SimHash partners and
 the one set that its groups have in common with it. Only where such links leave several components in a group are its
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import drop_tables, keep_first, lookup, small, text_batches, write_table
+from addrloom.llm.common import drop_tables, freed, keep_first, lookup, small, text_batches, write_table
 from addrloom.llm.simhash import LOWER, components, fold, links
 
 SHINGLE = 5
@@ -42,6 +42,8 @@ HOT_SEEN = 20
 #: Bytes of a text hashed at a time.
 SPAN = 1 << 20
 MAPS = [f"m{k}" for k in range(MAP_WORDS)]
+#: Residues counted in the histograms of sets of so many shingles or more, for which 512 parities say too little.
+BUCKETS, COUNTED = 256, 512
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -122,6 +124,14 @@ def wide_map(found: np.ndarray) -> bytes | None:
     return parity_map(found, words).tobytes() if words > 2 * MAP_WORDS else None
 
 
+def histogram(found: np.ndarray) -> bytes | None:
+    """How many of the hashes of a large set fall on each residue, as 16-bit numbers; None for others."""
+    if len(found) < COUNTED:
+        return None
+    counts = np.bincount((found >> np.uint64(48)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return np.minimum(counts, 0xFFFF).astype(np.uint16).tobytes()
+
+
 def maps_differ(a: bytes, b: bytes) -> int:
     """Bits in which two maps differ, the longer one folded to the length of the other: residues that meet there add up."""
     x, y = sorted((np.frombuffer(m, np.uint64) for m in (a, b)), key=len)
@@ -164,7 +174,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, sid, n, fp, m0 to m7, wide, prefix, hot): the text's hash; its set's hash, size, SimHash, parity maps and prefix, hot shingles apart."""
+    """(doc_id, th, sid, n, fp, m0 to m7, wide, hist, prefix, hot): the text's hash; its set's hash, size, SimHash, parity maps, histogram and prefix, hot shingles apart."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))  # FREQUENT pairs of numbers at most
 
@@ -175,11 +185,11 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             cold, hot = zip(*(prefix(s, frequent, counts) for s in found))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "th": b.column("th"), "sid": _signed([_sid(s) for s in found]), "n": pa.array([len(s) for s in found], pa.int64()),
-                "fp": _signed([fold(s) for s in found]), **{m: pa.array(maps[:, k].copy()) for k, m in enumerate(MAPS)}, "wide": pa.array([wide_map(s) for s in found], pa.binary()), "prefix": _lists(cold), "hot": _lists(hot),
+                "fp": _signed([fold(s) for s in found]), **{m: pa.array(maps[:, k].copy()) for k, m in enumerate(MAPS)}, "wide": pa.array([wide_map(s) for s in found], pa.binary()), "hist": pa.array([histogram(s) for s in found], pa.binary()), "prefix": _lists(cold), "hot": _lists(hot),
             })
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, sid bigint, n bigint, fp bigint, " + ", ".join(f"{m} bigint" for m in MAPS) + ", wide binary, prefix array<bigint>, hot array<bigint>")
+    return rows.mapInArrow(freed(run), "doc_id bigint, th bigint, sid bigint, n bigint, fp bigint, " + ", ".join(f"{m} bigint" for m in MAPS) + ", wide binary, hist binary, prefix array<bigint>, hot array<bigint>")
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +200,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"s": _signed(np.concatenate(found))})
 
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    top = docs.select("text").sample(share, seed=1).mapInArrow(run, "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    top = docs.select("text").sample(share, seed=1).mapInArrow(freed(run), "s bigint").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
     rows = top.orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     values, counts = rows.column("s").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(values)
@@ -241,7 +251,7 @@ def shared_tokens(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"token": pa.array(token[keep]), "sid": pa.array(sid[keep])})
 
     rows = sets.select("sid", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "sid")
-    cold = rows.select("token", "sid").mapInArrow(share, "token bigint, sid bigint")
+    cold = rows.select("token", "sid").mapInArrow(freed(share), "token bigint, sid bigint")
     hot = sets.select("sid", F.explode("hot").alias("token")).distinct()
     return cold.union(hot.select("token", "sid"))
 
@@ -269,13 +279,13 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
     rows = write_table(rows.withColumns({"blocks": blocks, "parts": parts}).join(maps, "sid"), "open-rows")
     deal = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["token", "sid", "n", "label", *MAPS]
+    own = ["token", "sid", "n", "label", *MAPS, "hist"]
     members = rows.select(*own, F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), upto("parts").alias("part"))
     asking = rows.where("label <> most").select(*own, F.lit(True).alias("asks"), upto("blocks").alias("block"), deal("parts", 2).alias("part"))
     key = ["token", "block", "part"]
     dealt = members.union(asking).repartition(*key).sortWithinPartitions(*key)
 
-    def compare(asks, sid, n, label, maps) -> tuple[np.ndarray, np.ndarray]:
+    def compare(asks, sid, n, label, has, hist, maps) -> tuple[np.ndarray, np.ndarray]:
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         step = max(1, (1 << 18) // max(1, len(m)))
         out_a, out_b = [], []
@@ -285,8 +295,15 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
                 far += np.bitwise_count(maps[k][s, None] ^ maps[k][None, m])
             near = similar((total - far) / 2, total, 0) & similar(np.minimum(n[s, None], n[None, m]), total, 0) & (label[s, None] != label[None, m])
             i, j = np.nonzero(near)
-            out_a.append(sid[s[i]])
-            out_b.append(sid[m[j]])
+            i, j = s[i], m[j]
+            counted = np.flatnonzero(has[i] & has[j])
+            for k in (counted[lo : lo + (1 << 12)] for lo in range(0, len(counted), 1 << 12)):
+                a, b = i[k], j[k]
+                apart = np.abs(hist[a].astype(np.int32) - hist[b].astype(np.int32)).sum(axis=1)  # of n + m shingles so many aren't common, at least
+                a[~similar((n[a] + n[b] - apart) / 2, n[a] + n[b], 0)] = -1
+                i[k] = a
+            out_a.append(sid[i[i >= 0]])
+            out_b.append(sid[j[i >= 0]])
         none = [np.zeros(0, np.int64)]
         return np.concatenate(out_a or none), np.concatenate(out_b or none)
 
@@ -294,6 +311,10 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             values = [t.column(c).to_numpy() for c in key]
             rest = [t.column(c).to_numpy() for c in ("asks", "sid", "n", "label")]
+            counts = t.column("hist").combine_chunks()
+            has, hist = counts.is_valid().to_numpy(zero_copy_only=False), np.zeros((len(t), BUCKETS), np.uint16)
+            hist[has] = np.frombuffer(b"".join(counts.drop_null().to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            rest += [has, hist]
             maps = [t.column(m).to_numpy().view(np.uint64) for m in MAPS]
             cuts = [0, *(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1).tolist(), len(values[0])]
             found = [compare(*(v[lo:hi] for v in rest), [m[lo:hi] for m in maps]) for lo, hi in zip(cuts, cuts[1:])]
@@ -313,7 +334,7 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    return dealt.select(*key, "asks", "sid", "n", "label", *MAPS).mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select(*key, "asks", "sid", "n", "label", *MAPS, "hist").mapInArrow(freed(run), "a bigint, b bigint").distinct()
 
 
 def less_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -334,7 +355,7 @@ def less_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names=["a", "b", "n", "m", "far"])
 
     joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, far bigint")
+    return joined.mapInArrow(freed(run), "a bigint, b bigint, n bigint, m bigint, far bigint")
 
 
 def set_values(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -346,7 +367,7 @@ def set_values(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     # rows of one text are reduced to one before their sets are built
     rows = docs.select(F.xxhash64("text").alias("th"), "text").join(small(texts), "th", "left_semi").dropDuplicates(["th"])
-    return rows.select("text").mapInArrow(run, "sid bigint, found array<bigint>")
+    return rows.select("text").mapInArrow(freed(run), "sid bigint, found array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -367,7 +388,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Texts without words form one group. Null doc_ids and repeated rows keep their row, as in near_duplicates.
     """
     sets = write_table(shingle_sets(docs), "shingle-sets")
-    firsts = [F.min(c).alias(c) for c in ("n", "fp", *MAPS)]  # the same in all rows of a set
+    firsts = [F.min(c).alias(c) for c in ("n", "fp", *MAPS, "hist")]  # the same in all rows of a set
     distinct = write_table(sets.groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"), F.min("th").alias("th"), *firsts), "distinct-sets")
     shared = write_table(shared_tokens(sets), "shared-shingles")
     rows = write_table(sets.select("doc_id", "th", "sid", "wide"), "set-rows")
@@ -389,7 +410,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     hubs = groups.where("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     linked = verified(best(filtered(fingerprint_pairs(distinct).union(hubs)), 1), docs, distinct)
     labels = write_table(components(linked), "labels")
-    pairs = write_table(filtered(other_pairs(groups, labels.withColumnsRenamed({"node": "sid", "root": "label"}), distinct.select("sid", "n", *MAPS))), "other-candidates")
+    pairs = write_table(filtered(other_pairs(groups, labels.withColumnsRenamed({"node": "sid", "root": "label"}), distinct.select("sid", "n", *MAPS, "hist"))), "other-candidates")
     drop_tables(groups)
     most = PICKS
     while True:

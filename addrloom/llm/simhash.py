@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.llm.common import drop_tables, keep_first, lookup, text_batches, write_table
+from addrloom.llm.common import drop_tables, freed, keep_first, lookup, text_batches, write_table
 
 #: Members of a group.
 RUN = 8
@@ -250,8 +250,8 @@ def links(fps: DataFrame, radius: int = 2, node_codes: int = NODE_CODES, max_nod
         if held is not None:
             yield batch(*held.links())
 
-    routed = ranked.mapInArrow(visit, "node int, own boolean, fp bigint").repartition("node")
-    return routed.sortWithinPartitions("node", F.desc("own"), gray_rank(F.col("fp"))).mapInArrow(run, "a bigint, b bigint")
+    routed = ranked.mapInArrow(freed(visit), "node int, own boolean, fp bigint").repartition("node")
+    return routed.sortWithinPartitions("node", F.desc("own"), gray_rank(F.col("fp"))).mapInArrow(freed(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

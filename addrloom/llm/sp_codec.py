@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from addrloom.llm.common import text_batches
+from addrloom.llm.common import freed, text_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -236,7 +236,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": s.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id bigint, ids array<int>")
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, cache: int = CACHE) -> DataFrame:
@@ -255,7 +255,7 @@ def round_trip(docs: DataFrame, model: str = MODEL, cache: int = CACHE) -> DataF
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "n_bytes": pa.array(size, pa.int64()), "decoded_equal": pa.array(same, pa.bool_())})
 
     text_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint, decoded_equal boolean")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, n_bytes bigint, decoded_equal boolean")
 
 
 def op7_sentencepiece(docs: DataFrame) -> DataFrame:

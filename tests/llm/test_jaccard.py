@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from addrloom.llm import jaccard
 
 N = "doc_id bigint, text string, n bigint, sid string"
 
@@ -49,3 +52,17 @@ def test_pipeline_near_copies_against_brute_force(spark):
     assert corpus_pipeline.simhash_dedup(spark, docs.limit(0), "").count() == 0
     odd = spark.createDataFrame([(None, "a b c", 1, "x"), (None, "a b c", 1, "x"), (4, "p q", 1, "x"), (4, "p q", 1, "x"), (None, "p q", 1, "x")], N)
     assert sorted(str(r.doc_id) for r in corpus_pipeline.simhash_dedup(spark, odd, "").collect()) == ["4", "None"]
+
+
+def test_histograms_never_say_too_much():
+    rng = np.random.default_rng(8)
+    for n in (512, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 64, n + 50, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.85], rng.integers(0, 1 << 64, n // 6, dtype=np.uint64))))
+        x, y = (np.frombuffer(jaccard.histogram(s), np.uint16).astype(int) for s in (a, b))
+        apart = len(np.setxor1d(a, b))
+        assert x.sum() == len(a) and np.abs(x - y).sum() <= apart
+        other = np.unique(rng.integers(0, 1 << 64, n + 50, dtype=np.uint64))  # nothing in common: told apart
+        z = np.frombuffer(jaccard.histogram(other), np.uint16).astype(int)
+        assert not jaccard.similar((len(a) + len(other) - np.abs(x - z).sum()) / 2, len(a), len(other))
+    assert jaccard.histogram(np.arange(511, dtype=np.uint64)) is None

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import io
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -411,7 +413,15 @@ def brute_language(counts, langs, text):
                 grams[k][lang, padded[i : i + k]] += n
     log = lambda table, lang, key: np.log((table[lang, key] + 0.1) / (sum(n for (a, _), n in table.items() if a == lang) + 1))
     known = lambda table, key: any(table[lang, key] for lang in langs)
-    words = ["".join(c for c in w) for w in langid.WORD.findall(text.lower())]
+    words, open_ = [], False
+    for c in text.lower():  # a letter begins or goes on, a mark or joiner only goes on
+        kind = unicodedata.category(c)[0]
+        goes_on = open_ and (kind in "LM" or c in "\u200c\u200d")
+        if goes_on:
+            words[-1] += c
+        elif kind == "L":
+            words.append(c)
+        open_ = goes_on or kind == "L"
     total = dict.fromkeys(langs, 0.0)
     for w in words:
         for lang in langs:
@@ -430,17 +440,38 @@ def brute_language(counts, langs, text):
 
 
 def test_language_scores_against_brute_force(spark):
-    texts = [("en", "the cat sat on the mat and the dog"), ("en", "there is a house on the hill"), ("de", "der Hund und die Katze auf dem Haus"), ("fr", "le chat est sur la table été"), ("de", "ein Haus am Berg")]
+    nfd = lambda t: unicodedata.normalize("NFD", t)
+    texts = [("en", "the cat sat on the mat and the dog"), ("en", "there is a house on the hill"), ("de", "der Hund und die Katze auf dem Haus"), ("fr", "le chat est sur la table été"), ("de", "ein Haus am Berg"),
+             ("fr", nfd("été à la forêt où naît l'hérisson")), ("hi", "हिन्दी में यह वाक्य लिखा गया है"), ("mr", "मराठी मध्ये हे वाक्य लिहिले आहे"), ("hi", "क्षेत्र र्\u200dय और किताब"), ("ja", "日本語の文章です")]
     docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts * 4)] + [(99, "nothing learned here", None)], "doc_id bigint, text string, lang string")
     seen = [(lang, t) for i, (lang, t) in enumerate(texts * 4) if zlib.crc32(str(i).encode()) % 3 != 1]
-    counts = Counter((lang, w) for lang, t in seen for w in t.lower().split())
+    split = lambda t: re.findall(r"[^\s']+", t.lower())  # noqa: E731  these texts have no other separators
+    counts = Counter((lang, w) for lang, t in seen for w in split(t))
     model = langid.fit(docs, max_docs=10_000)
-    assert model.langs == sorted({lang for lang, _ in seen}) and len(model.words) == len({w for _, w in counts})
-    scorer = langid.Scorer(model)
-    for t in ["the cat", "die Katze sat", "chats tables unter", "xyzzy the", "q", "Hausboot am See the mat est " * 9]:
-        lang, p = scorer.predict(t)
+    assert model.langs == sorted({lang for lang, _ in seen}) and len(model.words.keys) == len({w for _, w in counts})
+    asked = ["the cat", "die Katze sat", "chats tables unter", "xyzzy the", "q", "Hausboot am See the mat est " * 9, "हिन्दी वाक्य", "मराठी वाक्य लिहिले", nfd("l'été naît"), "été naît", "क्ष", "日本", "1 \u0301 2", "\u0301\u0301a\u0301", "x" * 3000, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    for i, t in enumerate(asked):
+        if t is None or not any(c.isalpha() for c in t):
+            assert got[i] == ("und", 0.0)
+            continue
         want, score = brute_language(counts, model.langs, t)
-        assert lang == want and abs(p - score) < 1e-4
+        assert got[i][0] == want and abs(got[i][1] - score) < 1e-4, t
+    assert got[6][0] == "hi" and got[7][0] == "mr" and got[8][0] == "fr"
+    known, _ = model.words.find(langid.word_keys(langid.pa.array(["हिन्दी", nfd("été"), "ह"])))
+    assert known.tolist() == [True, True, False]  # whole words, marks included
+
+
+def test_steps_do_not_change_language_scores(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", langid.words_of(F.col("text")).alias("w")).toArrow()
+    model = langid.Model([("en", "quick", 3), ("en", "brown", 2), ("fr", "plage", 1), ("fr", "à", 5)])
+    words = rows.column("w").combine_chunks()
+    want = model.predict(words)
+    monkeypatch.setattr(langid, "STEP", 7)
+    got = model.predict(words)
+    assert got[0] == want[0] and np.allclose(got[1], want[1])
+    assert langid.Model([]).predict(words)[0] == ["und"] * len(words)
 
 
 def test_repeats_of_long_texts_are_counted_alike(monkeypatch):
@@ -540,8 +571,7 @@ def test_pipeline_against_a_plain_chain(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "mix_sources", "sentencepiece"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    scorer = langid.Scorer(langid.fit(docs))
-    kept = [(r.doc_id, r.text, r.source) for r in docs.collect() if (p := scorer.predict(r.text))[0] != "und" and p[1] >= 0.35]
+    kept = [(r.doc_id, r.text, r.source) for r in langid.predict(docs, langid.fit(docs)).collect() if r.lang_pred != "und" and r.score >= 0.35]
     kept = brute_lines(kept)
     sets = []
     for _, t, _ in kept:
