@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from addrloom.functions.text import merge_codes
+from addrloom.plans.stage import materialize
 
 # Fixed values
 DECIDED_STAGES = ("APPROVED", "REJECTED", "UPLOADED")
@@ -23,6 +25,44 @@ def fresh(results: DataFrame, stored: DataFrame) -> DataFrame:
     return results.where("verdict <> 'SKIP'").join(stored, [*KEY, "check_id", "version"], "left_anti")
 
 
+RESULT_PARTS = ["check_id", "version"]
+RESULTS = "run_id bigint, candidate_id string, verdict string, severity string, reason_code string, n_details bigint, details string, check_id string, version int"
+
+
+def store(results: DataFrame, path: str) -> None:
+    """Appends results to those at ``path``, in a folder for each check and version."""
+    results.where("verdict <> 'SKIP'").write.mode("append").partitionBy(*RESULT_PARTS).parquet(path)
+
+
+def stored(spark: SparkSession, path: str, check: str, version: int) -> DataFrame:
+    """What is stored for a check's version (RESULTS; columns that were not stored are null): the only folder that is read."""
+    try:
+        rows = spark.read.schema(RESULTS).parquet(path)
+    except AnalysisException:  # nothing is stored yet
+        rows = spark.createDataFrame([], RESULTS)
+    return rows.where((F.col("check_id") == check) & (F.col("version") == version))
+
+
+def lagging_runs(runs: DataFrame, spark: SparkSession, path: str, check: str, version: int) -> DataFrame:
+    """The runs (run_id) that have no result of this version of the check."""
+    return runs.select("run_id").distinct().join(stored(spark, path, check, version).select("run_id").distinct(), "run_id", "left_anti")
+
+
+def backscan(c: DataFrame, features: DataFrame, path: str, check: str) -> DataFrame:
+    """The check over all runs whose stored version lags, stored; returns what is new.
+
+    ``c``: conflated candidates of all runs. Runs that are up to date are left out before anything is joined; the others are
+    worked out together. Doing it again adds nothing.
+    """
+    from addrloom.operators.checks import VERSIONS, run_checks
+
+    spark = c.sparkSession
+    runs = materialize(lagging_runs(c, spark, path, check, VERSIONS[check]), "lagging-runs")
+    new = materialize(run_checks(c.join(runs, "run_id", "left_semi"), features, (check,)).where("verdict <> 'SKIP'"), "backscan")
+    store(new, path)
+    return new
+
+
 def route(results: DataFrame, cands: DataFrame, items: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Where each result goes: passed, recorded_only (the run is uploaded or the row decided), new or merged into an open item.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, parity_range, sqlite_int
+from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, sqlite_int
+from addrloom.operators.orphans import NODE, index_counts, number_nodes, number_places, plain_number
 from addrloom.operators.streets import with_streets
+from addrloom.plans.stage import materialize
 
 
 def span_bucket(span: Column) -> Column:
@@ -41,12 +43,28 @@ def range_coverage(ranges: DataFrame, singles: DataFrame) -> DataFrame:
 
 
 def range_hits(ranges: DataFrame, features: DataFrame) -> DataFrame:
-    """Numbers of each range that features carry, and the missing ones as a list."""
-    keys = features.select("street_norm", F.explode(housenumber_tokens(F.col("housenumber"))).alias("token")).distinct().withColumn("hit", F.lit(True))
-    r = ranges.where("lo_num <= hi_num").select("candidate_id", "street_norm", F.explode(parity_range(F.col("lo_num"), F.col("hi_num"))).alias("n")).withColumn("token", F.col("n").cast("string"))
-    j = r.join(keys, ["street_norm", "token"], "left")
-    missing = F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.col("n"))))
-    return j.groupBy("candidate_id").agg(F.count("hit").alias("hits"), F.count("*").alias("total"), F.array_join(F.transform(missing, lambda x: x.cast("string")), ",").alias("missing"))
+    """For each range the numbers that features carry (hits) of all (total), and the missing ones as runs: structs (first, last, step).
+
+    Ranges and numbers meet in the nodes of a tree; a range costs some rows for each digit and one for each hit, and
+    gives one run more than hits at most, however long it is.
+    """
+    numbers = features.select("street_norm", F.explode(housenumber_tokens(F.col("housenumber"))).alias("token")).distinct()
+    numbers = numbers.select("street_norm", plain_number(F.col("token")).alias("n")).where("n IS NOT NULL")
+    r = ranges.where("lo_num <= hi_num").select("candidate_id", "street_norm", F.col("lo_num").cast("bigint").alias("lo"), F.col("hi_num").cast("bigint").alias("hi"))
+    placed = materialize(number_nodes(r), "range-nodes")
+    top = placed.agg(F.max("level")).first()[0] or 0
+    hits = placed.join(number_places(numbers, top), ["street_norm", *NODE]).groupBy("candidate_id").agg(F.array_sort(F.collect_list("n")).alias("found"))
+    j = r.join(hits, "candidate_id", "left").withColumn("step", F.when(F.pmod("lo", F.lit(2)) == F.pmod("hi", F.lit(2)), 2).otherwise(1).cast("bigint"))
+    ends = F.concat(F.array(F.col("lo") - F.col("step")), F.coalesce("found", F.array().cast("array<bigint>")), F.array(F.col("hi") + F.col("step")))
+    gap = lambda i: F.struct((F.get("ends", i) + F.col("step")).alias("first"), (F.get("ends", i + 1) - F.col("step")).alias("last"), F.col("step"))
+    runs = F.filter(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), gap), lambda g: g["first"] <= g["last"])
+    j = j.withColumn("ends", ends)
+    return j.select("candidate_id", (F.size("ends") - 2).cast("bigint").alias("hits"), (F.floor((F.col("hi") - F.col("lo")) / F.col("step")) + 1).cast("bigint").alias("total"), runs.alias("missing"))
+
+
+def run_list(runs: Column) -> Column:
+    """The numbers of missing runs, separated by commas."""
+    return F.array_join(F.flatten(F.transform(runs, lambda g: F.transform(F.sequence(g["first"], g["last"], g["step"]), lambda n: n.cast("string")))), ",")
 
 
 def street_match(cands: DataFrame, features: DataFrame) -> DataFrame:
@@ -74,9 +92,10 @@ def in_drift_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("number_key", sqlite_int(F.col("housenumber"))).orderBy("run_id", "number_key", "housenumber")
 
 
-def reverse_sweep(features: DataFrame, keys: DataFrame) -> DataFrame:
-    """Node features by the share of their numbers that the source knows, and the unknown ones."""
+def reverse_sweep(features: DataFrame, index: DataFrame) -> DataFrame:
+    """Node features by the share of their numbers that the source's index knows, and the unknown ones."""
     t = features.where((F.col("osm_type") == "node") & ~F.col("is_poi") & (F.col("street_norm") != "")).select("osm_id", "street_norm", F.posexplode(housenumber_tokens(F.col("housenumber"))).alias("pos", "token"))
+    keys = index_counts(index, t.select("street_norm", "token").distinct())
     j = t.join(keys.select("street_norm", "token", F.lit(True).alias("known")), ["street_norm", "token"], "left")
     unknown = F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", "token"))))
     return j.groupBy("osm_id").agg(F.count("known").alias("matched"), F.count("*").alias("parts"), F.array_join(F.transform(unknown, lambda u: u["token"]), ";").alias("missing_parts"))

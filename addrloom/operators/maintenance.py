@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from addrloom.operators.sums import counts_between
+
 from addrloom.functions.geo import haversine, with_cells
 from addrloom.sources import history
 
@@ -72,19 +74,29 @@ def retirements(retired: DataFrame, features: DataFrame, known: DataFrame, radiu
 def window_counts(src: DataFrame, windows: DataFrame) -> DataFrame:
     """New and retired rows of each maintenance run's window: ``windows`` is a table (run_id, low, high) of the windows (low, high].
 
-    The source is read once, however many windows there are: rows are counted by the snapshots that matter, or meet the windows they fall in.
+    Rows are counted by the snapshots that matter; windows and counts meet in sweeps, each window as two marks. Retired are
+    the rows last seen in the window, less those whose address another identity has at its end: counted likewise, by that end.
     """
+    forever = F.lit((1 << 62)).cast("bigint")
     seen = src.groupBy("identity_key").agg(F.min("min_snapshot_id").alias("_first"), F.max("max_snapshot_id").alias("_last"))
     rows = src.join(seen, "identity_key")
-    new = rows.groupBy(F.col("max_snapshot_id").alias("_at"), "_first").agg(F.count("*").alias("_n"))
-    new = new.join(F.broadcast(windows), (F.col("_at") == F.col("high")) & (F.col("_first") > F.col("low"))).groupBy("run_id").agg(F.sum("_n").alias("new_count"))
+    firsts = rows.groupBy(F.col("max_snapshot_id").cast("bigint").alias("grp"), F.col("_first").alias("at")).agg(F.count("*").alias("n"))
+    new = counts_between(firsts, windows.select("run_id", F.col("high").cast("bigint").alias("grp"), "low", forever.alias("high")), "run_id")
+
+    lasting = lambda grp: windows.select("run_id", grp.cast("bigint").alias("grp"), (F.col("low") - 1).alias("low"), (F.col("high") - 1).alias("high")).where("high >= low")
     gone = rows.where(F.col("max_snapshot_id") == F.col("_last")).select("identity_key", "number", "street", "_last")
-    gone = gone.join(F.broadcast(windows), (F.col("_last") >= F.col("low")) & (F.col("_last") < F.col("high")))
-    now = src.select(F.col("max_snapshot_id").alias("_s"), F.col("number").alias("_num"), F.col("street").alias("_st"), F.col("identity_key").alias("_id"))
-    again = (F.col("high") == F.col("_s")) & (F.col("number") == F.col("_num")) & (F.col("street") == F.col("_st")) & (F.col("identity_key") != F.col("_id"))
-    gone = gone.join(now, again, "left_anti").groupBy("run_id").agg(F.count("*").alias("retired_count"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return windows.select("run_id").join(new, "run_id", "left").join(gone, "run_id", "left").select("run_id", zero("new_count"), zero("retired_count"))
+    lasts = gone.groupBy(F.lit(0).cast("bigint").alias("grp"), F.col("_last").alias("at")).agg(F.count("*").alias("n"))
+    all_gone = counts_between(lasts, lasting(F.lit(0)), "run_id")
+    # Who else has an address at a snapshot: the least and the greatest identity tell whether there is another one.
+    ends = windows.select(F.col("high").alias("max_snapshot_id")).distinct()
+    now = src.join(ends, "max_snapshot_id", "left_semi").groupBy("number", "street", F.col("max_snapshot_id").alias("_s")).agg(F.min("identity_key").alias("_a"), F.max("identity_key").alias("_b"))
+    again = gone.join(now, ["number", "street"]).where((F.col("_s") > F.col("_last")) & ((F.col("_a") != F.col("identity_key")) | (F.col("_b") != F.col("identity_key"))))
+    again = again.groupBy(F.col("_s").cast("bigint").alias("grp"), F.col("_last").alias("at")).agg(F.count("*").alias("n"))
+    reissued = counts_between(again, lasting(F.col("high")), "run_id").withColumnRenamed("n", "_again")
+
+    out = windows.select("run_id").join(new.withColumnRenamed("n", "_new"), "run_id", "left").join(all_gone, "run_id", "left").join(reissued, "run_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return out.select("run_id", zero("_new").alias("new_count"), (zero("n") - zero("_again")).alias("retired_count"))
 
 
 def lagging(watermark_date: str | None, published_date: str | None) -> bool:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, override_street, parity_range
+from addrloom.functions.spans import above, nodes
+from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, override_street
 from addrloom.operators.streets import with_streets
 
 COLUMNS = ("bucket", "reason", "osm_type", "osm_id", "addr_housenumber", "addr_street", "entrance", "name", "building", "lat", "lon", "missing_parts", "matched_parts")
@@ -16,21 +17,67 @@ def _tag(key: str) -> Column:
 
 
 def source_index(src: DataFrame) -> DataFrame:
-    """How many times the source emits each (street, number).
+    """What the source emits, as an index: street_norm, token (a number as written) or step, parity, level, node (numbers of ranges), n_rows.
 
-    Ranges without letters give all their numbers by parity (none where reversed). Other rows give the number as written, and rows
+    Ranges without letters stand for all their numbers by parity (none where reversed); they are stored as nodes of a tree,
+    so a range costs some rows for each digit, however long it is. Other rows give the number as written, and rows
     with two equal numbers and no letter also that number, so most of them count twice. Rows without a street give nothing.
     """
     suffix = lambda c: F.trim(F.coalesce(F.nullif(F.col(c), F.lit("None")), F.lit("")))
     rendered = F.upper(F.trim(F.coalesce("number", F.lit(""))))
-    lo, hi = F.col("lo_num"), F.col("hi_num")
+    lo, hi = F.col("lo_num").cast("bigint"), F.col("hi_num").cast("bigint")
     plain = F.coalesce((lo != hi) & (suffix("lo_num_suf") == "") & (suffix("hi_num_suf") == ""), F.lit(False))
     again = F.when(F.coalesce((lo == hi) & (suffix("lo_num_suf") == ""), F.lit(False)), F.array(rendered, lo.cast("string"))).otherwise(F.array(rendered))
     single = F.when(rendered == "", F.array().cast("array<string>")).otherwise(again)
-    keys = F.when(plain, F.transform(parity_range(lo, hi), lambda n: n.cast("string"))).otherwise(single)
-    rows = with_streets(src, {"_norm": lambda s: normalize_street(override_street(s))})
-    rows = rows.select(F.col("_norm").alias("street_norm"), F.explode(keys).alias("token"))
-    return rows.where("street_norm <> ''").groupBy("street_norm", "token").agg(F.count("*").alias("n_rows"))
+    rows = with_streets(src, {"_norm": lambda s: normalize_street(override_street(s))}).where("_norm <> ''").withColumnRenamed("_norm", "street_norm")
+    singles = rows.where(~plain).select("street_norm", F.explode(single).alias("token")).groupBy("street_norm", "token").agg(F.count("*").alias("n_rows"))
+    ranges = number_nodes(rows.where(plain).select("street_norm", lo.alias("lo"), hi.alias("hi"))).groupBy("street_norm", *NODE).agg(F.count("*").alias("n_rows"))
+    return singles.unionByName(ranges, allowMissingColumns=True)
+
+
+NODE = ("step", "parity", "level", "node")
+
+
+def number_nodes(ranges: DataFrame) -> DataFrame:
+    """``ranges`` (lo, hi) as nodes, a row for each: by two where both ends have one parity, else by one; none where reversed."""
+    step = F.when(F.pmod(F.col("lo"), F.lit(2)) == F.pmod(F.col("hi"), F.lit(2)), 2).otherwise(1)
+    r = ranges.where("lo <= hi").withColumn("step", step)
+    scaled = lambda c: F.when(F.col("step") == 2, F.shiftright(F.col(c), 1)).otherwise(F.col(c))
+    r = r.withColumns({"parity": F.when(F.col("step") == 2, F.pmod(F.col("lo"), F.lit(2))).otherwise(0).cast("int"), "n": F.explode(nodes(scaled("lo"), scaled("hi")))})
+    return r.select(*ranges.columns, "step", "parity", F.col("n.level").alias("level"), F.col("n.node").alias("node")).drop("lo", "hi")
+
+
+def number_places(numbers: DataFrame, top: int) -> DataFrame:
+    """``numbers`` (n) with the nodes up to level ``top`` that may hold each: by one and by two."""
+    by = F.explode(F.array(F.struct(F.lit(1).alias("step"), F.lit(0).alias("parity"), above(F.col("n"), top).alias("a")), F.struct(F.lit(2).alias("step"), F.pmod(F.col("n"), F.lit(2)).cast("int").alias("parity"), above(F.shiftright(F.col("n"), 1), top).alias("a"))))
+    each = numbers.withColumn("b", by).select(*numbers.columns, "b.step", "b.parity", F.explode("b.a").alias("a"))
+    return each.select(*numbers.columns, "step", "parity", F.col("a.level").alias("level"), F.col("a.node").alias("node"))
+
+
+def plain_number(token: Column) -> Column:
+    """The number of a token that is written just as a range's numbers are, else null."""
+    n = token.try_cast("bigint")
+    return F.when(n.cast("string") == token, n)
+
+
+def index_counts(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(street_norm, token, n_rows) of those of ``asked`` (street_norm, token; distinct) that the index knows."""
+    top = index.agg(F.max("level")).first()[0]
+    hits = asked.join(index.where("token IS NOT NULL").select("street_norm", "token", "n_rows"), ["street_norm", "token"])
+    if top is not None:
+        numbers = asked.withColumn("n", plain_number(F.col("token"))).where("n IS NOT NULL")
+        held = number_places(numbers, top).join(index.where("token IS NULL").select("street_norm", *NODE, "n_rows"), ["street_norm", *NODE])
+        hits = hits.unionByName(held.select("street_norm", "token", "n_rows"))
+    return hits.groupBy("street_norm", "token").agg(F.sum("n_rows").alias("n_rows"))
+
+
+def listed(index: DataFrame) -> DataFrame:
+    """(street_norm, token, n_rows): the index written out, a row for each number. For looking at; lookups use index_counts."""
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level") * 4)
+    n = F.explode(F.sequence(F.col("node") * size, (F.col("node") + 1) * size - 1))
+    numbers = index.where("token IS NULL").select("street_norm", "step", "parity", "n_rows", n.alias("n"))
+    numbers = numbers.select("street_norm", F.when(F.col("step") == 2, 2 * F.col("n") + F.col("parity")).otherwise(F.col("n")).cast("string").alias("token"), "n_rows")
+    return index.where("token IS NOT NULL").select("street_norm", "token", "n_rows").unionByName(numbers).groupBy("street_norm", "token").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def node_rows(features: DataFrame, index: DataFrame, inside: Column | None = None) -> DataFrame:
@@ -42,7 +89,8 @@ def node_rows(features: DataFrame, index: DataFrame, inside: Column | None = Non
     within = F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))
     nodes = features.where("osm_type = 'node' AND NOT is_poi").withColumns({"_in": within, "bucket": F.when(F.map_contains_key("tags", "entrance"), "entrance").otherwise("pure")})
     t = nodes.where("_in AND street_norm <> ''").select("osm_id", "street_norm", F.posexplode(housenumber_tokens(F.col("housenumber"))).alias("_pos", "token"))
-    j = t.join(index.select("street_norm", "token", F.lit(True).alias("_known")), ["street_norm", "token"], "left")
+    known = index_counts(index, t.select("street_norm", "token").distinct())
+    j = t.join(known.select("street_norm", "token", F.lit(True).alias("_known")), ["street_norm", "token"], "left")
     part = F.struct("_pos", "token")
     listed = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, part))), lambda u: u["token"]), ";")
     g = j.groupBy("osm_id").agg(listed(F.col("_known").isNull()).alias("missing_parts"), listed(F.col("_known")).alias("matched_parts"), F.count("*").alias("_parts"), F.count("_known").alias("_hits"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from addrloom.functions import datasets, geo, text
@@ -9,7 +11,7 @@ from addrloom.operators import backfill, checks, coverage, extract, orphans, ran
 from addrloom.plans.more_queries import WORK, work
 from addrloom.plans.oracle import CHECKS, CONF, FEAT, norm
 from addrloom.plans.queries import _TOKENS, BOX, INDEX, SNAPSHOT, SQL, cands, conflated, feats, indexed, osm, query, src
-from addrloom.plans.stage import materialize
+from addrloom.plans.stage import materialize, shared
 from addrloom.sources import history
 from addrloom.sources.lattice import LATTICE, lattice
 
@@ -72,7 +74,7 @@ def _(spark, d):
 
 @query("A18_source_index", f"{LATTICE}, {INDEX} SELECT * FROM ks")
 def _(spark, d):
-    return indexed(spark, d)
+    return orphans.listed(indexed(spark, d))
 
 
 AREA = (43.60, -79.60, 43.70, -79.0)
@@ -132,6 +134,18 @@ def _(spark, d):
     return backfill.route(backfill.fresh(found, stored), c, items, c.where("run_id % 5 = 0").select("run_id").distinct())
 
 
+@query("J36_backscan", f"{CHECKS} SELECT run_id, candidate_id, verdict, reason_code FROM checks WHERE check_id = 'match_number_drift' AND verdict <> 'SKIP' AND run_id % 3 <> 0")
+def _(spark, d):
+    """Every third run has results of this version, all have some of the one before."""
+    c = materialize(work(spark, d)[0], "work")
+    path, version = f"{shared(spark)}/results-{uuid.uuid4().hex}", checks.VERSIONS["match_number_drift"]
+    old = c.select("run_id", "candidate_id", F.lit("PASS").alias("verdict"), F.lit("match_number_drift").alias("check_id"), F.lit(version - 1).alias("version"))
+    backfill.store(old.unionByName(old.where("run_id % 3 = 0").withColumn("version", F.lit(version))), path)
+    backfill.backscan(c, feats(spark, d), path, "match_number_drift")
+    found = backfill.stored(spark, path, "match_number_drift", version)
+    return found.where("run_id % 3 <> 0").select("run_id", "candidate_id", "verdict", "reason_code")
+
+
 _STREETS = f"""{_LATER}, s AS (SELECT street_norm, COUNT(*) AS flags, COUNT(*) FILTER (WHERE run_id % 5 = 0) AS uploaded_flags, COUNT(DISTINCT run_id) AS run_count, CASE street_norm WHEN 'KING ST W' THEN 'fixed' WHEN 'OAK CRES' THEN 'dismissed' ELSE 'open' END AS status FROM fl WHERE verdict = 'FLAG' GROUP BY 1)"""
 
 

@@ -360,7 +360,7 @@ _TOKENS = r"""CASE WHEN regexp_full_match(housenumber, '\s*\d+\s+\d+/\d+\s*|\s*\
 @query("J24_range_hits", f"""{FEAT}, k AS (SELECT DISTINCT street_norm, UNNEST({_TOKENS}) AS token FROM feat), r AS (SELECT candidate_id, street_norm, UNNEST(generate_series(lo_num, hi_num, CASE WHEN lo_num % 2 = hi_num % 2 THEN 2 ELSE 1 END)) AS n FROM cand WHERE is_range AND lo_num <= hi_num)
 SELECT candidate_id, COUNT(token) AS hits, COUNT(*) AS total, COALESCE(string_agg(CASE WHEN token IS NULL THEN CAST(n AS VARCHAR) END, ',' ORDER BY n), '') AS missing FROM r LEFT JOIN k ON r.street_norm = k.street_norm AND CAST(r.n AS VARCHAR) = k.token GROUP BY 1""")
 def _(spark, d):
-    return coverage.range_hits(cands(spark, d).where("is_range"), feats(spark, d))
+    return coverage.range_hits(cands(spark, d).where("is_range"), feats(spark, d)).withColumn("missing", coverage.run_list(F.col("missing")))
 
 
 #: The source's index: (street_norm, token) with the number of rows that emit it.
@@ -370,7 +370,7 @@ INDEX = f"""ks AS (SELECT street_norm, token, COUNT(*) AS n_rows FROM (SELECT {n
 
 
 def indexed(spark, d):
-    return orphans.source_index(history.active(src(spark, d), SNAPSHOT).withColumn("hi_num_suf", F.lit(None).cast("string")))
+    return materialize(orphans.source_index(history.active(src(spark, d), SNAPSHOT).withColumn("hi_num_suf", F.lit(None).cast("string"))), "source-index")
 
 
 @query("J25_reverse_sweep", f"""{FEAT}, {INDEX},

@@ -76,7 +76,7 @@ def test_source_index_by_brute_force(spark):
                 keys = ([written] + ([str(r[1])] if r[1] is not None and r[1] == r[2] and not clean(r[3]) else [])) if written else []
             for k in keys:
                 want[name[r[6]], k] = want.get((name[r[6]], k), 0) + 1
-    assert {(r.street_norm, r.token): r.n_rows for r in orphans.source_index(s).collect()} == want
+    assert {(r.street_norm, r.token): r.n_rows for r in orphans.listed(orphans.source_index(s)).collect()} == want
 
 
 def swept(spark):
@@ -84,7 +84,7 @@ def swept(spark):
     rows = [(1, "node", False, "OAK ST", "1;3", "Oak St", 0.5, 0.5, {}), (2, "node", False, "OAK ST", "9;1;7", "Oak St", 0.5, 0.5, {"entrance": "main", "name": "N"}), (3, "node", False, "", "4", None, 0.5, 0.5, {}),
             (4, "node", False, "OAK ST", "1", "Oak St", 5.0, 5.0, {}), (5, "node", True, "OAK ST", "8", "Oak St", 0.5, 0.5, {}), (6, "way", False, "", "8", " ", 0.5, 0.5, {"building": "house"}), (7, "relation", False, "", "8", None, None, None, {}), (8, "way", False, "OAK ST", "8", "Oak St", 0.5, 0.5, {})]
     f = spark.createDataFrame(rows, t)
-    index = spark.createDataFrame([("OAK ST", "1", 2), ("OAK ST", "3", 1)], "street_norm string, token string, n_rows bigint")
+    index = spark.createDataFrame([("OAK ST", "1", 2, None, None, None, None), ("OAK ST", None, 1, 2, 1, 0, 1)], "street_norm string, token string, n_rows bigint, step int, parity int, level int, node bigint")  # 3 by a range
     inside = (F.col("lat") < 1) & (F.col("lon") < 1)
     return orphans.node_rows(f, index, inside), orphans.no_street_polygons(f, inside)
 
