@@ -53,11 +53,10 @@ def listed(entries: Column, most: int = LISTED) -> Column:
 
 
 def _nearest(pairs: DataFrame, entry: Column, by: list[str], most: int) -> DataFrame:
-    """(by, n, near): the number of rows of each key and the ``most`` smallest entries: a top-k that is cut down before the shuffle."""
-    n = pairs.groupBy(*by).agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("_entry"))
-    near = pairs.withColumn("_entry", entry).withColumn("_place", place).where(F.col("_place") <= most).groupBy(*by).agg(F.collect_list("_entry").alias("near"))
-    return n.join(near, by)
+    """(by, n, near): the number of rows of each key and the ``most`` smallest entries; ``pairs`` is worked out and shuffled once."""
+    key = Window.partitionBy(*by)
+    p = pairs.withColumn("_entry", entry).withColumns({"n": F.count("*").over(key), "_place": F.row_number().over(key.orderBy("_entry"))})
+    return p.where(F.col("_place") <= most).groupBy(*by).agg(F.first("n").alias("n"), F.collect_list("_entry").alias("near"))
 
 
 def close_candidates(c: DataFrame, radius_m: float) -> DataFrame:
@@ -136,9 +135,11 @@ def missing_nearby(c: DataFrame, flagged: DataFrame) -> DataFrame:
     return _nearest(p, entry, KEY, LISTED).select(*KEY, "n", listed(F.col("near")).alias("list"))
 
 
-def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS), duplicate_m: float = DUPLICATE_M, nearby_m: float = NEARBY_M, slack_m: float = SLACK_M, every: int = SAMPLE) -> DataFrame:
+def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS), duplicate_m: float = DUPLICATE_M, nearby_m: float = NEARBY_M, slack_m: float = SLACK_M, every: int = SAMPLE, per_run: DataFrame | None = None) -> DataFrame:
     """All results of the enabled checks over candidates that aren't SKIPPED; the right sides see every candidate.
 
+    ``per_run`` (run_id, every): runs with a sampling rate of their own; 0 samples none.
+
     The three checks that look about a candidate are joined to it once; the results of a row are then one array.
     """
     joined = {"city_duplicate": lambda: close_candidates(c, duplicate_m), "nearby_street_mismatch": lambda: mismatched(c, features, nearby_m), "match_number_drift": lambda: drifted(c, features, slack_m)}
@@ -154,7 +155,9 @@ def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tup
 
     extra = extra_tags(F.from_json("tags", "map<string,string>"))
     suffix = suspicious_suffix(F.nullif(F.col("lo_num_suf"), F.lit("None")), F.col("housenumber"))
-    hit = sample_ordinal(F.col("candidate_id")) % every == 0 if every > 0 else F.lit(False)
+    rows = rows.join(per_run.select("run_id", F.col("every").alias("_every")), "run_id", "left") if per_run is not None else rows.withColumn("_every", F.lit(None).cast("int"))
+    rate = F.coalesce("_every", F.lit(every))
+    hit = F.when(rate > 0, sample_ordinal(F.col("candidate_id")) % rate == 0).otherwise(False)
     matched = F.col("verdict").isin("MATCH", "MATCH_FAR")
     result = {
         "match_far": lambda: _result("match_far", F.col("verdict") == "MATCH_FAR", F.lit("match_far"), "warn", "ok"),
@@ -177,6 +180,21 @@ def stages(c: DataFrame, results: DataFrame) -> DataFrame:
     return j.withColumn("stage", stage)
 
 
+def rerouted(items: DataFrame, staged: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """The review items after a run of the checks, and the keys of those that it cleared.
+
+    ``items``: key, reason_code, status, opened_at; ``staged``: what ``stages`` returns for all rows of the run. A flagged row
+    has an item, opened at ``at`` if it is new; of one that exists only the reasons change. An OPEN item of a row that is
+    no longer flagged goes; decided ones stay, as do those of rows that the checks don't look at.
+    """
+    seen = staged.where("verdict <> 'SKIPPED'").select(*KEY, F.col("reasons").alias("_reasons"), F.lit(True).alias("_seen"))
+    j = items.withColumn("_old", F.lit(True)).join(seen, KEY, "full_outer")
+    stale = F.coalesce(F.col("_old") & F.col("_seen") & F.col("_reasons").isNull() & (F.col("status") == "OPEN"), F.lit(False))
+    j = j.withColumn("_stale", stale).where(F.col("_old") | F.col("_reasons").isNotNull())
+    kept = j.where("NOT _stale").select(*KEY, F.coalesce("_reasons", "reason_code").alias("reason_code"), F.coalesce("status", F.lit("OPEN")).alias("status"), F.when(F.col("_old"), F.col("opened_at")).otherwise(at).alias("opened_at"))
+    return kept, j.where("_stale").select(*KEY)
+
+
 def pending(results: DataFrame, stored: DataFrame) -> DataFrame:
     """Results not stored yet for their check and version."""
     return results.join(stored, ["run_id", "candidate_id", "check_id", "version"], "left_anti")

@@ -78,7 +78,8 @@ def beside_land(cands: DataFrame) -> DataFrame:
 
 def conflate(cands: DataFrame, features: DataFrame) -> DataFrame:
     """Candidates with verdict, nearest feature, POI acknowledgement, sibling and group columns."""
-    address = Window.partitionBy("run_id", "address_full", "muni")
+    # rows without an address are no group: each is on its own
+    address = Window.partitionBy("run_id", "address_full", "muni", F.when(F.col("address_full").isNull(), F.col("candidate_id")))
     land = F.coalesce((F.col("cls") == "Land") & F.col("address_full").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.lit(False))
     c = cands.join(land_siblings(cands), ["run_id", "candidate_id"], "left").withColumn("_land", land)
     c = c.withColumn("_lands", F.count_if("_land").over(address))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from addrloom.functions.text import first_int, housenumber_tokens, normalize_street, sqlite_int
 from addrloom.operators.orphans import NODE, index_counts, number_nodes, number_places, plain_number
 from addrloom.operators.streets import with_streets
+from addrloom.operators.sums import ordered
 from addrloom.plans.stage import materialize
 
 
@@ -78,8 +79,11 @@ def street_match(cands: DataFrame, features: DataFrame) -> DataFrame:
 
 def street_lists(streets: DataFrame) -> DataFrame:
     """The streets of ``street_match`` with their place in the list of their kind: most addresses first, then by name."""
-    n = F.greatest("n_source", "n_osm")
-    return streets.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(n.desc(), "street_norm")))
+    most = F.greatest("n_source", "n_osm")
+    ranked = ordered(streets.withColumn("_most", -most), [F.col("kind"), F.col("_most"), F.col("street_norm")])
+    first = streets.groupBy("kind").agg(F.count("*").alias("_n"))
+    before = first.select("kind", F.coalesce(F.sum("_n").over(Window.orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each kind
+    return ranked.join(F.broadcast(before), "kind").withColumn("place", (F.col("rank") - F.col("_before")).cast("int")).drop("rank", "_most", "_before")
 
 
 def in_list_order(rows: DataFrame) -> DataFrame:

@@ -203,14 +203,17 @@ def _(spark, d):
     return lattice(spark, d, "base").select(run.alias("run")).distinct().select("run", backfill.tile_of_run(F.col("run")).alias("tile"))
 
 
-_FULL = [("903 Cottingham Road, Emily Twp", "903", "Cottingham Road", "ROAD"), ("3 ALLISON LINE BLENHEIM TOWN", "3", "ALLISON LINE", "LINE"), ("61A King St. W", "61A", "King St. W", "ST"), ("1133-B Elm", "", "1133-B Elm", "ELM"), ("12-14b Oak  Ave", "12-14B", "Oak Ave", "AVE"), ("Main St Blenheim", "", "Main St", "ST"), ("N W", "", "N W", ""), ("7", "7", "", "")]
+#: The lattice's addresses as combined texts: places behind the street, after a comma or not.
+_PLACED = "CASE k % 4 WHEN 1 THEN ' BLENHEIM TOWN' WHEN 2 THEN ', Emily Twp' WHEN 3 THEN ' Blenheim, ON' ELSE '' END"
+_WAYS = ", ".join(f"'{x}'" for x in sorted({*text.DIRECTIONS, *text.DIRECTIONS.values()}))
 
 
-@query("N11_resolve", "SELECT combined, number, street, suffix FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{e}')" for a, b, c, e in _FULL) + ") AS t(combined, number, street, suffix)")
+@query("N11_resolve", f"{LATTICE} SELECT identity_key, upper(number) AS number, street, COALESCE(list_last(list_filter(string_split(street, ' '), lambda t: t NOT IN ({_WAYS}))), '') AS suffix FROM src")
 def _(spark, d):
     none = F.lit(None).cast("string")
-    number, street = datasets.resolve(none, F.col("combined"), none, [], F.array(F.lit("Blenheim"), F.lit("Town")))
-    return spark.createDataFrame([r[:1] for r in _FULL], "combined string").select("combined", number.alias("number"), street.alias("street"), datasets.suffix_token(street).alias("suffix"))
+    combined = F.concat("number", F.lit(" "), "street", F.expr(_PLACED))
+    number, street = datasets.resolve(none, combined, none, [], F.array(F.lit("Blenheim"), F.lit("Town")))
+    return src(spark, d).select("identity_key", number.alias("number"), street.alias("street"), datasets.suffix_token(street).alias("suffix"))
 
 
 @query("N06_split_numbers", rf"""{LATTICE} SELECT osm_id, array_to_string(list_transform(list_filter(list_transform(range(len(p)), lambda i: CASE WHEN list_position(p, p[i + 1]) = i + 1 THEN p[i + 1] END), lambda x: x IS NOT NULL), lambda x: x), '|') AS parts FROM (SELECT osm_id,

@@ -12,7 +12,7 @@ from addrloom.operators import checks, coverage, features, orphans, reports, sta
 from addrloom.operators import conflate as conf
 from addrloom.plans import tiling
 from addrloom.plans.stage import materialize
-from addrloom.plans.oracle import CAND, CHECKS, CONF, FEAT, LIST, PAIR, hav, norm, order
+from addrloom.plans.oracle import CAND, CHECKS, CONF, FEAT, LIST, ORDINAL, PAIR, hav, norm, order
 from addrloom.sources import history
 from addrloom.sources.lattice import LATTICE, lattice
 from addrloom.sources.recipes import Recipe
@@ -61,19 +61,35 @@ def events(spark, d):
 SNAPSHOTS = "(SELECT * FROM (VALUES (8, '2026-01-02T03:00:00', 0, 'feed-2026-01-01.csv'), (9, '2026-02-02T03:00:00', 0, 'feed.csv'), (10, '2026-03-02T03:00:00', 0, 'feed-2026-03-01.csv'), (11, 'soon', 1, NULL)) AS t(id, downloaded, skipped, filename))"
 
 
-@query("S02_latest_snapshot", f"SELECT MAX(id) AS snapshot_id FROM {SNAPSHOTS} WHERE skipped = 0")
+#: A snapshot for each month of orders: when the last order came, one in five skipped, one in three without a date in its name, one in seven at an unknown time.
+MONTHS = """(SELECT id, CASE WHEN id % 7 = 3 THEN 'soon' ELSE strftime(last, '%Y-%m-%d %H:%M:%S') END AS downloaded, CASE WHEN id % 5 = 4 THEN 1 ELSE 0 END AS skipped, CASE WHEN id % 3 = 1 THEN 'feed.csv' ELSE 'feed-' || strftime(last, '%Y-%m-%d') || '.csv' END AS filename
+  FROM (SELECT CAST(12 * year(o_orderdate) + month(o_orderdate) AS BIGINT) AS id, MAX(o_orderdate) AS last FROM orders GROUP BY 1))"""
+
+
+def months(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    m = o.groupBy((12 * F.year("o_orderdate") + F.month("o_orderdate")).cast("bigint").alias("id")).agg(F.max("o_orderdate").alias("last"))
+    on = lambda how: F.date_format("last", how)
+    return m.select("id", F.when(F.col("id") % 7 == 3, "soon").otherwise(on("yyyy-MM-dd HH:mm:ss")).alias("downloaded"), F.when(F.col("id") % 5 == 4, 1).otherwise(0).alias("skipped"),
+                    F.when(F.col("id") % 3 == 1, "feed.csv").otherwise(F.concat(F.lit("feed-"), on("yyyy-MM-dd"), F.lit(".csv"))).alias("filename"))
+
+
+@query("S02_latest_snapshot", f"SELECT MAX(id) AS snapshot_id FROM {MONTHS} WHERE skipped = 0")
 def _(spark, d):
-    return history.latest_snapshot(spark.sql(f"SELECT * FROM {SNAPSHOTS}"))
+    return history.latest_snapshot(months(spark, d))
 
 
-@query("S03_snapshot_age", f"SELECT id, downloaded, CAST(epoch(TIMESTAMP '2026-03-20 03:00:00') - epoch(CAST(downloaded AS TIMESTAMP)) AS DOUBLE) / 86400.0::DOUBLE AS age_days, TRUE AS is_stale FROM {SNAPSHOTS} WHERE id = 10")
+_AGE = "(epoch(TIMESTAMP '2001-08-20 03:00:00') - epoch(TRY_CAST(downloaded AS TIMESTAMP)))::DOUBLE / 86400.0::DOUBLE"
+
+
+@query("S03_snapshot_age", f"SELECT id, downloaded, {_AGE} AS age_days, COALESCE({_AGE} > 14, FALSE) AS is_stale FROM {MONTHS} WHERE skipped = 0 ORDER BY id DESC LIMIT 1")
 def _(spark, d):
-    return history.snapshot_age(spark.sql(f"SELECT * FROM {SNAPSHOTS}"), F.lit("2026-03-20 03:00:00").cast("timestamp"))
+    return history.snapshot_age(months(spark, d), F.lit("2001-08-20 03:00:00").cast("timestamp"))
 
 
-@query("S04_snapshot_date", rf"SELECT id, COALESCE(NULLIF(regexp_extract(filename, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), downloaded) AS feed_date FROM {SNAPSHOTS}")
+@query("S04_snapshot_date", rf"SELECT id, COALESCE(NULLIF(regexp_extract(filename, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), ''), downloaded) AS feed_date FROM {MONTHS}")
 def _(spark, d):
-    return spark.sql(f"SELECT * FROM {SNAPSHOTS}").select("id", history.snapshot_date(F.col("filename"), F.col("downloaded")).alias("feed_date"))
+    return months(spark, d).select("id", history.snapshot_date(F.col("filename"), F.col("downloaded")).alias("feed_date"))
 
 
 @query("S05_active_in_box", f"{LATTICE} SELECT identity_key, number, street, muni FROM src WHERE max_snapshot_id = 10 AND status IN ('Current') AND lat BETWEEN {BOX[0]}::DOUBLE AND {BOX[2]}::DOUBLE AND lon BETWEEN {BOX[1]}::DOUBLE AND {BOX[3]}::DOUBLE")
@@ -282,6 +298,28 @@ def _(spark, d):
     return checks.stages(c, checks.run_checks(c, f)).select("run_id", "candidate_id", "verdict", "reasons", "stage")
 
 
+#: Items of an earlier run of the checks: some of rows that are flagged now and some of others, open and decided.
+_ITEMS = "old AS (SELECT run_id, candidate_id, 'earlier' AS reason_code, CASE WHEN lo_num % 4 = 1 THEN 'DEFERRED' ELSE 'OPEN' END AS status, 't0' AS opened_at FROM cand WHERE lo_num % 3 = 0)"
+
+
+@query("R02_review_items", f"""{CHECKS}, fl AS (SELECT run_id, candidate_id, string_agg(DISTINCT reason_code, ',' ORDER BY reason_code) AS reasons FROM checks WHERE verdict = 'FLAG' GROUP BY ALL), {_ITEMS},
+s AS (SELECT c.run_id, c.candidate_id, reasons FROM conf c LEFT JOIN fl USING (run_id, candidate_id) WHERE c.verdict <> 'SKIPPED')
+SELECT COALESCE(o.run_id, s.run_id) AS run_id, COALESCE(o.candidate_id, s.candidate_id) AS candidate_id, COALESCE(reasons, reason_code) AS reason_code, COALESCE(status, 'OPEN') AS status, COALESCE(opened_at, 't1') AS opened_at
+  FROM old o FULL JOIN s ON o.run_id = s.run_id AND o.candidate_id = s.candidate_id WHERE (o.run_id IS NOT NULL OR reasons IS NOT NULL) AND NOT COALESCE(o.run_id IS NOT NULL AND s.run_id IS NOT NULL AND reasons IS NULL AND status = 'OPEN', FALSE)""")
+def _(spark, d):
+    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    status = F.when(F.col("lo_num") % 4 == 1, "DEFERRED").otherwise("OPEN")
+    old = c.where("lo_num % 3 = 0").select("run_id", "candidate_id", F.lit("earlier").alias("reason_code"), status.alias("status"), F.lit("t0").alias("opened_at"))
+    return checks.rerouted(old, checks.stages(c, checks.run_checks(c, f)), F.lit("t1"))[0]
+
+
+@query("C05_sample_per_run", f"{CHECKS} SELECT run_id, candidate_id, CASE WHEN run_id % 3 = 1 THEN 'PASS' WHEN ({ORDINAL}) % (CASE run_id % 3 WHEN 0 THEN 7 ELSE 50 END) = 0 THEN 'FLAG' ELSE 'PASS' END AS verdict FROM conf WHERE verdict = 'MISSING'")
+def _(spark, d):
+    c = materialize(conflated(spark, d), "conflation")
+    rates = c.select("run_id").distinct().where("run_id % 3 < 2").select("run_id", F.when(F.col("run_id") % 3 == 0, 7).otherwise(0).alias("every"))
+    return checks.run_checks(c, feats(spark, d), ("missing_sample",), per_run=rates).where("verdict <> 'SKIP'").select("run_id", "candidate_id", "verdict")
+
+
 @query("A05_drift_by_street", f"{CHECKS} SELECT street_norm, COUNT(*) AS flags, COUNT(DISTINCT run_id) AS runs FROM checks JOIN cand USING (run_id, candidate_id) WHERE check_id = 'match_number_drift' AND verdict = 'FLAG' GROUP BY 1")
 def _(spark, d):
     return reports.drift_by_street(results(spark, d, ("match_number_drift",)), cands(spark, d)).select("street_norm", "flags", "runs")

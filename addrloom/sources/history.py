@@ -65,8 +65,3 @@ def retired_since(src: DataFrame, watermark: int, snapshot: int) -> DataFrame:
 def first_seen_window(src: DataFrame) -> DataFrame:
     """First and last snapshot of each identity."""
     return src.groupBy("identity_key").agg(F.min("min_snapshot_id").alias("first_seen"), F.max("max_snapshot_id").alias("last_seen"))
-
-
-def by_position(df: DataFrame, order: list[Column]) -> DataFrame:
-    """1-based position in a queue."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
