@@ -90,6 +90,24 @@ def dashboard_totals(streets: DataFrame) -> DataFrame:
     return streets.groupBy("status").agg(F.count("*").alias("streets"), F.sum("flags").alias("flags"), F.sum("uploaded_flags").alias("uploaded_flags"))
 
 
+def street_detail(flags: DataFrame, conflated: DataFrame, features: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """Each flag with its street, number, matched feature, the closest other feature that the flag names and, if that is on the street, its place.
+
+    ``flags``: key and details (id@metres, with bars between); ``features`` are those of all runs, each once (``first_of_runs``).
+    A place is null where the closest one has another street.
+    """
+    c = conflated.select(*KEY, "street_norm", "housenumber", "verdict", "lat", "lon", F.col("osm_type").alias("matched_type"), F.col("osm_id").alias("matched_id"), F.col("dist").alias("matched_dist"))
+    closest = F.substring_index(F.substring_index("details", "|", 1), "@", 1)
+    j = flags.select(*KEY, closest.alias("closest")).join(c, KEY).join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
+    f = features.select(F.concat_ws("/", "osm_type", F.col("osm_id").cast("string")).alias("closest"), "street_norm", F.col("lat").alias("closest_lat"), F.col("lon").alias("closest_lon"))
+    return j.join(f, ["closest", "street_norm"], "left").withColumn("uploaded", F.coalesce("_up", F.lit(False))).drop("_up")
+
+
+def street_centres(detail: DataFrame) -> DataFrame:
+    """The middle of each street's flagged points."""
+    return detail.groupBy("street_norm").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("flags"))
+
+
 def first_of_runs(elements: DataFrame, order: Column) -> DataFrame:
     """Elements of several runs, the first of each (osm_type, osm_id) by ``order``; a minimum, so copies combine before the shuffle."""
     rest = [c for c in elements.columns if c not in ("osm_type", "osm_id")]

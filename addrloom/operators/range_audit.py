@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from addrloom.functions.text import expand_street
 from addrloom.operators.coverage import numbers_within
+from addrloom.operators.sums import ordered
 
 # Fixed values
 DASHES = "-‐‑‒–—―"
@@ -55,6 +56,12 @@ def widest(src: DataFrame, top: int = 10) -> DataFrame:
     return r.orderBy(F.desc("span"), "address_full", F.asc_nulls_first("muni"), "identity_key").limit(top)
 
 
+def with_suffix(src: DataFrame, suffix: str = "1/2") -> DataFrame:
+    """Rows whose first number has this suffix, with their place by street and number, null first, then id: running numbers, no task holds them all."""
+    rows = src.where(F.col("lo_num_suf") == suffix).select("identity_key", "street", "lo_num", "muni")
+    return ordered(rows, [F.asc_nulls_first("street"), F.asc_nulls_first("lo_num"), F.col("identity_key")]).withColumnRenamed("rank", "place")
+
+
 def busiest_streets(src: DataFrame, top: int = 5) -> DataFrame:
     """Streets of a municipality with most ranges."""
     return ranges_of(src).groupBy("street", "muni").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("street"), F.asc_nulls_first("muni")).limit(top)

@@ -26,6 +26,22 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], only: list[str]) ->
     return j.select(*keys, *[e.alias(c) for e, c in zip(cols, [c for c in old.columns if c not in keys])])
 
 
+#: States of a drifting street.
+STREET_STATES = ("open", "dismissed", "fixed")
+
+
+def put(old: DataFrame, new: DataFrame, key: str, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Settings, toggles and states of streets (key, value, updated_at): the last value of ``new`` (by updated_at, then value) takes the place of the old.
+
+    With ``allowed`` any other value is an error.
+    """
+    last = new.groupBy(key).agg(F.max(F.struct("updated_at", "value")).alias("_l")).select(key, F.col("_l.value").alias("value"), F.col("_l.updated_at").alias("updated_at"))
+    if allowed:
+        bad = F.raise_error(F.concat(F.lit("not a state: "), F.coalesce("value", F.lit("null"))))
+        last = last.withColumn("value", F.when(F.col("value").isin(*allowed), F.col("value")).otherwise(bad))
+    return replace(old.select(key, "value", "updated_at"), last, [key])
+
+
 def upsert_verdicts(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """A changed verdict takes effect and clears exported_at; an equal one changes nothing."""
     fresh = new.select(*keys, F.col("verdict").alias("_v"), F.col("updated_at").alias("_t"))

@@ -165,6 +165,30 @@ def _(spark, d):
     return backfill.dashboard_totals(streets(spark, d))
 
 
+@query("J22_street_detail", f"""{CHECKS}, k AS (SELECT run_id, candidate_id, split_part(split_part(details, '|', 1), '@', 1) AS closest FROM checks WHERE check_id = 'match_number_drift' AND verdict = 'FLAG')
+SELECT k.run_id, k.candidate_id, k.closest, c.street_norm, c.housenumber, c.osm_type AS matched_type, c.osm_id AS matched_id, CAST(round(f.lat * 1e7) AS BIGINT) AS closest_lat, k.run_id % 5 = 0 AS uploaded
+  FROM k JOIN conf c USING (run_id, candidate_id) LEFT JOIN feat f ON f.osm_type || '/' || f.osm_id = k.closest AND f.street_norm = c.street_norm""")
+def _(spark, d):
+    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    flags = checks.run_checks(c, f, ("match_number_drift",)).where("verdict = 'FLAG'")
+    detail = backfill.street_detail(flags, c, backfill.first_of_runs(f, F.lit(0)), c.where("run_id % 5 = 0").select("run_id").distinct())
+    return detail.select("run_id", "candidate_id", "closest", "street_norm", "housenumber", "matched_type", "matched_id", F.round(F.col("closest_lat") * 1e7).cast("bigint").alias("closest_lat"), "uploaded")
+
+
+@query("O05_suffixed", f"{LATTICE} SELECT identity_key, street, lo_num, row_number() OVER (ORDER BY street NULLS FIRST, lo_num NULLS FIRST, identity_key) AS place FROM src WHERE max_snapshot_id = {SNAPSHOT} AND lo_num_suf = 'A'")
+def _(spark, d):
+    return range_audit.with_suffix(history.active(src(spark, d), SNAPSHOT), "A").select("identity_key", "street", "lo_num", F.col("place").cast("bigint").alias("place"))
+
+
+@query("K12_street_states", """WITH o AS (SELECT c_custkey % 500 AS street, CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'fixed' END AS value, 't' || c_custkey AS updated_at FROM customer),
+a AS (SELECT street, max({'t': updated_at, 'v': value}) AS l FROM o WHERE street % 2 = 0 GROUP BY 1), b AS (SELECT street, max({'t': updated_at || 'x', 'v': value}) AS l FROM o WHERE street % 3 = 0 GROUP BY 1)
+SELECT COALESCE(b.street, a.street) AS street, COALESCE(b.l.v, a.l.v) AS value, COALESCE(b.l.t, a.l.t) AS updated_at FROM a FULL JOIN b ON a.street = b.street""")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 500).alias("street"), F.element_at(F.array(*map(F.lit, state.STREET_STATES)), (F.col("c_custkey") % 3 + 1).cast("int")).alias("value"), F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("updated_at"))
+    old = state.put(rows.limit(0), rows.where("street % 2 = 0"), "street", state.STREET_STATES)
+    return state.put(old, rows.where("street % 3 = 0").withColumn("updated_at", F.concat("updated_at", F.lit("x"))), "street", state.STREET_STATES)
+
+
 @query("U06_first_of_runs", f"{FEAT} SELECT osm_type, osm_id, CASE WHEN osm_id % 2 = 0 THEN 'old' ELSE street END AS street FROM feat")
 def _(spark, d):
     f = feats(spark, d).select("osm_type", "osm_id", "street", (F.col("osm_id") % 3).alias("run_id"))
