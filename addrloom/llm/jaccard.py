@@ -10,13 +10,13 @@ hashes of large sets (likewise) rule out most; the rest is counted shingle by sh
 
 Counting a pair moves a whole set, so the most promising pair of each set is counted first: of its SimHash partners and
 the one set that its groups have in common with it. Only where such links leave several components in a group are its
-other pairs looked at: those of different components, in blocks of bounded size, and of these again the best of each set
-before all others. So a group of many copies gives about as many pairs as it has members, and no task holds a whole group.
+other pairs looked at: those of different components, in blocks of bounded size, the nearest few of each set first, more of
+them in each further round as long as components differ, until none is left. So a group of many copies gives about as many pairs as it has members, and no task holds a whole group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ RADIUS = 3
 #: Words of a parity map; documents sampled for frequent shingles, and how many of these are set apart.
 MAP_WORDS = 8
 SAMPLE_DOCS, FREQUENT = 40_000, 400_000
-#: Rows of a block of a group, about; pairs of a set that are counted in the first round after the hubs, and how many times as many in each next one.
+#: Rows of a block of a group, about; pairs of a set that are looked at in the first round after the hubs, and how many times as many in each next one.
 BLOCK, PICKS = 4096, 4
 #: Times in the sample from which on a shingle's rows are aggregated before they are shuffled.
 HOT_SEEN = 20
@@ -263,10 +263,10 @@ def groups_of(shared: DataFrame) -> DataFrame:
     return lookup(shared, groups, ["token"], "members", ["sid"]).where("members is not null")
 
 
-def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
-    """(a, b): pairs of a group that may be similar and carry different labels.
+def open_rows(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
+    """The members of groups with different labels, written: token, sid, n, maps, label, and whether a member asks.
 
-    The members outside the group's largest label are compared with all. Both are dealt into blocks by hash, a task
+    Members outside the group's largest label ask; they are compared with all. Both are dealt into blocks by hash, a task
     gets one block of each, so a large group is the work of many tasks.
     """
     labelled = groups.select("token", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
@@ -276,41 +276,68 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
     open_ = write_table(open_.select("token", "members", F.col("most.label").alias("most"), (F.col("members") - F.col("most.n")).alias("rest")), "open-groups")
     rows = lookup(labelled, open_, ["token"], "members", ["sid"]).where("most is not null")
     blocks, parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "rest"))
-    rows = write_table(rows.withColumns({"blocks": blocks, "parts": parts}).join(maps, "sid"), "open-rows")
+    out = write_table(rows.withColumns({"blocks": blocks, "parts": parts}).join(maps, "sid"), "open-rows")
+    drop_tables(labelled, open_)
+    return out
+
+
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of the groups whose members still have different labels, with these as ``now``; written."""
+    now = rows.join(labels.select(F.col("node").alias("sid"), F.col("root").alias("_root")), "sid", "left").withColumn("now", F.coalesce("_root", "sid")).drop("_root")
+    now = write_table(now, "labelled-rows")
+    tokens = now.groupBy("token").agg(F.min("now").alias("_low"), F.max("now").alias("_high"), F.count("*").alias("_members")).where("_low <> _high")
+    tokens = write_table(tokens, "live-groups")
+    out = write_table(lookup(now, tokens, ["token"], "_members", ["sid"]).where("_low is not null").drop("_low", "_high", "_members"), "live-rows")
+    drop_tables(now, tokens)
+    return out
+
+
+def other_pairs(rows: DataFrame, after: int, upto: int) -> DataFrame:
+    """(a, b, more): pairs of a group that may be similar and carry different labels, of each asking member those from the ``after``-th on to the ``upto``-th.
+
+    A member's candidates in a block (with other first labels) are in order of what the maps say of their distance, an order that
+    doesn't change, so that in the end all are looked at. ``more`` is true in a row without a pair where some have more.
+    """
     deal = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = ["token", "sid", "n", "label", *MAPS, "hist"]
-    members = rows.select(*own, F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), upto("parts").alias("part"))
-    asking = rows.where("label <> most").select(*own, F.lit(True).alias("asks"), upto("blocks").alias("block"), deal("parts", 2).alias("part"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = ["token", "sid", "n", "label", "now", *MAPS, "hist"]
+    members = rows.select(*own, F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), spread("parts").alias("part"))
+    asking = rows.where("label <> most").select(*own, F.lit(True).alias("asks"), spread("blocks").alias("block"), deal("parts", 2).alias("part"))
     key = ["token", "block", "part"]
     dealt = members.union(asking).repartition(*key).sortWithinPartitions(*key)
 
-    def compare(asks, sid, n, label, has, hist, maps) -> tuple[np.ndarray, np.ndarray]:
+    def compare(asks, sid, n, label, now, has, hist, maps) -> tuple[np.ndarray, np.ndarray, bool]:
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         step = max(1, (1 << 18) // max(1, len(m)))
-        out_a, out_b = [], []
+        none = [np.zeros(0, np.int64)]
+        out_a, out_b, more = [], [], False
         for s in (q[i : i + step] for i in range(0, len(q), step)):
             total, far = n[s, None] + n[None, m], np.zeros((len(s), len(m)), np.int64)
             for k in range(MAP_WORDS):
                 far += np.bitwise_count(maps[k][s, None] ^ maps[k][None, m])
             near = similar((total - far) / 2, total, 0) & similar(np.minimum(n[s, None], n[None, m]), total, 0) & (label[s, None] != label[None, m])
             i, j = np.nonzero(near)
+            apart = far[i, j]
             i, j = s[i], m[j]
             counted = np.flatnonzero(has[i] & has[j])
             for k in (counted[lo : lo + (1 << 12)] for lo in range(0, len(counted), 1 << 12)):
                 a, b = i[k], j[k]
-                apart = np.abs(hist[a].astype(np.int32) - hist[b].astype(np.int32)).sum(axis=1)  # of n + m shingles so many aren't common, at least
-                a[~similar((n[a] + n[b] - apart) / 2, n[a] + n[b], 0)] = -1
-                i[k] = a
-            out_a.append(sid[i[i >= 0]])
-            out_b.append(sid[j[i >= 0]])
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(out_a or none), np.concatenate(out_b or none)
+                apart[k] = np.maximum(apart[k], np.abs(hist[a].astype(np.int32) - hist[b].astype(np.int32)).sum(axis=1))  # of n + m shingles so many aren't common, at least
+            keep = similar((n[i] + n[j] - apart) / 2, n[i] + n[j], 0)
+            i, j, apart = i[keep], j[keep], apart[keep]
+            order = np.lexsort((sid[j], apart, i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            more |= bool((place >= upto).any())
+            keep = (place >= after) & (place < upto) & (now[i] != now[j])
+            out_a.append(sid[i[keep]])
+            out_b.append(sid[j[keep]])
+        return np.concatenate(out_a or none), np.concatenate(out_b or none), more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
             values = [t.column(c).to_numpy() for c in key]
-            rest = [t.column(c).to_numpy() for c in ("asks", "sid", "n", "label")]
+            rest = [t.column(c).to_numpy() for c in ("asks", "sid", "n", "label", "now")]
             counts = t.column("hist").combine_chunks()
             has, hist = counts.is_valid().to_numpy(zero_copy_only=False), np.zeros((len(t), BUCKETS), np.uint16)
             hist[has] = np.frombuffer(b"".join(counts.drop_null().to_pylist()), np.uint16).reshape(-1, BUCKETS)
@@ -318,9 +345,11 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
             maps = [t.column(m).to_numpy().view(np.uint64) for m in MAPS]
             cuts = [0, *(np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1).tolist(), len(values[0])]
             found = [compare(*(v[lo:hi] for v in rest), [m[lo:hi] for m in maps]) for lo, hi in zip(cuts, cuts[1:])]
-            a, b = (np.concatenate(x) for x in zip(*found))
+            a, b = (np.concatenate(x) for x in list(zip(*found))[:2])
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)  # many groups hold the same pair
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy()), "more": pa.array(np.zeros(len(pairs), bool))})
+            if any(more for *_, more in found):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([0], pa.int64()), "b": pa.array([0], pa.int64()), "more": pa.array([True])})
 
         held: list[pa.RecordBatch] = []  # the rows of the block that is still open
         for b in batches:
@@ -334,7 +363,7 @@ def other_pairs(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFr
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    return dealt.select(*key, "asks", "sid", "n", "label", *MAPS, "hist").mapInArrow(freed(run), "a bigint, b bigint").distinct()
+    return dealt.select(*key, "asks", "sid", "n", "label", "now", *MAPS, "hist").mapInArrow(freed(run), "a bigint, b bigint, more boolean").distinct()
 
 
 def less_wide(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -382,6 +411,32 @@ def verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFram
     return out
 
 
+def settle(pairs: DataFrame, labels: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labels`` after all links among ``pairs`` (written, dropped): the best pairs of each set first, then only those whose labels still differ."""
+    most = PICKS
+    while True:
+        label = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}"))
+        open_ = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
+        open_ = write_table(open_, "open-candidates")
+        drop_tables(pairs)
+        if not open_.take(1):
+            drop_tables(open_)
+            return labels
+        picked = write_table(best(open_, most), "picked")
+        more = check(picked)
+        pairs = write_table(open_.join(picked.select("a", "b"), ["a", "b"], "left_anti"), "other-candidates")
+        drop_tables(open_, picked)
+        if more.take(1):
+            labels = write_table(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "labels")
+        most *= PICKS
+
+
+def best(pairs: DataFrame, most: int) -> DataFrame:
+    """For each b the pairs with the nearest maps."""
+    place = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
+    return pairs.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, th, component_id, root) for each row of ``docs``: the smallest doc_id reachable over links of similar texts.
 
@@ -402,31 +457,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
         near = pairs.distinct().join(side("a", "n"), "a").join(side("b", "m"), "b").withColumn("far", _far()).where(_may_be_similar()).select("a", "b", "n", "m", "far")
         return less_wide(write_table(near, "near-maps"), rows)
 
-    def best(pairs: DataFrame, most: int) -> DataFrame:
-        """For each b the pairs with the nearest maps."""
-        place = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
-        return pairs.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
-
     hubs = groups.where("hub <> sid").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     linked = verified(best(filtered(fingerprint_pairs(distinct).union(hubs)), 1), docs, distinct)
     labels = write_table(components(linked), "labels")
-    pairs = write_table(filtered(other_pairs(groups, labels.withColumnsRenamed({"node": "sid", "root": "label"}), distinct.select("sid", "n", *MAPS, "hist"))), "other-candidates")
+    rows_left = open_rows(groups, labels.withColumnsRenamed({"node": "sid", "root": "label"}), distinct.select("sid", "n", *MAPS, "hist"))
     drop_tables(groups)
-    most = PICKS
-    while True:
-        label = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"_root_{c}"))
-        open_ = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("_root_a", "a") != F.coalesce("_root_b", "b")).select(*pairs.columns)
-        open_ = write_table(open_, "open-candidates")
-        drop_tables(pairs)
-        if not open_.take(1):
-            break
-        picked = write_table(best(open_, most), "picked")
-        more = verified(picked, docs, distinct)
-        pairs = write_table(open_.join(picked.select("a", "b"), ["a", "b"], "left_anti"), "other-candidates")
-        drop_tables(open_, picked)
-        if more.take(1):
-            labels = write_table(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "labels")
-        most *= PICKS
+    after, upto, more = 0, PICKS, True
+    while more:
+        live = still_open(rows_left, labels)
+        drop_tables(rows_left)
+        rows_left = live.drop("now")
+        rows_left.written_at = live.written_at
+        found = write_table(other_pairs(live, after, upto), "block-pairs")
+        more = bool(found.where("more").take(1))
+        pairs = write_table(filtered(found.where("not more").select("a", "b")), "other-candidates")
+        drop_tables(found)
+        labels = settle(pairs, labels, lambda picked: verified(picked, docs, distinct))
+        after, upto = upto, (upto + 1) * PICKS if upto < BLOCK else 1 << 62
+    drop_tables(rows_left)
     comp = labels
     named = distinct.join(comp, F.col("sid") == F.col("node"), "left").select("sid", "low", "rows", F.coalesce("root", "sid").alias("root"))
     low = write_table(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "component-ids")
