@@ -66,3 +66,24 @@ def test_histograms_never_say_too_much():
         z = np.frombuffer(jaccard.histogram(other), np.uint16).astype(int)
         assert not jaccard.similar((len(a) + len(other) - np.abs(x - z).sum()) / 2, len(a), len(other))
     assert jaccard.histogram(np.arange(511, dtype=np.uint64)) is None
+
+
+def test_rounds_lose_no_link(spark, monkeypatch):
+    """Small blocks and one candidate a round: a group whose members share a prefix, some similar, most not."""
+    monkeypatch.setattr(jaccard, "PICKS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(70)]
+    texts = []
+    for k in range(26):
+        own = [f"o{k}x{i}" for i in range(rng.randrange(14, 22))]
+        texts.append(" ".join(passage + own))
+    texts += [" ".join(passage + [f"c{i}" for i in range(k)]) for k in range(0, 17, 2)]  # a chain: neighbours are similar
+    rng.shuffle(texts)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], N)
+    seen = []
+    old = jaccard.other_pairs
+    monkeypatch.setattr(jaccard, "other_pairs", lambda rows, after, upto: seen.append((after, upto)) or old(rows, after, upto))
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got == dict(enumerate(brute(texts)))
+    assert len(seen) > 1 and all(a[1] == b[0] for a, b in zip(seen, seen[1:]))
