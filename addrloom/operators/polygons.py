@@ -268,13 +268,16 @@ def _crosses() -> Column:
 def outside_tiles(points: DataFrame, areas: DataFrame, key: str, box: tuple[float, float, float, float], most: int = MOST, cap: float = OUTSIDE_SPAN_DEG, finest: float = OUTSIDE_SPAN_DEG / 8) -> DataFrame:
     """Q02: tiles of the points outside all ``areas`` (key, rings): level, x, y, points, and the cells of ``cover`` it has, outside and crossing, counted in finest cells.
 
-    A tile is the coarsest cell of ``cap`` degrees at most that has no more than ``most`` points; cells at ``finest`` stay whole.
+    A tile is the coarsest cell of ``cap`` degrees at most that has no more than ``most`` points; cells at ``finest`` stay whole. Points
+    outside of the cells of ``box`` are in no tile.
     """
     side = max(box[2] - box[0], box[3] - box[1])
     first, last = (max(0, math.ceil(math.log2(side / s) - 1e-9)) for s in (cap, finest))
     out = points.join(in_areas(points, areas.select(F.lit(0).alias("_area"), "rings"), "_area").select(key), key, "left_anti")
     cell = lambda c, o: F.floor((F.col(c) - F.lit(o)) / F.lit(side / (1 << last))).cast("bigint")
-    counted = materialize(out.select(cell("lon", box[1]).alias("fx"), cell("lat", box[0]).alias("fy")).groupBy("fx", "fy").agg(F.count("*").alias("n")), "outside")
+    most_x, most_y = (max(1, math.ceil((hi - lo) / side * (1 << first) - 1e-9)) << (last - first) for lo, hi in ((box[1], box[3]), (box[0], box[2])))
+    placed = out.select(cell("lon", box[1]).alias("fx"), cell("lat", box[0]).alias("fy")).where((F.col("fx") >= 0) & (F.col("fx") < most_x) & (F.col("fy") >= 0) & (F.col("fy") < most_y))
+    counted = materialize(placed.groupBy("fx", "fy").agg(F.count("*").alias("n")), "outside")
     level = F.explode(F.sequence(F.lit(first), F.lit(last)))
     shift = lambda c, by: F.call_function("shiftright", F.col(c), by)
     up = counted.withColumn("level", level).withColumns({"x": shift("fx", F.lit(last) - F.col("level")), "y": shift("fy", F.lit(last) - F.col("level"))}).groupBy("level", "x", "y").agg(F.sum("n").alias("points"))
