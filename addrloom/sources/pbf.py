@@ -352,11 +352,12 @@ def address_elements(spark: SparkSession, path: str, box: tuple[float, float, fl
     members = relations.select(F.col("id").alias("relation_id"), F.explode("ways").alias("way_id"))
     ways = read_pbf(spark, path, "way").where(F.col("error").isNull()).select("id", "tags", "refs").withColumns({"number": tagged("addr:housenumber"), "line": tagged("addr:interpolation")})
     asked = members.select(F.col("way_id").alias("id")).distinct().withColumn("member", F.lit(True))
-    ways = materialize(ways.join(asked, "id", "left").where("number OR line OR member"), "ways")
+    # Each way as it stands in the file: an id may occur more than once (merged extracts).
+    ways = materialize(ways.join(asked, "id", "left").where("number OR line OR member").withColumn("way", F.monotonically_increasing_id()), "ways")
     nodes = read_pbf(spark, path, "node").where(F.col("error").isNull())
     # A place outside of the globe is none.
     located = nodes.where("lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180")
-    sides = way_bounds(ways.select(F.col("id").alias("way_id"), F.explode("refs").alias("node_id")), located.select(F.col("id").alias("node_id"), "lat", "lon"))
+    sides = way_bounds(ways.select(F.col("way").alias("way_id"), F.explode("refs").alias("node_id")), located.select(F.col("id").alias("node_id"), "lat", "lon"))
     sides = materialize(sides, "way-bounds")
 
     here = in_box(F.col("lat"), F.col("lon"), box)
@@ -364,9 +365,10 @@ def address_elements(spark: SparkSession, path: str, box: tuple[float, float, fl
     n = located.where(tagged("addr:housenumber")).select(F.lit("node").alias("type"), "id", "lat", "lon", *[none.alias(s) for s in SIDES], F.lit(None).cast("array<bigint>").alias("nodes"), "tags", here.alias("_in"), F.lit("nodes").alias("_kind"))
     middle = lambda a, b, when: F.when(when, (F.col(a) + F.col(b)) / 2)
     meets = touches(F.lit("way"), none, none, tuple(F.col(s) for s in SIDES), box)
-    w = ways.where("number OR line").join(sides, F.col("id") == F.col("way_id"))
+    w = ways.where("number OR line").join(sides, F.col("way") == F.col("way_id"))
     w = w.select(F.lit("way").alias("type"), "id", middle("minlat", "maxlat", F.col("number")).alias("lat"), middle("minlon", "maxlon", F.col("number")).alias("lon"), *SIDES, F.col("refs").alias("nodes"), "tags", meets.alias("_in"), F.when(F.col("number"), "ways").otherwise("interp_ways").alias("_kind"))
-    r = relations.join(relation_bounds(members, sides), F.col("id") == F.col("relation_id"))
+    of_members = ways.where("member").select("id", "way").join(sides, F.col("way") == F.col("way_id")).select(F.col("id").alias("way_id"), *SIDES)
+    r = relations.join(relation_bounds(members, of_members), F.col("id") == F.col("relation_id"))
     r = r.select(F.lit("relation").alias("type"), "id", "lat", "lon", *SIDES, F.lit(None).cast("array<bigint>").alias("nodes"), "tags", F.when(F.col("has_geometry"), meets).alias("_in"), F.lit("relations").alias("_kind"))
     found = n.unionByName(w).unionByName(r)
     counts = found.groupBy(F.when(F.col("_in").isNull(), "relations_no_geometry").when(F.col("_in"), F.col("_kind")).otherwise("outside_bbox").alias("what")).agg(F.count("*").alias("n"))
