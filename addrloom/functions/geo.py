@@ -40,20 +40,23 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("bigint")
 
 
-def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False) -> DataFrame:
+def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False, wide: int = 1) -> DataFrame:
     """``df`` with the columns cy, cx of a grid; around: a row for each cell that may hold a point within ``radius_m``.
 
-    Rows of cells are as high as the radius. A cell's width in degrees belongs to its row: the radius at the row's end nearer to
+    Rows of cells are as high as ``wide`` times the radius: 1 gives a point nine cells or more, 4 gives it two or three, 8 fewer than two,
+    with more points in each. A cell's width in degrees belongs to its row: the height at the row's end nearer to
     the pole, so that it holds at any latitude, in few cells. Longitudes don't wrap at 180 degrees.
     """
-    dy = radius_m * 1.000001 / SPHERE_DEGREE_M
+    near = radius_m * 1.000001 / SPHERE_DEGREE_M
+    dy = near * wide
     narrow = lambda degrees: F.greatest(F.cos(F.radians(F.least(degrees, F.lit(90.0)))), F.lit(1e-6))
     row = F.floor(F.col(lat) / dy).cast("bigint")
     width = lambda r: F.lit(dy) / narrow(F.greatest(F.abs(r), F.abs(r + 1)) * dy)
     if not around:
         return df.withColumn("cy", row).withColumn("cx", F.floor(F.col(lon) / width(F.col("cy"))).cast("bigint"))
-    reach = F.least(F.lit(dy * 1.000001) / narrow(F.abs(lat) + dy), F.lit(360.0))
-    own = df.withColumns({"_row": row, "_reach": reach}).withColumn("cy", F.explode(F.array(*[F.col("_row") + i for i in (-1, 0, 1)])))
+    reach = F.least(F.lit(near * 1.000001) / narrow(F.abs(lat) + near), F.lit(360.0))
+    low, high = (F.floor((F.col(lat) + by) / dy).cast("bigint") for by in (-near * 1.000001, near * 1.000001))
+    own = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"_reach": reach, "cy": F.explode(F.sequence(low, high))})
     w = width(F.col("cy"))
     cells = F.sequence(F.floor((F.col(lon) - F.col("_reach")) / w).cast("bigint"), F.floor((F.col(lon) + F.col("_reach")) / w).cast("bigint"))
     return own.withColumn("cx", F.explode(cells)).select(*df.columns, "cy", "cx")

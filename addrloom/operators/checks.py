@@ -10,6 +10,8 @@ from addrloom.functions.text import id_order, suspicious_suffix
 from addrloom.operators.features import extra_tags
 from addrloom.sources.recipes import Recipe
 
+#: Height of the cells in which places meet, in radii.
+CELL = 4
 DUPLICATE_M, NEARBY_M, SLACK_M, SAMPLE, LISTED = 3.0, 20.0, 2.0, 50, 5
 KEY = ["run_id", "candidate_id"]
 RESULT = [*KEY, "check_id", "version", "verdict", "severity", "reason_code", "n_details", "details"]
@@ -68,30 +70,30 @@ def close_candidates(c: DataFrame, radius_m: float) -> DataFrame:
     at = ["run_id", "lat", "lon"]
     rows = c.where("lat is not null and lon is not null").select(*at, "candidate_id", F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id")).alias("me"))
     places = _nearest(rows, F.col("me"), at, LISTED + 1)
-    a = with_cells(places.select(*at), radius_m, around=True)
-    b = with_cells(places.select("run_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "n", "near"), radius_m, "_lat", "_lon")
+    a = with_cells(places.select(*at), radius_m, around=True, wide=CELL)
+    b = with_cells(places.select("run_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "n", "near"), radius_m, "_lat", "_lon", wide=CELL)
     dist = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    pairs = a.join(b, ["run_id", "cy", "cx"]).withColumn("dist", dist).where(F.col("dist") <= radius_m)
+    pairs = a.hint("merge").join(b, ["run_id", "cy", "cx"]).withColumn("dist", dist).where(F.col("dist") <= radius_m)
     entries = F.transform("near", lambda e: F.struct(cm(F.col("dist")).alias("cm"), e["o"].alias("o"), e["id"].alias("id")))
     # of each place's neighbours LISTED + 1 are enough, as a candidate takes itself away at most
     few = pairs.select(*at, "n", F.slice(F.array_sort(entries), 1, LISTED + 1).alias("e"))
     n = few.groupBy(*at).agg(F.sum("n").alias("all"))
     near = few.select(*at, F.explode("e").alias("_entry")).withColumn("_place", F.row_number().over(Window.partitionBy(*at).orderBy("_entry")))
     near = near.where(F.col("_place") <= LISTED + 1).groupBy(*at).agg(F.collect_list("_entry").alias("near"))
-    j = rows.join(n.join(near, at), at)
+    j = rows.hint("merge").join(n.hint("merge").join(near, at), at)
     others = F.transform(F.filter("near", lambda e: e["id"] != F.col("candidate_id")), lambda e: F.struct(e["cm"].alias("cm"), e["o"].alias("o"), e["id"].alias("id")))
     return j.where("all > 1").select(*KEY, (F.col("all") - 1).alias("n"), listed(others).alias("list"))
 
 
 def _feature_cells(features: DataFrame, radius_m: float) -> DataFrame:
     f = features.where(~F.col("is_poi")).select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    return with_cells(f, radius_m, "_lat", "_lon")
+    return with_cells(f, radius_m, "_lat", "_lon", wide=CELL)
 
 
 def _close_features(rows: DataFrame, features: DataFrame, reach_m: float, key: Column, wanted: Column) -> DataFrame:
     """(key, n, list): the distinct features of the cells about each row that share ``key`` and are ``wanted``, by distance."""
     f = _feature_cells(features, reach_m).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
-    p = with_cells(rows, reach_m, around=True).join(f, (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & key)
+    p = with_cells(rows, reach_m, around=True, wide=CELL).hint("merge").join(f, (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & key)
     p = p.withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(wanted)
     p = p.groupBy(*KEY, "osm_type", "osm_id").agg(F.min("_d").alias("_d"))
     entry = F.struct(cm(F.col("_d")).alias("cm"), F.col("osm_type").alias("kind"), F.col("osm_id").alias("no"), F.concat_ws("/", "osm_type", "osm_id").alias("id"))
@@ -127,9 +129,9 @@ def drifted(c: DataFrame, features: DataFrame, slack_m: float) -> DataFrame:
 def missing_nearby(c: DataFrame, flagged: DataFrame) -> DataFrame:
     """For each flagged candidate the MISSING ones of its run and street within its matched distance: (key, n, list)."""
     reach = reach_of(c)
-    rows = with_cells(c.join(flagged.select(*KEY), KEY, "left_semi").select(*KEY, "street_norm", "lat", "lon", "dist"), reach, around=True)
+    rows = with_cells(c.hint("merge").join(flagged.select(*KEY), KEY, "left_semi").select(*KEY, "street_norm", "lat", "lon", "dist"), reach, around=True, wide=CELL)
     m = c.where("verdict = 'MISSING' and lat is not null and lon is not null").select("run_id", F.col("candidate_id").alias("other"), "street_norm", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    p = rows.join(with_cells(m, reach, "_lat", "_lon"), ["run_id", "street_norm", "cy", "cx"]).where(F.col("candidate_id") != F.col("other"))
+    p = rows.hint("merge").join(with_cells(m, reach, "_lat", "_lon", wide=CELL), ["run_id", "street_norm", "cy", "cx"]).where(F.col("candidate_id") != F.col("other"))
     p = p.withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("_d") <= F.col("dist"))
     entry = F.struct(cm(F.col("_d")).alias("cm"), id_order(F.col("other")).alias("o"), F.col("other").alias("id"))
     return _nearest(p, entry, KEY, LISTED).select(*KEY, "n", listed(F.col("near")).alias("list"))
@@ -147,7 +149,7 @@ def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tup
     n, text = {}, {}
     for check, find in joined.items():
         if check in enabled:
-            rows = rows.join(find().select(*KEY, F.col("n").alias(f"_n_{check}"), F.col("list").alias(f"_list_{check}")), KEY, "left")
+            rows = rows.hint("merge").join(find().select(*KEY, F.col("n").alias(f"_n_{check}"), F.col("list").alias(f"_list_{check}")), KEY, "left")
         n[check], text[check] = F.col(f"_n_{check}"), F.col(f"_list_{check}")
 
     def about(check: str, applies: Column, severity: str, passed: str) -> Column:
@@ -175,7 +177,7 @@ def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tup
 def stages(c: DataFrame, results: DataFrame) -> DataFrame:
     """The stage after the checks and the sorted reasons of the flags."""
     flags = results.where("verdict = 'FLAG'").groupBy("run_id", "candidate_id").agg(F.array_join(F.array_sort(F.collect_set("reason_code")), ",").alias("reasons"))
-    j = c.select("run_id", "candidate_id", "verdict").join(flags, ["run_id", "candidate_id"], "left")
+    j = c.select("run_id", "candidate_id", "verdict").hint("merge").join(flags, ["run_id", "candidate_id"], "left")
     stage = F.when(F.col("verdict") == "SKIPPED", "SKIPPED").when(F.col("reasons").isNotNull(), "REVIEW_PENDING").when(F.col("verdict") == "MISSING", "APPROVED").when(F.col("verdict") == "MATCH", "SKIPPED").otherwise("CHECKED")
     return j.withColumn("stage", stage)
 
@@ -188,7 +190,7 @@ def rerouted(items: DataFrame, staged: DataFrame, at: Column) -> tuple[DataFrame
     no longer flagged goes; decided ones stay, as do those of rows that the checks don't look at.
     """
     seen = staged.where("verdict <> 'SKIPPED'").select(*KEY, F.col("reasons").alias("_reasons"), F.lit(True).alias("_seen"))
-    j = items.withColumn("_old", F.lit(True)).join(seen, KEY, "full_outer")
+    j = items.withColumn("_old", F.lit(True)).hint("merge").join(seen, KEY, "full_outer")
     stale = F.coalesce(F.col("_old") & F.col("_seen") & F.col("_reasons").isNull() & (F.col("status") == "OPEN"), F.lit(False))
     j = j.withColumn("_stale", stale).where(F.col("_old") | F.col("_reasons").isNotNull())
     kept = j.where("NOT _stale").select(*KEY, F.coalesce("_reasons", "reason_code").alias("reason_code"), F.coalesce("status", F.lit("OPEN")).alias("status"), F.when(F.col("_old"), F.col("opened_at")).otherwise(at).alias("opened_at"))
@@ -197,4 +199,4 @@ def rerouted(items: DataFrame, staged: DataFrame, at: Column) -> tuple[DataFrame
 
 def pending(results: DataFrame, stored: DataFrame) -> DataFrame:
     """Results not stored yet for their check and version."""
-    return results.join(stored, ["run_id", "candidate_id", "check_id", "version"], "left_anti")
+    return results.hint("merge").join(stored, ["run_id", "candidate_id", "check_id", "version"], "left_anti")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from addrloom.functions.geo import haversine
+from addrloom.functions.geo import haversine, with_cells
 from addrloom.functions.text import expand_street, id_order, normalize_street, override_street
 from addrloom.operators.streets import with_streets
+from addrloom.plans.stage import materialize
 from addrloom.sources.lattice import RUN_BLOCKS
 
 NEAR_M, MATCH_M, TWIN_M = 15.0, 100.0, 5.0
@@ -26,47 +27,77 @@ def ingest(src: DataFrame, run: Column | None = None) -> DataFrame:
     )
 
 
-def nearest(cands: DataFrame, features: DataFrame, radius_m: float = MATCH_M) -> DataFrame:
-    """For each candidate the nearest feature, and the nearest POI, with its number and street within the radius.
+#: Height of the cells of the search for the nearest feature, in radii.
+CELL = 8
+#: The address of a candidate, never null: rows without an address are each on their own.
+AT = ["run_id", "_a", "_m"]
+
 
-    The lower id wins on ties. An equi join, so no grid: the distance only filters. Both are minima over
-    structs, combined map-side.
+def _found(cands: DataFrame, features: DataFrame, key: list[str], radius_m: float) -> DataFrame:
+    """(key, best, poi): the nearest feature and the nearest POI with a candidate's number and street within the radius.
+
+    ``key`` holds the columns that name a candidate. The lower id wins on ties. Number, street and a cell are equi keys, so that the same
+    address elsewhere doesn't meet. Both are minima over structs, of each cell that a candidate reaches: rows of one key may be two to four.
     """
-    f = features.select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "tags", "is_poi")
-    pairs = cands.join(f, (F.col("housenumber") == F.col("num")) & (F.col("street_norm") == F.col("_street")))
+    f = features.where("num IS NOT NULL").select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
+        F.to_json("tags").alias("tags"), F.try_element_at("tags", F.lit("addr:postcode")).alias("_post"), "is_poi")
+    f = with_cells(f, radius_m, "_lat", "_lon", wide=CELL).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
+    c = with_cells(cands.where("housenumber IS NOT NULL").select(*key, "housenumber", "street_norm", "lat", "lon"), radius_m, around=True, wide=CELL)
+    same = (F.col("housenumber") == F.col("num")) & (F.col("street_norm") == F.col("_street")) & (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx"))
+    pairs = c.hint("merge").join(f, same)
     pairs = pairs.withColumn("dist", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("dist") <= radius_m)
-    one = F.struct("dist", "osm_id", "osm_type", F.to_json("tags").alias("tags"))
-    best = pairs.groupBy("run_id", "candidate_id").agg(F.min(F.when(~F.col("is_poi"), one)).alias("best"), F.min(F.when(F.col("is_poi"), one)).alias("poi"))
-    return best.select("run_id", "candidate_id", "best.*", F.col("poi.osm_id").alias("_poi_id"), F.from_json("poi.tags", "map<string,string>").alias("_poi_tags"))
+    best = F.min(F.when(~F.col("is_poi"), F.struct("dist", "osm_id", "osm_type", "tags"))).alias("best")
+    poi = F.min(F.when(F.col("is_poi"), F.struct("dist", "osm_id", "_post"))).alias("poi")
+    # grouped by the keys of the join as well: the rows lie so already
+    return pairs.groupBy("housenumber", "street_norm", "cy", "cx", *key).agg(best, poi).select(*key, "best", "poi")
 
 
-def land_siblings(cands: DataFrame) -> DataFrame:
-    """For each Land row with a sibling at its address, the nearest one and whether the row is canonical (the lowest id).
+def nearest(cands: DataFrame, features: DataFrame, radius_m: float = MATCH_M) -> DataFrame:
+    """For each candidate that has one the nearest feature with its number and street within the radius, and the nearest POI."""
+    key = ["run_id", "candidate_id"]
+    each = _found(cands, features, key, radius_m).groupBy(*key).agg(F.min("best").alias("best"), F.min("poi").alias("poi"))
+    return each.select(*key, "best.*", F.col("poi.osm_id").alias("poi_id"))
+
+
+def _by_address(rows: DataFrame) -> DataFrame:
+    """Rows dealt by address, its parts as the columns AT instead of address_full and muni."""
+    a = F.coalesce(F.concat(F.lit("a"), "address_full"), F.concat(F.lit("c"), "candidate_id"))
+    return rows.withColumns({"_a": a, "_m": F.coalesce(F.concat(F.lit("m"), "muni"), F.lit(""))}).drop("address_full", "muni").repartition(*AT)
 
-    Rows are reduced to distinct places of an address first. Rows that share a place are siblings at distance zero: of a place, the two
-    lowest ids are all that matters. Only places meet in the join, so a stack of units or a hot point gives no pairs.
+
+def _with_siblings(cands: DataFrame) -> DataFrame:
+    """Candidates by address (AT) with sibling_id, sibling_dist, is_canonical, _land and _lands, the number of Land rows at the address.
+
+    Rows are dealt by address once. Rows that share a place are siblings at distance zero: of a place, the two lowest ids are all that
+    matters. Only the distinct places of addresses that have several meet in a join, so a stack of units or a hot point gives no pairs.
     """
-    key, place = ["run_id", "address_full", "muni"], ["lat", "lon"]
-    land = cands.where((F.col("cls") == "Land") & F.col("address_full").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    land = land.select(*key, *place, F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id")).alias("me"))
-    lowest = F.row_number().over(Window.partitionBy(*key, *place).orderBy("me"))
-    places = land.withColumn("_n", lowest).where("_n <= 2").groupBy(*key, *place).agg(F.min("me").alias("first"), F.when(F.count("*") > 1, F.max("me")).alias("second"))
-    other = places.select(*[F.col(c).alias(f"s_{c}") for c in (*key, *place, "first")])
-    same = lambda l, r: F.col(l).eqNullSafe(F.col(r))
-    pairs = places.join(other, (F.col("run_id") == F.col("s_run_id")) & (F.col("address_full") == F.col("s_address_full")) & same("muni", "s_muni"))
-    pairs = pairs.where((F.col("lat") != F.col("s_lat")) | (F.col("lon") != F.col("s_lon")))
-    dist = haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))
-    near = pairs.groupBy(*key, *place).agg(F.min(F.struct(dist.alias("d"), F.col("s_first.o").alias("o"), F.col("s_first.id").alias("id"))).alias("near"))
-    lows = places.groupBy(*key).agg(F.min("first").alias("low"))
-    named = lambda df, names: df.select(*[F.col(c).alias(f"_{c}") for c in names], *[c for c in df.columns if c not in names])
-    at = lambda names: [same(c, f"_{c}") for c in names]
-    j = land.join(named(places, [*key, *place]), at([*key, *place])).drop(*[f"_{c}" for c in (*key, *place)])
-    j = j.join(named(near, [*key, *place]), at([*key, *place]), "left").drop(*[f"_{c}" for c in (*key, *place)])
-    j = j.join(named(lows, key), at(key)).drop(*[f"_{c}" for c in key])
-    here = F.when(F.col("me") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-    sibling = F.when(here.isNotNull(), F.struct(F.lit(0.0).alias("d"), here["o"].alias("o"), here["id"].alias("id"))).otherwise(F.col("near"))
-    j = j.withColumn("s", sibling).where("s is not null")
-    return j.select("run_id", F.col("me.id").alias("candidate_id"), F.col("s.id").alias("sibling_id"), F.col("s.d").alias("sibling_dist"), (F.col("me") == F.col("low")).alias("is_canonical"))
+    land = F.coalesce((F.col("cls") == "Land") & F.startswith("_a", F.lit("a")) & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.lit(False))
+    me = F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id"))
+    place, address = Window.partitionBy(*AT, "_land", "lat", "lon"), Window.partitionBy(*AT)
+    c = _by_address(cands).withColumns({"_land": land, "_me": me})
+    c = c.withColumn("_rank", F.row_number().over(place.orderBy("_me")))
+    c = c.withColumns({"_first": F.min("_me").over(place), "_second": F.min(F.when(F.col("_rank") == 2, F.col("_me"))).over(place)})
+    c = c.withColumns({"_low": F.min(F.when(F.col("_land"), F.col("_me"))).over(address), "_places": F.count_if(F.col("_land") & (F.col("_rank") == 1)).over(address), "_lands": F.count_if("_land").over(address)})
+    places = c.where("_land AND _rank = 1 AND _places > 1").select(*AT, "lat", "lon", "_first")
+    other = places.select(*AT, *[F.col(x).alias(f"_s{x}") for x in ("lat", "lon", "_first")])
+    pairs = places.hint("merge").join(other, AT).where((F.col("lat") != F.col("_slat")) | (F.col("lon") != F.col("_slon")))
+    dist = haversine(F.col("lat"), F.col("lon"), F.col("_slat"), F.col("_slon"))
+    near = pairs.groupBy(*AT, "lat", "lon").agg(F.min(F.struct(dist.alias("d"), F.col("_s_first.o").alias("o"), F.col("_s_first.id").alias("id"))).alias("_near"))
+    near = near.select(*[F.col(k).alias(f"_n{k}") for k in AT], F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"), "_near")
+    # the place is no key of this join, so that both sides stay as they were dealt
+    within = ~(F.col("lat") < F.col("_nlat")) & ~(F.col("lat") > F.col("_nlat")) & ~(F.col("lon") < F.col("_nlon")) & ~(F.col("lon") > F.col("_nlon"))
+    at = [F.col(k) == F.col(f"_n{k}") for k in AT]
+    j = c.hint("merge").join(near, [*at, F.col("_land"), F.col("_places") > 1, within], "left")
+    here = F.when(F.col("_me") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    sibling = F.when(F.col("_land"), F.when(here.isNotNull(), F.struct(F.lit(0.0).alias("d"), here["o"].alias("o"), here["id"].alias("id"))).otherwise(F.col("_near")))
+    j = j.withColumn("_s", sibling)
+    j = j.withColumns({"sibling_id": F.col("_s.id"), "sibling_dist": F.col("_s.d"), "is_canonical": F.when(F.col("_s").isNotNull(), F.col("_me") == F.col("_low"))})
+    return j.drop("_me", "_rank", "_first", "_second", "_low", "_places", *[f"_n{k}" for k in AT], "_nlat", "_nlon", "_near", "_s")
+
+
+def land_siblings(cands: DataFrame) -> DataFrame:
+    """For each Land row with a sibling at its address, the nearest one and whether the row is canonical (the lowest id)."""
+    return _with_siblings(cands).where("sibling_id IS NOT NULL").select("run_id", "candidate_id", "sibling_id", "sibling_dist", "is_canonical")
 
 
 def beside_land(cands: DataFrame) -> DataFrame:
@@ -77,24 +108,27 @@ def beside_land(cands: DataFrame) -> DataFrame:
 
 
 def conflate(cands: DataFrame, features: DataFrame) -> DataFrame:
-    """Candidates with verdict, nearest feature, POI acknowledgement, sibling and group columns."""
-    # rows without an address are no group: each is on its own
-    address = Window.partitionBy("run_id", "address_full", "muni", F.when(F.col("address_full").isNull(), F.col("candidate_id")))
-    land = F.coalesce((F.col("cls") == "Land") & F.col("address_full").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.lit(False))
-    c = cands.join(land_siblings(cands), ["run_id", "candidate_id"], "left").withColumn("_land", land)
-    c = c.withColumn("_lands", F.count_if("_land").over(address))
-    beside = ~F.col("cls").eqNullSafe("Land") & F.coalesce(F.col("address_full") != "", F.lit(False)) & (F.col("_lands") > 0)
+    """Candidates with verdict, nearest feature, POI acknowledgement, sibling and group columns.
+
+    Whole rows are dealt by address twice: for siblings, and with the features found, which come to them in a union instead of a join.
+    """
+    c = _with_siblings(cands)
+    beside = ~F.col("cls").eqNullSafe("Land") & (F.length("_a") > 1) & (F.col("_lands") > 0)
     skip = F.col("is_range") | beside | F.coalesce((F.col("sibling_dist") <= TWIN_M) & ~F.col("is_canonical"), F.lit(False))
-    # skipped rows meet nothing: their number is hidden from the join
-    c = c.withColumn("skipped", skip)
-    best = nearest(c.withColumn("housenumber", F.when(~F.col("skipped"), F.col("housenumber"))), features)
-    c = c.join(best, ["run_id", "candidate_id"], "left")
-    verdict = F.when(F.col("skipped"), "SKIPPED").when(F.col("osm_id").isNull(), "MISSING").when(F.col("dist") <= NEAR_M, "MATCH").otherwise("MATCH_FAR")
+    c = materialize(c.withColumn("skipped", skip), "siblings")
+    key = [*AT, "candidate_id"]
+    # skipped rows meet nothing
+    found = _found(c.where("NOT coalesce(skipped, false)"), features, key, MATCH_M)
+    both = c.withColumn("_own", F.lit(True)).unionByName(found, allowMissingColumns=True).repartition(*AT)
+    candidate, address = Window.partitionBy(*key), Window.partitionBy(*AT)
+    c = both.withColumns({"_best": F.min("best").over(candidate), "_poi": F.min("poi").over(candidate)}).where("_own").drop("_own", "best", "poi")
+    verdict = F.when(F.col("skipped"), "SKIPPED").when(F.col("_best").isNull(), "MISSING").when(F.col("_best.dist") <= NEAR_M, "MATCH").otherwise("MATCH_FAR")
     c = c.withColumn("verdict", verdict)
     missing = F.col("verdict") == "MISSING"
-    post = F.nullif(F.trim(F.try_element_at(F.col("_poi_tags"), F.lit("addr:postcode"))), F.lit(""))
-    c = c.withColumns({"poi_id": F.when(missing, F.col("_poi_id")), "proposed_postcode": F.when(missing, post)})
+    post = F.nullif(F.trim("_poi._post"), F.lit(""))
     # every Land row of the address is a MATCH (J37); the group is small, and the rows lie by address already
     every = F.every(F.when(F.col("_land"), F.col("verdict") == "MATCH")).over(address)
     c = c.withColumn("group_all_match", F.when(F.col("_land") & (F.col("_lands") > 1), every))
-    return c.drop("_poi_id", "_poi_tags", "skipped", "_land", "_lands")
+    c = c.withColumns({"address_full": F.when(F.startswith("_a", F.lit("a")), F.substring("_a", 2, 2**31 - 1)), "muni": F.when(F.col("_m") != "", F.substring("_m", 2, 2**31 - 1))})
+    return c.select(*cands.columns, "sibling_id", "sibling_dist", "is_canonical", *[F.col(f"_best.{x}").alias(x) for x in ("dist", "osm_id", "osm_type", "tags")], "verdict",
+        F.when(missing, F.col("_poi.osm_id")).alias("poi_id"), F.when(missing, post).alias("proposed_postcode"), "group_all_match")
