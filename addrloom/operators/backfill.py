@@ -22,7 +22,7 @@ def check_input(cands: DataFrame, conflation: DataFrame) -> DataFrame:
 
 def fresh(results: DataFrame, stored: DataFrame) -> DataFrame:
     """Results of candidates that the check and version haven't seen; those it doesn't apply to aren't recorded."""
-    return results.where("verdict <> 'SKIP'").join(stored, [*KEY, "check_id", "version"], "left_anti")
+    return results.where("verdict <> 'SKIP'").hint("merge").join(stored, [*KEY, "check_id", "version"], "left_anti")
 
 
 RESULT_PARTS = ["check_id", "version"]
@@ -69,8 +69,8 @@ def route(results: DataFrame, cands: DataFrame, items: DataFrame, uploaded: Data
     ``cands``: key and stage; ``items``: key, status, reason_code; ``uploaded``: distinct run_id. reason_code is the item's afterwards, null
     where no item changes.
     """
-    j = results.select(*KEY, "check_id", "verdict").join(cands.select(*KEY, "stage"), KEY, "left")
-    j = j.join(items.select(*KEY, F.col("status").alias("_status"), F.col("reason_code").alias("_old")), KEY, "left").join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
+    j = results.select(*KEY, "check_id", "verdict").hint("merge").join(cands.select(*KEY, "stage"), KEY, "left")
+    j = j.hint("merge").join(items.select(*KEY, F.col("status").alias("_status"), F.col("reason_code").alias("_old")), KEY, "left").join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
     decided = F.coalesce(F.col("_up") | F.col("stage").isin(*DECIDED_STAGES), F.col("stage").isin(*DECIDED_STAGES), F.lit(False)) | F.coalesce(F.col("_status").isin(*DECIDED_REVIEW), F.lit(False))
     way = F.when(F.col("verdict") != "FLAG", "passed").when(decided, "recorded_only").when(F.col("_status").isNull(), "new").otherwise("merged")
     reason = F.when(F.col("route") == "new", F.col("check_id")).when(F.col("route") == "merged", merge_codes(F.col("_old"), F.col("check_id")))
@@ -79,7 +79,7 @@ def route(results: DataFrame, cands: DataFrame, items: DataFrame, uploaded: Data
 
 def dashboard(flags: DataFrame, cands: DataFrame, uploaded: DataFrame, status: DataFrame) -> DataFrame:
     """For each street its flags, how many are uploaded or pending, its runs, a spelling and its status (open unless set)."""
-    j = flags.select(*KEY).join(cands.select(*KEY, "street_norm", "street"), KEY).join(uploaded.select("run_id", F.lit(1).alias("_up")), "run_id", "left")
+    j = flags.select(*KEY).hint("merge").join(cands.select(*KEY, "street_norm", "street"), KEY).join(uploaded.select("run_id", F.lit(1).alias("_up")), "run_id", "left")
     g = j.groupBy("street_norm").agg(F.count("*").alias("flags"), F.count("_up").alias("uploaded_flags"), F.countDistinct("run_id").alias("run_count"), F.max("street").alias("street"))
     g = g.join(status.select("street_norm", "status"), "street_norm", "left")
     return g.select("street_norm", "street", "flags", "uploaded_flags", (F.col("flags") - F.col("uploaded_flags")).alias("pending_flags"), "run_count", F.coalesce("status", F.lit("open")).alias("status"))
@@ -98,9 +98,9 @@ def street_detail(flags: DataFrame, conflated: DataFrame, features: DataFrame, u
     """
     c = conflated.select(*KEY, "street_norm", "housenumber", "verdict", "lat", "lon", F.col("osm_type").alias("matched_type"), F.col("osm_id").alias("matched_id"), F.col("dist").alias("matched_dist"))
     closest = F.substring_index(F.substring_index("details", "|", 1), "@", 1)
-    j = flags.select(*KEY, closest.alias("closest")).join(c, KEY).join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
+    j = flags.select(*KEY, closest.alias("closest")).hint("merge").join(c, KEY).join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
     f = features.select(F.concat_ws("/", "osm_type", F.col("osm_id").cast("string")).alias("closest"), "street_norm", F.col("lat").alias("closest_lat"), F.col("lon").alias("closest_lon"))
-    return j.join(f, ["closest", "street_norm"], "left").withColumn("uploaded", F.coalesce("_up", F.lit(False))).drop("_up")
+    return j.hint("merge").join(f, ["closest", "street_norm"], "left").withColumn("uploaded", F.coalesce("_up", F.lit(False))).drop("_up")
 
 
 def street_centres(detail: DataFrame) -> DataFrame:

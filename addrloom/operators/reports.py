@@ -23,7 +23,7 @@ def address_collisions(cands: DataFrame) -> DataFrame:
 def drift_by_street(results: DataFrame, cands: DataFrame) -> DataFrame:
     """Flags of the drift check for each street, with runs and a spelling."""
     flags = results.where("check_id = 'match_number_drift' AND verdict = 'FLAG'").select("run_id", "candidate_id")
-    j = flags.join(cands.select("run_id", "candidate_id", "street_norm", "street"), ["run_id", "candidate_id"])
+    j = flags.hint("merge").join(cands.select("run_id", "candidate_id", "street_norm", "street"), ["run_id", "candidate_id"])
     return j.groupBy("street_norm").agg(F.count("*").alias("flags"), F.countDistinct("run_id").alias("runs"), F.max("street").alias("spelling"))
 
 

@@ -59,14 +59,16 @@ def detail(cands: DataFrame, results: DataFrame, features: DataFrame) -> DataFra
         F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "check_id", "verdict"))), ",").alias("checks"),
         F.max(F.when((F.col("check_id") == "nearby_street_mismatch") & (F.col("verdict") == "FLAG"), F.col("details"))).alias("_near"))
     first = F.substring_index(F.col("_near"), "@", 1)
-    c = cands.join(told, KEYS, "left").join(cands.select("run_id", F.col("candidate_id").alias("sibling_id"), F.col("verdict").alias("sibling_verdict")), ["run_id", "sibling_id"], "left")
+    # sort-merge joins: a side that looks small on disk may fill the driver as a broadcast table
+    other = cands.select("run_id", F.col("candidate_id").alias("sibling_id"), F.col("verdict").alias("sibling_verdict"))
+    c = cands.hint("merge").join(told, KEYS, "left").hint("merge").join(other, ["run_id", "sibling_id"], "left")
     kind = F.coalesce("osm_type", F.when(F.col("verdict") == "MISSING", F.substring_index(first, "/", 1)))
     no = F.coalesce("osm_id", F.when(F.col("verdict") == "MISSING", F.substring_index(first, "/", -1).try_cast("bigint")))
     c = c.withColumns({"compared_type": kind, "compared_id": no, "_p": F.map_from_arrays(F.array(*map(F.lit, ("addr:housenumber", "addr:street"))), F.array("housenumber", "street"))})
     f = features.select(F.col("osm_type").alias("compared_type"), F.col("osm_id").alias("compared_id"), F.col("tags").alias("_o"))
-    j = c.select(*KEYS, "compared_type", "compared_id", "_p").join(f, ["compared_type", "compared_id"])
+    j = c.select(*KEYS, "compared_type", "compared_id", "_p").hint("merge").join(f, ["compared_type", "compared_id"])
     diff = tag_diff(j, "_p", "_o").where("status <> 'SAME'").groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "tag", "status"))), ",").alias("differs"))
-    return c.join(diff, KEYS, "left").select(*KEYS, "verdict", "stage", "compared_type", "compared_id", "sibling_id", "sibling_verdict", "checks", "differs")
+    return c.hint("merge").join(diff, KEYS, "left").select(*KEYS, "verdict", "stage", "compared_type", "compared_id", "sibling_id", "sibling_verdict", "checks", "differs")
 
 
 def listed(cands: DataFrame, items: DataFrame, stage: str, **filters) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo
-from addrloom.operators import checks
+from addrloom.operators import backfill, checks, reports, review
 from addrloom.plans import queries
 from addrloom.plans.stage import materialize
 
@@ -15,6 +15,20 @@ def test_checks_broadcast_no_candidates(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_reports_broadcast_no_candidates(spark):
+    d = "/root/testdata/sf0.001"
+    c, f = materialize(queries.conflated(spark, d), "conflation"), materialize(queries.feats(spark, d), "features")
+    results = materialize(checks.run_checks(c, f), "results")
+    items = c.select(*checks.KEY, F.lit("OPEN").alias("status"), F.lit("range").alias("reason_code"))
+    runs = spark.createDataFrame([(0,)], "run_id bigint")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for found in (review.detail(c, results, f), reports.drift_by_street(results, c), checks.pending(results, results.select("run_id", "candidate_id", "check_id", "version")), checks.rerouted(items.withColumn("opened_at", F.lit("t0")), checks.stages(c, results), F.lit("t1"))[0]):
+        assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+    # uploaded runs and the states of streets may be broadcast
+    for found in (backfill.route(results, c.withColumn("stage", F.lit("CHECKED")), items, runs), backfill.street_detail(results, c, f, runs), backfill.dashboard(results, c, runs, spark.createDataFrame([], "street_norm string, status string"))):
+        assert plan(found).count("SortMergeJoin") >= 1 and plan(found).count("BroadcastExchange") <= 2
+
+
 def test_wide_cells_miss_no_pair_and_are_few(spark):
     p = spark.range(400).select("id", (43.6 + (F.col("id") * 37 % 101) * 2e-4).alias("lat"), (-79.5 + (F.col("id") * 53 % 97) * 3e-4).alias("lon"))
     q = p.select(F.col("id").alias("other"), F.col("lat").alias("a"), F.col("lon").alias("b"))
