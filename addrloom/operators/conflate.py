@@ -68,8 +68,9 @@ def _by_address(rows: DataFrame) -> DataFrame:
 def _with_siblings(cands: DataFrame) -> DataFrame:
     """Candidates by address (AT) with sibling_id, sibling_dist, is_canonical, _land and _lands, the number of Land rows at the address.
 
-    Rows are dealt by address once. Rows that share a place are siblings at distance zero: of a place, the two lowest ids are all that
-    matters. Only the distinct places of addresses that have several meet in a join, so a stack of units or a hot point gives no pairs.
+    Rows are dealt by address once, and written. Rows that share a place are siblings at distance zero: of a place, the two lowest ids are all
+    that matters. Only a row that is alone at its place, at an address with several, asks for the nearest other place; these few meet in a
+    join, the other rows in none. So a stack of units or a hot point gives no pairs.
     """
     land = F.coalesce((F.col("cls") == "Land") & F.startswith("_a", F.lit("a")) & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.lit(False))
     me = F.struct(id_order(F.col("candidate_id")).alias("o"), F.col("candidate_id").alias("id"))
@@ -78,21 +79,20 @@ def _with_siblings(cands: DataFrame) -> DataFrame:
     c = c.withColumn("_rank", F.row_number().over(place.orderBy("_me")))
     c = c.withColumns({"_first": F.min("_me").over(place), "_second": F.min(F.when(F.col("_rank") == 2, F.col("_me"))).over(place)})
     c = c.withColumns({"_low": F.min(F.when(F.col("_land"), F.col("_me"))).over(address), "_places": F.count_if(F.col("_land") & (F.col("_rank") == 1)).over(address), "_lands": F.count_if("_land").over(address)})
-    places = c.where("_land AND _rank = 1 AND _places > 1").select(*AT, "lat", "lon", "_first")
-    other = places.select(*AT, *[F.col(x).alias(f"_s{x}") for x in ("lat", "lon", "_first")])
-    pairs = places.hint("merge").join(other, AT).where((F.col("lat") != F.col("_slat")) | (F.col("lon") != F.col("_slon")))
+    here = F.when(F.col("_land"), F.when(F.col("_me") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
+    several = F.col("_land") & (F.col("_places") > 1)
+    c = c.withColumns({"_here": here["id"], "_asks": several & here.isNull(), "_place": F.when(several & (F.col("_rank") == 1), F.col("_first")), "_lowest": F.col("_me") == F.col("_low")})
+    c = materialize(c.drop("_me", "_rank", "_first", "_second", "_low", "_places"), "addresses")
+    other = c.where("_place IS NOT NULL").select(*AT, *[F.col(x).alias(f"_s{x}") for x in ("lat", "lon")], "_place")
+    asking = c.where("_asks").drop("_place")
+    pairs = asking.select(*AT, "lat", "lon").hint("merge").join(other, AT).where((F.col("lat") != F.col("_slat")) | (F.col("lon") != F.col("_slon")))
     dist = haversine(F.col("lat"), F.col("lon"), F.col("_slat"), F.col("_slon"))
-    near = pairs.groupBy(*AT, "lat", "lon").agg(F.min(F.struct(dist.alias("d"), F.col("_s_first.o").alias("o"), F.col("_s_first.id").alias("id"))).alias("_near"))
-    near = near.select(*[F.col(k).alias(f"_n{k}") for k in AT], F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"), "_near")
-    # the place is no key of this join, so that both sides stay as they were dealt
-    within = ~(F.col("lat") < F.col("_nlat")) & ~(F.col("lat") > F.col("_nlat")) & ~(F.col("lon") < F.col("_nlon")) & ~(F.col("lon") > F.col("_nlon"))
-    at = [F.col(k) == F.col(f"_n{k}") for k in AT]
-    j = c.hint("merge").join(near, [*at, F.col("_land"), F.col("_places") > 1, within], "left")
-    here = F.when(F.col("_me") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
-    sibling = F.when(F.col("_land"), F.when(here.isNotNull(), F.struct(F.lit(0.0).alias("d"), here["o"].alias("o"), here["id"].alias("id"))).otherwise(F.col("_near")))
-    j = j.withColumn("_s", sibling)
-    j = j.withColumns({"sibling_id": F.col("_s.id"), "sibling_dist": F.col("_s.d"), "is_canonical": F.when(F.col("_s").isNotNull(), F.col("_me") == F.col("_low"))})
-    return j.drop("_me", "_rank", "_first", "_second", "_low", "_places", *[f"_n{k}" for k in AT], "_nlat", "_nlon", "_near", "_s")
+    near = pairs.groupBy(*AT, "lat", "lon").agg(F.min(F.struct(dist.alias("d"), F.col("_place.o").alias("o"), F.col("_place.id").alias("id"))).alias("_near"))
+    asked = materialize(asking.hint("merge").join(near, [*AT, "lat", "lon"], "left").select(*asking.columns, "_near"), "siblings")
+    j = c.where("NOT _asks").drop("_place").unionByName(asked, allowMissingColumns=True)
+    sibling = F.coalesce("_here", "_near.id")
+    j = j.withColumns({"sibling_id": sibling, "sibling_dist": F.when(F.col("_here").isNotNull(), F.lit(0.0)).otherwise(F.col("_near.d")), "is_canonical": F.when(sibling.isNotNull(), F.col("_lowest"))})
+    return j.drop("_here", "_asks", "_lowest", "_near")
 
 
 def land_siblings(cands: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def conflate(cands: DataFrame, features: DataFrame) -> DataFrame:
     c = _with_siblings(cands)
     beside = ~F.col("cls").eqNullSafe("Land") & (F.length("_a") > 1) & (F.col("_lands") > 0)
     skip = F.col("is_range") | beside | F.coalesce((F.col("sibling_dist") <= TWIN_M) & ~F.col("is_canonical"), F.lit(False))
-    c = materialize(c.withColumn("skipped", skip), "siblings")
+    c = c.withColumn("skipped", skip)
     key = [*AT, "candidate_id"]
     # skipped rows meet nothing
     found = _found(c.where("NOT coalesce(skipped, false)"), features, key, MATCH_M)

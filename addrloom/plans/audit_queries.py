@@ -10,7 +10,7 @@ from addrloom.functions import datasets, geo, text
 from addrloom.operators import backfill, checks, coverage, extract, orphans, range_audit, state
 from addrloom.plans.more_queries import WORK, work
 from addrloom.plans.oracle import CHECKS, CONF, FEAT, norm
-from addrloom.plans.queries import _TOKENS, BOX, INDEX, SNAPSHOT, SQL, cands, conflated, feats, indexed, osm, query, src
+from addrloom.plans.queries import _TOKENS, BOX, INDEX, SNAPSHOT, SQL, cands, conflated_and_features, feats, indexed, osm, query, src
 from addrloom.plans.stage import materialize, shared
 from addrloom.sources import history
 from addrloom.sources.lattice import LATTICE, lattice
@@ -169,7 +169,7 @@ def _(spark, d):
 SELECT k.run_id, k.candidate_id, k.closest, c.street_norm, c.housenumber, c.osm_type AS matched_type, c.osm_id AS matched_id, CAST(round(f.lat * 1e7) AS BIGINT) AS closest_lat, k.run_id % 5 = 0 AS uploaded
   FROM k JOIN conf c USING (run_id, candidate_id) LEFT JOIN feat f ON f.osm_type || '/' || f.osm_id = k.closest AND f.street_norm = c.street_norm""")
 def _(spark, d):
-    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    c, f = conflated_and_features(spark, d)
     flags = checks.run_checks(c, f, ("match_number_drift",)).where("verdict = 'FLAG'")
     detail = backfill.street_detail(flags, c, backfill.first_of_runs(f, F.lit(0)), c.where("run_id % 5 = 0").select("run_id").distinct())
     return detail.select("run_id", "candidate_id", "closest", "street_norm", "housenumber", "matched_type", "matched_id", F.round(F.col("closest_lat") * 1e7).cast("bigint").alias("closest_lat"), "uploaded")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from addrloom.functions import text
 from addrloom.operators import checks, coverage, reports, review, state, uploads
 from addrloom.plans.oracle import CAND, CHECKS, FEAT, hav
-from addrloom.plans.queries import SNAPSHOTS, STAGED, cands, conflated, events, feats, query, results, src, staged
+from addrloom.plans.queries import SNAPSHOTS, STAGED, cands, conflated_and_features, events, feats, query, results, src, staged
 from addrloom.plans.stage import materialize
 from addrloom.sources.lattice import LATTICE
 from addrloom.sources.recipes import Recipe
@@ -63,7 +63,7 @@ u AS (SELECT run_id, candidate_id, 'addr:housenumber' AS tag, {_DIFF.format(o='o
 d AS (SELECT run_id, candidate_id, string_agg(tag || ':' || s, ',' ORDER BY tag || ':' || s) AS differs FROM u WHERE s <> 'SAME' GROUP BY ALL)
 SELECT e.run_id, e.candidate_id, e.verdict, compared_type, compared_id, e.sibling_id, s.verdict AS sibling_verdict, checks, differs FROM e LEFT JOIN d USING (run_id, candidate_id) LEFT JOIN conf s ON s.run_id = e.run_id AND s.candidate_id = e.sibling_id""")
 def _(spark, d):
-    c, f = materialize(conflated(spark, d), "conflation"), materialize(feats(spark, d), "features")
+    c, f = conflated_and_features(spark, d)
     return review.detail(c, checks.run_checks(c, f), f).drop("stage")
 
 
