@@ -15,14 +15,16 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from addrloom.sources.pbf import opened
 
 #: Bytes copied at a time when the parts are joined.
 STEP = 1 << 20
+#: Bytes of a document that a task reads.
+PARTITION = 32 << 20
 
 
 @dataclass
@@ -98,15 +100,64 @@ class DocumentWriter(DataSourceArrowWriter):
             system.delete_dir(self.parts)
 
 
+@dataclass
+class Span(InputPartition):
+    low: int
+    high: int
+
+
+class LineReader(DataSourceReader):
+    """The lines that begin in each span of bytes. A JSON text has no line break within a string, so a line of the writer is a row or a mark."""
+
+    def __init__(self, options: dict):
+        self.path, self.size = options["path"], int(options.get("partitionBytes", PARTITION))
+
+    def partitions(self) -> list[Span]:
+        system, local = opened(self.path)
+        size = system.get_file_info(local).size
+        return [Span(lo, min(lo + self.size, size)) for lo in range(0, size, self.size)] or [Span(0, 0)]
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        system, local = opened(self.path)
+        with system.open_input_file(local) as f:
+            f.seek(max(0, partition.low - 1))
+            left, at = b"", partition.low
+            if partition.low:  # up to the first line that begins here
+                while b"\n" not in (left := f.read(STEP)) and left:
+                    at += len(left)
+                if not left:
+                    return
+                cut = left.index(b"\n")
+                at, left = at + cut, left[cut + 1 :]
+            while at < partition.high:
+                data = f.read(STEP)
+                *lines, rest = (left + data).split(b"\n")
+                if not data and rest:
+                    lines, rest = [*lines, rest], b""
+                places = []
+                for line in lines:
+                    if at >= partition.high:
+                        break
+                    places.append(at)
+                    at += len(line) + 1
+                yield pa.RecordBatch.from_pydict({"at": pa.array(places, pa.int64()), "line": pa.array(lines[: len(places)], pa.string())})
+                left = rest
+                if not data:
+                    return
+
+
 class DocumentSink(DataSource):
-    """Format "json_document": rows (list, row), row a JSON text. Options: path, lists, head, meta (the last three JSON)."""
+    """Format "json_document": writes rows (list, row), row a JSON text, and reads lines (at, line). Options: path, lists, head, meta (the last three JSON)."""
 
     @classmethod
     def name(cls) -> str:
         return "json_document"
 
     def schema(self) -> str:
-        return "list string, row string"
+        return "at bigint, line string"
+
+    def reader(self, schema) -> LineReader:
+        return LineReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DocumentWriter:
         return DocumentWriter(self.options)
@@ -123,6 +174,26 @@ def write_document(lists: dict[str, DataFrame], path: str, head: dict | None = N
     rows.write.format("json_document").mode("append").options(path=path, lists=json.dumps(list(lists)), head=json.dumps(head or {}), meta=json.dumps(meta or {})).save()
 
 
+def read_list(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame | None:
+    """The rows (``schema``) of a list that ``write_document`` wrote, read by spans of bytes; None where the sidecar doesn't tell that it did."""
+    system, local = opened(path)
+    if any(system.get_file_info(p).type != fs.FileType.File for p in (local, f"{local}.meta.json")):
+        return None
+    with system.open_input_stream(f"{local}.meta.json") as f:
+        meta = json.loads(f.read())
+    if name not in meta.get("rows", {}) or meta.get("bytes") != system.get_file_info(local).size:
+        return None
+    spark.dataSource.register(DocumentSink)
+    lines = spark.read.format("json_document").options(path=path).load()
+    # rows begin with a brace, a list's end with a bracket: a mark for each list and one for the end
+    opens = [f"{before}{json.dumps(name, ensure_ascii=False)}: [" for before in ("{", "", "],")]
+    marks = lines.where(F.startswith("line", F.lit("]")) | F.col("line").isin(*opens)).orderBy("at").collect()
+    start = next(m.at for m in marks if m.line in opens)
+    end = next(m.at for m in marks if m.at > start)
+    rows = lines.where((F.col("at") > start) & (F.col("at") < end) & F.startswith("line", F.lit("{")))
+    return rows.select(F.from_json(F.rtrim(F.col("line"), F.lit(",")), schema).alias("row")).select("row.*")
+
+
 def write_tiles(tiles: DataFrame, statistics: DataFrame, path: str, threshold: int, snapshot: int) -> None:
     """Tiles.json (id, name, bbox, count; by id), with the row of ``statistics`` in its sidecar."""
     stats = statistics.first().asDict()

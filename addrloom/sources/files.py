@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from addrloom.sources import document
+
 _FIELDS = ("type string", "id bigint", "lat double", "lon double", "center struct<lat:double,lon:double>", "bounds struct<minlat:double,minlon:double,maxlat:double,maxlon:double>", "nodes array<bigint>", "tags map<string,string>")
 ELEMENTS = ", ".join(_FIELDS)
 LAYER = "features array<struct<properties:string,geometry:struct<type:string,coordinates:string>>>"
@@ -15,11 +17,17 @@ TILES = "tiles array<struct<id:string,name:string,bbox:array<double>,count:bigin
 
 
 def read_elements(spark: SparkSession, path: str, field: str | None = None) -> DataFrame:
-    """Cached elements, one JSON object a line, a whole array in a file, or the list ``field`` of a document; no rows where there is no file."""
+    """Cached elements, one JSON object a line, a whole array in a file, or the list ``field`` of a document; no rows where there is no file.
+
+    A document that ``document`` wrote is read by many tasks, any other file by one.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], ELEMENTS)
     if field:
+        rows = document.read_list(spark, path, field, ELEMENTS)
+        if rows is not None:
+            return rows
         struct = ", ".join(f.replace(" ", ": ", 1) for f in _FIELDS)
         return spark.read.schema(f"`{field}` array<struct<{struct}>>").json(path, multiLine=True).select(F.inline(field))
     return spark.read.schema(ELEMENTS).json(path, multiLine=True)
