@@ -44,6 +44,8 @@ SPAN = 1 << 20
 MAPS = [f"m{k}" for k in range(MAP_WORDS)]
 #: Residues counted in the histograms of sets of so many shingles or more, for which 512 parities say too little.
 BUCKETS, COUNTED = 256, 512
+#: Ratio of sizes of a band; sets of two bands that don't touch can't be similar, as OF / SAME is less.
+BAND = 1.2501
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -266,8 +268,9 @@ def groups_of(shared: DataFrame) -> DataFrame:
 def open_rows(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
     """The members of groups with different labels, written: token, sid, n, maps, label, and whether a member asks.
 
-    Members outside the group's largest label ask; they are compared with all. Both are dealt into blocks by hash, a task
-    gets one block of each, so a large group is the work of many tasks.
+    Members outside the group's largest label ask; they are compared with all that may be as large as they. Large groups fall into bands of
+    sizes, a member has one (``band``, 0 in other groups) and a member that asks visits those beside it too (``bands``), if they hold any.
+    Both are dealt into blocks of a band by hash, a task gets one block of each, so a large band is the work of many tasks.
     """
     labelled = groups.select("token", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     labelled = write_table(labelled, "labelled-groups")
@@ -275,9 +278,21 @@ def open_rows(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFram
     open_ = sizes.groupBy("token").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = write_table(open_.select("token", "members", F.col("most.label").alias("most"), (F.col("members") - F.col("most.n")).alias("rest")), "open-groups")
     rows = lookup(labelled, open_, ["token"], "members", ["sid"]).where("most is not null")
-    blocks, parts = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("members", "rest"))
-    out = write_table(rows.withColumns({"blocks": blocks, "parts": parts}).join(maps, "sid"), "open-rows")
-    drop_tables(labelled, open_)
+    large = F.col("rest") > BLOCK
+    band = F.when(large & (F.col("n") > 0), F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")).otherwise(0)
+    rows = write_table(rows.join(maps.select("sid", "n"), "sid").withColumn("band", band), "banded-rows")
+    # members of each band, and those that visit it
+    held = rows.select("token", F.col("label") != F.col("most"), large, "band").toDF("token", "asks", "large", "band")
+    visits = F.when(~F.col("large"), F.array("band")).when(F.col("asks"), F.array(*[F.col("band") + k for k in (-1, 0, 1)])).otherwise(F.array("band"))
+    each = held.select("token", "asks", F.col("band").alias("own"), F.explode(visits).alias("band")).groupBy("token", "band").agg(F.count_if(F.col("own") == F.col("band")).alias("_m"), F.count_if("asks").alias("_a"))
+    blocks, parts = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(a) for c, a in (("_m", "blocks"), ("_a", "parts")))
+    bands = each.where("_m > 0").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct(blocks, parts)))).alias("_bands"), F.sum("_m").alias("_members"))
+    bands = write_table(bands, "group-bands")
+    near = F.when(large, F.array(*[F.col("band") + k for k in (-1, 0, 1)])).otherwise(F.array("band"))
+    near = F.filter(F.transform(near, lambda b: F.struct(b.alias("band"), F.try_element_at("_bands", b).alias("of"))), lambda x: x["of"].isNotNull())
+    found = lookup(rows, bands, ["token"], "_members", ["sid"]).withColumns({"bands": near, "parts": F.element_at("_bands", F.col("band"))["parts"]}).drop("_bands", "_members")
+    out = write_table(found.join(maps.drop("n"), "sid"), "open-rows")
+    drop_tables(labelled, open_, rows, bands)
     return out
 
 
@@ -301,9 +316,11 @@ def other_pairs(rows: DataFrame, after: int, upto: int) -> DataFrame:
     deal = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = ["token", "sid", "n", "label", "now", *MAPS, "hist"]
-    members = rows.select(*own, F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), spread("parts").alias("part"))
-    asking = rows.where("label <> most").select(*own, F.lit(True).alias("asks"), spread("blocks").alias("block"), deal("parts", 2).alias("part"))
-    key = ["token", "block", "part"]
+    mine = rows.withColumn("blocks", F.element_at(F.filter("bands", lambda b: b["band"] == F.col("band")), 1)["of"]["blocks"])
+    members = mine.select(*own, "band", F.lit(False).alias("asks"), deal("blocks", 1).alias("block"), spread("parts").alias("part"))
+    visiting = rows.where("label <> most").select(*own, F.explode("bands").alias("_b")).select(*own, F.col("_b.band").alias("band"), F.col("_b.of.blocks").alias("blocks"), F.col("_b.of.parts").alias("parts"))
+    asking = visiting.select(*own, "band", F.lit(True).alias("asks"), spread("blocks").alias("block"), deal("parts", 2).alias("part"))
+    key = ["token", "band", "block", "part"]
     dealt = members.union(asking).repartition(*key).sortWithinPartitions(*key)
 
     def compare(asks, sid, n, label, now, has, hist, maps) -> tuple[np.ndarray, np.ndarray, bool]:

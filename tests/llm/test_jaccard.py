@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from addrloom.llm import jaccard
 
@@ -87,3 +89,17 @@ def test_rounds_lose_no_link(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
     assert got == dict(enumerate(brute(texts)))
     assert len(seen) > 1 and all(a[1] == b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_large_groups_meet_by_size(spark, monkeypatch):
+    """Members of a large group are repeated for the askers of their size, not for all of the group; sizes that may be similar still meet."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sizes = [int(5 * 1.2**k) for k in range(40) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "sid bigint, n bigint").repartition(3)
+    maps = rows.select("sid", "n", *[F.lit(0).cast("bigint").alias(m) for m in jaccard.MAPS], F.lit(None).cast("binary").alias("hist"))
+    groups, labels = rows.select(F.lit(1).cast("bigint").alias("token"), "sid"), rows.limit(0).select("sid", F.col("sid").alias("label"))
+    got = jaccard.open_rows(groups, labels, maps)
+    assert got.count() == 80 and got.agg(F.sum("parts")).first()[0] <= 2 * 80  # 10 * 80 by the whole group
+    found = jaccard.other_pairs(got.withColumn("now", F.col("label")), 0, 1 << 30).where("not more")
+    want = {(a, b) for b in range(80) for a in range(b) if jaccard.similar(min(sizes[a], sizes[b]), sizes[a], sizes[b])}
+    assert {(r.a, r.b) for r in found.collect()} == want
