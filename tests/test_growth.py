@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo
-from addrloom.operators import backfill, checks, reports, review
+from addrloom.operators import backfill, checks, conflate, reports, review
 from addrloom.plans import queries
 from addrloom.plans.stage import materialize
 
@@ -29,6 +29,14 @@ def test_reports_broadcast_no_candidates(spark):
         assert plan(found).count("SortMergeJoin") >= 1 and plan(found).count("BroadcastExchange") <= 2
 
 
+def test_only_rows_alone_at_their_place_join_for_siblings(spark, monkeypatch):
+    seen, write = {}, conflate.materialize
+    monkeypatch.setattr(conflate, "materialize", lambda df, name: seen.setdefault(name, write(df, name)))
+    c = queries.cands(spark, "/root/testdata/sf0.001")
+    assert conflate.land_siblings(c).count() > 0
+    assert seen["addresses"].count() == c.count() and 0 < seen["siblings"].count() < c.count() / 5
+
+
 def test_wide_cells_miss_no_pair_and_are_few(spark):
     p = spark.range(400).select("id", (43.6 + (F.col("id") * 37 % 101) * 2e-4).alias("lat"), (-79.5 + (F.col("id") * 53 % 97) * 3e-4).alias("lon"))
     q = p.select(F.col("id").alias("other"), F.col("lat").alias("a"), F.col("lon").alias("b"))
