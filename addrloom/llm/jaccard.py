@@ -11,7 +11,7 @@ hashes of large sets (likewise) rule out most; the rest is counted shingle by sh
 Counting a pair moves a whole set, so the most promising pair of each set is counted first: of its SimHash partners and
 the one set that its groups have in common with it. Only where such links leave several components in a group are its
 other pairs looked at: those of different components, in blocks of bounded size, the nearest few of each set first, more of
-them in each further round as long as components differ, until none is left. So a group of many copies gives about as many pairs as it has members, and no task holds a whole group.
+them in each further round for the groups that have more, as long as components differ, until none is left. So a group of many copies gives about as many pairs as it has members, and no task holds a whole group.
 """
 
 from __future__ import annotations
@@ -268,9 +268,10 @@ def groups_of(shared: DataFrame) -> DataFrame:
 def open_rows(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFrame:
     """The members of groups with different labels, written: token, sid, n, maps, label, and whether a member asks.
 
-    Members outside the group's largest label ask; they are compared with all that may be as large as they. Large groups fall into bands of
-    sizes, a member has one (``band``, 0 in other groups) and a member that asks visits those beside it too (``bands``), if they hold any.
-    Both are dealt into blocks of a band by hash, a task gets one block of each, so a large band is the work of many tasks.
+    Members outside the group's largest label ask; they are compared with all that may be as large as they. Sizes fall into bands; a member
+    whose band and the two beside it hold no other is similar to none of the group and left out. In large groups a member has one band
+    (``band``, 0 in other groups) and a member that asks visits those beside it too (``bands``), if they hold any. Both are dealt into
+    blocks of a band by hash, a task gets one block of each, so a large band is the work of many tasks.
     """
     labelled = groups.select("token", "sid").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     labelled = write_table(labelled, "labelled-groups")
@@ -278,19 +279,20 @@ def open_rows(groups: DataFrame, labels: DataFrame, maps: DataFrame) -> DataFram
     open_ = sizes.groupBy("token").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
     open_ = write_table(open_.select("token", "members", F.col("most.label").alias("most"), (F.col("members") - F.col("most.n")).alias("rest")), "open-groups")
     rows = lookup(labelled, open_, ["token"], "members", ["sid"]).where("most is not null")
-    large = F.col("rest") > BLOCK
-    band = F.when(large & (F.col("n") > 0), F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")).otherwise(0)
+    band = F.when(F.col("n") > 0, F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")).otherwise(0)
     rows = write_table(rows.join(maps.select("sid", "n"), "sid").withColumn("band", band), "banded-rows")
-    # members of each band, and those that visit it
-    held = rows.select("token", F.col("label") != F.col("most"), large, "band").toDF("token", "asks", "large", "band")
-    visits = F.when(~F.col("large"), F.array("band")).when(F.col("asks"), F.array(*[F.col("band") + k for k in (-1, 0, 1)])).otherwise(F.array("band"))
-    each = held.select("token", "asks", F.col("band").alias("own"), F.explode(visits).alias("band")).groupBy("token", "band").agg(F.count_if(F.col("own") == F.col("band")).alias("_m"), F.count_if("asks").alias("_a"))
-    blocks, parts = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int").alias(a) for c, a in (("_m", "blocks"), ("_a", "parts")))
-    bands = each.where("_m > 0").groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct(blocks, parts)))).alias("_bands"), F.sum("_m").alias("_members"))
+    held = rows.groupBy("token", "band").agg(F.count("*").alias("_m"), F.count_if(F.col("label") != F.col("most")).alias("_a"))
+    bands = held.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("_m", "_a")))).alias("_bands"), F.sum("_m").alias("_all"))
     bands = write_table(bands, "group-bands")
-    near = F.when(large, F.array(*[F.col("band") + k for k in (-1, 0, 1)])).otherwise(F.array("band"))
-    near = F.filter(F.transform(near, lambda b: F.struct(b.alias("band"), F.try_element_at("_bands", b).alias("of"))), lambda x: x["of"].isNotNull())
-    found = lookup(rows, bands, ["token"], "_members", ["sid"]).withColumns({"bands": near, "parts": F.element_at("_bands", F.col("band"))["parts"]}).drop("_bands", "_members")
+    own, large = F.col("band"), F.col("rest") > BLOCK
+    at = lambda b: F.try_element_at("_bands", b)
+    about = lambda b, c: sum((F.coalesce(at(b + k)[c], F.lit(0)) for k in (-1, 0, 1)), F.lit(0))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    dealt = lambda b, n, parts: F.struct(b.alias("band"), F.struct(blocks(n).alias("blocks"), parts.alias("parts")).alias("of"))
+    near = F.filter(F.array(*[own + k for k in (-1, 0, 1)]), lambda b: at(b).isNotNull())
+    near = F.when(large, F.transform(near, lambda b: dealt(b, at(b)["_m"], blocks(about(b, "_a"))))).otherwise(F.array(dealt(F.lit(0), F.col("_all"), F.lit(1))))
+    found = lookup(rows, bands, ["token"], "_all", ["sid"]).where(about(own, "_m") > 1)
+    found = found.withColumns({"bands": near, "parts": F.when(large, blocks(about(own, "_a"))).otherwise(1), "band": F.when(large, own).otherwise(0)}).drop("_bands", "_all")
     out = write_table(found.join(maps.drop("n"), "sid"), "open-rows")
     drop_tables(labelled, open_, rows, bands)
     return out
@@ -311,7 +313,7 @@ def other_pairs(rows: DataFrame, after: int, upto: int) -> DataFrame:
     """(a, b, more): pairs of a group that may be similar and carry different labels, of each asking member those from the ``after``-th on to the ``upto``-th.
 
     A member's candidates in a block (with other first labels) are in order of what the maps say of their distance, an order that
-    doesn't change, so that in the end all are looked at. ``more`` is true in a row without a pair where some have more.
+    doesn't change, so that in the end all are looked at. ``more`` is true in rows without a pair: a is a group some members of which have more, b the rows of a block of it.
     """
     deal = lambda n, salt: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -365,8 +367,9 @@ def other_pairs(rows: DataFrame, after: int, upto: int) -> DataFrame:
             a, b = (np.concatenate(x) for x in list(zip(*found))[:2])
             pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)  # many groups hold the same pair
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0].copy()), "b": pa.array(pairs[:, 1].copy()), "more": pa.array(np.zeros(len(pairs), bool))})
-            if any(more for *_, more in found):
-                yield pa.RecordBatch.from_pydict({"a": pa.array([0], pa.int64()), "b": pa.array([0], pa.int64()), "more": pa.array([True])})
+            left = np.array([more for *_, more in found])
+            token, size = values[0][cuts[:-1]][left], np.diff(cuts)[left]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(token), "b": pa.array(size, pa.int64()), "more": pa.array(np.ones(len(token), bool))})
 
         held: list[pa.RecordBatch] = []  # the rows of the block that is still open
         for b in batches:
@@ -483,13 +486,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     while more:
         live = still_open(rows_left, labels)
         drop_tables(rows_left)
-        rows_left = live.drop("now")
-        rows_left.written_at = live.written_at
         found = write_table(other_pairs(live, after, upto), "block-pairs")
-        more = bool(found.where("more").take(1))
+        # only groups that have more candidates are dealt again
+        left = write_table(found.where("more").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("_size")), "groups-left")
+        more = bool(left.take(1))
         pairs = write_table(filtered(found.where("not more").select("a", "b")), "other-candidates")
         drop_tables(found)
         labels = settle(pairs, labels, lambda picked: verified(picked, docs, distinct))
+        rows_left = write_table(lookup(live, left, ["token"], "_size", ["sid"]).where("_size is not null").drop("_size", "now"), "rows-left")
+        drop_tables(live, left)
         after, upto = upto, (upto + 1) * PICKS if upto < BLOCK else 1 << 62
     drop_tables(rows_left)
     comp = labels

@@ -103,3 +103,26 @@ def test_large_groups_meet_by_size(spark, monkeypatch):
     found = jaccard.other_pairs(got.withColumn("now", F.col("label")), 0, 1 << 30).where("not more")
     want = {(a, b) for b in range(80) for a in range(b) if jaccard.similar(min(sizes[a], sizes[b]), sizes[a], sizes[b])}
     assert {(r.a, r.b) for r in found.collect()} == want
+
+
+def test_members_without_company_are_not_dealt(spark):
+    """A member to which no other of its group is near in size is left out; those of other groups stay."""
+    sizes = [100, 118, 300, 600, 1000, 1200]
+    rows = spark.createDataFrame(list(enumerate(sizes)), "sid bigint, n bigint").repartition(3)
+    maps = rows.select("sid", "n", *[F.lit(0).cast("bigint").alias(m) for m in jaccard.MAPS], F.lit(None).cast("binary").alias("hist"))
+    pairs = [(1, 0), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (3, 5)]
+    groups, labels = spark.createDataFrame(pairs, "token bigint, sid bigint"), rows.limit(0).select("sid", F.col("sid").alias("label"))
+    got = jaccard.open_rows(groups, labels, maps)
+    assert {(r.token, r.sid) for r in got.collect()} == {(1, 0), (1, 1), (3, 4), (3, 5)}
+    found = jaccard.other_pairs(got.withColumn("now", F.col("label")), 0, 1 << 30)
+    assert {(r.a, r.b, r.more) for r in found.collect()} == {(0, 1, False), (4, 5, False)}
+
+
+def test_rounds_name_the_groups_that_have_more(spark):
+    """Only groups whose members have more candidates than the round looks at are dealt again."""
+    rows = spark.createDataFrame([(k, 100) for k in range(6)], "sid bigint, n bigint").repartition(3)
+    maps = rows.select("sid", "n", *[F.lit(0).cast("bigint").alias(m) for m in jaccard.MAPS], F.lit(None).cast("binary").alias("hist"))
+    groups = spark.createDataFrame([(7, 0), (7, 1), (7, 2), (7, 3), (8, 4), (8, 5)], "token bigint, sid bigint")
+    got = jaccard.open_rows(groups, rows.limit(0).select("sid", F.col("sid").alias("label")), maps)
+    found = jaccard.other_pairs(got.withColumn("now", F.col("label")), 0, 1).collect()
+    assert {r.a for r in found if r.more} == {7} and (4, 5) in {(r.a, r.b) for r in found if not r.more}
