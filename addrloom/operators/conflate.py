@@ -31,25 +31,29 @@ def ingest(src: DataFrame, run: Column | None = None) -> DataFrame:
 CELL = 8
 #: The address of a candidate, never null: rows without an address are each on their own.
 AT = ["run_id", "_a", "_m"]
+#: Columns of candidates that conflation itself looks at.
+USED = ("run_id", "candidate_id", "housenumber", "street_norm", "address_full", "muni", "cls", "lat", "lon", "is_range")
 
 
-def _found(cands: DataFrame, features: DataFrame, key: list[str], radius_m: float) -> DataFrame:
+def _found(cands: DataFrame, features: DataFrame, key: list[str], radius_m: float, tags: bool = True, poi: bool = True) -> DataFrame:
     """(key, best, poi): the nearest feature and the nearest POI with a candidate's number and street within the radius.
 
     ``key`` holds the columns that name a candidate. The lower id wins on ties. Number, street and a cell are equi keys, so that the same
     address elsewhere doesn't meet. Both are minima over structs, of each cell that a candidate reaches: rows of one key may be two to four.
+    Without ``tags`` best has none; without ``poi`` features that are POIs stay away.
     """
-    f = features.where("num IS NOT NULL").select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-        F.to_json("tags").alias("tags"), F.try_element_at("tags", F.lit("addr:postcode")).alias("_post"), "is_poi")
+    f = features.where("num IS NOT NULL" if poi else "num IS NOT NULL AND NOT is_poi").select("osm_id", "osm_type", "num", F.col("street_norm").alias("_street"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "is_poi",
+        *[F.to_json("tags").alias("tags")] * tags, *[F.try_element_at("tags", F.lit("addr:postcode")).alias("_post")] * poi)
     f = with_cells(f, radius_m, "_lat", "_lon", wide=CELL).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
     c = with_cells(cands.where("housenumber IS NOT NULL").select(*key, "housenumber", "street_norm", "lat", "lon"), radius_m, around=True, wide=CELL)
     same = (F.col("housenumber") == F.col("num")) & (F.col("street_norm") == F.col("_street")) & (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx"))
     pairs = c.hint("merge").join(f, same)
     pairs = pairs.withColumn("dist", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("dist") <= radius_m)
-    best = F.min(F.when(~F.col("is_poi"), F.struct("dist", "osm_id", "osm_type", "tags"))).alias("best")
-    poi = F.min(F.when(F.col("is_poi"), F.struct("dist", "osm_id", "_post"))).alias("poi")
+    found = {"best": F.min(F.when(~F.col("is_poi"), F.struct("dist", "osm_id", "osm_type", *["tags"] * tags)))}
+    if poi:
+        found["poi"] = F.min(F.when(F.col("is_poi"), F.struct("dist", "osm_id", "_post")))
     # grouped by the keys of the join as well: the rows lie so already
-    return pairs.groupBy("housenumber", "street_norm", "cy", "cx", *key).agg(best, poi).select(*key, "best", "poi")
+    return pairs.groupBy("housenumber", "street_norm", "cy", "cx", *key).agg(*[c.alias(n) for n, c in found.items()]).select(*key, *found)
 
 
 def nearest(cands: DataFrame, features: DataFrame, radius_m: float = MATCH_M) -> DataFrame:
@@ -107,28 +111,33 @@ def beside_land(cands: DataFrame) -> DataFrame:
     return rest.join(land, (F.col("run_id") == F.col("_r")) & (F.col("address_full") == F.col("_a")) & F.col("muni").eqNullSafe(F.col("_m")), "left_semi").select("run_id", "candidate_id")
 
 
-def conflate(cands: DataFrame, features: DataFrame) -> DataFrame:
+def conflate(cands: DataFrame, features: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
     """Candidates with verdict, nearest feature, POI acknowledgement, sibling and group columns.
 
     Whole rows are dealt by address twice: for siblings, and with the features found, which come to them in a union instead of a join.
+    ``wanted``: the columns to return, all where it is None. Others that conflation doesn't look at, tags and POIs are left out before
+    rows move; rows are written in between, so Spark can't leave them out itself.
     """
+    asked = lambda *names: wanted is None or bool({*names} & {*wanted})
+    tags, poi = asked("tags"), asked("poi_id", "proposed_postcode")
+    cands = cands.select(*[x for x in cands.columns if x in USED or asked(x)])
     c = _with_siblings(cands)
     beside = ~F.col("cls").eqNullSafe("Land") & (F.length("_a") > 1) & (F.col("_lands") > 0)
     skip = F.col("is_range") | beside | F.coalesce((F.col("sibling_dist") <= TWIN_M) & ~F.col("is_canonical"), F.lit(False))
     c = c.withColumn("skipped", skip)
     key = [*AT, "candidate_id"]
     # skipped rows meet nothing
-    found = _found(c.where("NOT coalesce(skipped, false)"), features, key, MATCH_M)
+    found = _found(c.where("NOT coalesce(skipped, false)"), features, key, MATCH_M, tags, poi)
     both = c.withColumn("_own", F.lit(True)).unionByName(found, allowMissingColumns=True).repartition(*AT)
     candidate, address = Window.partitionBy(*key), Window.partitionBy(*AT)
-    c = both.withColumns({"_best": F.min("best").over(candidate), "_poi": F.min("poi").over(candidate)}).where("_own").drop("_own", "best", "poi")
+    c = both.withColumns({f"_{x}": F.min(x).over(candidate) for x in ["best", *["poi"] * poi]}).where("_own").drop("_own", "best", "poi")
     verdict = F.when(F.col("skipped"), "SKIPPED").when(F.col("_best").isNull(), "MISSING").when(F.col("_best.dist") <= NEAR_M, "MATCH").otherwise("MATCH_FAR")
     c = c.withColumn("verdict", verdict)
     missing = F.col("verdict") == "MISSING"
-    post = F.nullif(F.trim("_poi._post"), F.lit(""))
     # every Land row of the address is a MATCH (J37); the group is small, and the rows lie by address already
     every = F.every(F.when(F.col("_land"), F.col("verdict") == "MATCH")).over(address)
     c = c.withColumn("group_all_match", F.when(F.col("_land") & (F.col("_lands") > 1), every))
     c = c.withColumns({"address_full": F.when(F.startswith("_a", F.lit("a")), F.substring("_a", 2, 2**31 - 1)), "muni": F.when(F.col("_m") != "", F.substring("_m", 2, 2**31 - 1))})
-    return c.select(*cands.columns, "sibling_id", "sibling_dist", "is_canonical", *[F.col(f"_best.{x}").alias(x) for x in ("dist", "osm_id", "osm_type", "tags")], "verdict",
-        F.when(missing, F.col("_poi.osm_id")).alias("poi_id"), F.when(missing, post).alias("proposed_postcode"), "group_all_match")
+    beside_poi = [F.when(missing, F.col("_poi.osm_id")).alias("poi_id"), F.when(missing, F.nullif(F.trim("_poi._post"), F.lit(""))).alias("proposed_postcode")] if poi else []
+    out = c.select(*cands.columns, "sibling_id", "sibling_dist", "is_canonical", *[F.col(f"_best.{x}").alias(x) for x in ("dist", "osm_id", "osm_type", *["tags"] * tags)], "verdict", *beside_poi, "group_all_match")
+    return out if wanted is None else out.select(*wanted)

@@ -119,8 +119,12 @@ def _(spark, d):
 _LATER = f"{CHECKS}{WORK[len(CONF):]}, fl AS (SELECT k.run_id, k.candidate_id, k.verdict, w.stage, w.street_norm, w.lo_num FROM checks k JOIN work w USING (run_id, candidate_id) WHERE check_id = 'match_number_drift' AND k.verdict <> 'SKIP')"
 
 
-def drift(spark, d):
-    c, items = work(spark, d)
+#: What the later drift check and its routes look at.
+_DRIFT = (*checks.columns(("match_number_drift",)), "lo_num")
+
+
+def drift(spark, d, *more):
+    c, items = work(spark, d, (*_DRIFT, *more))
     c = materialize(c, "work")
     return c, items, checks.run_checks(c, feats(spark, d), ("match_number_drift",))
 
@@ -137,7 +141,7 @@ def _(spark, d):
 @query("J36_backscan", f"{CHECKS} SELECT run_id, candidate_id, verdict, reason_code FROM checks WHERE check_id = 'match_number_drift' AND verdict <> 'SKIP' AND run_id % 3 <> 0")
 def _(spark, d):
     """Every third run has results of this version, all have some of the one before."""
-    c = materialize(work(spark, d)[0], "work")
+    c = materialize(work(spark, d, _DRIFT)[0], "work")
     path, version = f"{shared(spark)}/results-{uuid.uuid4().hex}", checks.VERSIONS["match_number_drift"]
     old = c.select("run_id", "candidate_id", F.lit("PASS").alias("verdict"), F.lit("match_number_drift").alias("check_id"), F.lit(version - 1).alias("version"))
     backfill.store(old.unionByName(old.where("run_id % 3 = 0").withColumn("version", F.lit(version))), path)
@@ -150,7 +154,7 @@ _STREETS = f"""{_LATER}, s AS (SELECT street_norm, COUNT(*) AS flags, COUNT(*) F
 
 
 def streets(spark, d):
-    c, _, found = drift(spark, d)
+    c, _, found = drift(spark, d, "street")
     status = spark.createDataFrame([("KING ST W", "fixed"), ("OAK CRES", "dismissed")], "street_norm string, status string")
     return backfill.dashboard(found.where("verdict = 'FLAG'"), c, c.where("run_id % 5 = 0").select("run_id").distinct(), status)
 
@@ -169,9 +173,9 @@ def _(spark, d):
 SELECT k.run_id, k.candidate_id, k.closest, c.street_norm, c.housenumber, c.osm_type AS matched_type, c.osm_id AS matched_id, CAST(round(f.lat * 1e7) AS BIGINT) AS closest_lat, k.run_id % 5 = 0 AS uploaded
   FROM k JOIN conf c USING (run_id, candidate_id) LEFT JOIN feat f ON f.osm_type || '/' || f.osm_id = k.closest AND f.street_norm = c.street_norm""")
 def _(spark, d):
-    c, f = conflated_and_features(spark, d)
+    c, f = conflated_and_features(spark, d, (*checks.columns(("match_number_drift",)), "osm_type", "osm_id"))
     flags = checks.run_checks(c, f, ("match_number_drift",)).where("verdict = 'FLAG'")
-    detail = backfill.street_detail(flags, c, backfill.first_of_runs(f, F.lit(0)), c.where("run_id % 5 = 0").select("run_id").distinct())
+    detail = backfill.street_detail(flags, c, backfill.first_of_runs(f.select("osm_type", "osm_id", "street_norm", "lat", "lon"), F.lit(0)), c.where("run_id % 5 = 0").select("run_id").distinct())
     return detail.select("run_id", "candidate_id", "closest", "street_norm", "housenumber", "matched_type", "matched_id", F.round(F.col("closest_lat") * 1e7).cast("bigint").alias("closest_lat"), "uploaded")
 
 

@@ -45,3 +45,20 @@ def test_wide_cells_miss_no_pair_and_are_few(spark):
     around = geo.with_cells(p, 100.0, around=True, wide=8)
     assert around.join(geo.with_cells(q, 100.0, "a", "b", wide=8), ["cy", "cx"]).where(near).select("id", "other").distinct().count() == want
     assert around.count() < 2 * p.count()
+
+
+def test_conflation_moves_only_what_is_wanted(spark, monkeypatch):
+    seen, write = {}, conflate.materialize
+    monkeypatch.setattr(conflate, "materialize", lambda df, name: seen.setdefault(name, write(df, name)))
+    d = "/root/testdata/sf0.001"
+    c, f = queries.cands(spark, d), materialize(queries.feats(spark, d), "features")
+    wanted = checks.columns(("match_far",))
+    got = conflate.conflate(c, f, wanted)
+    assert tuple(got.columns) == wanted and not {"street", "stage", "lo_num", "tags"} & {*seen["addresses"].columns}
+    assert "to_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(conflate, "materialize", write)
+    full = conflate.conflate(c, f)
+    for check in checks.VERSIONS:  # each from its own columns gives what it gives from all
+        few = conflate.conflate(c, f, checks.columns((check,)))
+        few, all_ = (checks.run_checks(x, f, (check,)) for x in (few, full))
+        assert few.exceptAll(all_).count() == 0 and all_.exceptAll(few).count() == 0
