@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from addrloom.functions import geo
-from addrloom.operators import backfill, checks, conflate, reports, review
+from addrloom.operators import backfill, checks, conflate, features, reports, review
 from addrloom.plans import queries
 from addrloom.plans.stage import materialize
 
@@ -62,3 +62,45 @@ def test_conflation_moves_only_what_is_wanted(spark, monkeypatch):
         few = conflate.conflate(c, f, checks.columns((check,)))
         few, all_ = (checks.run_checks(x, f, (check,)) for x in (few, full))
         assert few.exceptAll(all_).count() == 0 and all_.exceptAll(few).count() == 0
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conflation_deals_candidates_to_features_once(spark):
+    d = "/root/testdata/sf0.001"
+    c, f = queries.cands(spark, d), materialize(queries.feats(spark, d), "features")
+    plan = _plan(conflate.conflate(c, f, checks.columns(("match_far",))))
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan
+
+
+def test_found_features_are_the_nearest_for_each_row(spark):
+    at = [(i, 43.6 + i % 11 * 4e-4, -79.5 + i % 7 * 9e-4) for i in range(150)]
+    c = spark.createDataFrame([(0, str(i % 90), "1" if i % 4 else None, "A" if i % 3 else "", a, b if i % 13 else None) for i, a, b in at], "run_id bigint, candidate_id string, housenumber string, street_norm string, lat double, lon double")
+    f = spark.createDataFrame([(i % 60, "node" if i % 2 else "way", "1", "A" if i % 5 else "", a + 3e-4 * (i % 2), b, {"addr:postcode": str(i)}, i % 4 == 1) for i, a, b in at], "osm_id bigint, osm_type string, num string, street_norm string, lat double, lon double, tags map<string,string>, is_poi boolean")
+    dist = geo.haversine(F.col("c.lat"), F.col("c.lon"), F.col("f.lat"), F.col("f.lon"))
+    rows = c.withColumn("row", F.monotonically_increasing_id())
+    pairs = rows.alias("c").join(f.alias("f"), (F.col("housenumber") == F.col("num")) & (F.col("c.street_norm") == F.col("f.street_norm")), "left").withColumn("dist", dist)
+    near = lambda poi: F.min(F.when((F.col("dist") <= 100.0) & (F.col("is_poi") == poi), F.struct("dist", "osm_id", "osm_type")))
+    want = pairs.groupBy("row", "c.candidate_id").agg(near(False).alias("b"), near(True).alias("p")).select("candidate_id", "b.osm_id", "b.osm_type", F.round("b.dist", 6).alias("m"), F.col("p.osm_id").alias("poi"))
+    got = conflate._with_found(c, f, 100.0).select("candidate_id", "_best.osm_id", "_best.osm_type", F.round("_best.dist", 6).alias("m"), F.col("_poi.osm_id").alias("poi"))
+    assert got.count() == c.count() and want.where("osm_id IS NOT NULL AND poi IS NOT NULL").count() > 20
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_features_do_not_move_for_ends_of_interpolation_ways(spark, monkeypatch):
+    f = queries.feats(spark, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning" not in _plan(f) and f.count() > 0
+    monkeypatch.setattr(features, "ENDS", 0)
+    shuffled = queries.feats(spark, "/root/testdata/sf0.001")
+    assert "SortMergeJoin" in _plan(shuffled)
+    f, shuffled = (x.withColumn("tags", F.to_json("tags")) for x in (f, shuffled))
+    assert f.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(f).count() == 0
+
+
+def test_stages_are_written_small(spark, tmp_path):
+    from urllib.parse import urlparse
+
+    written = materialize(spark.range(10), "small").inputFiles()
+    assert written and all(".zstd." in urlparse(x).path for x in written)
