@@ -40,8 +40,9 @@ def cell(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("bigint")
 
 
-def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False, wide: int = 1) -> DataFrame:
-    """``df`` with the columns cy, cx of a grid; around: a row for each cell that may hold a point within ``radius_m``.
+def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", around: bool = False, wide: int = 1, within: Column | None = None) -> DataFrame:
+    """``df`` with the columns cy, cx of a grid; around: a row for each cell that may hold a point within ``radius_m``,
+    or ``within`` that many metres where rows look less far.
 
     Rows of cells are as high as ``wide`` times the radius: 1 gives a point nine cells or more, 4 gives it two or three, 8 fewer than two,
     with more points in each. A cell's width in degrees belongs to its row: the height at the row's end nearer to
@@ -54,8 +55,9 @@ def with_cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon
     width = lambda r: F.lit(dy) / narrow(F.greatest(F.abs(r), F.abs(r + 1)) * dy)
     if not around:
         return df.withColumn("cy", row).withColumn("cx", F.floor(F.col(lon) / width(F.col("cy"))).cast("bigint"))
-    reach = F.least(F.lit(near * 1.000001) / narrow(F.abs(lat) + near), F.lit(360.0))
-    low, high = (F.floor((F.col(lat) + by) / dy).cast("bigint") for by in (-near * 1.000001, near * 1.000001))
+    own_near = F.lit(near) if within is None else within * (1.000001 / SPHERE_DEGREE_M)
+    reach = F.least(own_near * 1.000001 / narrow(F.abs(lat) + own_near), F.lit(360.0))
+    low, high = (F.floor((F.col(lat) + by) / dy).cast("bigint") for by in (own_near * -1.000001, own_near * 1.000001))
     own = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumns({"_reach": reach, "cy": F.explode(F.sequence(low, high))})
     w = width(F.col("cy"))
     cells = F.sequence(F.floor((F.col(lon) - F.col("_reach")) / w).cast("bigint"), F.floor((F.col(lon) + F.col("_reach")) / w).cast("bigint"))

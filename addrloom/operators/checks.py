@@ -102,10 +102,10 @@ def _feature_cells(features: DataFrame, radius_m: float) -> DataFrame:
     return with_cells(f, radius_m, "_lat", "_lon", wide=CELL)
 
 
-def _close_features(rows: DataFrame, features: DataFrame, reach_m: float, key: Column, wanted: Column) -> DataFrame:
-    """(key, n, list): the distinct features of the cells about each row that share ``key`` and are ``wanted``, by distance."""
+def _close_features(rows: DataFrame, features: DataFrame, reach_m: float, key: Column, wanted: Column, within: Column | None = None) -> DataFrame:
+    """(key, n, list): the distinct features of the cells about each row that share ``key`` and are ``wanted``, by distance; rows look ``within`` so many metres, the reach unless given."""
     f = _feature_cells(features, reach_m).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
-    p = with_cells(rows, reach_m, around=True, wide=CELL).hint("merge").join(f, (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & key)
+    p = with_cells(rows, reach_m, around=True, wide=CELL, within=within).hint("merge").join(f, (F.col("cy") == F.col("_cy")) & (F.col("cx") == F.col("_cx")) & key)
     p = p.withColumn("_d", haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(wanted)
     p = p.groupBy(*KEY, "osm_type", "osm_id").agg(F.min("_d").alias("_d"))
     entry = F.struct(cm(F.col("_d")).alias("cm"), F.col("osm_type").alias("kind"), F.col("osm_id").alias("no"), F.concat_ws("/", "osm_type", "osm_id").alias("id"))
@@ -134,8 +134,9 @@ def reach_of(c: DataFrame) -> float:
 
 def drifted(c: DataFrame, features: DataFrame, slack_m: float) -> DataFrame:
     """Other numbers of a candidate's street that lie closer than the matched feature, by the slack at least."""
-    rows = c.where(_open_drift()).select(*KEY, "housenumber", "street_norm", "lat", "lon", "dist")
-    return _close_features(rows, features, reach_of(c), F.col("street_norm") == F.col("_street"), (F.col("housenumber") != F.col("num")) & (F.col("_d") <= F.col("dist") - slack_m))
+    # a row looks no farther than its own match, by a centimetre more for rounding; one that is matched within the slack has nothing to find
+    rows = c.where(_open_drift() & (F.col("dist") >= slack_m)).select(*KEY, "housenumber", "street_norm", "lat", "lon", "dist")
+    return _close_features(rows, features, reach_of(c), F.col("street_norm") == F.col("_street"), (F.col("housenumber") != F.col("num")) & (F.col("_d") <= F.col("dist") - slack_m), F.col("dist") - slack_m + 0.01)
 
 
 def missing_nearby(c: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -149,10 +150,11 @@ def missing_nearby(c: DataFrame, flagged: DataFrame) -> DataFrame:
     return _nearest(p, entry, KEY, LISTED).select(*KEY, "n", listed(F.col("near")).alias("list"))
 
 
-def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS), duplicate_m: float = DUPLICATE_M, nearby_m: float = NEARBY_M, slack_m: float = SLACK_M, every: int = SAMPLE, per_run: DataFrame | None = None) -> DataFrame:
+def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tuple(VERSIONS), duplicate_m: float = DUPLICATE_M, nearby_m: float = NEARBY_M, slack_m: float = SLACK_M, every: int = SAMPLE, per_run: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """All results of the enabled checks over candidates that aren't SKIPPED; the right sides see every candidate.
 
-    ``per_run`` (run_id, every): runs with a sampling rate of their own; 0 samples none.
+    ``per_run`` (run_id, every): runs with a sampling rate of their own; 0 samples none. ``keep``: columns of candidates that
+    stand beside their results, so that who needs them doesn't join once more.
 
     The three checks that look about a candidate are joined to it once; the results of a row are then one array.
     """
@@ -185,7 +187,7 @@ def run_checks(c: DataFrame, features: DataFrame, enabled: tuple[str, ...] = tup
         "match_number_drift": lambda: about("match_number_drift", "warn", "no_number_drift"),
         "potential_amenity": lambda: _result("potential_amenity", matched & (F.col("osm_type") == "node") & F.col("tags").isNotNull(), F.when(F.size(extra) > 0, "potential_amenity"), "info", "pure_address", F.size(extra).cast("bigint"), F.array_join(extra, ",")),
     }
-    return rows.select(*KEY, F.explode(F.array(*[result[check]() for check in enabled])).alias("r")).select(*KEY, "r.*")
+    return rows.select(*KEY, *keep, F.explode(F.array(*[result[check]() for check in enabled])).alias("r")).select(*KEY, *keep, "r.*")
 
 
 def stages(c: DataFrame, results: DataFrame) -> DataFrame:

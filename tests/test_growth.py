@@ -99,6 +99,15 @@ def test_features_do_not_move_for_ends_of_interpolation_ways(spark, monkeypatch)
     assert f.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(f).count() == 0
 
 
+def test_drift_looks_no_farther_than_the_match(spark):
+    p = spark.range(400).select("id", (43.6 + (F.col("id") * 37 % 101) * 2e-4).alias("lat"), (-79.5 + (F.col("id") * 53 % 97) * 3e-4).alias("lon"), F.when(F.col("id") % 9 == 0, 100.0).otherwise(1.0).alias("own"))
+    q = p.select(F.col("id").alias("other"), F.col("lat").alias("a"), F.col("lon").alias("b"))
+    near = geo.haversine(F.col("lat"), F.col("lon"), F.col("a"), F.col("b")) <= F.col("own")
+    around = geo.with_cells(p, 100.0, around=True, wide=4, within=F.col("own"))
+    assert around.join(geo.with_cells(q, 100.0, "a", "b", wide=4), ["cy", "cx"]).where(near).select("id", "other").distinct().count() == p.crossJoin(q).where(near).count() > p.count()
+    assert around.count() < 1.3 * p.count()
+
+
 def test_stages_are_written_small(spark, tmp_path):
     from urllib.parse import urlparse
 
