@@ -20,10 +20,13 @@ def address_collisions(cands: DataFrame) -> DataFrame:
     return cands.groupBy("address_full").agg(F.countDistinct("muni").alias("munis")).where("munis > 1")
 
 
-def drift_by_street(results: DataFrame, cands: DataFrame) -> DataFrame:
-    """Flags of the drift check for each street, with runs and a spelling."""
-    flags = results.where("check_id = 'match_number_drift' AND verdict = 'FLAG'").select("run_id", "candidate_id")
-    j = flags.hint("merge").join(cands.select("run_id", "candidate_id", "street_norm", "street"), ["run_id", "candidate_id"])
+def drift_by_street(results: DataFrame, cands: DataFrame | None = None) -> DataFrame:
+    """Flags of the drift check for each street, with runs and a spelling.
+
+    ``cands``: candidates with street_norm and street; none where the results stand beside these columns, a null street included.
+    """
+    flags = results.where("check_id = 'match_number_drift' AND verdict = 'FLAG'")
+    j = flags if cands is None else flags.select("run_id", "candidate_id").hint("merge").join(cands.select("run_id", "candidate_id", "street_norm", "street"), ["run_id", "candidate_id"])
     return j.groupBy("street_norm").agg(F.count("*").alias("flags"), F.countDistinct("run_id").alias("runs"), F.max("street").alias("spelling"))
 
 
