@@ -63,13 +63,14 @@ def backscan(c: DataFrame, features: DataFrame, path: str, check: str) -> DataFr
     return new
 
 
-def route(results: DataFrame, cands: DataFrame, items: DataFrame, uploaded: DataFrame) -> DataFrame:
+def route(results: DataFrame, cands: DataFrame | None, items: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Where each result goes: passed, recorded_only (the run is uploaded or the row decided), new or merged into an open item.
 
-    ``cands``: key and stage; ``items``: key, status, reason_code; ``uploaded``: distinct run_id. reason_code is the item's afterwards, null
+    ``cands``: key and stage, None where the results have their candidate's stage; ``items``: key, status, reason_code; ``uploaded``: distinct run_id. reason_code is the item's afterwards, null
     where no item changes.
     """
-    j = results.select(*KEY, "check_id", "verdict").hint("merge").join(cands.select(*KEY, "stage"), KEY, "left")
+    found = [*KEY, "check_id", "verdict"]
+    j = results.select(*found, "stage") if cands is None else results.select(*found).hint("merge").join(cands.select(*KEY, "stage"), KEY, "left")
     j = j.hint("merge").join(items.select(*KEY, F.col("status").alias("_status"), F.col("reason_code").alias("_old")), KEY, "left").join(uploaded.select("run_id", F.lit(True).alias("_up")), "run_id", "left")
     decided = F.coalesce(F.col("_up") | F.col("stage").isin(*DECIDED_STAGES), F.col("stage").isin(*DECIDED_STAGES), F.lit(False)) | F.coalesce(F.col("_status").isin(*DECIDED_REVIEW), F.lit(False))
     way = F.when(F.col("verdict") != "FLAG", "passed").when(decided, "recorded_only").when(F.col("_status").isNull(), "new").otherwise("merged")

@@ -126,7 +126,7 @@ _DRIFT = (*checks.columns(("match_number_drift",)), "lo_num")
 def drift(spark, d, *more):
     c, items = work(spark, d, (*_DRIFT, *more))
     c = materialize(c, "work")
-    return c, items, checks.run_checks(c, feats(spark, d), ("match_number_drift",))
+    return c, items, checks.run_checks(c, feats(spark, d), ("match_number_drift",), keep=("stage",))
 
 
 @query("R07_drift_routes", f"""{_LATER}, j AS (SELECT f.*, i.status, i.reason_code AS old, CASE WHEN f.verdict <> 'FLAG' THEN 'passed' WHEN f.run_id % 5 = 0 OR stage IN ('APPROVED', 'REJECTED', 'UPLOADED') OR COALESCE(i.status IN ('APPROVED', 'REJECTED'), FALSE) THEN 'recorded_only' WHEN i.status IS NULL THEN 'new' ELSE 'merged' END AS route
@@ -135,7 +135,7 @@ SELECT run_id, candidate_id, route, CASE route WHEN 'new' THEN 'match_number_dri
 def _(spark, d):
     c, items, found = drift(spark, d)
     stored = c.where("lo_num % 4 = 1").select("run_id", "candidate_id", F.lit("match_number_drift").alias("check_id"), F.lit(checks.VERSIONS["match_number_drift"]).alias("version"))
-    return backfill.route(backfill.fresh(found, stored), c, items, c.where("run_id % 5 = 0").select("run_id").distinct())
+    return backfill.route(backfill.fresh(found, stored), None, items, c.where("run_id % 5 = 0").select("run_id").distinct())
 
 
 @query("J36_backscan", f"{CHECKS} SELECT run_id, candidate_id, verdict, reason_code FROM checks WHERE check_id = 'match_number_drift' AND verdict <> 'SKIP' AND run_id % 3 <> 0")

@@ -113,3 +113,18 @@ def test_stages_are_written_small(spark, tmp_path):
 
     written = materialize(spark.range(10), "small").inputFiles()
     assert written and all(".zstd." in urlparse(x).path for x in written)
+
+
+def test_reports_of_flags_do_not_join_candidates_again(spark):
+    d = "/root/testdata/sf0.001"
+    c, f = materialize(queries.conflated(spark, d), "conflation"), materialize(queries.feats(spark, d), "features")
+    one = checks.run_checks(c, f, ("match_number_drift",))
+    beside = checks.run_checks(c, f, ("match_number_drift",), keep=("street_norm", "street", "stage"))
+    joined, direct = reports.drift_by_street(one, c), reports.drift_by_street(beside)
+    assert _plan(direct).count("SortMergeJoin") == _plan(joined).count("SortMergeJoin") - 1
+    assert direct.count() > 0 and direct.exceptAll(joined).count() == 0 and joined.exceptAll(direct).count() == 0
+    items, runs = c.limit(20).select(*checks.KEY, F.lit("OPEN").alias("status"), F.lit("range").alias("reason_code")), c.where("run_id % 2 = 0").select("run_id").distinct()
+    items = materialize(items, "items")
+    joined, direct = backfill.route(one, c, items, runs), backfill.route(beside, None, items, runs)
+    assert _plan(direct).count("SortMergeJoin") == _plan(joined).count("SortMergeJoin") - 1
+    assert direct.exceptAll(joined).count() == 0 and joined.exceptAll(direct).count() == 0
